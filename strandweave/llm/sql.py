@@ -20,4 +20,19 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
   (failed & 3) <> 0 AS base_failed, (failed & 47) = 0 AS kept, failed::BIGINT AS failed_bits FROM b
 """
 
-ORACLES = {"op8_quality_rules": OP8}
+OP7 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE item_id IS NOT NULL),
+s AS (SELECT *, least(len(ws), 13) AS k, unnest(range(1, greatest(len(ws) - 13, 0) + 2)) AS p FROM i WHERE len(ws) > 0),
+f AS (SELECT DISTINCT item_id, k, array_to_string(ws[p:p + k - 1], ' ') AS phrase FROM s),
+k AS (SELECT DISTINCT k FROM f),
+g AS (SELECT rid, ws, k, unnest(range(1, len(ws) - k + 2)) AS p FROM d, k WHERE len(ws) >= k),
+h AS (SELECT g.rid, g.k, g.p, f.item_id FROM g JOIN f ON f.k = g.k AND f.phrase = array_to_string(g.ws[g.p:g.p + g.k - 1], ' ')),
+c AS (SELECT rid, count(DISTINCT pos) AS n_hit FROM (SELECT rid, unnest(range(p, p + k)) AS pos FROM h) GROUP BY rid),
+t AS (SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT rid, item_id::VARCHAR AS id FROM h) GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN c USING (rid) LEFT JOIN t USING (rid)
+"""
+
+ORACLES = {"op7_decontamination": OP7, "op8_quality_rules": OP8}
