@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -19,7 +20,7 @@ def ship(spark: SparkSession) -> None:
     on_path = any(p and Path(p).resolve() == root for p in os.environ.get("PYTHONPATH", "").split(os.pathsep))
     if on_path or context.applicationId in _shipped:
         return
-    with tempfile.TemporaryDirectory() as folder:
-        archive = shutil.make_archive(f"{folder}/strandweave", "zip", root, "strandweave")
-        context.addPyFile(archive)
-        _shipped.add(context.applicationId)
+    folder = tempfile.mkdtemp()  # the driver serves the file from here while the session lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.addPyFile(shutil.make_archive(f"{folder}/strandweave", "zip", root, "strandweave"))
+    _shipped.add(context.applicationId)
