@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, quality_rules, token_counts
+from . import byte_bpe, decontamination, ngram_jaccard, quality_rules, token_counts
 from .sql import ORACLES
 
 #: Name of the public rank file; see the tokenizers' folder.
@@ -24,6 +24,10 @@ def ranks_path() -> str:
     return public_tokenizers.path(RANKS)
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.components(_table(spark, sf_dir, "documents"), n=4, p=85, q=100)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_counts(_table(spark, sf_dir, "documents"), ranks_path(), rule="start")
 
@@ -43,7 +47,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), ranks_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op7_decontamination, op8_quality_rules, op10_byte_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_token_counts, op7_decontamination, op8_quality_rules, op10_byte_bpe)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
