@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, ngram_jaccard, quality_rules, token_counts
+from . import byte_bpe, decontamination, ngram_jaccard, quality_rules, token_counts, warc_zip
+from .shared import shared_folder
 from .sql import ORACLES
 
 #: Name of the public rank file; see the tokenizers' folder.
@@ -43,11 +45,18 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed_bits")
 
 
+def op9_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    archives = warc_zip.write_archives(warc_zip.with_revisits(pages), f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}")
+    kind = pages.schema["page_id"].dataType
+    return warc_zip.read_archives(archives).select(F.col("page").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), ranks_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_token_counts, op7_decontamination, op8_quality_rules, op10_byte_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_token_counts, op7_decontamination, op8_quality_rules, op9_warc_zip, op10_byte_bpe)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

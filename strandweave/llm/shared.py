@@ -11,12 +11,18 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 2_000_000
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that spark.checkpoint.dir names; a local one only where it is unset."""
-    spark: SparkSession = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; a local one only where it is unset."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    folder = context.getCheckpointDir()
+    return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the folder that spark.checkpoint.dir names; a local one only where it is unset."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -46,4 +46,11 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS c FROM r GROUP BY x) m USING (doc_id)
 """
 
-ORACLES = {"op1_ngram_jaccard": OP1, "op7_decontamination": OP7, "op8_quality_rules": OP8}
+OP9 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+f AS (SELECT t, min(page_id) AS first FROM p WHERE strlen(t) >= 100 GROUP BY t)
+SELECT page_id, strlen(p.t)::BIGINT AS payload_bytes, sha256(p.t) AS payload_digest, CASE WHEN f.first IS NULL OR page_id = f.first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> f.first THEN f.first END AS refers_to FROM p LEFT JOIN f ON p.t = f.t
+"""
+
+ORACLES = {"op9_warc_zip": OP9, "op1_ngram_jaccard": OP1, "op7_decontamination": OP7, "op8_quality_rules": OP8}
