@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, ngram_jaccard, quality_rules, token_counts, warc_zip
+from . import byte_bpe, decontamination, ngram_jaccard, quality_fm, quality_rules, token_counts, toxicity, warc_zip
+from .labelled import fold
 from .shared import shared_folder
 from .sql import ORACLES
 
@@ -34,6 +35,21 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_counts(_table(spark, sf_dir, "documents"), ranks_path(), rule="start")
 
 
+def _classified(docs: DataFrame, model, threshold: float) -> DataFrame:
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return _classified(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")), 0.3)
+
+
+def op5_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return _classified(docs, quality_fm.fit(docs, _table(spark, sf_dir, "labels")), 0.7)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), decontamination.digest_of_items().alias("items_sha256"), decontamination.contaminated().alias("contaminated"))
@@ -56,7 +72,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), ranks_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_token_counts, op7_decontamination, op8_quality_rules, op9_warc_zip, op10_byte_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_token_counts, op4_toxicity, op5_quality_fm, op7_decontamination, op8_quality_rules, op9_warc_zip, op10_byte_bpe)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -41,6 +41,7 @@ WARC_MEMBER = "archive/data.warc.gz"
 INDEX_MEMBER = "indexes/index.cdx"
 ARCHIVE_BYTES = 64 << 20
 READ_BYTES = 4 << 20
+TASK_RANGES = 2
 SALTS = 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 # ZIP signatures and sentinels (fixed values of the format)
@@ -207,7 +208,7 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
 
 def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write the rows of with_revisits() into archives under the URI ``folder``; (path, n_records), already run."""
+    """Write the rows of with_revisits() into archives under the URI ``folder``; (path, n_records, n_bytes), already run."""
     rows = records.select(F.col("page").cast("string").alias("page"), "url", "html", "digest", F.col("refers_to").cast("string").alias("refers_to"), "revisit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,9 +225,9 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
         if writer is not None:
             writer.close()
             done.append(writer)
-        yield pa.RecordBatch.from_arrays([pa.array([w.path for w in done], pa.string()), pa.array([len(w.index) for w in done], pa.int64())], names=["path", "n_records"])
+        yield pa.RecordBatch.from_arrays([pa.array([w.path for w in done], pa.string()), pa.array([len(w.index) for w in done], pa.int64()), pa.array([w.size for w in done], pa.int64())], names=["path", "n_records", "n_bytes"])
 
-    return checkpoint(rows.mapInArrow(run, "path string, n_records bigint"))
+    return checkpoint(rows.mapInArrow(run, "path string, n_records bigint, n_bytes bigint"))
 
 
 def _open(path: str):
@@ -237,7 +238,7 @@ def _open(path: str):
 def read_archives(archives: DataFrame, read_bytes: int = READ_BYTES) -> DataFrame:
     """(page string, record_type, url, refers_to string, payload binary, payload_bytes, payload_digest) of every record.
 
-    ``archives`` has the URIs in ``path``.  Directories and indexes are read
+    ``archives`` has the files' URIs in ``path`` and their sizes in ``n_bytes``.  Directories and indexes are read
     first; records then come in ranges of about ``read_bytes``.
     """
 
@@ -272,5 +273,7 @@ def read_archives(archives: DataFrame, read_bytes: int = READ_BYTES) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in found], k) for n, k in zip(names, kinds, strict=True)], names=names)
 
     ranges = archives.select("path").mapInArrow(plan, "path string, start bigint, lengths array<bigint>")
-    spread = ranges.repartition(F.xxhash64("path", "start"))
+    # ranges are small rows that stand for much reading: a count of tasks by bytes, which is not coalesced
+    n_bytes = archives.agg(F.sum("n_bytes")).first()[0] or 0
+    spread = ranges.repartition(max(1, -(-n_bytes // (TASK_RANGES * read_bytes))), "path", "start")
     return spread.mapInArrow(read, "page string, record_type string, url string, refers_to string, payload binary, payload_bytes bigint, payload_digest string")
