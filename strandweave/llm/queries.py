@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, ngram_jaccard, quality_fm, quality_rules, token_counts, toxicity, warc_zip
+from . import backoff_lm, byte_bpe, decontamination, ngram_jaccard, quality_fm, quality_rules, token_counts, toxicity, warc_zip
 from .labelled import fold
 from .shared import shared_folder
 from .sql import ORACLES
@@ -35,6 +35,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_counts(_table(spark, sf_dir, "documents"), ranks_path(), rule="start")
 
 
+def op3_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.score(_table(spark, sf_dir, "documents"))
+
+
 def _classified(docs: DataFrame, model, threshold: float) -> DataFrame:
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -72,7 +76,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), ranks_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_token_counts, op4_toxicity, op5_quality_fm, op7_decontamination, op8_quality_rules, op9_warc_zip, op10_byte_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_token_counts, op3_backoff_lm, op4_toxicity, op5_quality_fm, op7_decontamination, op8_quality_rules, op9_warc_zip, op10_byte_bpe)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,3 +55,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     pairs = state.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return pairs.union(state.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver notice frames that are gone, so that the files of their exchanges are deleted."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
