@@ -1,21 +1,79 @@
-"""A corpus pipeline of the subpackage's operators, each stage over all that its predecessor kept."""
+"""A corpus pipeline of the subpackage's operators, each stage over all that its predecessor kept.
+
+Stages take and return the columns of ``documents``; the last returns the
+encoded rows.  Defined results: rows without words fail the quality rules; a
+text that line dedup empties goes with its document, as all of it stands
+elsewhere; of rows that repeat a doc_id in a group one stays; a row with a
+null doc_id is judged on its own and never dropped as a copy; an empty table
+passes through.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm import quality_rules
+from strandweave.llm import byte_bpe, decontamination, line_dedup, ngram_jaccard, quality_rules
+from strandweave.llm.queries import ranks_path
+from strandweave.llm.shared import checkpoint, shared_folder, small
+from strandweave.packaging import ship
+
+#: No words but blanks and line ends.
+BLANK = r"^[\x20\x09-\x0D]*$"
 
 
 def by_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = quality_rules.apply_policy(quality_rules.ledger(docs)).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    """Documents that the corpus policy keeps."""
+    return quality_rules.filter_documents(docs)
+
+
+def by_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later similar lines go; n_chars follows the text."""
+    done = line_dedup.dedup(docs).where(~((F.col("n_lines_removed") > 0) & F.col("text").rlike(BLANK)))
+    return done.withColumn("n_chars", F.when(F.col("n_lines_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def by_ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five words, 0.8) the document with the smallest id stays."""
+    found = ngram_jaccard.components(docs, n=5, p=4, q=5)
+    copies = checkpoint(found.where("doc_id <> component_id").select("doc_id").distinct())
+    kept = docs.join(small(copies), "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    if not repeated:
+        return kept
+    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+
+
+def by_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are contaminated by benchmark passages go."""
+    found = decontamination.search(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = checkpoint(found.where(decontamination.contaminated()).select("doc_id").distinct())
+    return docs.join(small(bad), "doc_id", "left_anti").select(*docs.columns)
+
+
+def by_byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what is left."""
+    return byte_bpe.round_trip(docs, ranks_path())
 
 
-STAGES = [("quality rules", by_quality_rules)]
+STAGES = [
+    ("quality rules", by_quality_rules),
+    ("line dedup", by_line_dedup),
+    ("n-gram Jaccard join", by_ngram_jaccard),
+    ("benchmark decontamination", by_decontamination),
+    ("byte-level BPE encoding and decoding", by_byte_bpe),
+]
+#: Byte-pair merges are beyond SQL; the tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    ship(spark)
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return docs

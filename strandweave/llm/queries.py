@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, byte_bpe, decontamination, ngram_jaccard, quality_fm, quality_rules, token_counts, toxicity, warc_zip
+from . import backoff_lm, byte_bpe, decontamination, line_dedup, ngram_jaccard, quality_fm, quality_rules, token_counts, toxicity, warc_zip
 from .labelled import fold
 from .shared import shared_folder
 from .sql import ORACLES
@@ -54,6 +54,11 @@ def op5_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(docs, quality_fm.fit(docs, _table(spark, sf_dir, "labels")), 0.7)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", F.col("n_lines_removed").cast("long").alias("n_lines_removed"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), decontamination.digest_of_items().alias("items_sha256"), decontamination.contaminated().alias("contaminated"))
@@ -76,7 +81,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), ranks_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_token_counts, op3_backoff_lm, op4_toxicity, op5_quality_fm, op7_decontamination, op8_quality_rules, op9_warc_zip, op10_byte_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_token_counts, op3_backoff_lm, op4_toxicity, op5_quality_fm, op6_line_dedup, op7_decontamination, op8_quality_rules, op9_warc_zip, op10_byte_bpe)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -53,4 +53,18 @@ SELECT page_id, strlen(p.t)::BIGINT AS payload_bytes, sha256(p.t) AS payload_dig
   CASE WHEN page_id <> f.first THEN f.first END AS refers_to FROM p LEFT JOIN f ON p.t = f.t
 """
 
-ORACLES = {"op9_warc_zip": OP9, "op1_ngram_jaccard": OP1, "op7_decontamination": OP7, "op8_quality_rules": OP8}
+OP6 = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents WHERE text IS NOT NULL),
+e AS (SELECT *, list_distinct(regexp_extract_all(lower(line), '[^ \t\x0B\f\r]+')) AS ws FROM l),
+s AS (SELECT *, row_number() OVER (ORDER BY doc_id, line_no) AS id FROM e WHERE len(ws) > 0),
+f AS (SELECT w, count(*) AS c FROM (SELECT unnest(ws) AS w FROM s) GROUP BY w),
+o AS (SELECT id, n, w, row_number() OVER (PARTITION BY id ORDER BY c, w) AS r FROM (SELECT id, len(ws) AS n, unnest(ws) AS w FROM s) JOIN f USING (w)),
+x AS (SELECT id, n, w FROM o WHERE r <= n - (4 * n + 4) // 5 + 1),
+c AS (SELECT DISTINCT a.id AS later, b.id AS earlier FROM x a JOIN x b ON a.w = b.w AND b.id < a.id AND 4 * a.n <= 5 * b.n AND 4 * b.n <= 5 * a.n),
+v AS (SELECT later, len(a.ws) AS n, len(b.ws) AS m, len(list_intersect(a.ws, b.ws)) AS o FROM c JOIN s a ON a.id = later JOIN s b ON b.id = earlier),
+g AS (SELECT DISTINCT s.doc_id, s.line_no FROM v JOIN s ON s.id = v.later WHERE 5 * o >= 4 * (n + m - o)),
+k AS (SELECT e.doc_id, count(g.line_no) AS n_gone, string_agg(line, chr(10) ORDER BY e.line_no) FILTER (g.line_no IS NULL) AS kept FROM e LEFT JOIN g ON g.doc_id = e.doc_id AND g.line_no = e.line_no GROUP BY e.doc_id)
+SELECT d.doc_id, coalesce(n_gone, 0)::BIGINT AS n_lines_removed, CASE WHEN d.text IS NULL THEN NULL ELSE sha256(coalesce(kept, '')) END AS text_sha256 FROM documents d LEFT JOIN k USING (doc_id)
+"""
+
+ORACLES = {"op6_line_dedup": OP6, "op9_warc_zip": OP9, "op1_ngram_jaccard": OP1, "op7_decontamination": OP7, "op8_quality_rules": OP8}
