@@ -48,6 +48,7 @@ from .shared import checkpoint, release, shared_folder
 BATCH_TOKENS = 4_000_000
 BUCKET_ENTRIES = 2_000_000
 N_CLASSES = 64
+CHUNK = 1 << 18
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _LEFT = np.uint64(0xD1342543DE82EF95)
 _CODEC = "zstd"
@@ -73,6 +74,21 @@ def encode_block(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, length
 
 
+def pack(values: np.ndarray, ascending: bool = False) -> bytes:
+    """An array as compressed byte planes; ascending values as differences, whose high planes are nearly empty."""
+    if ascending and len(values):
+        values = np.diff(values, prepend=values[:1] * 0)
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    return len(values).to_bytes(8, "little") + pa.Codec(_CODEC, compression_level=1).compress(planes, asbytes=True)
+
+
+def unpack(data: bytes, kind: type, ascending: bool = False) -> np.ndarray:
+    n, size = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    planes = pa.Codec(_CODEC).decompress(data[8:], n * size, asbytes=True) if n else b""
+    values = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, n).T).reshape(-1).view(kind)
+    return np.cumsum(values, dtype=kind) if ascending else values
+
+
 class Batch:
     """Texts as numbers of the batch's sorted distinct words."""
 
@@ -83,9 +99,7 @@ class Batch:
 
     @staticmethod
     def of(row: dict) -> "Batch":
-        packed = row["stream"]
-        stream = np.frombuffer(pa.Codec(_CODEC).decompress(packed, row["n_tokens"] * 4, asbytes=True), np.int32)
-        return Batch(np.frombuffer(row["vocabulary"], np.uint64), stream, np.frombuffer(row["lengths"], np.int32).astype(np.int64), np.frombuffer(row["train"], np.uint8) != 0)
+        return Batch(unpack(row["vocabulary"], np.uint64, True), unpack(row["stream"], np.int32), unpack(row["lengths"], np.int32).astype(np.int64), unpack(row["train"], np.uint8) != 0)
 
     def word_counts(self) -> np.ndarray:
         """Training count of each word in the batch."""
@@ -93,25 +107,33 @@ class Batch:
 
     def contexts(self) -> np.ndarray:
         """Number of the word before each token; the vocabulary's size stands for the start of a text."""
-        out = np.empty(len(self.stream), np.int64)
+        out = np.empty(len(self.stream), np.int32)
         out[1:] = self.stream[:-1]
         out[self.first] = len(self.vocabulary)
         return out
 
     def pairs(self, inverse: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]:
         """Sorted distinct pair hashes, each token's pair (with ``inverse``), training counts, a token of each pair."""
-        hashes = pair_hashes(np.append(self.vocabulary, START)[self.contexts()], self.vocabulary[self.stream])
-        order = np.argsort(hashes)
+        before = np.append(self.vocabulary, START)
+        contexts = self.contexts()
+        hashes = np.empty(len(self.stream), np.uint64)
+        for a in range(0, len(hashes), CHUNK):  # temporaries stay small
+            part = slice(a, a + CHUNK)
+            hashes[part] = pair_hashes(before[contexts[part]], self.vocabulary[self.stream[part]])
+        order = np.argsort(hashes).astype(np.int32)
         own = hashes[order]
+        del hashes, contexts
         head = np.ones(len(own), bool)
         head[1:] = own[1:] != own[:-1]
+        distinct = own[head]
+        del own
         start = np.flatnonzero(head)
-        counts = np.add.reduceat(self.token_train[order].astype(np.int64), start) if len(start) else np.zeros(0, np.int64)
+        counts = np.add.reduceat(self.token_train[order], start, dtype=np.int64) if len(start) else np.zeros(0, np.int64)
         of = None
         if inverse:
-            of = np.empty(len(own), np.int64)
-            of[order] = np.cumsum(head) - 1
-        return own[head], of, counts, order[start]
+            of = np.empty(len(order), np.int32)
+            of[order] = np.cumsum(head, dtype=np.int32) - 1
+        return distinct, of, counts, order[start]
 
 
 class Automaton:
@@ -125,13 +147,21 @@ class Automaton:
     def traverse(self, batch: Batch, pair_of: np.ndarray, pair_counts: np.ndarray) -> np.ndarray:
         """log10 probability of each text: an arc where the pair was seen, else failure and root."""
         state = batch.contexts()
-        seen = pair_counts[pair_of]
-        step = self.failure[state] + self.root[batch.stream]
-        at = np.flatnonzero(seen > 0)
-        s = state[at]
-        own = self.share[size_class(self.counts[s])]
-        step[at] = np.log10((1 - own) * seen[at] / self.counts[s] + own * 10 ** self.root[batch.stream[at]])
-        return np.add.reduceat(step, batch.first)
+        total = np.empty(len(batch.first))
+        cuts = np.append(np.searchsorted(batch.first, np.arange(0, len(state), CHUNK)), len(batch.first))
+        edges = np.append(batch.first, len(state))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):  # whole texts, so that temporaries stay small
+            if a == b:
+                continue
+            part = slice(int(edges[a]), int(edges[b]))
+            s, root, seen = state[part], self.root[batch.stream[part]], pair_counts[pair_of[part]]
+            step = self.failure[s] + root
+            at = np.flatnonzero(seen > 0)
+            s = s[at]
+            own = self.share[size_class(self.counts[s])]
+            step[at] = np.log10((1 - own) * seen[at] / self.counts[s] + own * 10 ** root[at])
+            total[a:b] = np.add.reduceat(step, batch.first[a:b] - edges[a])
+        return total
 
 
 def _encode(docs: DataFrame, train: Column, id_col: str, text_col: str, batch_tokens: int) -> DataFrame:
@@ -147,9 +177,8 @@ def _encode(docs: DataFrame, train: Column, id_col: str, text_col: str, batch_to
             lengths = np.concatenate([n for _, n, _ in held])
             keys = pa.concat_arrays([b.column(0) for _, _, b in held])
             flags = np.concatenate([b.column(2).to_numpy(zero_copy_only=False) for _, _, b in held]).astype(np.uint8)
-            packed = pa.Codec(_CODEC, compression_level=1).compress(stream.astype(np.int32).tobytes(), asbytes=True)
             row = [pa.array([number], pa.int64()), pa.array([len(stream)], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)]
-            return pa.RecordBatch.from_arrays([*row, *(pa.array([v], pa.binary()) for v in (flags.tobytes(), lengths.astype(np.int32).tobytes(), packed, vocabulary.tobytes()))], names=["batch", "n_tokens", "keys", "train", "lengths", "stream", "vocabulary"])
+            return pa.RecordBatch.from_arrays([*row, *(pa.array([v], pa.binary()) for v in (pack(flags), pack(lengths.astype(np.int32)), pack(stream.astype(np.int32)), pack(vocabulary, True)))], names=["batch", "n_tokens", "keys", "train", "lengths", "stream", "vocabulary"])
 
         for block in tk.blocks(batches):
             hashes, lengths = encode_block(block.column(1))
@@ -170,7 +199,7 @@ def _encode(docs: DataFrame, train: Column, id_col: str, text_col: str, batch_to
 def _ranges(batch: int, hashes: np.ndarray, arrays: list[np.ndarray], bits: int) -> list[tuple]:
     """One row per hash range of a batch's sorted hashes: (bucket, batch, hashes, arrays...)."""
     cuts = [0, len(hashes)] if not bits else [0, *np.searchsorted(hashes, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist(), len(hashes)]
-    return [(k, batch, *(x[a:b].tobytes() for x in (hashes, *arrays))) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+    return [(k, batch, pack(hashes[a:b], True), *(pack(x[a:b]) for x in arrays)) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
 
 
 def _table(rows: list[tuple], names: list[str]) -> pa.Table:
@@ -182,8 +211,8 @@ def _table(rows: list[tuple], names: list[str]) -> pa.Table:
 def _merged(table: pa.Table) -> tuple[list[int], np.ndarray, list[np.ndarray]]:
     """The batches of a hash range, their bounds in the concatenated arrays, and hashes and counts."""
     batches = table.column("batch").to_pylist()
-    hashes = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-    counts = [np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()]
+    hashes = [unpack(x, np.uint64, True) for x in table.column("hashes").to_pylist()]
+    counts = [unpack(x, np.uint32) for x in table.column("counts").to_pylist()]
     bounds = np.concatenate([[0], np.cumsum([len(h) for h in hashes])])
     return batches, bounds, [np.concatenate(hashes), np.concatenate(counts).astype(np.int64)]
 
@@ -207,7 +236,7 @@ def _sum_words(table: pa.Table) -> pa.Table:
     batches, bounds, (hashes, counts) = _merged(table)
     each, distinct, total = _totals(hashes, counts)
     bucket = table.column("bucket")[0].as_py()
-    rows = [(b, bucket, b"", each[x:y].astype(np.uint32).tobytes()) for b, x, y in zip(batches, bounds, bounds[1:])]
+    rows = [(b, bucket, b"", pack(each[x:y].astype(np.uint32))) for b, x, y in zip(batches, bounds, bounds[1:])]
     # to the statistics: distinct words, tokens, and tokens by size class of their word as a context (an end is none)
     context = np.where(hashes[distinct] == END, 0, total)
     stats = np.concatenate([[np.count_nonzero(total), total.sum()], np.bincount(size_class(total), context, N_CLASSES)])
@@ -216,13 +245,13 @@ def _sum_words(table: pa.Table) -> pa.Table:
 
 def _sum_pairs(table: pa.Table) -> pa.Table:
     batches, bounds, (hashes, counts) = _merged(table)
-    classes = np.frombuffer(b"".join(table.column("classes").to_pylist()), np.uint8)
+    classes = np.concatenate([unpack(x, np.uint8) for x in table.column("classes").to_pylist()])
     each, distinct, total = _totals(hashes, counts)
     bucket = table.column("bucket")[0].as_py()
     rows = []
     for b, x, y in zip(batches, bounds, bounds[1:]):
         other = np.flatnonzero(each[x:y] != counts[x:y])
-        rows.append((b, bucket, other.astype(np.uint32).tobytes(), each[x:y][other].astype(np.uint32).tobytes()))
+        rows.append((b, bucket, pack(other.astype(np.uint32), True), pack(each[x:y][other].astype(np.uint32))))
     seen = total > 0
     stats = np.concatenate([[np.count_nonzero(total == 1), np.count_nonzero(total == 2)], np.bincount(classes[distinct][seen], minlength=N_CLASSES)])
     return _table([*rows, (-1, bucket, b"", stats.astype(np.int64).tobytes())], ["batch", "bucket", "places", "totals"])
@@ -251,7 +280,7 @@ def _first(table: pa.Table, *names: str) -> dict:
 
 def _word_totals(back: pa.Table) -> np.ndarray:
     rows = sorted(zip(back.column("bucket").to_pylist(), back.column("totals").to_pylist(), strict=True))
-    return np.frombuffer(b"".join(x for _, x in rows), np.uint32).astype(np.int64)
+    return np.concatenate([unpack(x, np.uint32) for _, x in rows]).astype(np.int64)
 
 
 def score(docs: DataFrame, n_folds: int = 5, held_out_fold: int = 1, id_col: str = "doc_id", text_col: str = "text", batch_tokens: int = BATCH_TOKENS, bucket_entries: int = BUCKET_ENTRIES) -> DataFrame:
@@ -312,11 +341,11 @@ def score(docs: DataFrame, n_folds: int = 5, held_out_fold: int = 1, id_col: str
         returned = back.filter(pa.array(kind == 1))
         for bucket, places, totals in zip(*(returned.column(c).to_pylist() for c in ("bucket", "places", "totals")), strict=True):
             base = int(np.searchsorted(hashes, np.uint64(bucket << (64 - pair_bits)))) if pair_bits else 0
-            own[base + np.frombuffer(places, np.uint32).astype(np.int64)] = np.frombuffer(totals, np.uint32)
+            own[base + unpack(places, np.uint32, True).astype(np.int64)] = unpack(totals, np.uint32)
         root = np.log10((counts + 0.5) / norm)
         automaton = Automaton(root, np.append(counts, n_texts), share)
         known = np.add.reduceat((counts > 0)[batch.stream].astype(np.int64), batch.first)
-        train = np.frombuffer(row["train"], np.uint8)
+        train = unpack(row["train"], np.uint8)
         return pa.table({
             "key": held.column("keys").combine_chunks().flatten(), "held_out": pa.array(train == 0), "n_tokens": pa.array(batch.lengths, pa.int64()), "n_known": pa.array(known, pa.int64()),
             "train_tokens": pa.array(np.full(len(train), n_train), pa.int64()), "base_score": pa.array(np.add.reduceat(root[batch.stream], batch.first)), "score": pa.array(automaton.traverse(batch, of, own)),
@@ -330,7 +359,7 @@ def score(docs: DataFrame, n_folds: int = 5, held_out_fold: int = 1, id_col: str
 
 def _train_texts(encoded: DataFrame) -> int:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(sum(x) for batch in batches for x in batch.column(0).to_pylist())
+        n = sum(int(unpack(x, np.uint8).sum()) for batch in batches for x in batch.column(0).to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
     return encoded.select("train").mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] or 0
