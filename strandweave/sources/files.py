@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .json_files import whole_document
+
 
 def shards(spark: SparkSession, folder: str, pattern: str = "shard_*.jsonl") -> DataFrame:
     """(shard, file) of the shard files, by name; contents aren't read."""
@@ -47,7 +49,7 @@ def convert_lines(spark: SparkSession, path: str, out: str) -> DataFrame:
     One file is one document, so its lines are numbered and gathered together.
     """
     raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("k", "line")).where(F.trim("line") != "")
-    lines = raw.select((F.col("k") + 1).alias("line_no"), "line", F.try_parse_json("line").alias("v"))
+    lines = raw.select((F.col("k") + 1).alias("line_no"), "line", whole_document(F.col("line")).alias("v"))
     document = lines.where("v IS NOT NULL").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("all"))
     document.select(F.concat(F.lit("[\n"), F.array_join("all", ",\n"), F.lit("\n]")).alias("value")).coalesce(1).write.mode("ignore").text(out)
     return lines.where("v IS NULL").select("line_no", "line")

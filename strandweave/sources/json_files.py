@@ -41,9 +41,15 @@ def split_uids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ANNOTATION_FILE).json(path, multiLine=True).select(F.explode("videos").alias("v")).select("v.video_uid").where("video_uid IS NOT NULL").distinct()
 
 
+def whole_document(text: Column) -> Column:
+    """VARIANT of a text that is one JSON value to its end, else null: a bare parse would ignore what follows the first value."""
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return F.when(F.try_variant_get(listed, "$[1]", "variant").isNull(), F.try_variant_get(listed, "$[0]", "variant"))
+
+
 def parsed(text: Column) -> Column:
     """VARIANT of the text, or of its repaired form, or null."""
-    return F.coalesce(F.try_parse_json(text), F.try_parse_json(repair_json(text)))
+    return F.coalesce(whole_document(text), whole_document(repair_json(text)))
 
 
 def _records(v: Column) -> Column:
@@ -68,17 +74,18 @@ def robust_records(spark: SparkSession, path: str) -> DataFrame:
 def array_or_lines(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Typed records of a JSON array, an object, or JSON lines without repair; bad lines go."""
     raw = spark.read.text(path, wholetext=True)
-    whole = raw.withColumn("v", F.try_parse_json("value"))
+    whole = raw.withColumn("v", whole_document(F.col("value")))
     good = whole.where("v IS NOT NULL").select(F.explode(F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))).alias("r"))
-    lines = whole.where("v IS NULL").select(F.explode(F.split("value", r"\r?\n")).alias("l")).select(F.try_parse_json("l").alias("r")).where("r IS NOT NULL")
+    lines = whole.where("v IS NULL").select(F.explode(F.split("value", r"\r?\n")).alias("l")).select(whole_document(F.col("l")).alias("r")).where("r IS NOT NULL")
     return good.unionByName(lines).select(F.from_json(F.to_json("r"), schema).alias("x")).select("x.*")
 
 
 def json_lines(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
     """(records, bad lines): NaN and infinities are numbers, blank lines go, bad ones come back as text."""
-    with_bad = StructType([*schema.fields]).add("_bad", "string")
-    rows = spark.read.schema(with_bad).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", allowNonNumericNumbers=True)
-    return rows.where("_bad IS NULL").drop("_bad"), rows.select("_bad", F.col("_metadata.file_path").alias("file")).where("_bad IS NOT NULL")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(F.trim("value") != "")
+    row = F.from_json("value", StructType([*schema.fields]).add("_bad", "string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "allowNonNumericNumbers": "true"})
+    rows = lines.select("value", "file", row.alias("x"))
+    return rows.where("x._bad IS NULL").select("x.*").drop("_bad"), rows.where("x._bad IS NOT NULL").select(F.col("value").alias("_bad"), "file")
 
 
 def flattened_questions(spark: SparkSession, path: str) -> DataFrame:
