@@ -15,15 +15,16 @@ with it; whether that line goes itself does not matter.
    neighbours in both lines, and stand among the first 2a + b + 2 words of x:
    its prefix.  Lines meet by pairs of neighbouring prefix words, which no
    single frequent word makes large.
-4. *Length and position.*  Pairs of lines are dropped whose sizes, or whose
-   words left after the shared pair's places, can't reach the overlap.
+4. *Length, position and count.*  Pairs of lines are dropped whose sizes, or whose
+   words left after the shared pair's places, can't reach the overlap; and
+   pairs that share fewer prefix pairs than similar lines must.
 5. *Verification.*  In small meetings every line is compared with all earlier
    ones, in large ones with the one before; lines of large meetings that are
    still there are then compared with every earlier line of the meeting.
 
 Defined results: null texts stay null and have no lines; a line without words
-is never removed and matches nothing; of rows that repeat an id and a line,
-one keeps it; rows with a null id come first, as one document; extra columns
+is never removed and matches nothing; rows that repeat an id are one document
+and lose the same lines; rows with a null id come first, as one too; extra columns
 stay as they are, whatever their names; an empty table gives an empty result.
 """
 
@@ -33,10 +34,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import checkpoint, small
+from .shared import checkpoint, release, small, stored
 
 CLASS_BITS = 16
 LOOK_BACK = 6
+EXTRA = 1
 # What parts words inside a line
 BLANKS = " \t\u000b\f\r"
 BLANK_RUN = "[ \\t\\x0B\\f\\r]+"
@@ -53,81 +55,109 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _frequency_classes(docs: DataFrame) -> Column:
-    """For each hash class of words, a number that grows with its frequency: a constant array of 2 ** CLASS_BITS entries."""
-    word = F.explode(F.split(F.lower("text"), "[ \\t\\x0B\\f\\r\\n]+")).alias("word")
+    """For each hash class of words, a number under 64 that grows with its frequency: a constant array of 2 ** CLASS_BITS entries."""
+    # counted as written and parted by blanks only: a rarity, not an identity
+    word = F.explode(F.split("text", " ")).alias("word")
     counts = docs.select(word).select(F.shiftrightunsigned(F.xxhash64("word"), 64 - CLASS_BITS).cast("int").alias("k")).groupBy("k").count()
     every = docs.sparkSession.range(1 << CLASS_BITS).select(F.col("id").cast("int").alias("k"))
-    level = F.coalesce(F.floor(2 * F.log2("count")), F.lit(0)).cast("int").alias("level")
+    level = F.coalesce(F.floor(2 * F.log2("count")), F.lit(0)).cast("long").alias("level")
     entries = every.join(counts, "k", "left").select("k", level)
     levels = entries.agg(F.array_sort(F.collect_list(F.struct("k", "level"))).alias("e")).select(F.array_join(F.col("e.level").cast("array<string>"), ",")).first()[0]
-    return F.split(F.lit(levels), ",").cast("array<int>")  # folded once, before the query runs
+    return F.split(F.lit(levels), ",").cast("array<bigint>")  # folded once, before the query runs
 
 
 def _ordered(words: Column, levels: Column) -> Column:
     """Distinct word codes, rare ones first: 6 bits of frequency above 57 bits of hash."""
-    code = lambda w: F.shiftleft(F.get(levels, F.shiftrightunsigned(F.xxhash64(w), 64 - CLASS_BITS).cast("int")).cast("long"), 57).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << 57) - 1)))
-    return F.sort_array(F.array_distinct(F.transform(words, code)))
+    hashes = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(levels, F.shiftrightunsigned(h, 64 - CLASS_BITS)), 57).bitwiseOR(F.shiftrightunsigned(h, 7))))
 
 
 def prefix(n: Column, p: int, q: int) -> Column:
-    """Words of the prefix.  2a + b + 2 is largest for the smallest partner, |y| = n p / q, where a = n (1 - p / q) and b = 0: 2 n (q - p) / q + 2."""
-    return F.least(n, F.floor(2 * n * (q - p) / q).cast("int") + 2)
+    """Words of the prefix, with EXTRA more so that linked lines share 1 + EXTRA pairs.
 
+    2a + b + 2 is largest for the smallest partner, |y| = n p / q, where
+    a = n (1 - p / q) and b = 0: 2 n (q - p) / q + 2.
+    """
+    return F.least(n, F.floor(2 * n * (q - p) / q).cast("int") + 2 + EXTRA)
 
-def _reach(x: str, y: str, p: int, q: int) -> Column:
-    """Length and position filters: the shared pair stands at i and j, so the overlap is at most min(i, j) + 2 + the shorter rest."""
-    most = f"(least({x}.i, {y}.i) + 2 + least({x}.n - {x}.i - 2, {y}.n - {y}.i - 2))"
-    return F.expr(f"{p} * {x}.n <= {q} * {y}.n AND {p} * {y}.n <= {q} * {x}.n AND ({p} + {q}) * {most} >= {p} * ({x}.n + {y}.n)")
+
+def _shared_least(p: int, q: int, total: str) -> Column:
+    """Prefix pairs that two similar lines with ``total`` words share at least: of o shared words at most a + b = total - 2 o neighbourhoods are parted."""
+    return F.expr(f"greatest(1, least({1 + EXTRA}, 3 * ceil({p} * ({total}) / {p + q}) - 1 - ({total})))")
+
+
+def _reach(p: int, q: int, low_n: str, high_n: str, sum_n: str, least_i: str, least_rest: str) -> Column:
+    """Length and position filters: a shared pair at i and j leaves an overlap of at most min(i, j) + 2 + the shorter rest."""
+    return F.expr(f"{p} * {high_n} <= {q} * {low_n} AND ({p} + {q}) * ({least_i} + 2 + {least_rest} - 2) >= {p} * {sum_n}")
+
+
+def _reach_pair(p: int, q: int, x: str, y: str) -> Column:
+    return _reach(p, q, f"least({x}.n, {y}.n)", f"greatest({x}.n, {y}.n)", f"({x}.n + {y}.n)", f"least({x}.i, {y}.i)", f"least({x}.n - {x}.i, {y}.n - {y}.i)")
 
 
 def repeated_lines(docs: DataFrame, p: int = 4, q: int = 5) -> DataFrame:
     """(doc, line_no) of the lines to remove; ``docs`` has (doc, text).  The prefix holds for thresholds from 1/2 on."""
     if 2 * p < q or p >= q:
         raise ValueError("the threshold must be at least 1/2 and less than 1")
-    at = F.struct("doc", "line_no")
+    place = F.struct("doc", "line_no")
     hashed = _lines(docs).select("doc", "line_no", F.xxhash64("line").alias("h"))
-    repeats = checkpoint(hashed.groupBy("h").agg(F.count("*").alias("n"), F.min(at).alias("first")).where("n > 1").select("h", "first"))
-    known = small(repeats)
+    heads = stored(hashed.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")))
+    repeats = small(heads.where("n > 1").select("h", "first"))
     levels = _frequency_classes(docs)
 
-    marked = _lines(docs).withColumn("h", F.xxhash64("line")).join(known, "h", "left")
-    later = marked.where("first IS NOT NULL AND NOT (first.doc <=> doc AND first.line_no = line_no)").select("doc", "line_no")
-    firsts = marked.where("first IS NULL OR (first.doc <=> doc AND first.line_no = line_no)").select("doc", "line_no", "line")
-    sets = firsts.select("doc", "line_no", _ordered(_words(F.col("line")), levels).alias("s"))
-    keyed = sets.select("doc", "line_no", F.size("s").alias("n"), F.transform(F.sequence(F.lit(1), F.greatest(prefix(F.size("s"), p, q) - 1, F.lit(1))), lambda i: F.xxhash64(F.get("s", i - 1), F.get("s", i))).alias("keys"))
-    posted = keyed.select("doc", "line_no", "n", F.posexplode("keys").alias("i", "key"))
-    # lines of one key, by place: how many, and the ones before
+    marked = _lines(docs).withColumn("h", F.xxhash64("line")).join(repeats, "h", "left")
+    is_first = F.expr("first IS NULL OR (first.doc <=> doc AND first.line_no = line_no)")
+    later = marked.where(~is_first).select("doc", "line_no")
+    # exploding one entry holds the set: a plain column would be computed anew for each use
+    sets = marked.where(is_first).select("h", F.explode(F.array(_ordered(_words(F.col("line")), levels))).alias("s"))
+    n = F.size("s")
+    each = sets.select("h", "s", n.alias("n"), F.explode(F.sequence(F.lit(0), F.greatest(prefix(n, p, q) - 2, F.lit(0)))).alias("i"))
+    posted = each.select("h", "n", "i", F.xxhash64(F.get("s", F.col("i")), F.get("s", F.col("i") + 1)).alias("key")).repartition("key")
+    meetings = posted.groupBy("key").agg(F.count("*").alias("met"), F.min("h").alias("x"), F.max("h").alias("y"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("i").alias("least_i"), F.min(F.expr("n - i")).alias("least_rest")).where("met > 1")
+    # two lines: a pair.  More: their rows, by a second read of the same exchange
+    # (the further conditions always hold; with them both sides need the same columns, so the exchange is the same)
+    two = meetings.where("met = 2 AND x <> y").where(_reach(p, q, "low", "high", "(low + high)", "least_i", "least_rest")).groupBy("x", "y").agg(F.count("*").alias("n_keys"), F.first(F.expr("low + high")).alias("total"))
+    two = two.select("x", "y", "n_keys", "total", F.lit(None).cast("struct<key:bigint,h:bigint,n:int,i:int>").alias("at"))
+    many = posted.join(meetings.where("met > 2 AND x <= y AND low <= high AND least_i <= least_i + least_rest").select("key").hint("shuffle_hash"), "key")
+    many = many.select(F.lit(None).cast("long").alias("x"), F.lit(None).cast("long").alias("y"), F.lit(None).cast("long").alias("n_keys"), F.lit(None).cast("int").alias("total"), F.struct("key", "h", "n", "i").alias("at"))
+    found = stored(two.union(many))
+    release(docs.sparkSession)
+    crowd = found.where("at IS NOT NULL").select("at.*").join(heads.select("h", F.col("first.doc").alias("doc"), F.col("first.line_no").alias("line_no")), "h")
     by_place = Window.partitionBy("key").orderBy(F.col("doc").asc_nulls_first(), "line_no")
-    line = F.struct("doc", "line_no", "n", "i")
-    met = posted.select("key", line.alias("x"), F.count("*").over(Window.partitionBy("key")).alias("met"), *[F.lag(line, k).over(by_place).alias(f"y{k}") for k in range(1, LOOK_BACK + 1)])
-    met = met.where("met > 1")
-    before = F.when(F.col("met") <= LOOK_BACK + 1, F.array(*[f"y{k}" for k in range(1, LOOK_BACK + 1)])).otherwise(F.array("y1"))
-    large = F.when(F.col("met") > LOOK_BACK + 1, F.array(F.lit(None).cast(_line_type(docs)))).otherwise(F.array().cast(f"array<{_line_type(docs)}>"))
-    rows = met.select("key", "x", "met", F.explode(F.concat(F.filter(before, lambda y: y.isNotNull()), large)).alias("y"))
-    rows = rows.where(F.col("y").isNull() | _reach("x", "y", p, q))
-    whole = F.struct(F.col("y.doc").alias("doc"), F.col("y.line_no").alias("line_no"))
-    found = checkpoint(rows.select(F.col("x.doc").alias("doc"), F.col("x.line_no").alias("line_no"), F.when(F.col("y").isNotNull(), whole).alias("y"), F.when(F.col("y").isNull(), F.struct("key", F.col("x.n").alias("n"), F.col("x.i").alias("i"))).alias("at")).distinct())
-
-    def similar(pairs: DataFrame) -> DataFrame:
-        """The lines x of (doc, line_no, y) that are similar to y, by their words."""
-        wanted = small(pairs.select("doc", "line_no").union(pairs.select("y.doc", "y.line_no")).distinct())
-        words = checkpoint(_lines(docs).join(wanted, ["doc", "line_no"], "left_semi").select("doc", "line_no", _ordered(_words(F.col("line")), levels).alias("s")).dropDuplicates(["doc", "line_no"]))
-        x, y = words.alias("a"), words.alias("b")
-        both = pairs.alias("p").join(x, F.expr("p.doc <=> a.doc AND p.line_no = a.line_no")).join(y, F.expr("p.y.doc <=> b.doc AND p.y.line_no = b.line_no"))
-        both = both.select("p.doc", "p.line_no", F.size("a.s").alias("n"), F.size("b.s").alias("m"), F.size(F.array_intersect("a.s", "b.s")).alias("o"))
-        return both.where(F.lit(q) * F.col("o") >= F.lit(p) * (F.col("n") + F.col("m") - F.col("o"))).select("doc", "line_no").distinct()
-
-    gone = checkpoint(similar(found.where("y IS NOT NULL").select("doc", "line_no", "y")))
-    crowd = found.where("at IS NOT NULL").select("doc", "line_no", "at.*")
-    rest = checkpoint(crowd.alias("c").join(gone.alias("g"), F.expr("c.doc <=> g.doc AND c.line_no = g.line_no"), "left_anti"))
-    y_before = F.expr("y.key = x.key AND (y.doc < x.doc OR (y.doc IS NULL AND x.doc IS NOT NULL) OR (y.doc <=> x.doc AND y.line_no < x.line_no))")
-    more = rest.alias("x").join(crowd.alias("y"), y_before & _reach("x", "y", p, q)).select("x.doc", "x.line_no", F.struct("y.doc", "y.line_no").alias("y")).distinct()
-    more = checkpoint(more)
-    return later.unionByName(gone).unionByName(similar(more)) if more.limit(1).count() else later.unionByName(gone)
-
-
-def _line_type(docs: DataFrame) -> str:
-    return f"struct<doc:{docs.schema['doc'].dataType.simpleString()},line_no:int,n:int,i:int>"
+    line = F.struct("h", "n", "i")
+    before = crowd.select(line.alias("x"), F.count("*").over(Window.partitionBy("key")).alias("met"), F.array(*[F.lag(line, k).over(by_place) for k in range(1, LOOK_BACK + 1)]).alias("ys"))
+    before = before.select("x", (F.col("met") > LOOK_BACK + 1).alias("large"), F.explode(F.when(F.col("met") <= LOOK_BACK + 1, F.col("ys")).otherwise(F.slice("ys", 1, 1))).alias("y"))
+    before = before.where(F.col("y").isNotNull() & _reach_pair(p, q, "x", "y"))
+    near = before.select(F.expr("least(x.h, y.h)").alias("x"), F.expr("greatest(x.h, y.h)").alias("y"), (~F.col("large")).cast("long").alias("n_keys"), F.expr("x.n + y.n").alias("total"))
+    counted = found.where("at IS NULL").select("x", "y", "n_keys", "total").union(near).groupBy("x", "y").agg(F.sum("n_keys").alias("n_keys"), F.first("total").alias("total"))
+    # large meetings are not counted pair by pair: two lines that are both in some may share more pairs than were seen
+    large = crowd.groupBy("key").count().where(F.col("count") > LOOK_BACK + 1).select("key")
+    crowd = checkpoint(crowd.join(large, "key"))
+    in_large = small(crowd.select("h").distinct())
+    counted = counted.join(in_large.withColumnsRenamed({"h": "x"}).withColumn("x_large", F.lit(True)), "x", "left").join(in_large.withColumnsRenamed({"h": "y"}).withColumn("y_large", F.lit(True)), "y", "left")
+    counted = checkpoint(counted.where(F.col("x_large") & F.col("y_large") | (F.col("n_keys") >= _shared_least(p, q, "total"))).select("x", "y", "n_keys"))
+    pairs = counted.select("x", "y")
+
+    def gone_by(pairs: DataFrame) -> DataFrame:
+        """(h) of the later line of every pair that is similar, by its words."""
+        wanted = pairs.select(F.col("x").alias("h")).union(pairs.select("y")).distinct()
+        own = small(wanted.join(heads, "h").select("h", "first"))
+        words = stored(_lines(docs).withColumn("h", F.xxhash64("line")).join(own, "h").where("first.doc <=> doc AND first.line_no = line_no").select("h", "first", _ordered(_words(F.col("line")), levels).alias("s")))
+        a, b = words.select(F.col("h").alias("x"), F.col("first").alias("fx"), F.col("s").alias("sx")), words.select(F.col("h").alias("y"), F.col("first").alias("fy"), F.col("s").alias("sy"))
+        both = pairs.join(a, "x").join(b, "y").select("x", "y", "fx", "fy", F.size("sx").alias("n"), F.size("sy").alias("m"), F.size(F.array_intersect("sx", "sy")).alias("o"))
+        similar = both.where(F.lit(q) * F.col("o") >= F.lit(p) * (F.col("n") + F.col("m") - F.col("o")))
+        return similar.select(F.when(F.expr("fx > fy"), F.col("x")).otherwise(F.col("y")).alias("h")).distinct()
+
+    gone = checkpoint(gone_by(pairs))
+    # large meetings: a line that is still there is held against every earlier one
+    rest = checkpoint(crowd.join(gone, "h", "left_anti"))
+    earlier = F.expr("y.key = x.key AND (y.doc < x.doc OR (y.doc IS NULL AND x.doc IS NOT NULL) OR (y.doc <=> x.doc AND y.line_no < x.line_no))")
+    more = rest.alias("x").join(crowd.alias("y"), earlier & _reach_pair(p, q, "x", "y")).select(F.expr("least(x.h, y.h)").alias("x"), F.expr("greatest(x.h, y.h)").alias("y"), F.expr("x.n + y.n").alias("total"))
+    more = more.groupBy("x", "y").agg(F.count("*").alias("n_large"), F.first("total").alias("total")).join(counted, ["x", "y"], "left")
+    more = checkpoint(more.where((F.col("n_large") + F.coalesce("n_keys", F.lit(0))) >= _shared_least(p, q, "total")).select("x", "y"))
+    if more.limit(1).count():
+        gone = gone.union(gone_by(more))
+    return later.unionByName(gone.distinct().join(heads, "h").select("first.doc", "first.line_no"))
 
 
 def dedup(docs: DataFrame, p: int = 4, q: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
