@@ -84,3 +84,9 @@ def nested(rows: DataFrame, arrival: str) -> DataFrame:
     clips = ids.groupBy("video_uid", "clip_idx", "clip_uid", "annotation_uid", "clip_start_sec", "clip_end_sec").agg(F.array_sort(F.collect_list(question)).alias("language_queries"))
     clip = F.struct("clip_idx", "clip_uid", "clip_start_sec", "clip_end_sec", F.col("clip_start_sec").alias("video_start_sec"), F.col("clip_end_sec").alias("video_end_sec"), F.array(F.struct("annotation_uid", "language_queries")).alias("annotations"))
     return clips.groupBy("video_uid").agg(F.array_sort(F.collect_list(clip)).alias("clips"))
+
+
+def first_by_segment(rows: DataFrame, value: str, order: str, start: str = "s", end: str = "e") -> DataFrame:
+    """(start_key, end_key, value): the first value of each segment, its ends to three digits."""
+    keyed = rows.select(milli(F.col(start)).alias("start_key"), milli(F.col(end)).alias("end_key"), value, order)
+    return keyed.groupBy("start_key", "end_key").agg(F.min_by(value, order).alias(value))

@@ -94,3 +94,8 @@ def window_ratio(rows: DataFrame, window: list[str], alarm: float = 0.9) -> Data
     each = rows.groupBy(*window).agg(F.count("*").alias("n"))
     out = each.agg(F.sum("n").alias("n_queries"), F.count("*").alias("n_windows"))
     return out.withColumn("ratio", F.col("n_queries") / F.col("n_windows")).withColumn("alarm", F.col("n_windows") / F.col("n_queries") > alarm)
+
+
+def rebuilt_counts(fractions: DataFrame, keys: list[str], fraction: str, total: int) -> DataFrame:
+    """(keys, n): counts rebuilt from fractions of a known total, halves to even."""
+    return fractions.select(*keys, F.bround(F.col(fraction) * total).cast("long").alias("n"))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import templates, texts
-from ..functions.intervals import bucket_lo
 from ..operators import cleaning, joins, merge, planning, sampling, stats, windows
 from ..operators.generation import questions, window_lines
 from ..sources.tables import narrations, table
@@ -445,3 +444,26 @@ def set_except(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT c_custkey AS k FROM customer WHERE c_acctbal < 0 INTERSECT SELECT o_custkey FROM orders")
 def set_intersect(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("k")).intersect(table(spark, d, "orders").select("o_custkey"))
+
+
+@query(f"WITH {N}, k AS (SELECT uid, template, floor(floor(d) * 1000 + 0.5::DOUBLE)::BIGINT AS start_key, floor((floor(d) + 2) * 1000 + 0.5::DOUBLE)::BIGINT AS end_key FROM n WHERE d IS NOT NULL) SELECT start_key, end_key, arg_min(template, uid) AS template FROM k GROUP BY ALL")
+def first_template(spark: SparkSession, d: str) -> DataFrame:
+    rows = narrations(spark, d).where("d IS NOT NULL").select(F.floor("d").cast("double").alias("s"), (F.floor("d") + 2).cast("double").alias("e"), "template", F.col("narration_uid").alias("uid"))
+    return merge.first_by_segment(rows, "template", "uid")
+
+
+@query(f"WITH {_CELLS}, r AS (SELECT template, bucket_lo, round_even(n / (SELECT sum(n) FROM j) * 777, 0)::BIGINT AS n FROM j) SELECT template, bucket_lo, n FROM r")
+def rebuilt_counts(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    cells = planning.joint_counts(_cells(spark, d), "template")
+    shares = cells.withColumn("fraction", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    return stats.rebuilt_counts(shares, ["template", "bucket_lo"], "fraction", 777)
+
+
+@query(f"WITH {_CELLS} SELECT template, '[' || bucket_lo::INT || ',' || {high_sql('bucket_lo')}::INT || ')' AS label, left(template, 4) || CASE WHEN length(template) > 4 THEN '…' ELSE '' END AS short_name, n FROM j")
+def plot_labels(spark: SparkSession, d: str) -> DataFrame:
+    from ..functions.intervals import bucket_label
+
+    cells = planning.joint_counts(_cells(spark, d), "template")
+    return cells.select("template", bucket_label(F.col("bucket_lo"), F.col("bucket_hi")).alias("label"), texts.shortened(F.col("template"), 4).alias("short_name"), "n")
