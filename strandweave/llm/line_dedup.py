@@ -1,26 +1,25 @@
 """Line dedup by an exact set-similarity join, in DataFrame operations alone.
 
-A line is the set of its lower-cased words.  It is removed if an earlier line,
-by document id and line number, has a Jaccard similarity of at least ``p / q``
-with it; whether that line goes itself does not matter.
+A line is the set of its five-word shingles, lower-cased; a line of fewer
+words is one shingle.  It is removed if an earlier line, by document id and
+line number, has a Jaccard similarity of at least ``p / q`` with it; whether
+that line goes itself does not matter.
 
 1. *Exact repeats.*  Lines meet by hash, as counts and first places; later
    repeats go at once, and only first lines take part below.
-2. *Rarity.*  Word frequencies, in a fixed number of hash classes, order each
-   line's words from rare to frequent.  The order is total and the same for
-   every line; how well it tells rarity only decides the speed.
-3. *Prefix.*  With a = |x| - o and b = |y| - o words not shared of two similar
-   lines that share o, at most a + b of the neighbouring shared words are
-   parted by others, so two of the first a + b + 2 shared words are
-   neighbours in both lines, and stand among the first 2a + b + 2 words of x:
-   its prefix.  Lines meet by pairs of neighbouring prefix words, which no
-   single frequent word makes large.
-4. *Length, position and count.*  Pairs of lines are dropped whose sizes, or whose
-   words left after the shared pair's places, can't reach the overlap; and
-   pairs that share fewer prefix pairs than similar lines must.
-5. *Verification.*  In small meetings every line is compared with all earlier
-   ones, in large ones with the one before; lines of large meetings that are
-   still there are then compared with every earlier line of the meeting.
+2. *Prefix.*  Of two similar lines, ordered alike, the first n - o + 1 shingles
+   of each (o: the least overlap) share one.  Lines meet by the shingles of
+   their prefixes, in order of hash.  In meetings of a few lines all are
+   compared, in larger ones each with the first and with the one before.
+3. *Rarity.*  Shingles of larger meetings are the frequent ones.  Where that
+   left a line of a larger meeting that is not its first, the meeting's lines
+   are ordered anew, rare shingles first and those last, and meet again by the
+   prefixes of this order: lines that only share a frequent passage part.  A pair that the first order misses consists of two
+   such lines, as a shingle that a line without them shares is rare.
+4. *Length and position.*  Pairs of lines are dropped whose sizes, or whose
+   shingles left from the shared one's places on, can't reach the overlap; a
+   similar pair passes at the first shingle that it shares.
+5. *Verification* on the sets; the later line of a similar pair is removed.
 
 Defined results: null texts stay null and have no lines; a line without words
 is never removed and matches nothing; rows that repeat an id are one document
@@ -36,16 +35,19 @@ from pyspark.sql.window import Window
 
 from .shared import checkpoint, release, small, stored
 
-CLASS_BITS = 16
 LOOK_BACK = 6
-EXTRA = 1
+SHINGLE = 5
 # What parts words inside a line
 BLANKS = " \t\u000b\f\r"
 BLANK_RUN = "[ \\t\\x0B\\f\\r]+"
 
 
-def _words(line: Column) -> Column:
-    return F.split(F.trim(F.lower(line), F.lit(BLANKS)), BLANK_RUN)
+def _shingles(line: Column, k: int = SHINGLE) -> Column:
+    """Hashes of the k-word shingles of a line, distinct, in order."""
+    words = F.split(F.trim(F.lower(line), F.lit(BLANKS)), BLANK_RUN)
+    # the words are held by a lambda: a plain expression would be computed anew for each shingle
+    windows = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]))
+    return F.sort_array(F.array_distinct(F.get(F.transform(F.array(words), windows), F.lit(0))))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -54,110 +56,97 @@ def _lines(docs: DataFrame) -> DataFrame:
     return split.where(F.col("line").rlike("[^ \\t\\x0B\\f\\r]"))
 
 
-def _frequency_classes(docs: DataFrame) -> Column:
-    """For each hash class of words, a number under 64 that grows with its frequency: a constant array of 2 ** CLASS_BITS entries."""
-    # counted as written and parted by blanks only: a rarity, not an identity
-    word = F.explode(F.split("text", " ")).alias("word")
-    counts = docs.select(word).select(F.shiftrightunsigned(F.xxhash64("word"), 64 - CLASS_BITS).cast("int").alias("k")).groupBy("k").count()
-    every = docs.sparkSession.range(1 << CLASS_BITS).select(F.col("id").cast("int").alias("k"))
-    level = F.coalesce(F.floor(2 * F.log2("count")), F.lit(0)).cast("long").alias("level")
-    entries = every.join(counts, "k", "left").select("k", level)
-    levels = entries.agg(F.array_sort(F.collect_list(F.struct("k", "level"))).alias("e")).select(F.array_join(F.col("e.level").cast("array<string>"), ",")).first()[0]
-    return F.split(F.lit(levels), ",").cast("array<bigint>")  # folded once, before the query runs
-
-
-def _ordered(words: Column, levels: Column) -> Column:
-    """Distinct word codes, rare ones first: 6 bits of frequency above 57 bits of hash."""
-    hashes = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(levels, F.shiftrightunsigned(h, 64 - CLASS_BITS)), 57).bitwiseOR(F.shiftrightunsigned(h, 7))))
-
-
 def prefix(n: Column, p: int, q: int) -> Column:
-    """Words of the prefix, with EXTRA more so that linked lines share 1 + EXTRA pairs.
-
-    2a + b + 2 is largest for the smallest partner, |y| = n p / q, where
-    a = n (1 - p / q) and b = 0: 2 n (q - p) / q + 2.
-    """
-    return F.least(n, F.floor(2 * n * (q - p) / q).cast("int") + 2 + EXTRA)
+    """n - o + 1 for the least overlap o = ceil(n p / q) with any partner."""
+    return n - F.ceil(n * p / q).cast("int") + 1
 
 
-def _shared_least(p: int, q: int, total: str) -> Column:
-    """Prefix pairs that two similar lines with ``total`` words share at least: of o shared words at most a + b = total - 2 o neighbourhoods are parted."""
-    return F.expr(f"greatest(1, least({1 + EXTRA}, 3 * ceil({p} * ({total}) / {p + q}) - 1 - ({total})))")
-
-
-def _reach(p: int, q: int, low_n: str, high_n: str, sum_n: str, least_i: str, least_rest: str) -> Column:
-    """Length and position filters: a shared pair at i and j leaves an overlap of at most min(i, j) + 2 + the shorter rest."""
-    return F.expr(f"{p} * {high_n} <= {q} * {low_n} AND ({p} + {q}) * ({least_i} + 2 + {least_rest} - 2) >= {p} * {sum_n}")
+def _reach(p: int, q: int, low_n: str, high_n: str, sum_n: str, least_rest: str) -> Column:
+    """Length and position filters at the first shingle that two lines share, at i and j: nothing before is shared, so the overlap is at most the shorter rest from there."""
+    return F.expr(f"{p} * {high_n} <= {q} * {low_n} AND ({p} + {q}) * {least_rest} >= {p} * {sum_n}")
 
 
 def _reach_pair(p: int, q: int, x: str, y: str) -> Column:
-    return _reach(p, q, f"least({x}.n, {y}.n)", f"greatest({x}.n, {y}.n)", f"({x}.n + {y}.n)", f"least({x}.i, {y}.i)", f"least({x}.n - {x}.i, {y}.n - {y}.i)")
+    return _reach(p, q, f"least({x}.n, {y}.n)", f"greatest({x}.n, {y}.n)", f"({x}.n + {y}.n)", f"least({x}.n - {x}.i, {y}.n - {y}.i)")
 
 
 def repeated_lines(docs: DataFrame, p: int = 4, q: int = 5) -> DataFrame:
-    """(doc, line_no) of the lines to remove; ``docs`` has (doc, text).  The prefix holds for thresholds from 1/2 on."""
-    if 2 * p < q or p >= q:
-        raise ValueError("the threshold must be at least 1/2 and less than 1")
+    """(doc, line_no) of the lines to remove; ``docs`` has (doc, text)."""
+    if not 0 < p < q:
+        raise ValueError("the threshold must be more than 0 and less than 1")
     place = F.struct("doc", "line_no")
     hashed = _lines(docs).select("doc", "line_no", F.xxhash64("line").alias("h"))
     heads = stored(hashed.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")))
     repeats = small(heads.where("n > 1").select("h", "first"))
-    levels = _frequency_classes(docs)
-
     marked = _lines(docs).withColumn("h", F.xxhash64("line")).join(repeats, "h", "left")
     is_first = F.expr("first IS NULL OR (first.doc <=> doc AND first.line_no = line_no)")
     later = marked.where(~is_first).select("doc", "line_no")
+
     # exploding one entry holds the set: a plain column would be computed anew for each use
-    sets = marked.where(is_first).select("h", F.explode(F.array(_ordered(_words(F.col("line")), levels))).alias("s"))
+    sets = marked.where(is_first).select("h", F.explode(F.array(_shingles(F.col("line")))).alias("s"))
     n = F.size("s")
-    each = sets.select("h", "s", n.alias("n"), F.explode(F.sequence(F.lit(0), F.greatest(prefix(n, p, q) - 2, F.lit(0)))).alias("i"))
-    posted = each.select("h", "n", "i", F.xxhash64(F.get("s", F.col("i")), F.get("s", F.col("i") + 1)).alias("key")).repartition("key")
-    meetings = posted.groupBy("key").agg(F.count("*").alias("met"), F.min("h").alias("x"), F.max("h").alias("y"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("i").alias("least_i"), F.min(F.expr("n - i")).alias("least_rest")).where("met > 1")
+    posted = sets.select("h", n.alias("n"), F.posexplode(F.slice("s", F.lit(1), prefix(n, p, q))).alias("i", "key")).repartition("key")
+    meetings = posted.groupBy("key").agg(F.count("*").alias("met"), F.min("h").alias("x"), F.max("h").alias("y"), F.min("n").alias("low"), F.max("n").alias("high"), F.min(F.expr("n - i")).alias("least_rest")).where("met > 1")
     # two lines: a pair.  More: their rows, by a second read of the same exchange
     # (the further conditions always hold; with them both sides need the same columns, so the exchange is the same)
-    two = meetings.where("met = 2 AND x <> y").where(_reach(p, q, "low", "high", "(low + high)", "least_i", "least_rest")).groupBy("x", "y").agg(F.count("*").alias("n_keys"), F.first(F.expr("low + high")).alias("total"))
-    two = two.select("x", "y", "n_keys", "total", F.lit(None).cast("struct<key:bigint,h:bigint,n:int,i:int>").alias("at"))
-    many = posted.join(meetings.where("met > 2 AND x <= y AND low <= high AND least_i <= least_i + least_rest").select("key").hint("shuffle_hash"), "key")
-    many = many.select(F.lit(None).cast("long").alias("x"), F.lit(None).cast("long").alias("y"), F.lit(None).cast("long").alias("n_keys"), F.lit(None).cast("int").alias("total"), F.struct("key", "h", "n", "i").alias("at"))
-    found = stored(two.union(many))
+    two = meetings.where("met = 2 AND x <> y").where(_reach(p, q, "low", "high", "(low + high)", "least_rest")).select("x", "y").distinct()
+    two = two.select("x", "y", F.lit(None).cast("struct<key:bigint,h:bigint,n:int,i:int>").alias("at"))
+    many = posted.join(meetings.where("met > 2 AND x <= y AND low <= high AND least_rest <= high").select("key").hint("shuffle_hash"), "key")
+    found = stored(two.union(many.select(F.lit(None).cast("long").alias("x"), F.lit(None).cast("long").alias("y"), F.struct("key", "h", "n", "i").alias("at"))))
     release(docs.sparkSession)
-    crowd = found.where("at IS NOT NULL").select("at.*").join(heads.select("h", F.col("first.doc").alias("doc"), F.col("first.line_no").alias("line_no")), "h")
-    by_place = Window.partitionBy("key").orderBy(F.col("doc").asc_nulls_first(), "line_no")
+    near, frequent = _meetings(found.where("at IS NOT NULL").select("at.*"), heads, p, q)
+    frequent = checkpoint(frequent)
+    gone = checkpoint(_later_of_similar(docs, heads, found.where("at IS NULL").select("x", "y").union(near).distinct(), p, q))
+    result = gone
+    # the lines that a pair may still lack: of meetings in which a line stays that is not the first
+    staying = frequent.join(gone, "h", "left_anti").where("h <> lead").select("key").distinct()
+    open_ = checkpoint(frequent.join(staying, "key").select("h").distinct())
+    if open_.limit(1).count():
+        # rare shingles first: the frequent ones of a line are found by a probe of its set, and moved to its end
+        own = small(open_.join(heads, "h").select("h", "first"))
+        words = stored(_first_lines(docs, own).select("h", _shingles(F.col("line")).alias("s")).dropDuplicates(["h"]))
+        often = words.select("h", F.explode("s").alias("key")).join(small(frequent.select("key").distinct()), "key").groupBy("h").agg(F.sort_array(F.collect_list("key")).alias("often"))
+        turned = words.join(often, "h").select("h", F.size("s").alias("n"), F.slice(F.concat(F.array_except("s", "often"), "often"), F.lit(1), prefix(F.size("s"), p, q)).alias("s"))
+        anew = stored(turned.select("h", "n", F.posexplode("s").alias("i", "key")).select("key", "h", "n", "i"))
+        release(docs.sparkSession)
+        near, crowd = _meetings(anew, heads, p, q)
+        more = checkpoint(_later_of_similar(docs, heads, near.distinct().join(gone.withColumnRenamed("h", "x"), "x", "left_anti"), p, q))
+        # what is still large is a family of similar lines, nearly all of them gone by now
+        result = checkpoint(gone.union(more).distinct())
+        placed = checkpoint(crowd)
+        rest = placed.join(result, "h", "left_anti")
+        pairs = rest.alias("x").join(placed.alias("y"), F.expr("x.key = y.key AND y.first < x.first") & _reach_pair(p, q, "x", "y")).select(F.col("x.h").alias("x"), F.col("y.h").alias("y")).distinct()
+        result = result.union(_later_of_similar(docs, heads, checkpoint(pairs), p, q))
+    return later.unionByName(result.distinct().join(heads, "h").select("first.doc", "first.line_no"))
+
+
+def _meetings(rows: DataFrame, heads: DataFrame, p: int, q: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (x later, y earlier) of the lines of each key, and the rows of large keys with their places and first line; of those only neighbours and the first are paired."""
+    by_place = Window.partitionBy("key").orderBy("first")
     line = F.struct("h", "n", "i")
-    before = crowd.select(line.alias("x"), F.count("*").over(Window.partitionBy("key")).alias("met"), F.array(*[F.lag(line, k).over(by_place) for k in range(1, LOOK_BACK + 1)]).alias("ys"))
-    before = before.select("x", (F.col("met") > LOOK_BACK + 1).alias("large"), F.explode(F.when(F.col("met") <= LOOK_BACK + 1, F.col("ys")).otherwise(F.slice("ys", 1, 1))).alias("y"))
-    before = before.where(F.col("y").isNotNull() & _reach_pair(p, q, "x", "y"))
-    near = before.select(F.expr("least(x.h, y.h)").alias("x"), F.expr("greatest(x.h, y.h)").alias("y"), (~F.col("large")).cast("long").alias("n_keys"), F.expr("x.n + y.n").alias("total"))
-    counted = found.where("at IS NULL").select("x", "y", "n_keys", "total").union(near).groupBy("x", "y").agg(F.sum("n_keys").alias("n_keys"), F.first("total").alias("total"))
-    # large meetings are not counted pair by pair: two lines that are both in some may share more pairs than were seen
-    large = crowd.groupBy("key").count().where(F.col("count") > LOOK_BACK + 1).select("key")
-    crowd = checkpoint(crowd.join(large, "key"))
-    in_large = small(crowd.select("h").distinct())
-    counted = counted.join(in_large.withColumnsRenamed({"h": "x"}).withColumn("x_large", F.lit(True)), "x", "left").join(in_large.withColumnsRenamed({"h": "y"}).withColumn("y_large", F.lit(True)), "y", "left")
-    counted = checkpoint(counted.where(F.col("x_large") & F.col("y_large") | (F.col("n_keys") >= _shared_least(p, q, "total"))).select("x", "y", "n_keys"))
-    pairs = counted.select("x", "y")
-
-    def gone_by(pairs: DataFrame) -> DataFrame:
-        """(h) of the later line of every pair that is similar, by its words."""
-        wanted = pairs.select(F.col("x").alias("h")).union(pairs.select("y")).distinct()
-        own = small(wanted.join(heads, "h").select("h", "first"))
-        words = stored(_lines(docs).withColumn("h", F.xxhash64("line")).join(own, "h").where("first.doc <=> doc AND first.line_no = line_no").select("h", "first", _ordered(_words(F.col("line")), levels).alias("s")))
-        a, b = words.select(F.col("h").alias("x"), F.col("first").alias("fx"), F.col("s").alias("sx")), words.select(F.col("h").alias("y"), F.col("first").alias("fy"), F.col("s").alias("sy"))
-        both = pairs.join(a, "x").join(b, "y").select("x", "y", "fx", "fy", F.size("sx").alias("n"), F.size("sy").alias("m"), F.size(F.array_intersect("sx", "sy")).alias("o"))
-        similar = both.where(F.lit(q) * F.col("o") >= F.lit(p) * (F.col("n") + F.col("m") - F.col("o")))
-        return similar.select(F.when(F.expr("fx > fy"), F.col("x")).otherwise(F.col("y")).alias("h")).distinct()
-
-    gone = checkpoint(gone_by(pairs))
-    # large meetings: a line that is still there is held against every earlier one
-    rest = checkpoint(crowd.join(gone, "h", "left_anti"))
-    earlier = F.expr("y.key = x.key AND (y.doc < x.doc OR (y.doc IS NULL AND x.doc IS NOT NULL) OR (y.doc <=> x.doc AND y.line_no < x.line_no))")
-    more = rest.alias("x").join(crowd.alias("y"), earlier & _reach_pair(p, q, "x", "y")).select(F.expr("least(x.h, y.h)").alias("x"), F.expr("greatest(x.h, y.h)").alias("y"), F.expr("x.n + y.n").alias("total"))
-    more = more.groupBy("x", "y").agg(F.count("*").alias("n_large"), F.first("total").alias("total")).join(counted, ["x", "y"], "left")
-    more = checkpoint(more.where((F.col("n_large") + F.coalesce("n_keys", F.lit(0))) >= _shared_least(p, q, "total")).select("x", "y"))
-    if more.limit(1).count():
-        gone = gone.union(gone_by(more))
-    return later.unionByName(gone.distinct().join(heads, "h").select("first.doc", "first.line_no"))
+    placed = rows.join(heads.select("h", "first"), "h")
+    counted = placed.select("key", "h", "n", "i", "first", line.alias("x"), F.count("*").over(Window.partitionBy("key")).alias("met"), F.first(line).over(by_place).alias("lead"), F.array(*[F.lag(line, k).over(by_place) for k in range(1, LOOK_BACK + 1)]).alias("ys")).where("met > 1")
+    others = F.when(F.col("met") <= LOOK_BACK + 1, F.col("ys")).otherwise(F.array(F.get("ys", F.lit(0)), F.col("lead")))
+    before = counted.select("x", F.explode(others).alias("y")).where("y.h <> x.h")
+    near = before.where(F.col("y").isNotNull() & _reach_pair(p, q, "x", "y")).select(F.col("x.h").alias("x"), F.col("y.h").alias("y"))
+    return near, counted.where(F.col("met") > LOOK_BACK + 1).select("key", "h", "n", "i", "first", F.col("lead.h").alias("lead"))
+
+
+def _first_lines(docs: DataFrame, own: DataFrame) -> DataFrame:
+    """The first lines with the hashes in ``own`` (h, first), once each per row of their document."""
+    return _lines(docs).withColumn("h", F.xxhash64("line")).join(own, "h").where("first.doc <=> doc AND first.line_no = line_no")
+
+
+def _later_of_similar(docs: DataFrame, heads: DataFrame, pairs: DataFrame, p: int, q: int) -> DataFrame:
+    """(h) of the later line of every pair (x, y) that is similar."""
+    pairs = checkpoint(pairs)
+    wanted = pairs.select(F.col("x").alias("h")).union(pairs.select("y")).distinct()
+    own = small(wanted.join(heads, "h").select("h", "first"))
+    sets = stored(_first_lines(docs, own).select("h", "first", _shingles(F.col("line")).alias("s")))
+    a, b = sets.select(F.col("h").alias("x"), F.col("first").alias("fx"), F.col("s").alias("sx")), sets.select(F.col("h").alias("y"), F.col("first").alias("fy"), F.col("s").alias("sy"))
+    both = pairs.join(a, "x").join(b, "y").select("x", "y", "fx", "fy", F.size("sx").alias("n"), F.size("sy").alias("m"), F.size(F.array_intersect("sx", "sy")).alias("o"))
+    similar = both.where(F.lit(q) * F.col("o") >= F.lit(p) * (F.col("n") + F.col("m") - F.col("o")))
+    return similar.select(F.when(F.expr("fx > fy"), F.col("x")).otherwise(F.col("y")).alias("h")).distinct()
 
 
 def dedup(docs: DataFrame, p: int = 4, q: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -55,7 +55,8 @@ SELECT page_id, strlen(p.t)::BIGINT AS payload_bytes, sha256(p.t) AS payload_dig
 
 OP6 = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents WHERE text IS NOT NULL),
-e AS (SELECT *, list_distinct(regexp_extract_all(lower(line), '[^ \t\x0B\f\r]+')) AS ws FROM l),
+z AS (SELECT *, regexp_extract_all(lower(line), '[^ \t\x0B\f\r]+') AS w FROM l),
+e AS (SELECT doc_id, line, line_no, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) END AS ws FROM z),
 s AS (SELECT *, row_number() OVER (ORDER BY doc_id, line_no) AS id FROM e WHERE len(ws) > 0),
 f AS (SELECT w, count(*) AS c FROM (SELECT unnest(ws) AS w FROM s) GROUP BY w),
 o AS (SELECT id, n, w, row_number() OVER (PARTITION BY id ORDER BY c, w) AS r FROM (SELECT id, len(ws) AS n, unnest(ws) AS w FROM s) JOIN f USING (w)),
