@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import text_kernels as tk
 from .fm_index import FMIndex
 
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 4 << 20
 PART_BYTES = 16 << 20
 MAX_BYTES = 256 << 20
 

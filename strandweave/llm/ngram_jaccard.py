@@ -257,6 +257,7 @@ def _candidate_pairs(docs: DataFrame, bands: Bands, n: int, n_shingles: int) ->
             by = np.lexsort(pairs.T)
             pairs = pairs[by]
             pairs = pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)])]
+        tk.trim()
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
     packed = docs.select("text").mapInArrow(emit, "bucket bigint, hashes binary, nodes binary")
@@ -273,6 +274,7 @@ def _link_large(members: DataFrame, bands: Bands, group_bytes: int) -> DataFrame
         sides = table.column("side").to_numpy() if len(set(table.column("side").to_pylist())) > 1 else None
         found = Linker(bands, _sets(table, rows), table.column("label").to_numpy(), sides).run()
         a, b = (nodes[found.order[[x[k] for x in found.links]]] if found.links else np.zeros(0, np.int64) for k in (0, 1))
+        tk.trim()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     n_blocks = F.ceil(F.col("grp_bytes") / F.lit(group_bytes / 2)).cast("long")
@@ -355,6 +357,7 @@ def components(docs: DataFrame, n: int = 5, p: int = 4, q: int = 5, id_col: str
                     lowest[label] = rep
             nodes += own[at].tolist()
             names += [lowest[x] for x in labels.tolist()]
+        tk.trim()
         return pa.table({"node": pa.array(nodes, pa.int64()), "component_id": pa.array(names, table.schema.field("rep").type)})
 
     total = wanted.agg(F.sum(F.col("n") * 8), F.max("grp_bytes")).first()
