@@ -1,7 +1,7 @@
 """Line dedup by an exact set-similarity join, in DataFrame operations alone.
 
-A line is the set of its five-word shingles, lower-cased; a line of fewer
-words is one shingle.  It is removed if an earlier line, by document id and
+A line is the set of its shingles of ``shingle`` words (five; with one, the set
+of its words), lower-cased; a line of fewer words is one shingle.  It is removed if an earlier line, by document id and
 line number, has a Jaccard similarity of at least ``p / q`` with it; whether
 that line goes itself does not matter.
 
@@ -42,7 +42,7 @@ BLANKS = " \t\u000b\f\r"
 BLANK_RUN = "[ \\t\\x0B\\f\\r]+"
 
 
-def _shingles(line: Column, k: int = SHINGLE) -> Column:
+def _shingles(line: Column, k: int) -> Column:
     """Hashes of the k-word shingles of a line, distinct, in order."""
     words = F.split(F.trim(F.lower(line), F.lit(BLANKS)), BLANK_RUN)
     # the words are held by a lambda: a plain expression would be computed anew for each shingle
@@ -70,7 +70,7 @@ def _reach_pair(p: int, q: int, x: str, y: str) -> Column:
     return _reach(p, q, f"least({x}.n, {y}.n)", f"greatest({x}.n, {y}.n)", f"({x}.n + {y}.n)", f"least({x}.n - {x}.i, {y}.n - {y}.i)")
 
 
-def repeated_lines(docs: DataFrame, p: int = 4, q: int = 5) -> DataFrame:
+def repeated_lines(docs: DataFrame, p: int = 4, q: int = 5, shingle: int = SHINGLE) -> DataFrame:
     """(doc, line_no) of the lines to remove; ``docs`` has (doc, text)."""
     if not 0 < p < q:
         raise ValueError("the threshold must be more than 0 and less than 1")
@@ -83,7 +83,7 @@ def repeated_lines(docs: DataFrame, p: int = 4, q: int = 5) -> DataFrame:
     later = marked.where(~is_first).select("doc", "line_no")
 
     # exploding one entry holds the set: a plain column would be computed anew for each use
-    sets = marked.where(is_first).select("h", F.explode(F.array(_shingles(F.col("line")))).alias("s"))
+    sets = marked.where(is_first).select("h", F.explode(F.array(_shingles(F.col("line"), shingle))).alias("s"))
     n = F.size("s")
     posted = sets.select("h", n.alias("n"), F.posexplode(F.slice("s", F.lit(1), prefix(n, p, q))).alias("i", "key")).repartition("key")
     meetings = posted.groupBy("key").agg(F.count("*").alias("met"), F.min("h").alias("x"), F.max("h").alias("y"), F.min("n").alias("low"), F.max("n").alias("high"), F.min(F.expr("n - i")).alias("least_rest")).where("met > 1")
@@ -96,7 +96,7 @@ def repeated_lines(docs: DataFrame, p: int = 4, q: int = 5) -> DataFrame:
     release(docs.sparkSession)
     near, frequent = _meetings(found.where("at IS NOT NULL").select("at.*"), heads, p, q)
     frequent = checkpoint(frequent)
-    gone = checkpoint(_later_of_similar(docs, heads, found.where("at IS NULL").select("x", "y").union(near).distinct(), p, q))
+    gone = checkpoint(_later_of_similar(docs, heads, found.where("at IS NULL").select("x", "y").union(near).distinct(), p, q, shingle))
     result = gone
     # the lines that a pair may still lack: of meetings in which a line stays that is not the first
     staying = frequent.join(gone, "h", "left_anti").where("h <> lead").select("key").distinct()
@@ -104,19 +104,19 @@ def repeated_lines(docs: DataFrame, p: int = 4, q: int = 5) -> DataFrame:
     if open_.limit(1).count():
         # rare shingles first: the frequent ones of a line are found by a probe of its set, and moved to its end
         own = small(open_.join(heads, "h").select("h", "first"))
-        words = stored(_first_lines(docs, own).select("h", _shingles(F.col("line")).alias("s")).dropDuplicates(["h"]))
+        words = stored(_first_lines(docs, own).select("h", _shingles(F.col("line"), shingle).alias("s")).dropDuplicates(["h"]))
         often = words.select("h", F.explode("s").alias("key")).join(small(frequent.select("key").distinct()), "key").groupBy("h").agg(F.sort_array(F.collect_list("key")).alias("often"))
         turned = words.join(often, "h").select("h", F.size("s").alias("n"), F.slice(F.concat(F.array_except("s", "often"), "often"), F.lit(1), prefix(F.size("s"), p, q)).alias("s"))
         anew = stored(turned.select("h", "n", F.posexplode("s").alias("i", "key")).select("key", "h", "n", "i"))
         release(docs.sparkSession)
         near, crowd = _meetings(anew, heads, p, q)
-        more = checkpoint(_later_of_similar(docs, heads, near.distinct().join(gone.withColumnRenamed("h", "x"), "x", "left_anti"), p, q))
+        more = checkpoint(_later_of_similar(docs, heads, near.distinct().join(gone.withColumnRenamed("h", "x"), "x", "left_anti"), p, q, shingle))
         # what is still large is a family of similar lines, nearly all of them gone by now
         result = checkpoint(gone.union(more).distinct())
         placed = checkpoint(crowd)
         rest = placed.join(result, "h", "left_anti")
         pairs = rest.alias("x").join(placed.alias("y"), F.expr("x.key = y.key AND y.first < x.first") & _reach_pair(p, q, "x", "y")).select(F.col("x.h").alias("x"), F.col("y.h").alias("y")).distinct()
-        result = result.union(_later_of_similar(docs, heads, checkpoint(pairs), p, q))
+        result = result.union(_later_of_similar(docs, heads, checkpoint(pairs), p, q, shingle))
     return later.unionByName(result.distinct().join(heads, "h").select("first.doc", "first.line_no"))
 
 
@@ -137,22 +137,22 @@ def _first_lines(docs: DataFrame, own: DataFrame) -> DataFrame:
     return _lines(docs).withColumn("h", F.xxhash64("line")).join(own, "h").where("first.doc <=> doc AND first.line_no = line_no")
 
 
-def _later_of_similar(docs: DataFrame, heads: DataFrame, pairs: DataFrame, p: int, q: int) -> DataFrame:
+def _later_of_similar(docs: DataFrame, heads: DataFrame, pairs: DataFrame, p: int, q: int, shingle: int) -> DataFrame:
     """(h) of the later line of every pair (x, y) that is similar."""
     pairs = checkpoint(pairs)
     wanted = pairs.select(F.col("x").alias("h")).union(pairs.select("y")).distinct()
     own = small(wanted.join(heads, "h").select("h", "first"))
-    sets = stored(_first_lines(docs, own).select("h", "first", _shingles(F.col("line")).alias("s")))
+    sets = stored(_first_lines(docs, own).select("h", "first", _shingles(F.col("line"), shingle).alias("s")))
     a, b = sets.select(F.col("h").alias("x"), F.col("first").alias("fx"), F.col("s").alias("sx")), sets.select(F.col("h").alias("y"), F.col("first").alias("fy"), F.col("s").alias("sy"))
     both = pairs.join(a, "x").join(b, "y").select("x", "y", "fx", "fy", F.size("sx").alias("n"), F.size("sy").alias("m"), F.size(F.array_intersect("sx", "sy")).alias("o"))
     similar = both.where(F.lit(q) * F.col("o") >= F.lit(p) * (F.col("n") + F.col("m") - F.col("o")))
     return similar.select(F.when(F.expr("fx > fy"), F.col("x")).otherwise(F.col("y")).alias("h")).distinct()
 
 
-def dedup(docs: DataFrame, p: int = 4, q: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, p: int = 4, q: int = 5, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with later similar lines removed from the text, and n_lines_removed."""
     plain = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    removed = repeated_lines(plain, p, q)
+    removed = repeated_lines(plain, p, q, shingle)
     per_doc = removed.groupBy("doc").agg(F.collect_set("line_no").alias("removed_"))
     per_doc = small(checkpoint(per_doc), 500_000)
     joined = docs.alias("d").join(per_doc.alias("r"), F.expr(f"d.`{id_col}` <=> r.doc"), "left")

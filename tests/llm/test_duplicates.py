@@ -146,6 +146,28 @@ def test_line_dedup_of_repeated_and_null_ids(spark):
         line_dedup.dedup(rows, 1, 1)
 
 
+@pytest.mark.parametrize("look_back", [6, 1])
+def test_line_dedup_on_word_sets(spark, monkeypatch, look_back):
+    monkeypatch.setattr(line_dedup, "LOOK_BACK", look_back)
+    rng = random.Random(7)
+    base = [[rng.choice("abcdefgh") + str(rng.randrange(9)) for _ in range(rng.choice([1, 3, 5, 9, 10, 14, 25]))] for _ in range(30)]
+    lines, docs, before = [], {}, []
+    for _ in range(250):
+        words = list(rng.choice(base))
+        if rng.random() < 0.5:
+            words[rng.randrange(len(words))] = "m" + str(rng.randrange(99))
+        lines.append(" ".join(words))
+    for k in range(0, 250, 5):
+        kept = []
+        for line in lines[k:k + 5]:
+            s = set(line.split())
+            kept += [] if any(5 * len(s & y) >= 4 * len(s | y) for y in before) else [line]
+            before.append(s)
+        docs[k] = ("\n".join(kept), 5 - len(kept))
+    rows = spark.createDataFrame([(k, "\n".join(lines[k:k + 5])) for k in docs], "doc_id long, text string").repartition(3)
+    assert {r.doc_id: (r.text, r.n_lines_removed) for r in line_dedup.dedup(rows, shingle=1).collect()} == docs
+
+
 def test_fm_index():
     import numpy as np
 
