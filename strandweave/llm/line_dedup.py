@@ -22,9 +22,10 @@ that line goes itself does not matter.
 5. *Verification* on the sets; the later line of a similar pair is removed.
 
 Defined results: null texts stay null and have no lines; a line without words
-is never removed and matches nothing; rows that repeat an id are one document
-and lose the same lines; rows with a null id come first, as one too; extra columns
-stay as they are, whatever their names; an empty table gives an empty result.
+is never removed and matches nothing; every row is a document of its own, rows
+with a null id come first, and rows of equal ids are ordered by a hash of their
+texts; extra columns stay as they are, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -71,7 +72,7 @@ def _reach_pair(p: int, q: int, x: str, y: str) -> Column:
 
 
 def repeated_lines(docs: DataFrame, p: int = 4, q: int = 5, shingle: int = SHINGLE) -> DataFrame:
-    """(doc, line_no) of the lines to remove; ``docs`` has (doc, text)."""
+    """(doc, line_no) of the lines to remove; ``docs`` has (doc, text), each doc once."""
     if not 0 < p < q:
         raise ValueError("the threshold must be more than 0 and less than 1")
     place = F.struct("doc", "line_no")
@@ -149,15 +150,31 @@ def _later_of_similar(docs: DataFrame, heads: DataFrame, pairs: DataFrame, p: in
     return similar.select(F.when(F.expr("fx > fy"), F.col("x")).otherwise(F.col("y")).alias("h")).distinct()
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, doc, text): the rows as structs, each with a key of its own that sorts by id.
+
+    The id alone where none is null or repeated; else rows with a null or
+    repeated id have their text's hash and a number besides, held by a checkpoint.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    repeated = checkpoint(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 OR id IS NULL").select("id"))
+    if not repeated.limit(1).count():
+        return rows.select("row", F.col("id").alias("doc"), "text")
+    marked = rows.alias("a").join(small(repeated.select("id", F.lit(True).alias("odd"))).alias("b"), F.expr("a.id <=> b.id"), "left").select("row", "a.id", "text", F.expr("odd IS NOT NULL").alias("odd"))
+    none = F.lit(None).cast("long")
+    plain = marked.where("NOT odd").select("row", F.struct("id", none.alias("h"), none.alias("k")).alias("doc"), "text")
+    odd = checkpoint(marked.where("odd").select("row", F.struct("id", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("k")).alias("doc"), "text"))
+    return plain.unionByName(odd)
+
+
 def dedup(docs: DataFrame, p: int = 4, q: int = 5, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with later similar lines removed from the text, and n_lines_removed."""
-    plain = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    removed = repeated_lines(plain, p, q, shingle)
+    rows = _keyed(docs, id_col, text_col)
+    removed = repeated_lines(rows.select("doc", "text"), p, q, shingle)
     per_doc = removed.groupBy("doc").agg(F.collect_set("line_no").alias("removed_"))
     per_doc = small(checkpoint(per_doc), 500_000)
-    joined = docs.alias("d").join(per_doc.alias("r"), F.expr(f"d.`{id_col}` <=> r.doc"), "left")
-    split = F.split(F.col(f"d.`{text_col}`").cast("string"), "\n", -1)
-    kept = F.array_join(F.filter(split, lambda line, k: ~F.array_contains("r.removed_", k)), "\n")
-    text = F.when(F.col("r.removed_").isNull(), F.col(f"d.`{text_col}`").cast("string")).otherwise(kept)
-    own = [text.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns]
+    joined = rows.alias("d").join(per_doc.alias("r"), F.expr("d.doc <=> r.doc"), "left")
+    kept = F.array_join(F.filter(F.split("d.text", "\n", -1), lambda line, k: ~F.array_contains("r.removed_", k)), "\n")
+    text = F.when(F.col("r.removed_").isNull(), F.col("d.text")).otherwise(kept)
+    own = [text.alias(c) if c == text_col else F.col(f"d.row.`{c}`").alias(c) for c in docs.columns]
     return joined.select(*own, F.coalesce(F.size("r.removed_"), F.lit(0)).alias("n_lines_removed"))

@@ -146,6 +146,21 @@ def test_line_dedup_of_repeated_and_null_ids(spark):
         line_dedup.dedup(rows, 1, 1)
 
 
+def test_line_dedup_judges_each_row_of_null_and_repeated_ids(spark):
+    texts = ["x\ny", "z\nx", "first\nx", "first\nv\ny", "u\nt", "u\nt"]
+    docs = [(d, t) for d in (None, 7) for t in [*texts, f"own of {d}\nfirst"]] + [(8, "t\nw")]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    hashes = {r.text: r.h for r in rows.select("text", F.xxhash64("text").alias("h")).collect()}
+    before, want = set(), []
+    for d, t in sorted(docs, key=lambda x: (x[0] is not None, x[0] or 0, hashes[x[1]])):
+        kept = [line for line in t.split("\n") if line not in before]
+        want.append((repr(d), "\n".join(kept), len(t.split("\n")) - len(kept)))
+        before |= set(t.split("\n"))
+    got = line_dedup.dedup(rows).collect()
+    assert sorted((repr(r.doc_id), r.text, r.n_lines_removed) for r in got) == sorted(want)
+    assert sorted(line for r in got if r.text for line in r.text.split("\n")) == sorted(before)
+
+
 @pytest.mark.parametrize("look_back", [6, 1])
 def test_line_dedup_on_word_sets(spark, monkeypatch, look_back):
     monkeypatch.setattr(line_dedup, "LOOK_BACK", look_back)
