@@ -116,7 +116,7 @@ def rule_routing(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def prompt_build(spark: SparkSession, d: str) -> DataFrame:
     rows = _asked(spark, d)
-    lines = F.split(F.left("text", F.lit(200)), r"\. ")
+    lines = F.split("text", r"\. ")
     return rows.select("conv_id", "turn", templates.prompt(F.col("template"), F.lit(1.0), F.lit(2.5), lines).alias("prompt"), templates.grammar_of(F.col("template")).alias("grammar"))
 
 

@@ -4,6 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from conftest import DATA
 from strandweave.functions import intervals as iv
 from strandweave.functions import templates, texts
 from strandweave.operators import cleaning, joins, merge, planning, sampling, stats, windows
@@ -132,3 +133,12 @@ def test_shards_have_a_fixed_number_of_rows(spark):
 def test_first_of_null_keys(spark):
     rows = spark.createDataFrame([(1, None), (2, None), (3, "a")], "k int, v string")
     assert joins.null_safe_anti(rows, spark.createDataFrame([(None,)], "v string"), ["v"]).collect() == [(3, "a")]
+
+
+def test_prompts_are_built_from_whole_texts(spark):
+    from strandweave.plans import registry
+
+    texts = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{DATA}/sf0.001/conversations.parquet").collect()}
+    long = {k for k, t in texts.items() if len(t) > 250 and "#" not in t}
+    got = {(r.conv_id, r.turn): r.prompt for r in registry.queries()["prompt_build"](spark, f"{DATA}/sf0.001").collect()}
+    assert long and all(texts[k].split(". ")[-1].strip() in got[k] for k in long)
