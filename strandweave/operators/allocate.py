@@ -1,15 +1,18 @@
 """Allocation of anchors and fills to clips, in rounds instead of one by one.
 
-Each round: (a) every cell with quota left gets as many anchors, rank to rank
-between hashed reference queries and hashed unused events; (b) clips are
-solved and checked as columns; (c) fills from the same band of clip lengths
-are placed clip by clip, without overlaps; (d) an event that two clips want
-goes to the clip of the smaller rank; (e) used events join the ledger.  Rounds
-end when nothing was placed.
+Each round: (a) in every cell with quota left as many hashed unused events try
+references that they are long enough for, some in turn; (b) clips are solved
+and checked as columns, the first that fits makes the event an anchor, and one
+that overruns its video before uses the event up; (c) fills from the same band
+of clip lengths are placed clip by clip, without overlaps; (d) an event that two
+clips want goes to the clip of the smaller rank; (e) placed and overrunning
+events join the ledger, all others stay open.  After a round without either, every open
+event tries, whatever its quota; rounds end when that changes nothing too.
 """
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -45,38 +48,53 @@ def _place(frame: pd.DataFrame, tol: float, most: int) -> pd.DataFrame:
     return frame.loc[keep]
 
 
-def allocate(references: DataFrame, events: DataFrame, video_end: DataFrame, plan: DataFrame, config: PlanConfig = PlanConfig(), most_rounds: int = 8, fills_per_clip: int = 20, seed: int = 42) -> DataFrame:
+def allocate(references: DataFrame, events: DataFrame, video_end: DataFrame, plan: DataFrame, config: PlanConfig = PlanConfig(), most_rounds: int | None = None, fills_per_clip: int = 20, seed: int = 42, tries: int = 16) -> DataFrame:
     """Rows of CLIP: placed queries.
 
     references: (ref_id, template, bucket_lo, d, qs_rel, d_rel, clen); events:
     (event_id, video_uid, cs, ce, template, bucket_lo); video_end: (video_uid,
-    max_ts); plan: (template, bucket_lo, target).
+    max_ts); plan: (template, bucket_lo, target).  An event tries ``tries``
+    references a round; there is no bound of rounds unless ``most_rounds`` is given.
     """
     spark = events.sparkSession
     cell = ["template", "bucket_lo"]
     refs = _checkpoint(references.where((F.col("d") >= config.least_query) & (F.col("d_rel") > 0)))
-    free = _checkpoint(events.join(video_end, "video_uid").withColumn("len", F.col("ce") - F.col("cs")))
+    # an event is long enough for the first n_fit references of its cell, by length
+    timed = events.join(video_end, "video_uid").withColumn("len", F.col("ce") - F.col("cs"))
+    steps = refs.groupBy(*cell, F.col("d").alias("len")).agg(F.count("*").alias("n")).select(*cell, "len", F.sum("n").over(Window.partitionBy(*cell).orderBy("len")).alias("n_fit"), F.lit(None).cast("long").alias("event_id"))
+    before = Window.partitionBy(*cell).orderBy("len", F.col("event_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    fit = steps.unionByName(timed.select(*cell, "len", F.lit(None).cast("long").alias("n_fit"), "event_id")).withColumn("n_fit", F.coalesce(F.max("n_fit").over(before), F.lit(0))).where("event_id IS NOT NULL").select("event_id", "n_fit")
+    free = _checkpoint(timed.join(fit, "event_id"))
     placed = spark.createDataFrame([], CLIP)
     ledger = spark.createDataFrame([], "event_id long")
-    ref_rank = F.row_number().over(Window.partitionBy(*cell).orderBy(order_key("ref_id", seed=seed), "ref_id"))
-    sizes = refs.groupBy(*cell).agg(F.count("*").alias("n_refs"))
-    ranked_refs = refs.withColumn("k", ref_rank - 1).join(sizes, cell)
-    for turn in range(most_rounds):
+    ref_rank = F.row_number().over(Window.partitionBy(*cell).orderBy("d", order_key("ref_id", seed=seed), "ref_id"))
+    ranked_refs = refs.withColumn("k", ref_rank - 1)
+    everyone = False
+    for turn in itertools.count() if most_rounds is None else range(most_rounds):
         done = placed.groupBy(*cell).agg(F.count("*").alias("placed"))
         left = plan.join(done, cell, "left").withColumn("left", F.col("target") - F.coalesce("placed", F.lit(0))).where("left > 0").select(*cell, "left")
-        open_events = free.join(ledger.distinct(), "event_id", "left_anti")
+        open_events = free.where("n_fit > 0").join(ledger.distinct(), "event_id", "left_anti")
         rank = F.row_number().over(Window.partitionBy(*cell).orderBy(order_key("event_id", seed=seed + turn), "event_id"))
-        chosen = open_events.withColumn("r", rank).join(left, cell).where(F.col("r") <= F.col("left")).join(sizes, cell).withColumn("k", F.pmod(F.col("r") - 1 + turn, F.col("n_refs"))).drop("n_refs")
-        pairs = chosen.join(ranked_refs.select(*cell, "k", "ref_id", "d", "qs_rel", "d_rel", "clen"), [*cell, "k"]).where(F.col("len") >= F.col("d"))
+        chosen = open_events.withColumn("r", rank).join(left, cell).where(F.lit(everyone) | (F.col("r") <= F.col("left")))
+        chosen = chosen.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).withColumn("k", F.pmod(F.xxhash64("event_id", "try", F.lit(seed + turn)), F.col("n_fit")))
+        pairs = chosen.join(ranked_refs.select(*cell, "k", "ref_id", "d", "qs_rel", "d_rel", "clen"), [*cell, "k"])
         part = pairs.withColumn("q", anchor_slice(F.col("cs"), F.col("ce"), F.col("d"))).withColumn("c", solved_clip(F.col("q.s"), F.col("q.e") - F.col("q.s"), F.col("qs_rel"), F.col("d_rel")))
-        fits = (F.col("c.cs") >= 0) & (F.col("c.ce") <= F.col("max_ts") + config.eps) & (F.col("q.s") >= F.col("c.cs") - config.eps) & (F.col("q.e") <= F.col("c.ce") + config.eps) & (F.col("q.e") - F.col("q.s") >= config.least_query)
-        anchors = _checkpoint(part.where(fits).select(
+        inside = (F.col("q.s") >= F.col("c.cs") - config.eps) & (F.col("q.e") <= F.col("c.ce") + config.eps) & (F.col("q.e") - F.col("q.s") >= config.least_query)
+        over = F.col("c.ce") > F.col("max_ts") + config.eps
+        first = F.row_number().over(Window.partitionBy("event_id").orderBy("try"))
+        tried = _checkpoint(part.where(inside & (over | (F.col("c.cs") >= 0))).withColumn("over", over).withColumn("nth", first).where("nth = 1").withColumn("nth", F.row_number().over(Window.partitionBy(*cell).orderBy("r"))).where(F.col("nth") <= F.col("left")))
+        if not tried.limit(1).count():
+            if everyone:
+                break
+            everyone = True
+            continue
+        everyone = False
+        anchors = _checkpoint(tried.where("NOT over").select(
             F.concat(F.lit(f"{turn}-"), F.col("event_id").cast("string")).alias("clip_id"), F.col("event_id").alias("rank"), "video_uid", F.col("c.cs").alias("clip_cs"), F.col("c.ce").alias("clip_ce"), F.col("c.length").alias("length"),
             "event_id", F.lit("a").alias("role"), *cell, F.col("q.s").alias("qs"), F.col("q.e").alias("qe"), "ref_id",
         ))
-        # events tried in vain are not tried again
-        tried = chosen.select("event_id")
-        ledger_now = ledger.union(tried)
+        # every anchor is placed; an event whose clip overruns is not tried again
+        ledger_now = ledger.union(tried.select("event_id"))
         # fills: references of the same length of clip, at their own relative place
         near = band_join(anchors.select("clip_id", "rank", "video_uid", "clip_cs", "clip_ce", "length", "ref_id"), refs.select(F.col("ref_id").alias("fill_ref"), *cell, "d", F.col("qs_rel").alias("f_rel"), F.col("d_rel").alias("f_d"), "clen"), "length", "clen", config.clip_tolerance).where("ref_id <> fill_ref")
         near = near.withColumn("qs", F.col("clip_cs") + F.col("f_rel") * F.col("length")).withColumn("qe", F.col("qs") + F.col("f_d") * F.col("length"))
@@ -92,8 +110,6 @@ def allocate(references: DataFrame, events: DataFrame, video_end: DataFrame, pla
         every = anchors.withColumn("order", F.lit(0)).select(*fills.columns).unionByName(fills)
         schema = every.schema
         done_now = _checkpoint(every.groupBy("clip_id").applyInPandas(lambda f: _place(f, config.eps, config.most_queries), schema).drop("order"))
-        if not done_now.limit(1).count():
-            break
         placed = _checkpoint(placed.unionByName(done_now.select(*placed.columns)))
         ledger = _checkpoint(ledger_now.union(done_now.select("event_id")).distinct())
     return placed

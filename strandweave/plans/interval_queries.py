@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..config import PlanConfig
 from ..functions import intervals as iv
 from ..operators import joins, windows
 from ..sources.tables import narrations, table
@@ -316,7 +317,7 @@ def ecdf(spark: SparkSession, d: str) -> DataFrame:
     return windows.ecdf(rows, "d", ["template"]).select("uid", "ecdf")
 
 
-def allocation(spark: SparkSession, d: str) -> DataFrame:
+def allocation(spark: SparkSession, d: str, total: int = 200) -> DataFrame:
     """Anchors and fills for catalogue events, against the stream's own intervals as references."""
     from ..operators.allocate import allocate
     from ..operators.planning import apportioned, joint_counts
@@ -327,13 +328,13 @@ def allocation(spark: SparkSession, d: str) -> DataFrame:
     refs = refs.withColumn("clen", F.col("d") / F.col("d_rel"))
     events = n.where((uid % 3 != 0) & (F.col("d") < 60)).select(uid.alias("event_id"), "video_uid", F.col("timestamp_sec").alias("cs"), (F.col("timestamp_sec") + F.col("d")).alias("ce"), "template", "bucket_lo")
     ends = n.groupBy("video_uid").agg((F.max("timestamp_sec") + 600).alias("max_ts"))
-    plan = apportioned(joint_counts(n.where("d < 60"), "template"), ["template", "bucket_lo"], 200)
-    return allocate(refs, events, ends, plan.select("template", "bucket_lo", "target"), most_rounds=3)
+    plan = apportioned(joint_counts(n.where("d < 60"), "template"), ["template", "bucket_lo"], total)
+    return allocate(refs, events, ends, plan.select("template", "bucket_lo", "target"))
 
 
 @query()
 def allocate(spark: SparkSession, d: str) -> DataFrame:
-    return allocation(spark, d)
+    return allocation(spark, d, PlanConfig().final_target)
 
 
 @query("""SELECT e.user_id AS video_uid, count(*) AS n FROM events e WHERE NOT EXISTS (SELECT 1 FROM events k WHERE k.event_id % 3 = 0 AND k.user_id = e.user_id AND k.event_type = e.event_type AND k.value IS NOT DISTINCT FROM e.value AND k.ts = e.ts) GROUP BY e.user_id""")

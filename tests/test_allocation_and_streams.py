@@ -7,7 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import DATA
+from strandweave.config import PlanConfig
 from strandweave.operators import windows
+from strandweave.operators.allocate import allocate
+from strandweave.plans import interval_queries
 from strandweave.plans.interval_queries import allocation
 from strandweave.sources.tables import hours, narrations
 from strandweave.streaming import streams
@@ -49,6 +52,36 @@ def test_anchors_keep_to_the_plan(placed):
     assert len(anchors) <= 200 and anchors.clip_id.is_unique
 
 
+def _allocate(spark, refs, events, target):
+    cell = {"template": "t", "bucket_lo": 0.0}
+    rows = lambda table: spark.createDataFrame([{**cell, **r} for r in table])
+    return allocate(
+        rows({"ref_id": k, "d": d, "qs_rel": s, "d_rel": 0.5, "clen": 2 * d} for k, (d, s) in enumerate(refs)),
+        rows({"event_id": k, "video_uid": 1, "cs": float(cs), "ce": float(ce)} for k, (cs, ce) in enumerate(events)),
+        spark.createDataFrame([(1, 1000.0)], "video_uid long, max_ts double"), rows([{"target": target}]),
+    ).collect()
+
+
+def test_short_events_are_not_used_up_by_long_references(spark):
+    got = _allocate(spark, [(5.0, 0.0)], [(10 * k, 10 * k + 1) for k in range(60)] + [(700, 706)], 1)
+    assert [(r.event_id, r.role) for r in got] == [(60, "a")]
+
+
+def test_an_event_tries_other_references_while_its_clip_does_not_fit(spark):
+    got = _allocate(spark, [(4.0, 0.4)] * 4 + [(4.0, 0.0)], [(0, 6)], 1)
+    assert [(r.event_id, r.clip_cs) for r in got] == [(0, 0.0)]
+
+
+def test_overrunning_events_do_not_end_the_rounds(spark):
+    got = _allocate(spark, [(5.0, 0.0)], [(998, 1004)] * 12 + [(100, 106)], 1)
+    assert [r.event_id for r in got] == [12]
+
+
+def test_the_registered_allocation_has_the_full_target(spark, monkeypatch):
+    monkeypatch.setattr(interval_queries, "allocation", lambda s, d, total=None: total)
+    assert interval_queries.allocate(spark, FOLDER) == PlanConfig().final_target
+
+
 def _stream(spark, tmp_path, rows):
     rows.repartition(1).write.parquet(str(tmp_path / "in"))
     return streams.file_stream(spark, str(tmp_path / "in"), rows.schema)
