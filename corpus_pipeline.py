@@ -48,9 +48,12 @@ def by_ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def by_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are contaminated by benchmark passages go."""
-    found = decontamination.search(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = checkpoint(found.where(decontamination.contaminated()).select("doc_id").distinct())
-    return docs.join(small(bad), "doc_id", "left_anti").select(*docs.columns)
+    # equal ids and texts have equal verdicts; an id alone may be null or repeated
+    keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("mark")).alias("doc_id"), "text")
+    found = decontamination.search(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = checkpoint(found.where(decontamination.contaminated()).select("doc_id.doc_id", "doc_id.mark").distinct())
+    own = (F.col("d.doc_id").eqNullSafe(F.col("b.doc_id"))) & (F.xxhash64("d.text") == F.col("b.mark"))
+    return docs.alias("d").join(small(bad).alias("b"), own, "left_anti").select(*docs.columns)
 
 
 def by_byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -158,3 +158,12 @@ def test_stages_on_odd_tables(spark):
             got.collect()
     kept = corpus_pipeline.by_ngram_jaccard(spark, odd, "").collect()
     assert sum(r.doc_id == 2 for r in kept) == 1
+
+
+def test_decontamination_judges_rows_of_null_and_repeated_ids(spark):
+    folder = f"{DATA}/sf0.001"
+    item = max((r.text for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()), key=len)
+    schema = spark.read.parquet(f"{folder}/documents.parquet").schema
+    clean = "nothing of a benchmark is here"
+    docs = spark.createDataFrame([(d, t, "en", "s", 9) for d in (None, 4) for t in (item, clean)] + [(5, item, "en", "s", 9)], schema)
+    assert sorted((repr(r.doc_id), r.text) for r in corpus_pipeline.by_decontamination(spark, docs, folder).collect()) == [("4", clean), ("None", clean)]
