@@ -51,7 +51,6 @@ N_CLASSES = 64
 CHUNK = 1 << 18
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _LEFT = np.uint64(0xD1342543DE82EF95)
-_CODEC = "zstd"
 
 
 def size_class(count: np.ndarray) -> np.ndarray:
@@ -74,21 +73,6 @@ def encode_block(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, length
 
 
-def pack(values: np.ndarray, ascending: bool = False) -> bytes:
-    """An array as compressed byte planes; ascending values as differences, whose high planes are nearly empty."""
-    if ascending and len(values):
-        values = np.diff(values, prepend=values[:1] * 0)
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
-    return len(values).to_bytes(8, "little") + pa.Codec(_CODEC, compression_level=1).compress(planes, asbytes=True)
-
-
-def unpack(data: bytes, kind: type, ascending: bool = False) -> np.ndarray:
-    n, size = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
-    planes = pa.Codec(_CODEC).decompress(data[8:], n * size, asbytes=True) if n else b""
-    values = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, n).T).reshape(-1).view(kind)
-    return np.cumsum(values, dtype=kind) if ascending else values
-
-
 class Batch:
     """Texts as numbers of the batch's sorted distinct words."""
 
@@ -99,7 +83,7 @@ class Batch:
 
     @staticmethod
     def of(row: dict) -> "Batch":
-        return Batch(unpack(row["vocabulary"], np.uint64, True), unpack(row["stream"], np.int32), unpack(row["lengths"], np.int32).astype(np.int64), unpack(row["train"], np.uint8) != 0)
+        return Batch(tk.unpack(row["vocabulary"], np.uint64, True), tk.unpack(row["stream"], np.int32), tk.unpack(row["lengths"], np.int32).astype(np.int64), tk.unpack(row["train"], np.uint8) != 0)
 
     def word_counts(self) -> np.ndarray:
         """Training count of each word in the batch."""
@@ -178,7 +162,7 @@ def _encode(docs: DataFrame, train: Column, id_col: str, text_col: str, batch_to
             keys = pa.concat_arrays([b.column(0) for _, _, b in held])
             flags = np.concatenate([b.column(2).to_numpy(zero_copy_only=False) for _, _, b in held]).astype(np.uint8)
             row = [pa.array([number], pa.int64()), pa.array([len(stream)], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)]
-            return pa.RecordBatch.from_arrays([*row, *(pa.array([v], pa.binary()) for v in (pack(flags), pack(lengths.astype(np.int32)), pack(stream.astype(np.int32)), pack(vocabulary, True)))], names=["batch", "n_tokens", "keys", "train", "lengths", "stream", "vocabulary"])
+            return pa.RecordBatch.from_arrays([*row, *(pa.array([v], pa.binary()) for v in (tk.pack(flags), tk.pack(lengths.astype(np.int32)), tk.pack(stream.astype(np.int32)), tk.pack(vocabulary, True)))], names=["batch", "n_tokens", "keys", "train", "lengths", "stream", "vocabulary"])
 
         for block in tk.blocks(batches):
             hashes, lengths = encode_block(block.column(1))
@@ -199,7 +183,7 @@ def _encode(docs: DataFrame, train: Column, id_col: str, text_col: str, batch_to
 def _ranges(batch: int, hashes: np.ndarray, arrays: list[np.ndarray], bits: int) -> list[tuple]:
     """One row per hash range of a batch's sorted hashes: (bucket, batch, hashes, arrays...)."""
     cuts = [0, len(hashes)] if not bits else [0, *np.searchsorted(hashes, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist(), len(hashes)]
-    return [(k, batch, pack(hashes[a:b], True), *(pack(x[a:b]) for x in arrays)) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+    return [(k, batch, tk.pack(hashes[a:b], True), *(tk.pack(x[a:b]) for x in arrays)) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
 
 
 def _table(rows: list[tuple], names: list[str]) -> pa.Table:
@@ -211,8 +195,8 @@ def _table(rows: list[tuple], names: list[str]) -> pa.Table:
 def _merged(table: pa.Table) -> tuple[list[int], np.ndarray, list[np.ndarray]]:
     """The batches of a hash range, their bounds in the concatenated arrays, and hashes and counts."""
     batches = table.column("batch").to_pylist()
-    hashes = [unpack(x, np.uint64, True) for x in table.column("hashes").to_pylist()]
-    counts = [unpack(x, np.uint32) for x in table.column("counts").to_pylist()]
+    hashes = [tk.unpack(x, np.uint64, True) for x in table.column("hashes").to_pylist()]
+    counts = [tk.unpack(x, np.uint32) for x in table.column("counts").to_pylist()]
     bounds = np.concatenate([[0], np.cumsum([len(h) for h in hashes])])
     return batches, bounds, [np.concatenate(hashes), np.concatenate(counts).astype(np.int64)]
 
@@ -236,7 +220,7 @@ def _sum_words(table: pa.Table) -> pa.Table:
     batches, bounds, (hashes, counts) = _merged(table)
     each, distinct, total = _totals(hashes, counts)
     bucket = table.column("bucket")[0].as_py()
-    rows = [(b, bucket, b"", pack(each[x:y].astype(np.uint32))) for b, x, y in zip(batches, bounds, bounds[1:])]
+    rows = [(b, bucket, b"", tk.pack(each[x:y].astype(np.uint32))) for b, x, y in zip(batches, bounds, bounds[1:])]
     # to the statistics: distinct words, tokens, and tokens by size class of their word as a context (an end is none)
     context = np.where(hashes[distinct] == END, 0, total)
     stats = np.concatenate([[np.count_nonzero(total), total.sum()], np.bincount(size_class(total), context, N_CLASSES)])
@@ -245,13 +229,13 @@ def _sum_words(table: pa.Table) -> pa.Table:
 
 def _sum_pairs(table: pa.Table) -> pa.Table:
     batches, bounds, (hashes, counts) = _merged(table)
-    classes = np.concatenate([unpack(x, np.uint8) for x in table.column("classes").to_pylist()])
+    classes = np.concatenate([tk.unpack(x, np.uint8) for x in table.column("classes").to_pylist()])
     each, distinct, total = _totals(hashes, counts)
     bucket = table.column("bucket")[0].as_py()
     rows = []
     for b, x, y in zip(batches, bounds, bounds[1:]):
         other = np.flatnonzero(each[x:y] != counts[x:y])
-        rows.append((b, bucket, pack(other.astype(np.uint32), True), pack(each[x:y][other].astype(np.uint32))))
+        rows.append((b, bucket, tk.pack(other.astype(np.uint32), True), tk.pack(each[x:y][other].astype(np.uint32))))
     seen = total > 0
     stats = np.concatenate([[np.count_nonzero(total == 1), np.count_nonzero(total == 2)], np.bincount(classes[distinct][seen], minlength=N_CLASSES)])
     return _table([*rows, (-1, bucket, b"", stats.astype(np.int64).tobytes())], ["batch", "bucket", "places", "totals"])
@@ -280,7 +264,7 @@ def _first(table: pa.Table, *names: str) -> dict:
 
 def _word_totals(back: pa.Table) -> np.ndarray:
     rows = sorted(zip(back.column("bucket").to_pylist(), back.column("totals").to_pylist(), strict=True))
-    return np.concatenate([unpack(x, np.uint32) for _, x in rows]).astype(np.int64)
+    return np.concatenate([tk.unpack(x, np.uint32) for _, x in rows]).astype(np.int64)
 
 
 def score(docs: DataFrame, n_folds: int = 5, held_out_fold: int = 1, id_col: str = "doc_id", text_col: str = "text", batch_tokens: int = BATCH_TOKENS, bucket_entries: int = BUCKET_ENTRIES) -> DataFrame:
@@ -341,11 +325,11 @@ def score(docs: DataFrame, n_folds: int = 5, held_out_fold: int = 1, id_col: str
         returned = back.filter(pa.array(kind == 1))
         for bucket, places, totals in zip(*(returned.column(c).to_pylist() for c in ("bucket", "places", "totals")), strict=True):
             base = int(np.searchsorted(hashes, np.uint64(bucket << (64 - pair_bits)))) if pair_bits else 0
-            own[base + unpack(places, np.uint32, True).astype(np.int64)] = unpack(totals, np.uint32)
+            own[base + tk.unpack(places, np.uint32, True).astype(np.int64)] = tk.unpack(totals, np.uint32)
         root = np.log10((counts + 0.5) / norm)
         automaton = Automaton(root, np.append(counts, n_texts), share)
         known = np.add.reduceat((counts > 0)[batch.stream].astype(np.int64), batch.first)
-        train = unpack(row["train"], np.uint8)
+        train = tk.unpack(row["train"], np.uint8)
         return pa.table({
             "key": held.column("keys").combine_chunks().flatten(), "held_out": pa.array(train == 0), "n_tokens": pa.array(batch.lengths, pa.int64()), "n_known": pa.array(known, pa.int64()),
             "train_tokens": pa.array(np.full(len(train), n_train), pa.int64()), "base_score": pa.array(np.add.reduceat(root[batch.stream], batch.first)), "score": pa.array(automaton.traverse(batch, of, own)),
@@ -359,7 +343,7 @@ def score(docs: DataFrame, n_folds: int = 5, held_out_fold: int = 1, id_col: str
 
 def _train_texts(encoded: DataFrame) -> int:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(int(unpack(x, np.uint8).sum()) for batch in batches for x in batch.column(0).to_pylist())
+        n = sum(int(tk.unpack(x, np.uint8).sum()) for batch in batches for x in batch.column(0).to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
     return encoded.select("train").mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] or 0

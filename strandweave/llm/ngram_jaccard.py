@@ -7,19 +7,23 @@ classes.
    same band or in neighbouring ones.  A level is a band with the next.
 2. *Candidates, without loss.*  Sets of one level that link differ in at most D
    shingles, D fixed by the level.  Each level cuts the hash range into
-   D + 1 + spare parts, so at least 1 + spare parts of two linked sets are
-   equal: a set emits a hash for each of its parts that is not empty (and for
-   the empty ones too, if it has more than ``spare`` of them).  Whole equal
-   parts, unlike single shingles, are not shared through a common passage, so
-   no frequent shingle makes a large group.  Hashes travel as packed arrays,
-   one row per task, flush and hash range.
-3. *Tiles.*  Classes that share part hashes form candidate groups.  Within a
-   group each band meets itself and the next in a tile: hashed bitmaps bound
-   the overlap from above by bit counts, and what the bound admits is
-   intersected exactly as sorted arrays, unless already connected.
-4. *Large groups* are cut into blocks of bounded bytes.  Blocks are linked on
-   their own, twice with other cuts, and then blocks of different components
-   meet pair by pair; sets that are already connected never meet again.
+   D // 2 + 1 + spare bundles of three parts each, so at least 1 + spare bundles
+   of two linked sets differ in one shingle at most, and two of their three
+   parts are equal: a set emits a hash for every two parts of a bundle that are
+   not both empty.  A set in which more than ``spare`` bundles have two empty
+   parts emits the hashes of another cut as well, and so on; where two sets
+   link, the first cut that suits one of them gives both an equal hash.  Hashes
+   travel as packed arrays, one row per task, flush and hash range.
+3. *Meetings.*  Classes with an equal hash meet in a list; equal lists are one.
+   Every member meets the list's pivot, the member that shares most.  First each
+   class is held against the pivot with which it shares most hashes, then
+   against the other pivots that it is not yet connected with.
+4. *Tiles.*  Where a list still has members of different components, its members
+   meet in tiles of bounded size, a band with itself and with the next.
+5. *Bounds.*  Hashed bitmaps bound each pair's overlap from above by bit counts;
+   only texts of pairs that the bound admits travel, and are intersected exactly
+   as sorted arrays, satellites beside their hub, salted beyond a pack's bytes.
+   Components are those of links found so; no candidate joins one unverified.
 
 Hashes have 64 bits.  A link needs q * |A & B| >= p * |A | B| for the threshold
 p / q.
@@ -27,9 +31,10 @@ p / q.
 Defined results: texts without words (null, empty, white space) have no
 shingles and link with nothing, their component is their own id; a text with
 fewer words than a shingle is one shingle.  Rows that repeat an id are one
-document and must repeat its text.  A row with a null id takes part, and its
-class's smallest id names it (null if there is none).  Extra columns are
-ignored; an empty table gives an empty result; texts are taken whole.
+document and must repeat its text.  A row with a null id takes part where its
+text has an id elsewhere, and its class's smallest id names it (null if there is
+none).  Extra columns are ignored; an empty table gives an empty result; texts
+are taken whole.
 """
 
 from __future__ import annotations
@@ -42,16 +47,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text_kernels as tk
-from .shared import checkpoint, connected_components, small
+from .shared import checkpoint, connected_components, release, small, stored
 
-GROUP_BYTES = 32 << 20
-PACK_BYTES = 8 << 20
+#: Set bytes that one task verifies at once.
+GROUP_BYTES = 8 << 20
+#: Members of one list and band that a tile takes.
+TILE = 2048
 BUCKET_HASHES = 1 << 21
 FLUSH_HASHES = 1 << 21
 LARGEST_SET = 1 << 40
+CUTS = 24
+MOST_BITS = 1 << 16
 _PART = np.uint64(0x9FB21C651E98DF25)
 _LEVEL = np.uint64(0xC13FA9A902A6328F)
 _COUNT = np.uint64(0x91E10DA5C79E7B1D)
+_CUT = np.uint64(0xB5297A4D3F84C2E3)
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +97,7 @@ def set_hash(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Bands:
-    """Size bands for the threshold p / q, and the parts of each level."""
+    """Size bands for the threshold p / q, and the bundles of each level."""
 
     def __init__(self, p: int, q: int):
         self.p, self.q = p, q
@@ -96,225 +106,313 @@ class Bands:
             lows.append(max(lows[-1] + 1, -(-lows[-1] * q // p)))
         self.lows = np.array(lows, np.int64)
         self.differences = (self.lows[1:] - 1) * (q - p) // p
-        self.spare = 2 + self.differences // 16
-        self.parts = self.differences + 1 + self.spare
+        self.spare = np.where(self.differences > 1, 1 + self.differences // 24, 0)
+        self.bundles = self.differences // 2 + 1 + self.spare
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.lows, sizes, "right") - 1
 
     def part_hashes(self, sets: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, number of the set) for the parts of every set on its band's level and the one below."""
+        """(hash, number of the set) for every two parts of a bundle, on the set's band's level and the one below."""
         sizes = np.diff(offsets)
-        hashes, owners = [], []
+        hashes, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for down in (0, 1):
             level = self.of(np.maximum(sizes, 1)) - down
             use = (sizes > 0) & (level >= 0)
             use &= self.differences[np.maximum(level, 0)] > 0  # else only equal sets can link
             mine = np.flatnonzero(use)
-            if not len(mine):
-                continue
-            n = sizes[mine]
-            k = self.parts[level[mine]]
-            at = np.repeat(offsets[:-1][mine] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            values = sets[at]
-            # sets are sorted, so equal ranges of the hash space are runs
-            part = ((values >> np.uint64(32)) * np.repeat(k, n).astype(np.uint64)) >> np.uint64(32)
-            owner = np.repeat(mine, n)
-            head = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])]))
-            total = np.zeros(len(values) + 1, np.uint64)
-            np.cumsum(values, out=total[1:])
-            tail = np.append(head[1:], len(values))
-            own = owner[head]
-            salt = level[own].astype(np.uint64) * _LEVEL
-            hashes.append(tk.mix((total[tail] - total[head]) + part[head] * _PART + salt + (tail - head).astype(np.uint64) * _COUNT))
-            owners.append(own)
-            empty = k - np.bincount(np.searchsorted(mine, own), minlength=len(mine))
-            for i in np.flatnonzero(empty > self.spare[level[mine]]).tolist():
-                doc = int(mine[i])
-                there = part[np.searchsorted(owner, doc):np.searchsorted(owner, doc, "right")]
-                gaps = np.setdiff1d(np.arange(k[i], dtype=np.uint64), there)
-                hashes.append(tk.mix(gaps * _PART + level[doc:doc + 1].astype(np.uint64) * _LEVEL))
-                owners.append(np.full(len(gaps), doc))
-        if not hashes:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            for cut in range(CUTS):
+                if not len(mine):
+                    break
+                found, own, unfit = self._cut(sets, offsets, mine, level[mine], cut)
+                hashes.append(found)
+                owners.append(own)
+                mine = unfit
         return np.concatenate(hashes), np.concatenate(owners)
 
+    def _cut(self, sets: np.ndarray, offsets: np.ndarray, mine: np.ndarray, level: np.ndarray, cut: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes and owners of one cut of the hash range, and the sets that need another."""
+        n, k = (offsets[1:] - offsets[:-1])[mine], self.bundles[level]
+        at = np.repeat(offsets[:-1][mine] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        values = sets[at] if not cut else tk.mix(sets[at] ^ (np.uint64(cut) * _CUT))
+        base = np.cumsum(3 * k) - 3 * k
+        slot = (((values >> np.uint64(32)) * np.repeat(3 * k, n).astype(np.uint64)) >> np.uint64(32)).astype(np.int64) + np.repeat(base, n)
+        total = int(3 * k.sum())
+        count = np.bincount(slot, minlength=total)
+        sums = np.zeros(total, np.uint64)
+        if cut:
+            np.add.at(sums, slot, values)
+        else:  # sets are sorted, so parts are runs
+            running = np.zeros(len(values) + 1, np.uint64)
+            np.cumsum(values, out=running[1:])
+            edges = np.concatenate([[0], np.cumsum(count)])
+            sums = running[edges[1:]] - running[edges[:-1]]
+        count, sums = count.reshape(-1, 3), sums.reshape(-1, 3)
+        rest = count.sum(1, keepdims=True) - count
+        owner = np.repeat(np.arange(len(mine)), k)
+        number = (np.arange(total).reshape(-1, 3) - base[owner][:, None]).astype(np.uint64)
+        salt = level[owner].astype(np.uint64) * _LEVEL + np.uint64(cut) * _CUT
+        hashed = tk.mix(sums.sum(1, keepdims=True, dtype=np.uint64) - sums + rest.astype(np.uint64) * _COUNT + (number + np.uint64(1)) * _PART + salt[:, None])
+        keep = rest > 0
+        bad = np.bincount(owner, (~keep).any(1), minlength=len(mine))
+        return hashed[keep], np.repeat(mine[owner], 3)[keep.ravel()], mine[bad > self.spare[level]]
+
+
+def bitmaps(sets: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """A hashed bitmap per set, of four bits or more per shingle up to MOST_BITS."""
+    out = []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        bits = 256
+        while bits < min(4 * (b - a), MOST_BITS):
+            bits *= 2
+        flags = np.zeros(bits, np.uint8)
+        flags[(sets[a:b] & np.uint64(bits - 1)).astype(np.intp)] = 1
+        out.append(np.packbits(flags).tobytes())
+    return out
 
-class Linker:
-    """Links the sets of one group; components are labels that only ever merge."""
 
-    def __init__(self, bands: Bands, sets: list[np.ndarray], labels: np.ndarray, sides: np.ndarray | None = None):
-        order = np.argsort([len(s) for s in sets], kind="stable")
-        self.bands, self.sets, self.sizes = bands, [sets[i] for i in order], np.array([len(sets[i]) for i in order], np.int64)
-        self.order, self.labels = order, labels[order].copy()
-        self.sides = None if sides is None else sides[order]
-        self.links: list[tuple[int, int]] = []
+def _folded(bitmap: bytes, size: int) -> np.ndarray:
+    """A bitmap as words, folded to ``size`` bytes: the lower bits of the same hashes."""
+    data = np.frombuffer(bitmap, np.uint64)
+    return np.bitwise_or.reduce(data.reshape(-1, size // 8), axis=0) if 8 * len(data) > size else data
 
-    def _bitmaps(self, a: int, b: int, bits: int) -> np.ndarray:
-        out = np.zeros((b - a, bits // 64), np.uint64)
-        for i in range(a, b):
-            h = self.sets[i] & np.uint64(bits - 1)
-            np.bitwise_or.at(out[i - a], (h >> np.uint64(6)).astype(np.intp), np.uint64(1) << (h & np.uint64(63)))
-        return out
 
-    def _tile(self, a: int, b: int, to: int) -> None:
-        """Members a..b, of one band, against those after them up to ``to``."""
-        bits = 256
-        while bits < min(4 * int(self.sizes[to - 1]), 1 << 16):
-            bits *= 2
-        maps = self._bitmaps(a, to, bits)
-        p, q = self.bands.p, self.bands.q
-        for i in range(a, b):
-            other = np.flatnonzero(self.labels[i + 1:to] != self.labels[i]) + i + 1
-            if self.sides is not None:
-                other = other[self.sides[other] != self.sides[i]]
-            other = other[q * self.sizes[i] >= p * self.sizes[other]]
-            for c in range(0, len(other), 4096):
-                part = other[c:c + 4096]
-                mine, theirs = maps[i - a], maps[part - a]
-                bound = np.minimum(self.sizes[i] - np.bitwise_count(mine & ~theirs).sum(1, dtype=np.int64), self.sizes[part] - np.bitwise_count(theirs & ~mine).sum(1, dtype=np.int64))
-                fit = q * bound >= p * (self.sizes[i] + self.sizes[part] - bound)
-                for j in part[fit][np.argsort(-bound[fit], kind="stable")].tolist():
-                    if self.labels[i] != self.labels[j] and self._linked(i, j):
-                        self.links.append((i, j))
-                        self.labels[self.labels == self.labels[j]] = self.labels[i]
-
-    def _linked(self, i: int, j: int) -> bool:
-        x, y = self.sets[i], self.sets[j]
-        at = np.searchsorted(y, x)
-        same = int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x))
-        return self.bands.q * same >= self.bands.p * (len(x) + len(y) - same)
-
-    def run(self) -> "Linker":
-        band = self.bands.of(self.sizes)
-        for k in np.unique(band).tolist():
-            a, b = np.searchsorted(band, [k, k + 1]).tolist()
-            self._tile(a, b, int(np.searchsorted(band, k + 2)))
-        return self
-
-
-def _pieces(table: pa.Table, *keys: str) -> Iterator[tuple[np.ndarray, pa.Table]]:
-    """Row numbers of each distinct key of a packed group."""
-    columns = [table.column(k).to_numpy(zero_copy_only=False) for k in keys]
-    order = np.lexsort(columns[::-1])
-    head = np.zeros(len(order), bool)
-    head[:1] = True
-    for c in columns:
-        head[1:] |= c[order][1:] != c[order][:-1]
-    cuts = np.append(np.flatnonzero(head), len(order)).tolist()
-    for a, b in zip(cuts, cuts[1:]):
-        yield order[a:b], table
+def admitted(n: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray, p: int, q: int) -> np.ndarray:
+    """Pairs whose overlap may reach the threshold by their bitmaps' bit counts: sizes n and m, bitmaps as rows."""
+    bound = np.minimum(n - np.bitwise_count(x & ~y).sum(-1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(-1, dtype=np.int64))
+    return q * bound >= p * (n + m - bound)
 
 
-def _sets(table: pa.Table, rows: np.ndarray) -> list[np.ndarray]:
-    column = table.column("hashes")
-    return [np.frombuffer(column[int(i)].as_buffer(), np.uint64) for i in rows]
+def _pack_rows(held: list, bits: int) -> pa.RecordBatch:
+    """One row per hash range: (bucket, hashes ascending, nodes), packed."""
+    hashes, nodes = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(hashes)
+    hashes, nodes = hashes[order], nodes[order]
+    inner = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(0, np.uint64)
+    cuts = [0, *np.searchsorted(hashes, inner).tolist(), len(hashes)]
+    rows = [(k, tk.pack(hashes[a:b], True), nodes[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+    k, h, v = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(h, pa.binary()), pa.array(v, pa.binary())], names=["bucket", "hashes", "nodes"])
 
 
-def _candidate_pairs(docs: DataFrame, bands: Bands, n: int, n_shingles: int) -> DataFrame:
-    """(a, b): each class that shares a part hash, with the smallest class of that hash."""
-    bits = max(0, (n_shingles // 2 // BUCKET_HASHES)).bit_length()
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """True where sorted rows differ from the one before."""
+    head = np.zeros(len(columns[0]), bool)
+    head[:1] = True
+    for c in columns:
+        head[1:] |= c[1:] != c[:-1]
+    return head
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """Of one hash range: pairs (a, pivot b, hashes shared), and the distinct lists of three and more."""
+    hashes = np.concatenate([tk.unpack(x, np.uint64, True) for x in table.column("hashes").to_pylist()])
+    nodes = np.frombuffer(b"".join(table.column("nodes").to_pylist()), np.int64)
+    order = np.argsort(hashes)
+    own = hashes[order]
+    same = np.zeros(len(own), bool)
+    same[1:] = own[1:] == own[:-1]
+    same[:-1] |= same[1:]
+    order = order[same]
+    hashes, nodes = hashes[order], nodes[order]
+    order = np.lexsort((nodes, hashes))
+    hashes, nodes = hashes[order], nodes[order]
+    new = _heads(hashes, nodes)
+    hashes, nodes = hashes[new], nodes[new]
+    start = np.flatnonzero(_heads(hashes))
+    size = np.diff(np.append(start, len(hashes)))
+    # lists of two and more; equal lists are one, with the number of their hashes
+    member = np.repeat(size > 1, size)
+    nodes, start, size = nodes[member], None, size[size > 1]
+    start = np.cumsum(size) - size
+    running = np.zeros(len(nodes) + 1, np.uint64)
+    np.cumsum(tk.mix(nodes.view(np.uint64)), out=running[1:])
+    lid = tk.mix(running[start + size] - running[start] + size.astype(np.uint64) * _COUNT)
+    _, first, weight = np.unique(lid, return_index=True, return_counts=True)
+    at = np.repeat(start[first] - (np.cumsum(size[first]) - size[first]), size[first]) + np.arange(int(size[first].sum()))
+    nodes, lid, size = nodes[at], lid[first], size[first]
+    start = np.cumsum(size) - size
+    # the pivot shares most: the member with the largest sum of list sizes
+    names, number = np.unique(nodes, return_inverse=True)
+    of = np.repeat(np.arange(len(size)), size)
+    degree = np.bincount(number, (size * weight)[of], minlength=len(names)).astype(np.int64)
+    best = np.lexsort((nodes, -degree[number], of))[start] if len(start) else start
+    pivot = nodes[best][of]
+    a, b, w = nodes[nodes != pivot], pivot[nodes != pivot], weight[of][nodes != pivot]
+    order = np.lexsort((b, a))
+    a, b, w = a[order], b[order], w[order]
+    head = np.flatnonzero(_heads(a, b)) if len(a) else np.zeros(0, np.int64)
+    w = np.add.reduceat(w, head) if len(head) else w
+    long = np.flatnonzero(size > 2)
+    lists = [nodes[start[i]:start[i] + size[i]].tobytes() for i in long.tolist()]
+    none = lambda k, kind: pa.nulls(k, kind)
+    pairs, kept = len(head), len(long)
+    tk.trim()
+    return pa.table({
+        "a": pa.concat_arrays([pa.array(a[head], pa.int64()), none(kept, pa.int64())]), "b": pa.concat_arrays([pa.array(b[head], pa.int64()), none(kept, pa.int64())]), "shared": pa.concat_arrays([pa.array(w, pa.int64()), none(kept, pa.int64())]),
+        "lid": pa.concat_arrays([none(pairs, pa.int64()), pa.array(lid[long].view(np.int64), pa.int64())]), "members": pa.concat_arrays([none(pairs, pa.binary()), pa.array(lists, pa.binary())]),
+    })
+
+
+def _meetings(texts: DataFrame, bands: Bands, n: int, n_shingles: int) -> DataFrame:
+    """(a, b, shared) pairs with pivots, and (lid, members) lists, of one table."""
+    bits = max(0, (n_shingles * 3 // 4 // BUCKET_HASHES)).bit_length()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total = [], 0
-
-        def flush() -> pa.RecordBatch:
-            hashes, nodes = (np.concatenate(x) for x in zip(*held, strict=True))
-            bucket = (hashes >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32) if bits else np.zeros(len(hashes), np.uint16)
-            order = np.argsort(bucket, kind="stable")
-            bucket, hashes, nodes = bucket[order], hashes[order], nodes[order]
-            head = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            cuts = np.append(head, len(bucket)).tolist()
-            packed = [[v[a:b].tobytes() for a, b in zip(cuts, cuts[1:])] for v in (hashes, nodes)]
-            return pa.RecordBatch.from_arrays([pa.array(bucket[head], pa.int64()), *(pa.array(v, pa.binary()) for v in packed)], names=["bucket", "hashes", "nodes"])
-
+        held, total, seen = [], 0, set()
         for block in tk.blocks(batches):
             sets, offsets = shingle_sets(block.column(0), n)
+            nodes = set_hash(sets, offsets).view(np.int64)
+            # copies emit once per flush
+            fresh = [i for i, x in enumerate(nodes.tolist()) if x not in seen and not seen.add(x)]
+            if len(fresh) < len(nodes):
+                keep = np.zeros(len(nodes), bool)
+                keep[fresh] = True
+                sets = sets[np.repeat(keep, np.diff(offsets))]
+                offsets = np.concatenate([[0], np.cumsum(np.diff(offsets)[keep])])
+                nodes = nodes[keep]
             hashes, owners = bands.part_hashes(sets, offsets)
             if len(hashes):
-                held.append((hashes, set_hash(sets, offsets)[owners]))
+                held.append((hashes, nodes[owners]))
                 total += len(hashes)
             if total >= FLUSH_HASHES:
-                yield flush()
-                held, total = [], 0
+                yield _pack_rows(held, bits)
+                held, total, seen = [], 0, set()
         if held:
-            yield flush()
-
-    def meet(table: pa.Table) -> pa.Table:
-        hashes, nodes = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint64) for c in ("hashes", "nodes"))
-        order = np.argsort(hashes)
-        same = np.zeros(len(order), bool)
-        same[1:] = hashes[order[1:]] == hashes[order[:-1]]
-        same[:-1] |= same[1:]
-        order = order[same]
-        hashes, nodes = hashes[order], nodes[order].astype(np.int64)
-        order = np.lexsort((nodes, hashes))
-        hashes, nodes = hashes[order], nodes[order]
-        head = np.concatenate([[True], hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, bool)
-        lowest = nodes[np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))] if len(head) else nodes
-        pairs = np.stack([nodes, lowest], 1)[nodes != lowest]
-        if len(pairs):
-            by = np.lexsort(pairs.T)
-            pairs = pairs[by]
-            pairs = pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)])]
+            yield _pack_rows(held, bits)
+
+    packed = texts.mapInArrow(emit, "bucket bigint, hashes binary, nodes binary")
+    return packed.groupBy("bucket").applyInArrow(_meet, "a bigint, b bigint, shared bigint, lid bigint, members binary")
+
+
+class _Verifier:
+    """Holds pairs of classes against their bitmaps, then their texts; ``classes`` is (node, n, bitmap, text)."""
+
+    def __init__(self, classes: DataFrame, bands: Bands, n: int, group_bytes: int):
+        self.classes, self.bands, self.n, self.group_bytes = classes, bands, n, group_bytes
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The linked ones of the pairs (a, hub b)."""
+        p, q, n, group_bytes = self.bands.p, self.bands.q, self.n, self.group_bytes
+        side = lambda x: self.classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bitmap").alias(f"m_{x}"))
+        sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"{p} * greatest(n_a, n_b) <= {q} * least(n_a, n_b)")
+
+        def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, y = batch.column(2).to_pylist(), batch.column(4).to_pylist()
+                n_a, n_b = batch.column(1).to_numpy(), batch.column(3).to_numpy()
+                least = np.array([min(len(s), len(t)) for s, t in zip(x, y, strict=True)], np.int64)
+                keep = np.zeros(batch.num_rows, bool)
+                for size in np.unique(least).tolist():
+                    for at in np.array_split(np.flatnonzero(least == size), max(1, np.count_nonzero(least == size) * size >> 22)):
+                        if len(at):
+                            keep[at] = admitted(n_a[at], np.stack([_folded(x[i], size) for i in at]), n_b[at], np.stack([_folded(y[i], size) for i in at]), p, q)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(5)], names=["a", "n_a", "b"]).filter(pa.array(keep))
+
+        fit = checkpoint(sized.select("a", "n_a", "m_a", "n_b", "m_b", "b").mapInArrow(bound, "a bigint, n_a bigint, b bigint"))
+        loads = checkpoint(fit.groupBy("b").agg(F.ceil(F.sum("n_a") * 8 / F.lit(group_bytes)).cast("long").alias("salts"), F.sum("n_a").alias("load")))
+        packs = max(1, (loads.agg(F.sum("load")).first()[0] or 0) * 8 // group_bytes)
+        placed = fit.join(small(loads.select("b", "salts")), "b").select("a", "b", F.pmod(F.xxhash64("b", F.pmod(F.xxhash64("a"), "salts")), F.lit(packs)).alias("pack"))
+        hubs = loads.select("b", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt")).select("b", F.pmod(F.xxhash64("b", "salt"), F.lit(packs)).alias("pack")).distinct()
+        text = lambda x: self.classes.select(F.col("node").alias(x), "text")
+        rows = placed.join(text("a"), "a").select("pack", "b", "a", "text").unionByName(hubs.join(text("b"), "b").select("pack", "b", F.lit(None).cast("bigint").alias("a"), "text"))
+
+        def verify(table: pa.Table) -> pa.Table:
+            hubs = table.column("b").to_numpy()
+            is_hub = np.array(table.column("a").is_null())
+            sets, offsets = shingle_sets(table.column("text").combine_chunks(), n)
+            of_hub = {int(hubs[i]): sets[offsets[i]:offsets[i + 1]] for i in np.flatnonzero(is_hub)}
+            a, b = [], []
+            own = table.column("a").to_pylist()
+            for i in np.flatnonzero(~is_hub).tolist():
+                x, y = sets[offsets[i]:offsets[i + 1]], of_hub[int(hubs[i])]
+                at = np.searchsorted(y, x)
+                same = int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x))
+                if q * same >= p * (len(x) + len(y) - same):
+                    a.append(own[i])
+                    b.append(int(hubs[i]))
+            tk.trim()
+            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+        return checkpoint(rows.groupBy("pack").applyInArrow(verify, "a bigint, b bigint"))
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    return checkpoint(connected_components(links))
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are not of one component."""
+    side = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+    joined = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return joined.where("NOT coalesce(c_a, a) <=> coalesce(c_b, b)").select("a", "b")
+
+
+def _tiles(lists: DataFrame, labels: DataFrame, classes: DataFrame, bands: Bands, tile: int, group_bytes: int) -> DataFrame | None:
+    """Pairs within lists, of different components, that their bitmaps admit; None if no list has two components."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lids, members = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            sizes = np.array([len(x) // 8 for x in members], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(lids, sizes)), pa.array(np.frombuffer(b"".join(members), np.int64))], names=["lid", "node"])
+
+    rows = lists.select("lid", "members").mapInArrow(unpack, "lid bigint, node bigint").join(labels, "node", "left").select("lid", "node", F.coalesce("component", "node").alias("label"))
+    # equal lists of other hash ranges fall together here
+    open_ = rows.groupBy("lid").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.countDistinct("node").alias("size")).where("low <> high").select("lid", "size")
+    open_ = checkpoint(open_)
+    if not open_.limit(1).count():
+        return None
+    held = rows.distinct().join(open_, "lid").join(classes.select("node", "n", "bitmap"), "node")
+    blocks = F.ceil(F.col("size") / F.lit(tile)).cast("long")
+    held = held.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    # a member stands in the tiles of its block with every block
+    dealt = held.select("lid", "node", "label", "n", "bitmap", "block", F.explode(F.expr("transform(sequence(0L, blocks - 1), k -> struct(least(k, block) AS x, greatest(k, block) AS y))")).alias("tile"))
+    bytes_ = dealt.agg(F.sum(F.length("bitmap"))).first()[0] or 0
+    packs = max(1, bytes_ // group_bytes)
+    dealt = dealt.withColumn("pack", F.pmod(F.xxhash64("lid", "tile"), F.lit(packs)))
+    p, q = bands.p, bands.q
+
+    def pairs_of(nodes: np.ndarray, labels_: np.ndarray, n: np.ndarray, block: np.ndarray, maps: list[bytes], one: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        order = np.argsort(n, kind="stable")
+        nodes, labels_, n, block, maps = nodes[order], labels_[order], n[order], block[order], [maps[i] for i in order]
+        size = min(map(len, maps))
+        matrix = np.stack([_folded(x, size) for x in maps])
+        ends = np.searchsorted(p * n, q * n, "right")
+        for i in range(len(nodes)):
+            other = np.arange(i + 1, ends[i])
+            other = other[labels_[other] != labels_[i]]
+            if not one:
+                other = other[block[other] != block[i]]
+            if len(other):
+                other = other[admitted(n[i], matrix[i], n[other], matrix[other], p, q)]
+                yield np.full(len(other), nodes[i]), nodes[other]
+
+    def tiles(table: pa.Table) -> pa.Table:
+        columns = {c: table.column(c).to_numpy() for c in ("lid", "node", "label", "n", "block", "x", "y")}
+        order = np.lexsort((columns["y"], columns["x"], columns["lid"]))
+        cuts = np.append(np.flatnonzero(_heads(*(columns[c][order] for c in ("lid", "x", "y")))), len(order)).tolist()
+        maps = table.column("bitmap").to_pylist()
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for a, b in zip(cuts, cuts[1:]):
+            at = order[a:b]
+            one = columns["x"][at[0]] == columns["y"][at[0]]
+            found += pairs_of(columns["node"][at], columns["label"][at], columns["n"][at], columns["block"][at], [maps[i] for i in at], one)
+        x, y = (np.concatenate(v) for v in zip(*found, strict=True))
+        order = np.lexsort((np.maximum(x, y), np.minimum(x, y)))
+        x, y = np.minimum(x, y)[order], np.maximum(x, y)[order]
+        head = _heads(x, y)
         tk.trim()
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+        return pa.table({"a": pa.array(x[head]), "b": pa.array(y[head])})
 
-    packed = docs.select("text").mapInArrow(emit, "bucket bigint, hashes binary, nodes binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint").distinct()
+    dealt = dealt.select("pack", "lid", "node", "label", "n", "block", "bitmap", "tile.x", "tile.y")
+    return checkpoint(dealt.groupBy("pack").applyInArrow(tiles, "a bigint, b bigint").distinct())
 
 
-def _link_large(members: DataFrame, bands: Bands, group_bytes: int) -> DataFrame:
-    """(node, label) of the groups beyond ``group_bytes``; members: (grp, node, n, hashes, grp_bytes)."""
-    spark = members.sparkSession
-
-    def link(table: pa.Table) -> pa.Table:
-        rows = np.arange(table.num_rows)
-        nodes = table.column("node").to_numpy()
-        sides = table.column("side").to_numpy() if len(set(table.column("side").to_pylist())) > 1 else None
-        found = Linker(bands, _sets(table, rows), table.column("label").to_numpy(), sides).run()
-        a, b = (nodes[found.order[[x[k] for x in found.links]]] if found.links else np.zeros(0, np.int64) for k in (0, 1))
-        tk.trim()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    n_blocks = F.ceil(F.col("grp_bytes") / F.lit(group_bytes / 2)).cast("long")
-    links = spark.createDataFrame([], "a bigint, b bigint")
-    labels = members.select("node", F.col("node").alias("label"))
-
-    def relabel() -> DataFrame:
-        found = connected_components(links)
-        return checkpoint(members.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("label")))
-
-    for seed in (1, 2):
-        cut = members.join(labels, "node").withColumn("side", F.lit(0)).withColumn("block", F.pmod(F.xxhash64("node", F.lit(seed)), n_blocks))
-        links = checkpoint(links.union(cut.groupBy("grp", "block").applyInArrow(link, "a bigint, b bigint")))
-        labels = relabel()
-    # what is still apart: blocks by component, and only blocks of different components meet
-    held = members.join(labels, "node")
-    share = held.groupBy("grp", "label").agg(F.sum(F.length("hashes")).alias("label_bytes"))
-    # components beyond half a block get blocks of their own, the others share some
-    share = share.withColumn("own", F.col("label_bytes") > group_bytes / 2)
-    shared = share.groupBy("grp").agg(F.sum(F.when(F.col("own"), 0).otherwise(F.col("label_bytes"))).alias("shared_bytes"))
-    held = held.join(share.join(shared, "grp"), ["grp", "label"])
-    blocks_of = lambda size: F.greatest(F.lit(1), F.ceil(size / F.lit(group_bytes / 2))).cast("long")
-    held = held.withColumn("block", F.struct(
-        F.col("own"), F.when(F.col("own"), F.col("label")).otherwise(F.lit(0)).alias("l"),
-        F.when(F.col("own"), F.pmod(F.xxhash64("node"), blocks_of(F.col("label_bytes")))).otherwise(F.pmod(F.xxhash64("label"), blocks_of(F.col("shared_bytes")))).alias("k"),
-    ))
-    names = held.groupBy("grp", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    x, y = names.alias("x"), names.alias("y")
-    meets = x.join(y, F.expr("x.grp = y.grp AND x.block <= y.block AND NOT (x.block.own AND y.block.own AND x.block.l = y.block.l)") & (F.lit(bands.q) * F.col("x.high") >= F.lit(bands.p) * F.col("y.low")) & (F.lit(bands.q) * F.col("y.high") >= F.lit(bands.p) * F.col("x.low")))
-    pairs = meets.select(F.col("x.grp").alias("grp"), F.struct(F.col("x.block").alias("x"), F.col("y.block").alias("y")).alias("pair"), F.col("x.block").alias("bx"), F.col("y.block").alias("by"))
-    first = pairs.select("grp", "pair", F.col("bx").alias("block"), F.lit(0).alias("side"))
-    second = pairs.where("bx <> by").select("grp", "pair", F.col("by").alias("block"), F.lit(1).alias("side"))
-    cross = held.select("grp", "block", "node", "label", "hashes").join(first.union(second), ["grp", "block"])
-    links = checkpoint(links.union(cross.groupBy("grp", "pair").applyInArrow(link, "a bigint, b bigint")))
-    return relabel()
-
-
-def components(docs: DataFrame, n: int = 5, p: int = 4, q: int = 5, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
+def components(docs: DataFrame, n: int = 5, p: int = 4, q: int = 5, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES, tile: int = TILE) -> DataFrame:
     """(id, n_shingles, component_id) per row: component_id is the smallest id that links reach."""
     bands = Bands(p, q)
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
 
@@ -324,52 +422,40 @@ def components(docs: DataFrame, n: int = 5, p: int = 4, q: int = 5, id_col: str
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(set_hash(sets, offsets).astype(np.int64), pa.int64())], names=["key", "n", "node"])
 
     all_rows = checkpoint(rows.mapInArrow(measure, f"key {kind}, n bigint, node bigint").withColumn("node", F.when(F.col("n") > 0, F.col("node")).otherwise(F.xxhash64("key"))))
-    classes = all_rows.groupBy("n", "node").agg(F.min("key").alias("rep"))
+    named = all_rows.groupBy("n", "node").agg(F.min("key").alias("rep"))
     n_shingles = all_rows.agg(F.sum("n")).first()[0] or 0
 
-    grouped = connected_components(_candidate_pairs(rows, bands, n, n_shingles)).select("node", F.col("component").alias("grp"))
-    wanted = checkpoint(classes.where("n > 0 AND rep IS NOT NULL").join(grouped, "node"))
-    totals = wanted.groupBy("grp").agg((F.sum("n") * 8).alias("grp_bytes"))
-    wanted = wanted.join(totals, "grp")
+    met = stored(_meetings(rows.select("text"), bands, n, n_shingles))
+    release(spark)
+    stars = checkpoint(met.where("a IS NOT NULL").groupBy("a", "b").agg(F.sum("shared").alias("shared")))
+    wanted = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
+    wanted = checkpoint(named.where("n > 0 AND rep IS NOT NULL").join(wanted, "node").select("node", F.col("rep").alias("key")))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in tk.blocks(batches):
-            sets, offsets = shingle_sets(block.column(0), n)
-            edges = offsets.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(set_hash(sets, offsets).astype(np.int64), pa.int64()), pa.array([sets[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())], names=["node", "hashes"])
-
-    texts = rows.join(small(wanted.select(F.col("rep").alias("key")).distinct()), "key", "left_semi").select("text")
-    sets = texts.mapInArrow(gather, "node bigint, hashes binary")
-    members = wanted.join(sets, "node").dropDuplicates(["node"])
-
-    def link(table: pa.Table) -> pa.Table:
-        nodes, names = [], []
-        own = table.column("node").to_numpy()
-        reps = table.column("rep")
-        for at, _ in _pieces(table, "grp"):
-            found = Linker(bands, _sets(table, at), np.arange(len(at))).run()
-            labels = np.empty(len(at), np.int64)
-            labels[found.order] = found.labels
-            lowest: dict[int, object] = {}
-            own_reps = [reps[int(i)].as_py() for i in at]
-            for label, rep in zip(labels.tolist(), own_reps, strict=True):
-                if label not in lowest or rep < lowest[label]:
-                    lowest[label] = rep
-            nodes += own[at].tolist()
-            names += [lowest[x] for x in labels.tolist()]
-        tk.trim()
-        return pa.table({"node": pa.array(nodes, pa.int64()), "component_id": pa.array(names, table.schema.field("rep").type)})
-
-    total = wanted.agg(F.sum(F.col("n") * 8), F.max("grp_bytes")).first()
-    packs = max(1, (total[0] or 0) // PACK_BYTES)
-    usual = members.where(F.col("grp_bytes") <= group_bytes).select(F.pmod(F.xxhash64("grp"), F.lit(packs)).alias("pack"), "grp", "node", "rep", "hashes")
-    named = usual.groupBy("pack").applyInArrow(link, f"node bigint, component_id {kind}")
-    if (total[1] or 0) > group_bytes:
-        large = checkpoint(members.where(F.col("grp_bytes") > group_bytes))
-        labels = _link_large(large.select("grp", "node", "n", "hashes", "grp_bytes"), bands, group_bytes).join(large.select("node", "rep"), "node")
-        lowest = labels.groupBy("label").agg(F.min("rep").alias("component_id"))
-        named = named.unionByName(labels.join(lowest, "label").select("node", "component_id"))
-    named = checkpoint(named)
-    resolved = classes.join(named, "node", "left").select("n", "node", F.coalesce("component_id", "rep").alias("component_id"))
+            sets, offsets = shingle_sets(block.column(1), n)
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(set_hash(sets, offsets).astype(np.int64), pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.array(bitmaps(sets, offsets), pa.binary()), block.column(1)], names=["key", "node", "n", "bitmap", "text"])
+
+    own = rows.join(small(wanted.select("key").distinct()), "key", "left_semi").mapInArrow(gather, f"key {kind}, node bigint, n bigint, bitmap binary, text string")
+    # an id whose rows differ may stand for several classes, each by its own text
+    own = own.join(small(wanted), ["node", "key"], "left_semi")
+    repeated = wanted.join(all_rows, ["node", "key"]).groupBy("node").count().where("count > 1").limit(1).count()
+    classes = stored((own.dropDuplicates(["node"]) if repeated else own).select("node", "n", "bitmap", "text"))
+
+    verifier = _Verifier(classes, bands, n, group_bytes)
+    best = checkpoint(stars.groupBy("a").agg(F.max(F.struct("shared", F.col("b"))).alias("best")).select("a", F.col("best.b").alias("b")))
+    links = verifier.links(best)
+    labels = _labels(links)
+    links = checkpoint(links.union(verifier.links(_apart(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), labels))))
+    labels = _labels(links)
+    release(spark)
+    tiled = _tiles(met.where("lid IS NOT NULL"), labels, classes, bands, tile, group_bytes)
+    if tiled is not None:
+        tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = verifier.links(tiled.join(tested, ["a", "b"], "left_anti"))
+        labels = _labels(checkpoint(links.union(more)))
+    lowest = named.join(labels, "node").groupBy("component").agg(F.min("rep").alias("low"))
+    linked = labels.join(lowest, "component").select("node", "low")
+    resolved = named.join(linked, "node", "left").select("n", "node", F.coalesce("low", "rep").alias("component_id"))
     result = all_rows.alias("r").join(resolved.alias("c"), F.expr("r.node = c.node AND r.n = c.n"))
     return result.select(F.col("r.key").alias(id_col), F.col("r.n").alias("n_shingles"), "c.component_id")

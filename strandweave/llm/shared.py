@@ -47,15 +47,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     every step aggregates before it joins, and lineage is cut each round.
     """
     state = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
+    size = F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+    mark = state.agg(*size).first()
     for _ in range(max_rounds):
+        # at most two nodes an edge; beyond the bound the sides are dealt out, and a hub's edges are split as skewed
+        side = F.broadcast if 2 * mark[0] <= BROADCAST_ROWS else (lambda df: df)
         both = state.select(F.col("a").alias("u"), F.col("b").alias("v")).union(state.select("b", "a"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("v > u").join(side(least), "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        star = large.join(lowest, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+        star = large.join(side(lowest), "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         state = checkpoint(star)
-        now = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = state.agg(*size).first()
         if now == mark:
             break
         mark = now
