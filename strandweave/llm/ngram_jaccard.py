@@ -53,8 +53,8 @@ from .shared import checkpoint, connected_components, release, small, stored
 GROUP_BYTES = 8 << 20
 #: Members of one list and band that a tile takes.
 TILE = 2048
-BUCKET_HASHES = 1 << 21
-FLUSH_HASHES = 1 << 21
+BUCKET_HASHES = 1 << 20
+FLUSH_HASHES = 1 << 19
 LARGEST_SET = 1 << 40
 CUTS = 24
 MOST_BITS = 1 << 16
@@ -186,6 +186,7 @@ def admitted(n: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray, p: int,
 def _pack_rows(held: list, bits: int) -> pa.RecordBatch:
     """One row per hash range: (bucket, hashes ascending, nodes), packed."""
     hashes, nodes = (np.concatenate(x) for x in zip(*held, strict=True))
+    held.clear()
     order = np.argsort(hashes)
     hashes, nodes = hashes[order], nodes[order]
     inner = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(0, np.uint64)
@@ -277,7 +278,8 @@ def _meetings(texts: DataFrame, bands: Bands, n: int, n_shingles: int) -> DataFr
                 total += len(hashes)
             if total >= FLUSH_HASHES:
                 yield _pack_rows(held, bits)
-                held, total, seen = [], 0, set()
+                total, seen = 0, set()
+                tk.trim()
         if held:
             yield _pack_rows(held, bits)
 
