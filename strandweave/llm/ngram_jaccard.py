@@ -50,7 +50,7 @@ from . import text_kernels as tk
 from .shared import checkpoint, connected_components, release, small, stored
 
 #: Set bytes that one task verifies at once.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 #: Members of one list and band that a tile takes.
 TILE = 2048
 BUCKET_HASHES = 1 << 20
@@ -134,7 +134,8 @@ class Bands:
         """Hashes and owners of one cut of the hash range, and the sets that need another."""
         n, k = (offsets[1:] - offsets[:-1])[mine], self.bundles[level]
         at = np.repeat(offsets[:-1][mine] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        values = sets[at] if not cut else tk.mix(sets[at] ^ (np.uint64(cut) * _CUT))
+        turn = np.uint64(cut * int(_CUT) % (1 << 64))
+        values = sets[at] if not cut else tk.mix(sets[at] ^ turn)
         base = np.cumsum(3 * k) - 3 * k
         slot = (((values >> np.uint64(32)) * np.repeat(3 * k, n).astype(np.uint64)) >> np.uint64(32)).astype(np.int64) + np.repeat(base, n)
         total = int(3 * k.sum())
@@ -151,7 +152,7 @@ class Bands:
         rest = count.sum(1, keepdims=True) - count
         owner = np.repeat(np.arange(len(mine)), k)
         number = (np.arange(total).reshape(-1, 3) - base[owner][:, None]).astype(np.uint64)
-        salt = level[owner].astype(np.uint64) * _LEVEL + np.uint64(cut) * _CUT
+        salt = level[owner].astype(np.uint64) * _LEVEL + turn
         hashed = tk.mix(sums.sum(1, keepdims=True, dtype=np.uint64) - sums + rest.astype(np.uint64) * _COUNT + (number + np.uint64(1)) * _PART + salt[:, None])
         keep = rest > 0
         bad = np.bincount(owner, (~keep).any(1), minlength=len(mine))
@@ -322,12 +323,16 @@ class _Verifier:
         def verify(table: pa.Table) -> pa.Table:
             hubs = table.column("b").to_numpy()
             is_hub = np.array(table.column("a").is_null())
-            sets, offsets = shingle_sets(table.column("text").combine_chunks(), n)
-            of_hub = {int(hubs[i]): sets[offsets[i]:offsets[i + 1]] for i in np.flatnonzero(is_hub)}
+            sets = []
+            for block in (b for batch in table.select(["text"]).to_batches() for b in tk.blocks([batch])):
+                values, offsets = shingle_sets(block.column(0), n)
+                edges = offsets.tolist()
+                sets += [values[x:y] for x, y in zip(edges, edges[1:])]
+            of_hub = {int(hubs[i]): sets[i] for i in np.flatnonzero(is_hub)}
             a, b = [], []
             own = table.column("a").to_pylist()
             for i in np.flatnonzero(~is_hub).tolist():
-                x, y = sets[offsets[i]:offsets[i + 1]], of_hub[int(hubs[i])]
+                x, y = sets[i], of_hub[int(hubs[i])]
                 at = np.searchsorted(y, x)
                 same = int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x))
                 if q * same >= p * (len(x) + len(y) - same):

@@ -10,12 +10,14 @@ never the partition.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 2 << 20
+LONG_SPAN = 512
 _CODEC = "zstd"
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -105,11 +107,18 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, the same for equal bytes in any block."""
+    """A 64-bit hash of each byte span, the same for equal bytes in any block.
+
+    A polynomial over prefix sums; long spans, where some texts have colliding
+    polynomials whatever the base, are hashed one by one.
+    """
     powers, inverses = _power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverses[starts])
+    out = mix((sums[ends] - sums[starts]) * inverses[starts])
+    for i in np.flatnonzero(ends - starts >= LONG_SPAN).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i]:ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:

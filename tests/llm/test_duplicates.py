@@ -73,9 +73,9 @@ def test_part_hashes_lose_no_link():
 
     rng = random.Random(1)
     bands = ngram_jaccard.Bands(85, 100)
-    for _ in range(300):
+    for _ in range(600):
         pool = [rng.randrange(1 << 62) for _ in range(150)]
-        a = set(pool[:rng.randrange(6, 120)])
+        a = set(pool[:rng.randrange(4, 120)])
         b = set(a)
         for _ in range(rng.randrange(20)):
             last = b - {rng.choice(sorted(b))} if rng.random() < 0.5 else b | {rng.choice(pool)}
@@ -90,7 +90,24 @@ def test_components_with_a_shared_passage(spark, corpus):
     passage = " ".join(f"p{k}" for k in range(30))
     docs = corpus + [(20_000 + k, f"{passage} " + " ".join(f"w{k}x{j}" for j in range(3 + k))) for k in range(25)]
     rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    assert sorted(map(tuple, ngram_jaccard.components(rows, 5, 4, 5, group_bytes=4000).collect())) == groups(docs, 5, 4, 5)
+    assert sorted(map(tuple, ngram_jaccard.components(rows, 5, 4, 5, group_bytes=4000, tile=3).collect())) == groups(docs, 5, 4, 5)
+
+
+def test_components_of_boilerplate_and_near_misses(spark):
+    rng = random.Random(8)
+    base = [f"b{k}" for k in range(60)]
+    docs = []
+    for k in range(60):  # variants of one text, about the threshold; many link only through others
+        own = list(base)
+        for _ in range(rng.randrange(4)):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(10_000)}"
+        docs.append((k, " ".join(own)))
+    lines = [" ".join(f"l{j}w{k}" for k in range(9)) for j in range(12)]
+    docs += [(100 + k, " ".join(rng.sample(lines, rng.randrange(1, 5)) + [f"own{k}"] * rng.randrange(2))) for k in range(80)]
+    docs += [(300 + k, " ".join(f"s{rng.randrange(3)}" for _ in range(rng.randrange(1, 14)))) for k in range(120)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for n, p, q in ((5, 4, 5), (1, 4, 5)):
+        assert sorted(map(tuple, ngram_jaccard.components(rows, n, p, q, tile=5).collect())) == groups(docs, n, p, q)
 
 
 def test_connected_components(spark):
