@@ -14,12 +14,16 @@ that line goes itself does not matter.
 3. *Rarity.*  Shingles of larger meetings are the frequent ones.  Where that
    left a line of a larger meeting that is not its first, the meeting's lines
    are ordered anew, rare shingles first and those last, and meet again by the
-   prefixes of this order: lines that only share a frequent passage part.  A pair that the first order misses consists of two
-   such lines, as a shingle that a line without them shares is rare.
+   prefixes of this order: lines that only share a frequent passage part.  A pair
+   that the first order misses consists of two such lines, as a shingle that a
+   line without them shares is rare.  What is large still is a family of lines,
+   similar or nearly so: of it those that stay meet all earlier ones.
 4. *Length and position.*  Pairs of lines are dropped whose sizes, or whose
    shingles left from the shared one's places on, can't reach the overlap; a
-   similar pair passes at the first shingle that it shares.
-5. *Verification* on the sets; the later line of a similar pair is removed.
+   similar pair passes at the first shingle that it shares.  In families, bit
+   counts of hashed bitmaps bound the overlap before a pair becomes a row.
+5. *Verification* on the sets, which are read once for all lines that met
+   another; the later line of a similar pair is removed.
 
 Defined results: null texts stay null and have no lines; a line without words
 is never removed and matches nothing; every row is a document of its own, rows
@@ -34,18 +38,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import checkpoint, release, small, stored
+from .shared import checkpoint, free_name, keyed, release, small, stored
 
 LOOK_BACK = 6
 SHINGLE = 5
+#: Lines of one meeting that are ordered in one place, to find neighbours.
+CHUNK = 500
 # What parts words inside a line
-BLANKS = " \t\u000b\f\r"
-BLANK_RUN = "[ \\t\\x0B\\f\\r]+"
+BLANKS = "\t\u000b\f\r"
 
 
 def _shingles(line: Column, k: int) -> Column:
     """Hashes of the k-word shingles of a line, distinct, in order."""
-    words = F.split(F.trim(F.lower(line), F.lit(BLANKS)), BLANK_RUN)
+    text = F.lower(line)
+    for blank in BLANKS:
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    words = F.transform(F.array_remove(F.split(text, " "), ""), lambda w: F.xxhash64(w))
     # the words are held by a lambda: a plain expression would be computed anew for each shingle
     windows = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]))
     return F.sort_array(F.array_distinct(F.get(F.transform(F.array(words), windows), F.lit(0))))
@@ -71,6 +79,17 @@ def _reach_pair(p: int, q: int, x: str, y: str) -> Column:
     return _reach(p, q, f"least({x}.n, {y}.n)", f"greatest({x}.n, {y}.n)", f"({x}.n + {y}.n)", f"least({x}.n - {x}.i, {y}.n - {y}.i)")
 
 
+def _bits(s: str) -> list[Column]:
+    """A bitmap of the hashes in column ``s``, 256 bits in four words."""
+    return [F.expr(f"aggregate({s}, 0L, (m, h) -> CASE WHEN (shiftright(h, 6) & 3) = {k} THEN m | shiftleft(1L, CAST(h & 63 AS INT)) ELSE m END)").alias(f"m{k}") for k in range(4)]
+
+
+def _bound_pair(p: int, q: int, x: str, y: str) -> Column:
+    """Whether the overlap can be enough by bit counts: bits of one line that the other lacks are shingles that it lacks."""
+    lacks = lambda a, b: " + ".join(f"bit_count({a}.m{k} & ~{b}.m{k})" for k in range(4))
+    return F.expr(f"({p} + {q}) * least({x}.n - ({lacks(x, y)}), {y}.n - ({lacks(y, x)})) >= {p} * ({x}.n + {y}.n)")
+
+
 def repeated_lines(docs: DataFrame, p: int = 4, q: int = 5, shingle: int = SHINGLE) -> DataFrame:
     """(doc, line_no) of the lines to remove; ``docs`` has (doc, text), each doc once."""
     if not 0 < p < q:
@@ -95,42 +114,56 @@ def repeated_lines(docs: DataFrame, p: int = 4, q: int = 5, shingle: int = SHING
     many = posted.join(meetings.where("met > 2 AND x <= y AND low <= high AND least_rest <= high").select("key").hint("shuffle_hash"), "key")
     found = stored(two.union(many.select(F.lit(None).cast("long").alias("x"), F.lit(None).cast("long").alias("y"), F.struct("key", "h", "n", "i").alias("at"))))
     release(docs.sparkSession)
-    near, frequent = _meetings(found.where("at IS NOT NULL").select("at.*"), heads, p, q)
+    # the sets of all lines that met another, read once
+    in_pairs = found.where("at IS NULL").select(F.explode(F.array("x", "y")).alias("h"))
+    own = checkpoint(in_pairs.union(found.where("at IS NOT NULL").select("at.h")).distinct().join(heads.select("h", "first"), "h"))
+    held = stored(_first_lines(docs, small(own)).select("h", "first", _shingles(F.col("line"), shingle).alias("s")).dropDuplicates(["h"]))
+    place_of = own
+
+    near, frequent = _meetings(found.where("at IS NOT NULL").select("at.*"), place_of, p, q)
     frequent = checkpoint(frequent)
-    gone = checkpoint(_later_of_similar(docs, heads, found.where("at IS NULL").select("x", "y").union(near).distinct(), p, q, shingle))
+    gone = _later_of_similar(held, found.where("at IS NULL").select("x", "y").union(near).distinct(), p, q)
     result = gone
     # the lines that a pair may still lack: of meetings in which a line stays that is not the first
     staying = frequent.join(gone, "h", "left_anti").where("h <> lead").select("key").distinct()
     open_ = checkpoint(frequent.join(staying, "key").select("h").distinct())
     if open_.limit(1).count():
         # rare shingles first: the frequent ones of a line are found by a probe of its set, and moved to its end
-        own = small(open_.join(heads, "h").select("h", "first"))
-        words = stored(_first_lines(docs, own).select("h", _shingles(F.col("line"), shingle).alias("s")).dropDuplicates(["h"]))
+        words = held.join(small(open_), "h", "left_semi").select("h", "s")
         often = words.select("h", F.explode("s").alias("key")).join(small(frequent.select("key").distinct()), "key").groupBy("h").agg(F.sort_array(F.collect_list("key")).alias("often"))
         turned = words.join(often, "h").select("h", F.size("s").alias("n"), F.slice(F.concat(F.array_except("s", "often"), "often"), F.lit(1), prefix(F.size("s"), p, q)).alias("s"))
         anew = stored(turned.select("h", "n", F.posexplode("s").alias("i", "key")).select("key", "h", "n", "i"))
         release(docs.sparkSession)
-        near, crowd = _meetings(anew, heads, p, q)
-        more = checkpoint(_later_of_similar(docs, heads, near.distinct().join(gone.withColumnRenamed("h", "x"), "x", "left_anti"), p, q, shingle))
-        # what is still large is a family of similar lines, nearly all of them gone by now
+        near, crowd = _meetings(anew, place_of, p, q)
+        more = _later_of_similar(held, near.distinct().join(gone.withColumnRenamed("h", "x"), "x", "left_anti"), p, q)
+        # what is still large is a family of lines, similar or nearly so: those that stay
+        # meet all earlier ones, and only pairs that the bitmaps admit become rows
         result = checkpoint(gone.union(more).distinct())
-        placed = checkpoint(crowd)
+        crowd = checkpoint(crowd)
+        mapped = crowd.join(held.join(crowd.select("h").distinct(), "h", "left_semi").select("h", *_bits("s")), "h")
+        placed = stored(mapped.select("key", "h", "n", "i", "first", *[f"m{k}" for k in range(4)]))
         rest = placed.join(result, "h", "left_anti")
-        pairs = rest.alias("x").join(placed.alias("y"), F.expr("x.key = y.key AND y.first < x.first") & _reach_pair(p, q, "x", "y")).select(F.col("x.h").alias("x"), F.col("y.h").alias("y")).distinct()
-        result = result.union(_later_of_similar(docs, heads, checkpoint(pairs), p, q, shingle))
-    return later.unionByName(result.distinct().join(heads, "h").select("first.doc", "first.line_no"))
+        pairs = rest.alias("x").join(placed.alias("y"), F.expr("x.key = y.key AND y.first < x.first") & _reach_pair(p, q, "x", "y") & _bound_pair(p, q, "x", "y")).select(F.col("x.h").alias("x"), F.col("y.h").alias("y")).distinct()
+        result = result.union(_later_of_similar(held, pairs, p, q))
+    return later.unionByName(result.distinct().join(place_of, "h").select("first.doc", "first.line_no"))
+
 
+def _meetings(rows: DataFrame, places: DataFrame, p: int, q: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (x later, y earlier) of the lines of each key, and the rows of large keys with their places and first line.
 
-def _meetings(rows: DataFrame, heads: DataFrame, p: int, q: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (x later, y earlier) of the lines of each key, and the rows of large keys with their places and first line; of those only neighbours and the first are paired."""
-    by_place = Window.partitionBy("key").orderBy("first")
+    All lines of a small meeting are paired; in a large one each is paired with
+    the meeting's first line and with the one before it in a chunk of bounded size.
+    """
     line = F.struct("h", "n", "i")
-    placed = rows.join(heads.select("h", "first"), "h")
-    counted = placed.select("key", "h", "n", "i", "first", line.alias("x"), F.count("*").over(Window.partitionBy("key")).alias("met"), F.first(line).over(by_place).alias("lead"), F.array(*[F.lag(line, k).over(by_place) for k in range(1, LOOK_BACK + 1)]).alias("ys")).where("met > 1")
+    placed = rows.join(places.select("h", "first"), "h").select("key", "h", "n", "i", "first", line.alias("x"))
+    sums = placed.groupBy("key").agg(F.count("*").alias("met"), F.min(F.struct("first", "x")).alias("lead")).where("met > 1").select("key", "met", F.col("lead.x").alias("lead"))
+    sized = placed.join(sums, "key").withColumn("chunk", F.pmod(F.xxhash64("h"), F.ceil(F.col("met") / CHUNK).cast("long")))
+    by_place = Window.partitionBy("key", "chunk").orderBy("first")
+    counted = sized.select("*", F.array(*[F.lag("x", k).over(by_place) for k in range(1, LOOK_BACK + 1)]).alias("ys"))
     others = F.when(F.col("met") <= LOOK_BACK + 1, F.col("ys")).otherwise(F.array(F.get("ys", F.lit(0)), F.col("lead")))
     before = counted.select("x", F.explode(others).alias("y")).where("y.h <> x.h")
     near = before.where(F.col("y").isNotNull() & _reach_pair(p, q, "x", "y")).select(F.col("x.h").alias("x"), F.col("y.h").alias("y"))
-    return near, counted.where(F.col("met") > LOOK_BACK + 1).select("key", "h", "n", "i", "first", F.col("lead.h").alias("lead"))
+    return near, sized.where(F.col("met") > LOOK_BACK + 1).select("key", "h", "n", "i", "first", F.col("lead.h").alias("lead"))
 
 
 def _first_lines(docs: DataFrame, own: DataFrame) -> DataFrame:
@@ -138,43 +171,26 @@ def _first_lines(docs: DataFrame, own: DataFrame) -> DataFrame:
     return _lines(docs).withColumn("h", F.xxhash64("line")).join(own, "h").where("first.doc <=> doc AND first.line_no = line_no")
 
 
-def _later_of_similar(docs: DataFrame, heads: DataFrame, pairs: DataFrame, p: int, q: int, shingle: int) -> DataFrame:
-    """(h) of the later line of every pair (x, y) that is similar."""
+def _later_of_similar(held: DataFrame, pairs: DataFrame, p: int, q: int) -> DataFrame:
+    """(h) of the later line of every pair (x, y) that is similar; ``held`` has the lines' sets."""
     pairs = checkpoint(pairs)
-    wanted = pairs.select(F.col("x").alias("h")).union(pairs.select("y")).distinct()
-    own = small(wanted.join(heads, "h").select("h", "first"))
-    sets = stored(_first_lines(docs, own).select("h", "first", _shingles(F.col("line"), shingle).alias("s")))
-    a, b = sets.select(F.col("h").alias("x"), F.col("first").alias("fx"), F.col("s").alias("sx")), sets.select(F.col("h").alias("y"), F.col("first").alias("fy"), F.col("s").alias("sy"))
+    a, b = held.select(F.col("h").alias("x"), F.col("first").alias("fx"), F.col("s").alias("sx")), held.select(F.col("h").alias("y"), F.col("first").alias("fy"), F.col("s").alias("sy"))
     both = pairs.join(a, "x").join(b, "y").select("x", "y", "fx", "fy", F.size("sx").alias("n"), F.size("sy").alias("m"), F.size(F.array_intersect("sx", "sy")).alias("o"))
     similar = both.where(F.lit(q) * F.col("o") >= F.lit(p) * (F.col("n") + F.col("m") - F.col("o")))
-    return similar.select(F.when(F.expr("fx > fy"), F.col("x")).otherwise(F.col("y")).alias("h")).distinct()
-
-
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, doc, text): the rows as structs, each with a key of its own that sorts by id.
-
-    The id alone where none is null or repeated; else rows with a null or
-    repeated id have their text's hash and a number besides, held by a checkpoint.
-    """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    repeated = checkpoint(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 OR id IS NULL").select("id"))
-    if not repeated.limit(1).count():
-        return rows.select("row", F.col("id").alias("doc"), "text")
-    marked = rows.alias("a").join(small(repeated.select("id", F.lit(True).alias("odd"))).alias("b"), F.expr("a.id <=> b.id"), "left").select("row", "a.id", "text", F.expr("odd IS NOT NULL").alias("odd"))
-    none = F.lit(None).cast("long")
-    plain = marked.where("NOT odd").select("row", F.struct("id", none.alias("h"), none.alias("k")).alias("doc"), "text")
-    odd = checkpoint(marked.where("odd").select("row", F.struct("id", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("k")).alias("doc"), "text"))
-    return plain.unionByName(odd)
+    return checkpoint(similar.select(F.when(F.expr("fx > fy"), F.col("x")).otherwise(F.col("y")).alias("h")).distinct())
 
 
 def dedup(docs: DataFrame, p: int = 4, q: int = 5, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with later similar lines removed from the text, and n_lines_removed."""
-    rows = _keyed(docs, id_col, text_col)
+    """``docs`` with later similar lines removed from the text, and n_lines_removed (with underscores after it where docs has such a column)."""
+    rows = keyed(docs, id_col, text_col)
     removed = repeated_lines(rows.select("doc", "text"), p, q, shingle)
     per_doc = removed.groupBy("doc").agg(F.collect_set("line_no").alias("removed_"))
     per_doc = small(checkpoint(per_doc), 500_000)
     joined = rows.alias("d").join(per_doc.alias("r"), F.expr("d.doc <=> r.doc"), "left")
-    kept = F.array_join(F.filter(F.split("d.text", "\n", -1), lambda line, k: ~F.array_contains("r.removed_", k)), "\n")
+    # places that stay, looked up in lines held by a lambda: linear in the text's lines
+    stay = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("r.removed_"))
+    held = F.transform(F.array(F.split("d.text", "\n", -1)), lambda lines: F.transform(stay(lines), lambda k: F.get(lines, k)))
+    kept = F.array_join(F.get(held, F.lit(0)), "\n")
     text = F.when(F.col("r.removed_").isNull(), F.col("d.text")).otherwise(kept)
     own = [text.alias(c) if c == text_col else F.col(f"d.row.`{c}`").alias(c) for c in docs.columns]
-    return joined.select(*own, F.coalesce(F.size("r.removed_"), F.lit(0)).alias("n_lines_removed"))
+    return joined.select(*own, F.coalesce(F.size("r.removed_"), F.lit(0)).alias(free_name(docs, "n_lines_removed")))

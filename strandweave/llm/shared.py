@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -14,16 +15,19 @@ BROADCAST_ROWS = 2_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it; a local one only where it is unset."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; on one machine alone a local one where it is unset."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp())
     folder = context.getCheckpointDir()
     return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that spark.checkpoint.dir names; a local one only where it is unset."""
+    """Cut the lineage in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -72,3 +76,28 @@ def release(spark: SparkSession) -> None:
     """Let the driver notice frames that are gone, so that the files of their exchanges are deleted."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, doc, text): the rows as structs, each with a key of its own that sorts by id and is never null.
+
+    The id alone where none is null or repeated; else rows with a null or
+    repeated id have their text's hash and a number besides, held by a checkpoint.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    repeated = checkpoint(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 OR id IS NULL").select("id"))
+    if not repeated.limit(1).count():
+        return rows.select("row", F.col("id").alias("doc"), "text")
+    none = F.lit(None).cast("long")
+    plain = F.struct("id", none.alias("h"), none.alias("k")).alias("doc")
+    marked = rows.alias("a").join(small(repeated.select("id", F.lit(True).alias("odd"))).alias("b"), F.expr("a.id <=> b.id"), "left").select("row", "a.id", "text", F.expr("odd IS NOT NULL").alias("odd"))
+    odd = checkpoint(marked.where("odd").select("row", F.struct("id", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("k")).alias("doc"), "text"))
+    return marked.where("NOT odd").select("row", plain, "text").unionByName(odd)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

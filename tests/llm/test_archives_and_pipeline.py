@@ -16,7 +16,7 @@ import corpus_pipeline
 import public_tokenizers
 import tiktoken
 from conftest import DATA
-from strandweave.llm import decontamination, queries, warc_zip
+from strandweave.llm import decontamination, line_dedup, queries, warc_zip
 from test_duplicates import deduped, groups, hits
 from test_text_and_rules import plain_rules
 
@@ -167,3 +167,20 @@ def test_decontamination_judges_rows_of_null_and_repeated_ids(spark):
     clean = "nothing of a benchmark is here"
     docs = spark.createDataFrame([(d, t, "en", "s", 9) for d in (None, 4) for t in (item, clean)] + [(5, item, "en", "s", 9)], schema)
     assert sorted((repr(r.doc_id), r.text) for r in corpus_pipeline.by_decontamination(spark, docs, folder).collect()) == [("4", clean), ("None", clean)]
+
+
+def test_no_row_is_lost_for_a_repeated_id(spark):
+    schema = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").schema
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    docs = spark.createDataFrame([(1, a, "en", "s", 9), (1, b, "en", "s", 9), (2, f"q {a}", "en", "s", 9), (None, b, "en", "s", 9), (None, "c " * 3 + "d", "en", "s", 9)], schema)
+    got = corpus_pipeline.by_ngram_jaccard(spark, docs, "").collect()
+    assert sorted((repr(r.doc_id), r.text) for r in got) == sorted([("1", a), ("1", b), ("None", "c c c d")])
+
+
+def test_a_clashing_count_column(spark):
+    schema = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").schema
+    docs = spark.createDataFrame([(1, "one two\nthree", "en", "s", 9), (2, "four\none two", "en", "s", 9)], schema).withColumn("n_lines_removed", F.lit("own"))
+    got = corpus_pipeline.by_line_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, r.text, r.n_chars, r.n_lines_removed) for r in got.collect()) == [(1, "one two\nthree", 9, "own"), (2, "four", 4, "own")]
+    assert line_dedup.dedup(docs).columns == [*docs.columns, "n_lines_removed_"]
