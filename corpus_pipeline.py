@@ -1,11 +1,12 @@
 """A corpus pipeline of the subpackage's operators, each stage over all that its predecessor kept.
 
 Stages take and return the columns of ``documents``; the last returns the
-encoded rows.  Defined results: rows without words fail the quality rules; a
-text that line dedup empties goes with its document, as all of it stands
-elsewhere; of rows that repeat a doc_id in a group one stays; a row with a
-null doc_id is judged on its own and never dropped as a copy; an empty table
-passes through.
+encoded rows.  Every row is judged on its own, whether its doc_id is null,
+repeated or unique.  Defined results: rows without words fail the quality
+rules; a text that line dedup empties goes with its row, as all of it stands
+elsewhere; of a group of near duplicates the row with the smallest doc_id stays
+(rows without an id last, equal ids by a hash of their texts); extra columns
+stay, whatever their names; an empty table passes through.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from strandweave.llm import byte_bpe, decontamination, line_dedup, ngram_jaccard, quality_rules
 from strandweave.llm.queries import ranks_path
-from strandweave.llm.shared import checkpoint, shared_folder, small
+from strandweave.llm.shared import checkpoint, keyed, shared_folder, small
 from strandweave.packaging import ship
 
 #: No words but blanks and line ends.
@@ -31,29 +32,34 @@ def by_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def by_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later similar lines go; n_chars follows the text."""
-    done = line_dedup.dedup(docs).where(~((F.col("n_lines_removed") > 0) & F.col("text").rlike(BLANK)))
-    return done.withColumn("n_chars", F.when(F.col("n_lines_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    done = line_dedup.dedup(docs)
+    n_gone = F.col(done.columns[-1])
+    kept = done.where(~((n_gone > 0) & F.col("text").rlike(BLANK)))
+    return kept.withColumn("n_chars", F.when(n_gone > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def _without(rows: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
+    """The keyed rows whose key is not in ``gone`` (doc)."""
+    left = rows.alias("r").join(small(gone).alias("g"), F.expr("r.doc <=> g.doc"), "left_anti")
+    return left.select(*[F.col(f"row.`{c}`").alias(c) for c in columns])
 
 
 def by_ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, 0.8) the document with the smallest id stays."""
-    found = ngram_jaccard.components(docs, n=5, p=4, q=5)
-    copies = checkpoint(found.where("doc_id <> component_id").select("doc_id").distinct())
-    kept = docs.join(small(copies), "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if not repeated:
-        return kept
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    """Of each group of near duplicates (five words, 0.8) one row stays."""
+    rows = keyed(docs)
+    plain = rows.schema["doc"].dataType == docs.schema["doc_id"].dataType
+    # rows with an id stay before rows without one
+    key = F.col("doc") if plain else F.struct(F.col("doc.id").isNull().alias("last"), "doc")
+    found = ngram_jaccard.components(rows.select(key.alias("doc"), "text"), n=5, p=4, q=5, id_col="doc")
+    gone = found.where("NOT doc <=> component_id").select("doc" if plain else "doc.doc")
+    return _without(rows, checkpoint(gone), docs.columns)
 
 
 def by_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are contaminated by benchmark passages go."""
-    # equal ids and texts have equal verdicts; an id alone may be null or repeated
-    keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("mark")).alias("doc_id"), "text")
-    found = decontamination.search(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = checkpoint(found.where(decontamination.contaminated()).select("doc_id.doc_id", "doc_id.mark").distinct())
-    own = (F.col("d.doc_id").eqNullSafe(F.col("b.doc_id"))) & (F.xxhash64("d.text") == F.col("b.mark"))
-    return docs.alias("d").join(small(bad).alias("b"), own, "left_anti").select(*docs.columns)
+    """Rows that are contaminated by benchmark passages go."""
+    rows = keyed(docs)
+    found = decontamination.search(rows.select("doc", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="doc")
+    return _without(rows, checkpoint(found.where(decontamination.contaminated()).select("doc")), docs.columns)
 
 
 def by_byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
