@@ -1,13 +1,15 @@
 """Quality classifier: a factorisation machine over hashed words and structure.
 
 A text is a sparse vector: its distinct words, hashed, with values that give
-the words one unit of length together, and one indicator for each structure
-statistic's bin (length as recorded and in words, word length, symbols,
-capitals, punctuation, digits, repeated words and lines).  The score is
+the words one unit of length together, and one indicator for each bin of its
+structure statistics (length in words and bytes, word length, symbols, capitals,
+punctuation, digits, repeated words and lines) and of its metadata (characters
+on record; a null has a bin of its own).  The score is
 sigmoid(bias + sum w x + 1/2 sum_f ((sum v x)^2 - sum v^2 x^2)), linear in the
 number of features.  The model has 2^bits rows, whatever the corpus.
 
-Training takes a bounded sample of labelled rows, by AdaGrad on the driver.
+Training takes a sample of labelled rows, bounded in rows and in bytes, by
+AdaGrad on the driver.
 
 Defined results: null and empty texts are vectors of structure bins only;
 repeated rows are scored one by one; without labels of both classes every
@@ -30,21 +32,24 @@ from .quality_rules import measure_block
 from .toxicity import score  # noqa: F401  the scoring pass is the same
 
 TRAIN_ROWS = 8_000
+TRAIN_BYTES = 64 << 20
 BITS = 17
 RANK = 8
 N_BINS = 16
-STATISTICS = 10
+STATISTICS = 11
 _MARK = np.zeros(256, bool)
 _MARK[np.frombuffer(b"!\"'(),-./:;?[]_{}", np.uint8)] = True
 
 
-def statistics(texts: pa.Array) -> np.ndarray:
+def statistics(texts: pa.Array, recorded: pa.Array) -> np.ndarray:
+    """Structure and metadata of each text; -1 for a null on record."""
     data, offsets = tk.utf8(texts)
     m = measure_block(texts)
     words, chars = np.maximum(m["n_words"], 1), np.maximum(np.diff(offsets), 1)
     columns = [
         np.log1p(m["n_words"]), np.log1p(np.diff(offsets)), m["word_chars"] / words, m["n_symbols"] / words, m["n_upper"] / np.maximum(m["n_letters"], 1), tk.sums_by_value(_MARK[data], offsets) / chars,
         tk.sums_by_value((data - np.uint8(48)) < 10, offsets) / chars, m["n_repeat_words"] / words, m["n_dup_lines"] / np.maximum(m["n_lines"], 1), m["n_lines"] / words,
+        np.log1p(np.maximum(recorded.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64), 0)) - np.asarray(recorded.is_null()).astype(np.float64),
     ]
     return np.stack([np.asarray(c, np.float64) for c in columns], 1)
 
@@ -94,6 +99,7 @@ class FactorisationMachine:
             return self
         stats = np.stack([s for _, s in rows])
         self.edges = np.quantile(stats, np.linspace(0, 1, N_BINS + 1)[1:-1], axis=0).T
+        self.edges[-1, 0] = -0.5  # a null on record has the first bin to itself
         mean = labels.mean()
         self.bias = float(np.log(mean / (1 - mean)))
         seen_w, seen_v, seen_b = np.full(self.size, 1e-6, np.float32), np.full(self.v.shape, 1e-6, np.float32), 1e-6
@@ -125,21 +131,21 @@ class FactorisationMachine:
                 self.bias -= rate * gb / np.sqrt(seen_b)
         return self
 
-    def score(self, texts: pa.Array) -> np.ndarray:
+    def score(self, texts: pa.Array, recorded: pa.Array) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
         slots, offsets = word_slots(texts, self.bits)
-        return sigmoid(self.margins(*self.vectors(slots, offsets, statistics(texts)))[0].astype(np.float64))
+        return sigmoid(self.margins(*self.vectors(slots, offsets, statistics(texts, recorded)))[0].astype(np.float64))
 
 
-def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", train_rows: int = TRAIN_ROWS, **columns: str) -> FactorisationMachine:
-    """Learn from at most ``train_rows`` labelled rows outside the held-out fold."""
-    sample = training_sample(docs, labels, target, train_rows, **columns)
+def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES, **columns: str) -> FactorisationMachine:
+    """Learn from at most ``train_rows`` labelled rows, of at most ``train_bytes``, outside the held-out fold."""
+    sample = training_sample(docs, labels, target, train_rows, most_bytes=train_bytes, **columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in tk.blocks(batches):
             slots, offsets = word_slots(block.column(0))
-            stats = statistics(block.column(0))
+            stats = statistics(block.column(0), block.column(2))
             cuts = offsets.tolist()
             packed = [slots[a:b].astype(np.int32).tobytes() for a, b in zip(cuts, cuts[1:])]
             yield pa.RecordBatch.from_arrays([block.column(1), pa.array(packed, pa.binary()), pa.array(list(stats), pa.list_(pa.float64()))], names=["label", "slots", "stats"])

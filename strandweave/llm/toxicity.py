@@ -1,8 +1,8 @@
 """Toxicity: boosted trees over dense features, calibrated by isotonic regression.
 
 A word list is learned from labelled documents, words and word stems (leading
-bytes) with their log odds; a second, disjoint sample gives the trees their
-rows.  Both samples are bounded by parameters.  Features are densities of list
+bytes) with their log odds, counted on executors; a second, disjoint sample
+gives the trees their rows.  Both samples are bounded by parameters.  Features are densities of list
 words, their nearness to second-person words, capitals, punctuation and signs
 of obfuscation.  Scoring is one narrow pass over whole texts.
 
@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import text_kernels as tk
 from .boosting import Calibrated
@@ -73,6 +74,16 @@ def _near(hit: np.ndarray, mark: np.ndarray, of: np.ndarray, reach: int) -> np.n
     return out
 
 
+def _near_another(hit: np.ndarray, of: np.ndarray, reach: int) -> np.ndarray:
+    """Hits with another hit at most ``reach`` words away in the same text."""
+    to = np.flatnonzero(hit)
+    close = (np.diff(to) <= reach) & (of[to[1:]] == of[to[:-1]])
+    out = np.zeros(len(hit), bool)
+    out[to[1:][close]] = True
+    out[to[:-1][close]] = True
+    return out
+
+
 class Lexicon:
     """Sorted hashes with their log odds, by stem length (0: whole words)."""
 
@@ -81,23 +92,12 @@ class Lexicon:
         self.insults, self.you = _hashes(INSULTS), _hashes(YOU)
 
     @staticmethod
-    def learn(documents: list[tuple[int, dict[int, np.ndarray]]]) -> "Lexicon":
-        """documents: (label, distinct term hashes by stem length)."""
-        n_bad = sum(label for label, _ in documents)
-        n_good = len(documents) - n_bad
+    def of(entries: list[tuple[int, int, float]]) -> "Lexicon":
+        """entries: (stem length, term hash, log odds)."""
         tables = {}
         for length in (0, *STEMS):
-            bad, good = (np.unique(np.concatenate([np.zeros(0, np.uint64), *(t[length] for y, t in documents if y == label)]), return_counts=True) for label in (1, 0))
-            least = max(3, n_bad // 200)
-            terms, count = bad[0][bad[1] >= least], bad[1][bad[1] >= least]
-            other = np.zeros(len(terms))
-            if len(good[0]) and len(terms):
-                at = np.minimum(np.searchsorted(good[0], terms), len(good[0]) - 1)
-                other = np.where(good[0][at] == terms, good[1][at], 0)
-            odds = np.log((count + 0.5) / (n_bad + 1)) - np.log((other + 0.5) / (n_good + 1))
-            keep = np.flatnonzero(odds > 2)
-            keep = np.sort(keep[np.argsort(-odds[keep] * np.sqrt(count[keep]), kind="stable")[:LEXICON_TERMS]])
-            tables[length] = terms[keep], odds[keep]
+            own = sorted((term % (1 << 64), odds) for k, term, odds in entries if k == length)
+            tables[length] = np.array([t for t, _ in own], np.uint64), np.array([o for _, o in own], np.float64)
         return Lexicon(tables)
 
     def weights(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -129,7 +129,7 @@ def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
     listed, strong = weight > 0, weight > 3.5
     insult, you = _in(hashes, lexicon.insults), _in(hashes, lexicon.you)
     near = _near(listed | insult, you, of, 4)
-    close = _near(strong | insult, np.roll(strong | insult, 1), of, 12)
+    close = _near_another(strong | insult, of, 12)
     length = np.diff(offsets)
     bytes_ = np.maximum(length, 1)
     upper = (data - np.uint8(65)) < 26
@@ -169,27 +169,33 @@ def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
 
 
 def _learn_lexicon(sample: DataFrame) -> Lexicon:
+    """Terms are counted by document on executors; only the strongest of each stem length come back."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in tk.blocks(batches):
             _, _, lower, starts, ends, words = _words(block.column(0))
-            of = tk.value_index(words)
-            rows = [[] for _ in range(block.num_rows)]
+            of, labels = tk.value_index(words), block.column(1).to_numpy()
             for length in (0, *STEMS):
                 at, hashes = _terms(lower, starts, ends, length)
-                cuts = np.searchsorted(of[at], np.arange(block.num_rows + 1)).tolist()
-                for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                    rows[i].append(np.unique(hashes[a:b]).tobytes())
-            yield pa.RecordBatch.from_arrays([block.column(1), pa.array(rows, pa.list_(pa.binary()))], names=["label", "terms"])
+                pairs = np.unique(np.stack([hashes, of[at].astype(np.uint64)], 1), axis=0)
+                terms, number = np.unique(pairs[:, 0], return_inverse=True)
+                bad = np.bincount(number, labels[pairs[:, 1].astype(np.int64)], len(terms)).astype(np.int64)
+                n = np.bincount(number, minlength=len(terms))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(terms), length), pa.int64()), pa.array(terms.view(np.int64)), pa.array(bad), pa.array(n - bad, pa.int64())], names=["length", "term", "bad", "good"])
 
-    found = sample.select("text", "label").mapInArrow(run, "label int, terms array<binary>").collect()
-    return Lexicon.learn([(r.label, {k: np.frombuffer(t, np.uint64) for k, t in zip((0, *STEMS), r.terms, strict=True)}) for r in found])
+    n_bad, n_all = sample.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
+    found = sample.select("text", "label").mapInArrow(run, "length bigint, term bigint, bad bigint, good bigint").groupBy("length", "term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    odds = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.col("good") + 0.5) / (n_all - n_bad + 1))
+    strong = found.where(F.col("bad") >= max(3, n_bad // 200)).withColumn("odds", odds).where("odds > 2")
+    ranked = strong.withColumn("nth", F.row_number().over(Window.partitionBy("length").orderBy(F.desc(F.col("odds") * F.sqrt("bad")), "term")))
+    return Lexicon.of([(r.length, r.term, r.odds) for r in ranked.where(F.col("nth") <= LEXICON_TERMS).select("length", "term", "odds").collect()])
 
 
 class Model:
     def __init__(self, lexicon: Lexicon, scorer: Calibrated):
         self.lexicon, self.scorer = lexicon, scorer
 
-    def score(self, texts: pa.Array) -> np.ndarray:
+    def score(self, texts: pa.Array, recorded: pa.Array) -> np.ndarray:
         return np.clip(self.scorer(features(texts, self.lexicon)), 0, 1)
 
 
@@ -210,13 +216,17 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", lexicon_rows:
     return Model(lexicon, Calibrated(x, np.array([r.label for r in rows], np.float64)))
 
 
-def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of every row; the model has a size fixed by its parameters and is broadcast."""
-    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """(id, score) of every row; the model has a size fixed by its parameters and is broadcast.
+
+    ``chars_col``, a number of characters on record, is null where docs has no such column.
+    """
+    recorded = F.col(chars_col) if chars_col in docs.columns else F.lit(None)
+    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"), recorded.try_cast("long").alias("recorded"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in tk.blocks(batches):
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(shared.value.score(block.column(1)), pa.float64())], names=["key", "score"])
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(shared.value.score(block.column(1), block.column(2)), pa.float64())], names=["key", "score"])
 
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, score double").withColumnRenamed("key", id_col)

@@ -6,11 +6,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import DATA
-from strandweave.llm import backoff_lm, boosting, labelled, quality_fm, text_kernels, toxicity
+from strandweave.llm import backoff_lm, boosting, labelled, quality_fm, queries, text_kernels, toxicity
 
 
 def tokens(t):
@@ -149,3 +150,127 @@ def test_samples_are_bounded_and_disjoint(spark, tables):
     a = labelled.training_sample(docs, labels, "toxic", 50, per_class=True, part=0, parts=2)
     assert sorted(r["count"] for r in a.groupBy("label").count().collect()) == [50, 50]
     assert labelled.training_sample(docs, labels, "toxic", 70).count() == 70
+
+
+def _hash(word):
+    data = np.frombuffer(word, np.uint8)
+    return int(text_kernels.hash_spans(data, np.array([0]), np.array([len(data)]))[0])
+
+
+def plain_features(text, weights):
+    """The features by their definitions, word by word; ``weights`` is the word list."""
+    data = (text or "").encode()
+    lower = bytes(b | 32 if 65 <= b <= 90 else b for b in data)
+    found = [m.span() for m in re.finditer(rb"[A-Za-z\x80-\xff]+", data)]
+    words = [lower[a:b] for a, b in found]
+    insults, you = ({w.encode() for w in words_} for words_ in (toxicity.INSULTS, toxicity.YOU))
+    per = max(len(words), 1)
+    weight = [weights.get(w, 0.0) for w in words]
+    insult = [w in insults for w in words]
+    mark = [w in you for w in words]
+    hits = [k for k, w in enumerate(words) if weight[k] > 0 or insult[k]]
+    hard = [k for k, w in enumerate(words) if weight[k] > 3.5 or insult[k]]
+    near = sum(any(mark[j] and abs(j - k) <= 4 for j in range(len(words))) for k in hits)
+    close = sum(any(j != k and abs(j - k) <= 12 for j in hard) for k in hard)
+    letters, bytes_ = max(sum(b - a for a, b in found), 1), max(len(data), 1)
+    shouted = sum(b - a > 1 and all(65 <= c <= 90 for c in data[a:b]) for a, b in found)
+    marks = set(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+    is_letter = lambda c: 65 <= c <= 90 or 97 <= c <= 122 or c >= 128
+    repeated = sum(lower[k] == lower[k - 1] == lower[k - 2] and is_letter(data[k]) for k in range(2, len(data)))
+    spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+    mixed = sum(b - a > 2 and any(c in marks or 48 <= c <= 57 for c in data[a + 1:b - 1]) for a, b in spans)
+    table = bytes.maketrans(b"013457@$", b"oleastas")
+    hidden = sum((p := lower[a:b].translate(table)) != lower[a:b] and (p in insults or p in weights) for a, b in spans)
+    n_listed, n_strong, n_insult = sum(w > 0 for w in weight), sum(w > 3.5 for w in weight), sum(insult)
+    return [
+        n_listed, n_listed / per, n_strong, n_strong / per, sum(weight), sum(weight) / per, n_insult, n_insult / per, sum(mark) / per, near, near / per, close,
+        sum(65 <= c <= 90 for c in data) / letters, shouted / per, sum(c in marks for c in data) / bytes_, data.count(b"!") / bytes_, data.count(b"?") / bytes_, repeated / bytes_,
+        mixed / max(len(spans), 1), hidden, math.log1p(len(words)),
+    ]
+
+
+def test_features_by_their_definitions():
+    weights = {b"bad": 2.5, b"vile": 4.0, "r\u00e4udig".encode(): 5.0}
+    lexicon = toxicity.Lexicon.of([(0, _hash(w), o) for w, o in weights.items()])
+    texts = ["You are a BAD, bad idiot! and a b4d 1diot", None, "", "vile " + "x " * 14 + "vile", "vile " + "x " * 10 + "vile du", "r\u00e4udig?? soooo @#1a y0u", "idiot", "scum\nyou VILE", "plain words only here"]
+    got = toxicity.features(pa.array(texts, pa.string()), lexicon)
+    for row, t in zip(got, texts, strict=True):
+        assert row.tolist() == pytest.approx(plain_features(t, weights)), t
+
+
+def plain_tree(tree, depth, row):
+    feature, threshold, leaf = tree
+    slot = 0
+    for _ in range(depth):
+        slot = 2 * slot + (2 if row[feature[slot]] > threshold[slot] else 1)
+    return leaf[slot - (2**depth - 1)]
+
+
+def test_a_stump_is_the_best_split():
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 9, (200, 3)).astype(float)
+    y = ((x[:, 1] > 4) ^ (rng.random(200) < 0.1)).astype(float)
+    made = boosting.BoostedTrees(n_trees=1, depth=1).fit(x, y)
+    g, h = y.mean() - y, np.full(200, y.mean() * (1 - y.mean()))
+    part = lambda at: g[at].sum() ** 2 / (h[at].sum() + 1.0)
+    best = max((part(x[:, f] <= c) + part(x[:, f] > c), -f, -c) for f in range(3) for c in range(8) if min(h[x[:, f] <= c].sum(), h[x[:, f] > c].sum()) >= 3)
+    feature, threshold, leaf = made.trees[0]
+    at = x[:, feature[0]] > threshold[0]
+    assert part(at) + part(~at) == pytest.approx(best[0])
+    assert leaf.tolist() == pytest.approx([-0.15 * g[~at].sum() / (h[~at].sum() + 1), -0.15 * g[at].sum() / (h[at].sum() + 1)])
+
+
+def test_toxicity_query_equals_plain_scoring(spark):
+    folder = f"{DATA}/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    tables = {k: dict(zip(t.tolist(), o.tolist(), strict=True)) for k, (t, o) in model.lexicon.tables.items()}
+
+    class Weights(dict):
+        """The list by stems: a word's largest log odds."""
+
+        def get(self, word, default):
+            own = [table.get(_hash(word), 0) if k == 0 else table.get(int(text_kernels.mix(np.array([_hash(word[:k])], np.uint64) + np.uint64(k))[0]), 0) for k, table in tables.items() if k == 0 or len(word) > k]
+            return max([default, *own])
+
+        def __contains__(self, word):
+            return _hash(word) in tables[0]
+
+    got = {r.doc_id: r for r in queries.op4_toxicity(spark, folder).collect()}
+    rows = docs.orderBy("doc_id").collect()
+    assert len(got) == len(rows)
+    for r in rows[::25]:
+        x = plain_features(r.text, Weights())
+        raw = model.scorer.trees.start + sum(plain_tree(t, model.scorer.trees.depth, x) for t in model.scorer.trees.trees)
+        want = min(1, max(0, float(model.scorer.curve(np.array([raw]))[0])))
+        assert got[r.doc_id].score == pytest.approx(want, abs=1e-6)
+    for r in rows:
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and got[r.doc_id].predicted == (got[r.doc_id].score >= 0.3)
+
+
+def test_quality_query_equals_plain_scoring(spark):
+    folder = f"{DATA}/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_fm.fit(docs, labels)
+    got = {r.doc_id: r for r in queries.op5_quality_fm(spark, folder).collect()}
+    rows = docs.orderBy("doc_id").collect()
+    assert len(got) == len(rows)
+    for r in rows[::25]:
+        found = {_hash(w.encode()) >> (64 - model.bits) for w in tokens(r.text)[:-1]}
+        stats = quality_fm.statistics(pa.array([r.text], pa.string()), pa.array([r.n_chars], pa.int64()))[0]
+        x = {slot: 1 / math.sqrt(len(found)) for slot in found}
+        x |= {(1 << model.bits) + k * quality_fm.N_BINS + sum(e < v for e in model.edges[k]): 0.5 for k, v in enumerate(stats)}
+        at = sorted(x)
+        v = np.array([model.v[k] * x[k] for k in at], np.float64)
+        pairs = sum(float(v[i] @ v[i + 1:].sum(0)) for i in range(len(at)))
+        raw = model.bias + sum(float(model.w[k]) * x[k] for k in at) + pairs
+        assert got[r.doc_id].score == pytest.approx(1 / (1 + math.exp(-raw)), abs=1e-3)
+    for r in rows:
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and got[r.doc_id].predicted == (got[r.doc_id].score >= 0.7)
+
+
+def test_the_sample_is_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(k, "x" * 100) for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    whole = labelled.training_sample(docs, labels, "quality", 1000).count()
+    assert whole > 20 and labelled.training_sample(docs, labels, "quality", 1000, most_bytes=1050).count() == 10
