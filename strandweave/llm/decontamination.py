@@ -6,16 +6,17 @@ phrase has can be in no occurrence, so it and the end of a document become
 separators.  All phrases search the shard together, backwards; occurrences are
 located by sampled suffix positions and merged into removal spans.
 
-The phrases are broadcast in parts of at most ``PART_BYTES`` of benchmark text;
-a worker holds one part at a time, and a benchmark beyond ``MAX_BYTES`` is
-searched in several passes whose spans are merged.
+The phrases are broadcast in parts of about ``PART_BYTES`` of benchmark text,
+dealt by their items' hashes; driver and workers hold one part at a time, as
+arrays, and a benchmark beyond ``MAX_BYTES`` is searched in several passes whose
+spans are merged.
 
 Words are runs of ASCII letters and digits and of bytes beyond ASCII, with A-Z
 lower-cased.  A phrase is a window of ``window`` consecutive words of an item;
 a shorter item that has words is one phrase.
 
 Defined results: null or empty texts have no words and no hits; items without
-words and items with a null id are ignored; items that repeat an id are one
+words and items with a null id are ignored; ids may have any type that sorts; items that repeat an id are one
 item; repeated documents are judged one by one; extra columns are ignored; an
 empty benchmark hits nothing.  Texts are indexed whole.
 """
@@ -45,24 +46,40 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_FOLD).split()
 
 
+_WORD = np.array([b != 32 for b in _FOLD])
+
+
 class Phrases:
-    """Distinct windows of benchmark items, as numbers of the words of a vocabulary."""
-
-    def __init__(self, items: list[tuple[int, str | None]], window: int):
-        vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[int]] = {}
-        for item, text in items:
-            own = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(text)]
-            for k in range(max(1, len(own) - window + 1) if own else 0):
-                owners.setdefault(tuple(own[k:k + window]), set()).add(item)
-        self.vocabulary = vocabulary
-        self.lengths = np.array([len(p) for p in owners], np.int64)
-        self.matrix = np.zeros((len(owners), window), np.int64)
-        for k, p in enumerate(owners):
-            self.matrix[k, :len(p)] = p
-        self.item_offsets = np.zeros(len(owners) + 1, np.int64)
-        np.cumsum([len(o) for o in owners.values()], out=self.item_offsets[1:])
-        self.items = np.array([i for o in owners.values() for i in sorted(o)], np.int64)
+    """Distinct windows of benchmark items, as places in a sequence of the words of a vocabulary."""
+
+    def __init__(self, items: pa.Array, texts: pa.Array, window: int):
+        data, offsets = tk.utf8(texts)
+        folded = np.frombuffer(data.tobytes().translate(_FOLD), np.uint8)
+        first, last, words = tk.spans(_WORD[data], offsets)
+        _, at, number = np.unique(tk.hash_spans(folded, first, last), return_index=True, return_inverse=True)
+        buffer = folded.tobytes()
+        self.vocabulary = {buffer[a:b]: k for k, (a, b) in enumerate(zip(first[at].tolist(), last[at].tolist()), 1)}
+        self.sequence = (number + 1).astype(np.int32)
+        # a window at every word that has enough after it; a short item is one
+        count = np.diff(words)
+        n_windows = np.where(count > 0, np.maximum(count - window + 1, 1), 0)
+        item = np.repeat(np.arange(len(count), dtype=np.int32), n_windows)
+        starts = np.arange(len(item)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows) + words[:-1][item]
+        lengths = np.minimum(count, window)[item]
+        hashes = np.full(len(starts), np.uint64(0))
+        for size in np.unique(lengths).tolist():
+            own = np.flatnonzero(lengths == size)
+            hashes[own] = tk.mix(tk.ngram_hashes(tk.mix(number.astype(np.uint64)), size)[starts[own]] + np.uint64(size))
+        order = np.lexsort((item, hashes))
+        hashes, item = hashes[order], item[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (item[1:] != item[:-1])
+        order, hashes, self.items = order[new], hashes[new], item[new]
+        head = np.ones(len(order), bool)
+        head[1:] = hashes[1:] != hashes[:-1]
+        self.starts, self.lengths = starts[order[head]].astype(np.int32), lengths[order[head]].astype(np.int32)
+        self.item_offsets = np.append(np.flatnonzero(head), len(order))
+        self.ids = items
 
 
 def _merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +115,7 @@ class Shard:
         """(phrase, first word's place in the sequence) of every occurrence."""
         if self.index is None or not len(phrases.lengths):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        low, high = self.index.search(phrases.matrix, phrases.lengths)
+        low, high = self.index.search_spans(phrases.sequence, phrases.starts, phrases.lengths)
         count = high - low
         phrase = np.repeat(np.arange(len(count)), count)
         rows = np.arange(len(phrase)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
@@ -114,13 +131,14 @@ def _char_spans(text: bytes, first: list[int], last: list[int]) -> tuple[list[in
     return chars[starts[first]].tolist(), chars[ends[np.array(last) - 1]].tolist()
 
 
-RESULT = "n_words bigint, n_hit bigint, items array<bigint>, spans array<struct<first_word:bigint,end_word:bigint,start_char:bigint,end_char:bigint>>"
+RESULT = "n_words bigint, n_hit bigint, items array<{item}>, spans array<struct<first_word:bigint,end_word:bigint,start_char:bigint,end_char:bigint>>"
 
 
-def _search_block(block: pa.RecordBatch, parts: list) -> pa.RecordBatch:
+def _search_block(block: pa.RecordBatch, parts: list, kind: pa.DataType) -> pa.RecordBatch:
     data, offsets = tk.utf8(block.column(1))
     n = len(offsets) - 1
-    starts, ends, pairs = [], [], []
+    starts, ends = [], []
+    found: dict[int, set] = {}
     n_words = np.zeros(n, np.int64)
     for part in parts:
         phrases: Phrases = part.value
@@ -132,7 +150,9 @@ def _search_block(block: pa.RecordBatch, parts: list) -> pa.RecordBatch:
         of = np.searchsorted(shard.bounds, at, "right") - 1
         count = np.diff(phrases.item_offsets)[phrase]
         entry = np.repeat(phrases.item_offsets[phrase], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        pairs.append(np.unique(np.stack([np.repeat(of, count), phrases.items[entry]], 1), axis=0))
+        pairs = np.unique(np.stack([np.repeat(of, count), phrases.items[entry]], 1), axis=0)
+        for doc, item in zip(pairs[:, 0].tolist(), phrases.ids.take(pa.array(pairs[:, 1])).to_pylist(), strict=True):
+            found.setdefault(doc, set()).add(item)
         bounds = shard.bounds
         if len(parts) > 1:
             part.__dict__.pop("_value", None)  # one part in memory at a time
@@ -142,8 +162,7 @@ def _search_block(block: pa.RecordBatch, parts: list) -> pa.RecordBatch:
     start, end = _merge(np.concatenate([*starts, np.zeros(0, np.int64)]), np.concatenate([*ends, np.zeros(0, np.int64)]))
     own = np.searchsorted(bounds, start, "right") - 1 if len(start) else np.zeros(0, np.int64)
     n_hit = np.bincount(own, end - start, minlength=n).astype(np.int64)
-    found = np.unique(np.concatenate([*pairs, np.zeros((0, 2), np.int64)]), axis=0)
-    items = pa.ListArray.from_arrays(pa.array(np.searchsorted(found[:, 0], np.arange(n + 1)), pa.int32()), pa.array(found[:, 1], pa.int64()))
+    items = pa.array([sorted(found.get(k, ())) for k in range(n)], pa.list_(kind))
     per = np.searchsorted(own, np.arange(n + 1))
     start_char, end_char = [], []
     for i in np.flatnonzero(np.diff(per)).tolist():
@@ -156,23 +175,20 @@ def _search_block(block: pa.RecordBatch, parts: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([block.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), items, spans], names=["key", "n_words", "n_hit", "items", "spans"])
 
 
-def _one_pass(rows: DataFrame, items: list[tuple[int, str | None]], window: int, part_bytes: int) -> DataFrame:
-    """Search one bounded set of items: (key, RESULT)."""
-    parts, part, size = [], [], 0
-    for item in items:
-        part.append(item)
-        size += len(item[1] or "")
-        if size >= part_bytes:
-            parts.append(part)
-            part, size = [], 0
-    parts += [part] if part else []
-    shared = [rows.sparkSession.sparkContext.broadcast(Phrases(p, window)) for p in parts]
+def _one_pass(rows: DataFrame, test: DataFrame, parts: range, n_parts: int, window: int) -> DataFrame:
+    """Search some parts of the items, of which the driver holds one at a time: (key, RESULT)."""
+    shared, kind = [], None
+    for k in parts:
+        table = test.where(F.pmod(F.xxhash64("item"), F.lit(n_parts)) == k).select("item", "text").toArrow().combine_chunks()
+        kind = table.schema.field("item").type
+        if table.num_rows:
+            shared.append(rows.sparkSession.sparkContext.broadcast(Phrases(table.column("item").combine_chunks(), table.column("text").combine_chunks(), window)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in tk.blocks(batches, size=SHARD_BYTES):
-            yield _search_block(block, shared)
+            yield _search_block(block, shared, kind)
 
-    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, {RESULT}")
+    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, {RESULT.format(item=test.schema['item'].dataType.simpleString())}")
 
 
 def search(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_bytes: int = MAX_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -182,19 +198,20 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str
     with an occurring phrase, in order; spans: the merged occurrences, as word
     numbers and as characters.
     """
-    test = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
+    test = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
     size = test.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = max(1, -(-size // max_bytes))
+    n_parts = max(1, -(-size // part_bytes))
+    per_pass = max(1, max_bytes // part_bytes)
+    passes = [range(a, min(a + per_pass, n_parts)) for a in range(0, n_parts, per_pass)]
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    if passes == 1:
-        return _one_pass(rows, [(r.item, r.text) for r in test.collect()], window, part_bytes).withColumnRenamed("key", id_col)
+    if len(passes) == 1:
+        return _one_pass(rows, test, passes[0], n_parts, window).withColumnRenamed("key", id_col)
     # Rows with equal keys and texts have equal results: search the distinct ones, then join back.
     rows = rows.withColumn("mark", F.sha2(F.coalesce("text", F.lit("")), 256))
     distinct = rows.dropDuplicates(["key", "mark"]).select(F.struct("key", "mark").alias("key"), "text")
     found = None
-    for k in range(passes):
-        part = [(r.item, r.text) for r in test.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k).collect()]
-        one = _one_pass(distinct, part, window, part_bytes)
+    for parts in passes:
+        one = _one_pass(distinct, test, parts, n_parts, window)
         found = one if found is None else found.unionByName(one)
     merged = found.groupBy("key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"))
     fold = F.aggregate("all", F.array().cast("array<struct<first_word:bigint,end_word:bigint,start_char:bigint,end_char:bigint>>"), lambda done, s: F.when((F.size(done) > 0) & (F.element_at(done, -1)["end_word"] >= s["first_word"]), F.concat(

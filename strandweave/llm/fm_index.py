@@ -105,13 +105,17 @@ class FMIndex:
 
     def search(self, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row ranges of the patterns (rows of a matrix, ``lengths`` symbols each), by backward search."""
-        low, high = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.below[-1])
+        return self.search_spans(patterns.ravel(), np.arange(len(patterns)) * patterns.shape[1], lengths)
+
+    def search_spans(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row ranges of the patterns that stand in ``symbols`` from ``starts`` on."""
+        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), self.below[-1])
         alive = np.flatnonzero(lengths > 0)
         for step in range(int(lengths.max(initial=0))):
             alive = alive[(lengths[alive] > step) & (low[alive] < high[alive])]
             if not len(alive):
                 break
-            symbol = patterns[alive, lengths[alive] - 1 - step]
+            symbol = symbols[starts[alive] + lengths[alive] - 1 - step].astype(np.int64)
             low[alive] = self.below[symbol] + self.wavelet.rank(symbol, low[alive])
             high[alive] = self.below[symbol] + self.wavelet.rank(symbol, high[alive])
         return low, np.maximum(low, high)

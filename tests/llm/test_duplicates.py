@@ -259,3 +259,20 @@ def test_merge_of_touching_spans():
     a, b = decontamination._merge(np.array([5, 0, 3]), np.array([7, 3, 5]))
     assert (a.tolist(), b.tolist()) == ([0], [7])
     assert isinstance(pa.array(a), pa.Array)
+
+
+def test_decontamination_by_text_ids(spark):
+    items = spark.createDataFrame([("i\n2", "one two three"), ("i1", "four"), ("i1", "five six")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "ONE two three, four"), (2, "five six"), (3, "five")], "doc_id long, text string")
+    for limits in ({}, {"part_bytes": 5}, {"part_bytes": 5, "max_bytes": 5}):
+        got = {r.doc_id: (r.n_hit, r["items"]) for r in decontamination.search(docs, items, **limits).collect()}
+        assert got == {1: (4, ["i\n2", "i1"]), 2: (2, ["i1"]), 3: (0, [])}
+
+
+def test_phrases_are_small():
+    import pickle
+
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(20_000)}" for _ in range(300)) for _ in range(500)]
+    made = decontamination.Phrases(pa.array(range(500)), pa.array(texts), 13)
+    assert len(made.starts) == 500 * 288 and len(pickle.dumps(made)) < 10 * sum(map(len, texts))
