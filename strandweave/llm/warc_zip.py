@@ -28,7 +28,7 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -56,7 +56,11 @@ class ZipDirectory:
         self.file = file
         tail_at = max(0, size - (22 + FULL_16 + 20))
         tail = self._read(tail_at, size - tail_at)
-        at = tail.rfind(struct.pack("<I", END))
+        # a comment may hold the signature: the end record is the one whose comment ends the file
+        mark = struct.pack("<I", END)
+        at = tail.rfind(mark)
+        while at >= 0 and (at + 22 > len(tail) or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
+            at = tail.rfind(mark, 0, at)
         if at < 0:
             raise ValueError("no end record: not a ZIP file")
         count, length, start = struct.unpack_from("<HII", tail, at + 10)
@@ -135,10 +139,10 @@ def record_bytes(page: str | None, url: str | None, payload: bytes, digest: str,
     if url is not None:
         head.append(("WARC-Target-URI", quote(url, safe="%/:=&?~#+!$,;'@()*[]")))
     if page is not None:
-        head.append(("X-Page-ID", page))
+        head.append(("X-Page-ID", quote(page, safe=" /:=&?~#+!$,;'@()*[]")))
     head.append(("WARC-Payload-Digest", f"sha256:{digest}"))
     if revisit:
-        head += [("WARC-Profile", PROFILE), ("X-Refers-To-Page-ID", refers_to or "")]
+        head += [("WARC-Profile", PROFILE), ("X-Refers-To-Page-ID", quote(refers_to or "", safe=" /:=&?~#+!$,;'@()*[]"))]
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     body = http if revisit else http + payload
     head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(body)))]
@@ -163,7 +167,8 @@ def parse_record(data: bytes) -> dict[str, object]:
     stated = head["WARC-Payload-Digest"].removeprefix("sha256:")
     if payload is not None and hashlib.sha256(payload).hexdigest() != stated:
         raise ValueError("payload and digest differ")
-    return {"page": head.get("X-Page-ID"), "record_type": head["WARC-Type"], "url": head.get("WARC-Target-URI"), "refers_to": head.get("X-Refers-To-Page-ID") or None, "payload": payload, "payload_bytes": int(http["Content-Length"]), "payload_digest": stated}
+    page = unquote(head["X-Page-ID"]) if "X-Page-ID" in head else None
+    return {"page": page, "record_type": head["WARC-Type"], "url": head.get("WARC-Target-URI"), "refers_to": unquote(head.get("X-Refers-To-Page-ID", "")) or None, "payload": payload, "payload_bytes": int(http["Content-Length"]), "payload_digest": stated}
 
 
 class ArchiveWriter:

@@ -184,3 +184,21 @@ def test_a_clashing_count_column(spark):
     assert got.columns == docs.columns
     assert sorted((r.doc_id, r.text, r.n_chars, r.n_lines_removed) for r in got.collect()) == [(1, "one two\nthree", 9, "own"), (2, "four", 4, "own")]
     assert line_dedup.dedup(docs).columns == [*docs.columns, "n_lines_removed_"]
+
+
+def test_zip_comments_that_look_like_end_records():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("s", b"stored")
+        z.comment = b"PK\x05\x06 is no end record, nor is PK\x05\x06" + bytes(18) + b"."
+    found = warc_zip.ZipDirectory(out, len(out.getvalue()))
+    at, size = found.stored("s")
+    assert out.getvalue()[at:at + size] == b"stored"
+
+
+def test_page_ids_with_line_breaks(spark, tmp_path):
+    body = "<p>" + "y" * 200
+    pages = spark.createDataFrame([("a\r\nWARC-Type: none", "u", body), ("b%0A\u00e9", "u", body)], "page_id string, url string, html string")
+    archives = warc_zip.write_archives(warc_zip.with_revisits(pages), f"file://{tmp_path}/w")
+    got = {r.page: (r.record_type, r.refers_to) for r in warc_zip.read_archives(archives).collect()}
+    assert got == {"a\r\nWARC-Type: none": ("response", None), "b%0A\u00e9": ("revisit", "a\r\nWARC-Type: none")}
