@@ -40,7 +40,8 @@ N_CLASSES = 8
 # states: what is open before the next code point
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHER, IN_SPACE, AFTER_BLANK, ONE_MORE, TWO_MORE = range(8)
 N_STATES = 8
-CACHE_ENTRIES = 400_000
+#: Bytes of slices and their ids that a worker keeps, with an entry's overhead.
+CACHE_BYTES, ENTRY_BYTES = 80 << 20, 180
 LONG_PIECE = 200
 NO_RANK = np.int32(2**31 - 1)
 
@@ -195,6 +196,8 @@ class Codec:
         self.pair_keys = np.array([k for k, _ in joined] + [1 << 62], np.int64)
         self.pair_ranks = np.array([r for _, r in joined] + [NO_RANK], np.int32)
         self.cache: dict[bytes, bytes] = {}
+        self.cached = 0
+        self.pairs: dict[int, int] | None = None
 
     def _pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 20 | right
@@ -205,7 +208,9 @@ class Codec:
         """One long slice with a heap of pairs."""
         ids: list[int] = self.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
         n = len(ids)
-        pairs = dict(zip(self.pair_keys.tolist(), self.pair_ranks.tolist(), strict=True))
+        if self.pairs is None:
+            self.pairs = dict(zip(self.pair_keys.tolist(), self.pair_ranks.tolist(), strict=True))
+        pairs = self.pairs
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := pairs.get(ids[i] << 20 | ids[i + 1])) is not None]
         heapq.heapify(heap)
@@ -294,10 +299,12 @@ class Codec:
         known = self.cache
         packed = list(map(known.get, pieces))
         if None in packed:
-            self._learn({p for p, ids in zip(pieces, packed, strict=True) if ids is None}, known)
+            missed = {p for p, ids in zip(pieces, packed, strict=True) if ids is None}
+            self._learn(missed, known)
+            self.cached += sum(len(p) + len(known[p]) + ENTRY_BYTES for p in missed)
             packed = list(map(known.__getitem__, pieces))
-        if len(known) > CACHE_ENTRIES:
-            self.cache = {}
+        if self.cached > CACHE_BYTES:
+            self.cache, self.cached = {}, 0
         ids = np.frombuffer(b"".join(packed), "<u4").astype(np.int64)
         positions = np.zeros(len(ids) + 1, np.int64)
         np.cumsum(self.lengths[ids], out=positions[1:])

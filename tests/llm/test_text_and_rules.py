@@ -136,3 +136,26 @@ def test_given_cuts(spark, encoding):
     assert sum(r.n_tokens for r in got) == len(encoding.encode_ordinary("abcdefgh ij"))
     with pytest.raises(ValueError):
         token_counts.section_counts(rows, ranks_path(), "none")
+
+
+def test_long_spans_do_not_collide():
+    word = "a"
+    for _ in range(12):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    data, starts, ends, _ = text_kernels.words_of(pa.array([f"{word} {other}"]))
+    a, b = text_kernels.hash_spans(data, starts, ends).tolist()
+    assert a != b
+
+
+def test_long_slices_next_to_each_other(encoding, monkeypatch):
+    codec = byte_bpe.Codec(ranks_path())
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choice("abcdeé漢") for _ in range(rng.choice([150, 201, 400, 5000]))) for _ in range(30))
+    texts = [text, "x" * 1000 + "1" * 1000 + "!" * 1000, text]
+    for least in (byte_bpe.CACHE_BYTES, 10):
+        monkeypatch.setattr(byte_bpe, "CACHE_BYTES", least)
+        ids, _, tokens, _ = codec.encode_block(pa.array(texts))
+        for t, a, b in zip(texts, tokens, tokens[1:]):
+            assert ids[a:b].tolist() == encoding.encode_ordinary(t)
+    assert codec.cached <= 10 or codec.cache
