@@ -13,27 +13,21 @@ event tries, whatever its quota; rounds end when that changes nothing too.
 from __future__ import annotations
 
 import itertools
-import tempfile
+
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import PlanConfig
 from ..functions.intervals import anchor_slice, solved_clip
 from .joins import band_join
+from .materialise import checkpoint as _checkpoint
 from .sampling import order_key
 
 CLIP = "clip_id string, rank long, video_uid long, clip_cs double, clip_ce double, event_id long, role string, template string, bucket_lo double, qs double, qe double"
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    spark: SparkSession = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return df.checkpoint()
-
-
 def _place(frame: pd.DataFrame, tol: float, most: int) -> pd.DataFrame:
     """Fills of one clip, in rank order, that overlap nothing placed before; the anchor comes first."""
     taken: list[tuple[float, float]] = []
@@ -48,15 +42,20 @@ def _place(frame: pd.DataFrame, tol: float, most: int) -> pd.DataFrame:
     return frame.loc[keep]
 
 
-def allocate(references: DataFrame, events: DataFrame, video_end: DataFrame, plan: DataFrame, config: PlanConfig = PlanConfig(), most_rounds: int | None = None, fills_per_clip: int = 20, seed: int = 42, tries: int = 16) -> DataFrame:
+def allocate(references: DataFrame, events: DataFrame, video_end: DataFrame, plan: DataFrame, config: PlanConfig = PlanConfig(), most_rounds: int | None = None, fills_per_clip: int = 20, seed: int = 42, tries: int = 16, geom_only: bool = False) -> DataFrame:
     """Rows of CLIP: placed queries.
 
     references: (ref_id, template, bucket_lo, d, qs_rel, d_rel, clen); events:
     (event_id, video_uid, cs, ce, template, bucket_lo); video_end: (video_uid,
     max_ts); plan: (template, bucket_lo, target).  An event tries ``tries``
     references a round; there is no bound of rounds unless ``most_rounds`` is given.
+    With ``geom_only`` templates don't matter: cells are buckets, and placed
+    queries have an empty template.
     """
     spark = events.sparkSession
+    if geom_only:
+        references, events = (t.withColumn("template", F.lit("")) for t in (references, events))
+        plan = plan.groupBy("bucket_lo").agg(F.sum("target").alias("target")).select(F.lit("").alias("template"), "bucket_lo", "target")
     cell = ["template", "bucket_lo"]
     refs = _checkpoint(references.where((F.col("d") >= config.least_query) & (F.col("d_rel") > 0)))
     # an event is long enough for the first n_fit references of its cell, by length

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,14 +13,26 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..config import TextConfig
 from ..functions import templates, texts
+from .joins import rows_in_range
 from .sampling import best
 
 #: (prompt, grammar, seed, temperature) -> text
 Generator = Callable[[str, str, int, float], str]
+#: texts -> one vector a row
+Encoder = Callable[[list[str]], np.ndarray]
 #: Seeds of the trials (fixed values) and their temperatures.
 TRIALS = ((42, 0.1), (123, 0.3), (777, 0.3), (314, 0.3), (271, 0.3))
 
 
+def rows_around(queries: DataFrame, narrations: DataFrame, config: TextConfig = TextConfig()) -> DataFrame:
+    """The entity's narrations with a text in each query's padded window; no entity's rows meet all its queries.
+
+    queries: (query_id, video_uid, query_start_sec, query_end_sec).
+    """
+    padded = queries.select("query_id", "video_uid", (F.col("query_start_sec") - config.padding).alias("s"), (F.col("query_end_sec") + config.padding).alias("e"))
+    return rows_in_range(padded, narrations.where(F.length(F.trim("narration_text")) > 0))
+
+
 def window_lines(rows: DataFrame, config: TextConfig = TextConfig()) -> DataFrame:
     """Adds ``lines``: texts of ``narrations`` in the padded query window, repeats in a row once, thinned."""
     near = F.filter("narrations", lambda n: n["timestamp_sec"].between(F.col("query_start_sec") - config.padding, F.col("query_end_sec") + config.padding) & (F.length(F.trim(n["narration_text"])) > 0))
@@ -77,5 +90,25 @@ def questions(records: DataFrame, key: str, generator: Generator = stub_generato
 
 
 def encoded(rows: DataFrame, key: str, vectors: DataFrame) -> DataFrame:
-    """The default encoder provider: vectors computed elsewhere, joined by key."""
+    """An encoder provider: vectors computed elsewhere, joined by key."""
     return rows.join(vectors, key)
+
+
+def stub_encoder(sentences: list[str]) -> np.ndarray:
+    """A deterministic stand-in for a sentence encoder: counts of the letters a to h."""
+    return np.array([[s.lower().count(c) for c in "abcdefgh"] for s in sentences], np.float64).reshape(len(sentences), 8)
+
+
+def encode(rows: DataFrame, text: str, encoder: Encoder = stub_encoder, batch: int = 256, eps: float = 1e-12) -> DataFrame:
+    """Adds ``embedding``: the encoder's vectors scaled to length 1; it sees at most ``batch`` texts at once, a null as an empty one."""
+
+    @F.pandas_udf("array<double>")
+    def run(column: pd.Series) -> pd.Series:
+        sentences = column.fillna("").tolist()
+        out = []
+        for a in range(0, len(sentences), batch):
+            found = np.asarray(encoder(sentences[a:a + batch]), np.float64)
+            out += list(found / (np.linalg.norm(found, axis=1, keepdims=True) + eps))
+        return pd.Series(out, dtype=object)
+
+    return rows.withColumn("embedding", run(F.col(text)))

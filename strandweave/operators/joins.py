@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -49,14 +51,19 @@ def containment_counts(intervals: DataFrame, split: float = 10.0, cell: float |
     return intervals.join(counts, "id", "left").withColumn("density", F.coalesce("n_", F.lit(0)).cast("long")).drop("n_")
 
 
-def texts_in_range(queries: DataFrame, narrations: DataFrame, cell: float = 64.0) -> DataFrame:
-    """Adds ``text``: the texts of the entity's rows in [s, e], by time, joined by blanks; empty if there are none.
+def rows_in_range(queries: DataFrame, narrations: DataFrame, cell: float = 64.0) -> DataFrame:
+    """The entity's rows in [s, e] of each query, by an equality join on cells of time.
 
-    queries: (query_id, video_uid, s, e, ...).
+    queries: (query_id, video_uid, s, e, ...); a query without both ends meets nothing.
     """
-    cells = queries.select("query_id", "video_uid", "s", "e").withColumn("cell", F.explode(F.sequence(F.floor(F.col("s") / cell), F.floor(F.col("e") / cell))))
+    cells = queries.select("query_id", "video_uid", "s", "e").where("s <= e").withColumn("cell", F.explode(F.sequence(F.floor(F.col("s") / cell), F.floor(F.col("e") / cell))))
     rows = narrations.select("video_uid", "timestamp_sec", "narration_uid", "narration_text", F.floor(F.col("timestamp_sec") / cell).alias("cell"))
-    met = cells.join(rows, ["video_uid", "cell"]).where(F.col("timestamp_sec").between(F.col("s"), F.col("e")))
+    return cells.join(rows, ["video_uid", "cell"]).where(F.col("timestamp_sec").between(F.col("s"), F.col("e"))).drop("cell")
+
+
+def texts_in_range(queries: DataFrame, narrations: DataFrame, cell: float = 64.0) -> DataFrame:
+    """Adds ``text``: the texts of the entity's rows in [s, e], by time, joined by blanks; empty if there are none."""
+    met = rows_in_range(queries, narrations, cell)
     line = F.struct("timestamp_sec", "narration_uid", "narration_text")
     text = met.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["narration_text"]), " ").alias("text_"))
     return queries.join(text, "query_id", "left").withColumn("text", F.coalesce("text_", F.lit(""))).drop("text_")
@@ -69,17 +76,41 @@ def band_join(left: DataFrame, right: DataFrame, left_value: str, right_value: s
     return spread.join(right.withColumn("cell_", F.floor(F.col(right_value) / width)), "cell_").where(F.abs(F.col(left_value) - F.col(right_value)) <= width).drop("cell_")
 
 
-def matching_events(cells: DataFrame, events: DataFrame, used: DataFrame, by: list[str], n: int = 1) -> DataFrame:
+def _layers(events: DataFrame, by: list[str], n: int) -> DataFrame:
+    """The first ``n`` layers of events that no denser one of the group reaches in length; all in one order."""
+    before = Window.partitionBy(*by).orderBy(F.col("density").desc(), "id").rowsBetween(Window.unboundedPreceding, -1)
+    out = events.withColumn("layer_", F.lit(None).cast("int"))
+    for k in range(n):
+        longest = F.max(F.when(F.col("layer_").isNull(), F.col("len"))).over(before)
+        out = out.withColumn("longest_", longest)
+        out = out.withColumn("layer_", F.when(F.col("layer_").isNull() & (F.col("longest_").isNull() | (F.col("len") > F.col("longest_"))), F.lit(k)).otherwise(F.col("layer_")))
+    return out.where("layer_ IS NOT NULL").drop("layer_", "longest_")
+
+
+def matching_events(cells: DataFrame, events: DataFrame, used: DataFrame, by: list[str], n: int = 1, salts: int = 64) -> DataFrame:
     """For each request the ``n`` densest unused events of its cell that are long enough.
 
     cells: (request_id, d, *by); events: (id, len, density, *by); used: (id).
+    An event that ``n`` denser ones of its cell reach in length is nobody's
+    choice.  Those others, a few for a cell's logarithm, are found in salted
+    parts of the cell and then among the parts' survivors; only they are joined.
     """
-    free = events.join(used.select("id").distinct(), "id", "left_anti")
-    met = cells.join(free, by).where(F.col("len") >= F.col("d"))
+    free = events.where(F.col("len").isNotNull()).join(used.select("id").distinct(), "id", "left_anti")
+    parts = _layers(free.withColumn("salt_", F.pmod(F.xxhash64("id"), F.lit(salts))), [*by, "salt_"], n).drop("salt_")
+    met = cells.join(_layers(parts, by, n), by).where(F.col("len") >= F.col("d"))
     rank = F.row_number().over(Window.partitionBy("request_id").orderBy(F.col("density").desc(), "id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
+def picked_events(cells: DataFrame, events: DataFrame, used: DataFrame, by: list[str], n: int, seed: int = 42) -> DataFrame:
+    """For each request one of its ``n`` densest matching events, by hash."""
+    from .sampling import order_key
+
+    met = matching_events(cells, events, used, by, n)
+    pick = F.row_number().over(Window.partitionBy("request_id").orderBy(order_key("request_id", "id", seed=seed), "id"))
+    return met.withColumn("pick_", pick).where("pick_ = 1").drop("pick_")
+
+
 def aligned(left: DataFrame, right: DataFrame, keys: list[str], left_value: str, right_value: str) -> DataFrame:
     """Both values over the union of the keys, 0 where one is missing."""
     out = left.select(*keys, left_value).join(right.select(*keys, right_value), keys, "full")
@@ -112,12 +143,19 @@ def prototypes(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 def nearest_prototypes(items: DataFrame, item_id: str, vector: str, protos: DataFrame, name: str, k: int = 5, most: int = 10_000) -> DataFrame:
     """(item_id, name, similarity, rank) of the ``k`` most similar prototypes, by cosine.
 
-    Prototypes are few by nature; their number is checked before they are
-    broadcast as one array and scanned beside each item.
+    Prototypes are few by nature: up to ``most`` are broadcast as one array and
+    scanned beside each item.  More are scanned in blocks, and the blocks' best
+    are ranked together.  All must have one dimension.
     """
-    n = protos.limit(most + 1).count()
+    n, low, high = protos.agg(F.count("*"), F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    if low != high:
+        raise ValueError(f"prototypes of {low} to {high} dimensions")
     if n > most:
-        raise ValueError(f"more than {most} prototypes")
+        blocks = -(-n // most) * 2  # by hash, so some are fuller than others
+        part = F.pmod(F.xxhash64(name), F.lit(blocks))
+        each = functools.reduce(DataFrame.unionByName, [nearest_prototypes(items, item_id, vector, protos.where(part == b), name, k, n) for b in range(blocks)])
+        rank = F.row_number().over(Window.partitionBy(item_id).orderBy(F.col("similarity").desc(), name))
+        return each.withColumn("rank", rank).where(F.col("rank") <= k)
     table = protos.agg(F.collect_list(F.struct(F.col(name).alias("name"), F.col("embedding"))).alias("protos"))
     scored = items.select(item_id, unit(F.col(vector)).alias("v")).join(F.broadcast(table)).select(
         item_id, F.transform("protos", lambda p: F.struct((-dot(F.col("v"), p["embedding"])).alias("minus"), p["name"].alias("name"))).alias("all"))

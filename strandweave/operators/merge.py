@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -57,6 +59,27 @@ def merged_segments(segments: Column, tol: float = 0.05) -> Column:
     return F.aggregate(F.array_sort(segments), F.array().cast(kind), step)
 
 
+def merge_segments(rows: DataFrame, by: list[str], start: str = "s", end: str = "e", tol: float = 0.05) -> DataFrame:
+    """(by, seg, s, e): merged_segments() of each group, numbered; linear in the group, one pass over its sorted ends."""
+    fields = rows.select(*by).schema
+
+    def fold(table: pa.Table) -> pa.Table:
+        s, e = (table.column(c).to_numpy() for c in (start, end))
+        order = np.lexsort((e, s))
+        out: list[list[float]] = []
+        for a, b in zip(s[order].tolist(), e[order].tolist(), strict=True):
+            if out and abs(out[-1][0] - a) <= tol and abs(out[-1][1] - b) <= tol:
+                out[-1] = [(out[-1][0] + a) / 2, (out[-1][1] + b) / 2]
+            else:
+                out.append([a, b])
+        own = {c: pa.array([table.column(c)[0].as_py()] * len(out), table.schema.field(c).type) for c in by}
+        return pa.table({**own, "seg": pa.array(range(len(out)), pa.int32()), "s": pa.array([x for x, _ in out], pa.float64()), "e": pa.array([x for _, x in out], pa.float64())})
+
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    ends = rows.select(*by, F.col(start).cast("double").alias(start), F.col(end).cast("double").alias(end)).where(F.col(start).isNotNull() & F.col(end).isNotNull())
+    return ends.groupBy(*by).applyInArrow(fold, f"{kind}, seg int, s double, e double")
+
+
 def context_text(rows: DataFrame, clip: list[str]) -> DataFrame:
     """(clip, context_text, n): narrations once each by uid, else by text, in time order, joined."""
     name = F.coalesce(F.col("narration_uid").cast("string"), F.col("narration_text"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,10 +21,31 @@ def shuffled(rows: DataFrame, *key: str, seed: int = MergeConfig().seed) -> Data
     return rows.orderBy(order_key(*key, seed=seed), *key)
 
 
+def _same(left: list[str], right: list[str]) -> Column:
+    return functools.reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right, strict=True)])
+
+
+def _smallest(rows: DataFrame, by: list[str], limits: DataFrame, digits: int = 4) -> DataFrame:
+    """Rows whose hash ``h_`` may be among the first ``limit_`` of their group.
+
+    Hashes are counted by their first digits, so that only rows up to the digits
+    at which a group's limit is reached are ranked, whatever the group's size.
+    """
+    keys, own = [f"key_{i}" for i in range(len(by))], [f"own_{i}" for i in range(len(by))]
+    first = F.left("h_", F.lit(digits))
+    counts = rows.groupBy(*[F.col(c).alias(k) for k, c in zip(keys, by, strict=True)], first.alias("p_")).agg(F.count("*").alias("n_"))
+    reached = counts.withColumn("reached_", F.sum("n_").over(Window.partitionBy(*keys).orderBy("p_")))
+    bounds = limits.select(*[F.col(c).alias(k) for k, c in zip(own, by, strict=True)], "limit_")
+    cut = reached.join(bounds, _same(keys, own)).where("reached_ >= limit_").groupBy(*keys).agg(F.min("p_").alias("cut_"))
+    return rows.join(cut, _same(by, keys), "left").where(F.col("cut_").isNull() | (first <= F.col("cut_"))).select(*rows.columns)
+
+
 def at_most(rows: DataFrame, n: int, by: list[str], key: list[str], seed: int = MergeConfig().seed) -> DataFrame:
     """At most ``n`` rows of each group, without replacement."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(order_key(*key, seed=seed), *key))
-    return rows.withColumn("rank_", rank).where(F.col("rank_") <= n).drop("rank_")
+    hashed = rows.withColumn("h_", order_key(*key, seed=seed))
+    few = _smallest(hashed, by, rows.select(*by).distinct().withColumn("limit_", F.lit(n)))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("h_", *key))
+    return few.withColumn("rank_", rank).where(F.col("rank_") <= n).drop("rank_", "h_")
 
 
 def quota_sample(pool: DataFrame, plan: DataFrame, cell: list[str], key: list[str], seed: int = MergeConfig().seed) -> DataFrame:
@@ -32,7 +55,8 @@ def quota_sample(pool: DataFrame, plan: DataFrame, cell: list[str], key: list[st
     gives all and repeats some, each repeat drawn by its own hash.  ``draw``
     numbers a row's uses.  Cells without rows are quota_deficits().
     """
-    ranked = pool.withColumn("rank_", F.row_number().over(Window.partitionBy(*cell).orderBy(order_key(*key, seed=seed), *key)))
+    few = _smallest(pool.withColumn("h_", order_key(*key, seed=seed)), cell, plan.select(*cell, F.col("target").alias("limit_")))
+    ranked = few.withColumn("rank_", F.row_number().over(Window.partitionBy(*cell).orderBy("h_", *key))).drop("h_")
     sizes = pool.groupBy(*cell).agg(F.count("*").alias("size_"))
     wanted = plan.select(*cell, "target").join(sizes, cell)
     first = ranked.join(wanted, cell).where(F.col("rank_") <= F.col("target")).withColumn("draw", F.lit(0))
@@ -49,9 +73,9 @@ def quota_deficits(pool: DataFrame, plan: DataFrame, cell: list[str]) -> DataFra
     return plan.where("target > 0").join(pool.select(*cell).distinct(), cell, "left_anti").select(*cell, F.col("target").alias("deficit"))
 
 
-def best(rows: DataFrame, by: list[str], score: str, tie: str) -> DataFrame:
-    """The row with the highest score of each group, the smallest tie-break first."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(score).desc_nulls_last(), tie))
+def best(rows: DataFrame, by: list[str], score: str, *ties: str) -> DataFrame:
+    """The row with the highest score of each group, the smallest tie-breaks first."""
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(score).desc_nulls_last(), *ties))
     return rows.withColumn("rank_", rank).where("rank_ = 1").drop("rank_")
 
 

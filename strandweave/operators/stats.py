@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..config import DURATION_EDGES
 from .joins import aligned
+from .windows import running_sums
 
 
 def value_fractions(rows: DataFrame, value: str) -> DataFrame:
@@ -32,9 +33,8 @@ def ks_statistic(rows: DataFrame, value: str, is_first: str, by: list[str] | Non
     """
     by = by or []
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.sum(F.col(is_first).cast("long")).alias("a"), F.sum((~F.col(is_first)).cast("long")).alias("b"))
-    run = Window.partitionBy(*by).orderBy(value)
-    whole = Window.partitionBy(*by)
-    steps = counts.select(*by, F.sum("a").over(run).alias("ca"), F.sum("b").over(run).alias("cb"), F.sum("a").over(whole).alias("na"), F.sum("b").over(whole).alias("nb"))
+    run = running_sums(counts, ["a", "b"], [value], by)
+    steps = run.select(*by, F.col("run_a").alias("ca"), F.col("run_b").alias("cb"), F.col("all_a").alias("na"), F.col("all_b").alias("nb"))
     gap = F.abs(F.col("ca") / F.nullif("na", F.lit(0)) - F.col("cb") / F.nullif("nb", F.lit(0)))
     found = steps.groupBy(*by, F.col("na").alias("n_first"), F.col("nb").alias("n_second")).agg(F.max(gap).alias("ks"))
     return found.withColumn("ks", F.when((F.col("n_first") >= least) & (F.col("n_second") >= least), F.col("ks")))
@@ -66,12 +66,15 @@ def freedman_diaconis(rows: DataFrame, value: str, least: int = 10, most: int =
     return s.select("n", "q25", "q75", "width", F.least(F.greatest(bins, F.lit(least)), F.lit(most)).cast("long").alias("bins"))
 
 
-def histogram(rows: DataFrame, value: str, lo: float, hi: float, bins: int, by: list[str] | None = None) -> DataFrame:
-    """(by, bin, n) over [lo, hi], the last bin closed."""
+def histogram(rows: DataFrame, value: str, lo: float, hi: float, bins: int, by: list[str] | None = None, weight: str | None = None, percent: bool = False) -> DataFrame:
+    """(by, bin, n) over [lo, hi], the last bin closed; n may be a sum of weights, or a share of the group in percent."""
     width = (hi - lo) / bins
     inside = rows.where(F.col(value).between(lo, hi))
     at = F.least(F.floor((F.col(value) - lo) / width), F.lit(bins - 1)).cast("long")
-    return inside.groupBy(*(by or []), at.alias("bin")).agg(F.count("*").alias("n"))
+    counts = inside.groupBy(*(by or []), at.alias("bin")).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
+    if not percent:
+        return counts
+    return counts.withColumn("n", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(*(by or []))))  # one row per bin
 
 
 def pivot_fractions(rows: DataFrame, key: str) -> DataFrame:

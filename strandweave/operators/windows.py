@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..config import MOST_NARRATIONS, WindowConfig
 from ..functions.intervals import bucket_hi, bucket_lo
+from .materialise import checkpoint
 
 ORDER = ("timestamp_sec", "narration_uid")
 
@@ -151,11 +152,31 @@ def without_consecutive(rows: DataFrame, value: str, partition: list[str], order
     return rows.withColumn("before_", F.lag(value).over(over)).withColumn("first_", F.row_number().over(over) == 1).where(F.col("first_") | ~F.col(value).eqNullSafe(F.col("before_"))).drop("before_", "first_")
 
 
+def running_sums(rows: DataFrame, columns: list[str], order: list[str], by: list[str]) -> DataFrame:
+    """Adds run_<column> and all_<column>: sums up to each row in order, and of its whole group.
+
+    Rows are dealt out by ranges of the order; sums run inside a range and start
+    from what the ranges before it hold, so no group is sorted in one task.
+    """
+    parts = checkpoint(rows.repartitionByRange(*by, *order).withColumn("part_", F.spark_partition_id()))
+    keys = [f"key_{i}" for i in range(len(by))]
+    sums = parts.groupBy("part_", *by).agg(*[F.sum(c).alias(f"s_{c}") for c in columns])
+    before, whole = Window.partitionBy(*by).orderBy("at_"), Window.partitionBy(*by)
+    offsets = sums.withColumnRenamed("part_", "at_").select("at_", *[F.col(c).alias(k) for k, c in zip(keys, by, strict=True)], *[(F.sum(f"s_{c}").over(before) - F.col(f"s_{c}")).alias(f"before_{c}") for c in columns], *[F.sum(f"s_{c}").over(whole).alias(f"all_{c}") for c in columns])
+    same = F.col("part_") == F.col("at_")
+    for k, c in zip(keys, by, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(c))
+    inside = Window.partitionBy("part_", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    met = parts.join(offsets, same)
+    return met.select(*rows.columns, *[(F.col(f"before_{c}") + F.sum(c).over(inside)).alias(f"run_{c}") for c in columns], *[f"all_{c}" for c in columns])
+
+
 def ecdf(rows: DataFrame, value: str, partition: list[str] | None = None) -> DataFrame:
-    """Adds ``ecdf``: place in order over the number of rows, ties apart; partition it for large inputs."""
+    """Adds ``ecdf``: place in order over the number of rows, ties apart."""
     by = partition or []
-    over = Window.partitionBy(*by).orderBy(value, *[c for c in rows.columns if c != value and c not in by])
-    return rows.withColumn("ecdf", F.row_number().over(over) / F.count("*").over(Window.partitionBy(*by)))
+    order = [value, *[c for c in rows.columns if c != value and c not in by]]
+    placed = running_sums(rows.withColumn("one_", F.lit(1)), ["one_"], order, by)
+    return placed.withColumn("ecdf", F.col("run_one_") / F.col("all_one_")).drop("one_", "run_one_", "all_one_")
 
 
 def candidates(parts: list[DataFrame]) -> DataFrame:

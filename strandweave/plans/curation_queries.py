@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import templates, texts
 from ..operators import cleaning, joins, merge, planning, sampling, stats, windows
-from ..operators.generation import questions, window_lines
+from ..operators.generation import encode, questions, window_lines
 from ..sources.tables import narrations, table
 from .base import N, bucket_sql, high_sql, query
 
@@ -42,12 +42,12 @@ def sentence_split(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.size("p").cast("long").alias("n_sentences"), F.md5(F.array_join("p", "|").cast("binary")).alias("digest"))
 
 
-_RAW = "CASE conv_id % 5 WHEN 0 THEN 'Question:  ' || text WHEN 1 THEN '--- QUESTION --- ' || text || '!!' WHEN 2 THEN '*  #tag ' || text WHEN 3 THEN ' ' || left(text, 30) || '?' ELSE text END"
+_RAW = "CASE conv_id % 5 WHEN 0 THEN 'Question:  ' || text WHEN 1 THEN '--- QUESTION --- ' || text || '!!' WHEN 2 THEN '*  #tag ' || text WHEN 3 THEN ' ' || text || '?' ELSE text END"
 
 
 def _raw(spark: SparkSession, d: str) -> DataFrame:
     k, t = F.col("conv_id") % 5, F.col("text")
-    raw = F.when(k == 0, F.concat(F.lit("Question:  "), t)).when(k == 1, F.concat(F.lit("--- QUESTION --- "), t, F.lit("!!"))).when(k == 2, F.concat(F.lit("*  #tag "), t)).when(k == 3, F.concat(F.lit(" "), F.left(t, F.lit(30)), F.lit("?"))).otherwise(t)
+    raw = F.when(k == 0, F.concat(F.lit("Question:  "), t)).when(k == 1, F.concat(F.lit("--- QUESTION --- "), t, F.lit("!!"))).when(k == 2, F.concat(F.lit("*  #tag "), t)).when(k == 3, F.concat(F.lit(" "), t, F.lit("?"))).otherwise(t)
     return table(spark, d, "conversations").withColumn("raw", raw)
 
 
@@ -92,14 +92,21 @@ def _list_sql(values: tuple[str, ...]) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
-_ASKED = f"""m AS (SELECT conv_id, turn, {_list_sql(TEMPLATES)}[(conv_id * 7 + turn) % 14 + 1] AS template, {_list_sql(STARTS)}[(conv_id + turn) % 8 + 1] || ' ' || left(text, 40) || CASE WHEN (conv_id + turn) % 6 = 0 THEN '' ELSE ' before?' END AS question, text FROM conversations)"""
+#: Words of a text that one question takes; all of a text's words are in some question.
+TAKES = 8
+_ASKED = f"""w AS (SELECT conv_id, turn, text, string_split(text, ' ') AS ws FROM conversations), k AS (SELECT *, unnest(range(0, (len(ws) + {TAKES - 1}) // {TAKES})) AS part FROM w),
+m AS (SELECT conv_id, turn, part::INT AS part, {_list_sql(TEMPLATES)}[(conv_id * 7 + turn + part) % 14 + 1] AS template,
+{_list_sql(STARTS)}[(conv_id + turn + part) % 8 + 1] || ' ' || array_to_string(ws[part * {TAKES} + 1:part * {TAKES} + {TAKES}], ' ') || CASE WHEN (conv_id + turn) % 6 = 0 THEN '' ELSE ' before?' END AS question, text FROM k)"""
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
     pick = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), (k + 1).cast("int"))
     c, t = F.col("conv_id"), F.col("turn")
     tail = F.when((c + t) % 6 == 0, F.lit("")).otherwise(F.lit(" before?"))
-    return table(spark, d, "conversations").select("conv_id", "turn", pick(TEMPLATES, (c * 7 + t) % 14).alias("template"), F.concat(pick(STARTS, (c + t) % 8), F.lit(" "), F.left("text", F.lit(40)), tail).alias("question"), "text")
+    words = table(spark, d, "conversations").select("conv_id", "turn", "text", F.split("text", " ").alias("ws"))
+    parts = words.select("*", F.explode(F.sequence(F.lit(0), F.ceil(F.size("ws") / TAKES).cast("int") - 1)).alias("part"))
+    taken = F.array_join(F.slice("ws", F.col("part") * TAKES + 1, F.lit(TAKES)), " ")
+    return parts.select("conv_id", "turn", "part", pick(TEMPLATES, (c * 7 + t + F.col("part")) % 14).alias("template"), F.concat(pick(STARTS, (c + t + F.col("part")) % 8), F.lit(" "), taken, tail).alias("question"), "text")
 
 
 def _route_sql(kinds: dict[str, tuple[str, ...]]) -> str:
@@ -107,10 +114,10 @@ def _route_sql(kinds: dict[str, tuple[str, ...]]) -> str:
     return f"CASE {cases} ELSE '' END"
 
 
-@query(f"WITH {_ASKED} SELECT conv_id, turn, {_route_sql(templates.PROMPT_KINDS)} AS prompt_kind, {_route_sql(templates.GRAMMAR_KINDS)} AS grammar_kind, {_route_sql(templates.EXAMPLE_KINDS)} AS example_kind FROM m")
+@query(f"WITH {_ASKED} SELECT conv_id, turn, part, {_route_sql(templates.PROMPT_KINDS)} AS prompt_kind, {_route_sql(templates.GRAMMAR_KINDS)} AS grammar_kind, {_route_sql(templates.EXAMPLE_KINDS)} AS example_kind FROM m")
 def rule_routing(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("template")
-    return _asked(spark, d).select("conv_id", "turn", templates.routed(t, templates.PROMPT_KINDS).alias("prompt_kind"), templates.routed(t, templates.GRAMMAR_KINDS).alias("grammar_kind"), templates.routed(t, templates.EXAMPLE_KINDS).alias("example_kind"))
+    return _asked(spark, d).select("conv_id", "turn", "part", templates.routed(t, templates.PROMPT_KINDS).alias("prompt_kind"), templates.routed(t, templates.GRAMMAR_KINDS).alias("grammar_kind"), templates.routed(t, templates.EXAMPLE_KINDS).alias("example_kind"))
 
 
 @query()
@@ -139,23 +146,23 @@ def _reason_sql() -> str:
     return "CASE " + " ".join(f"WHEN {c} THEN '{r}'" for c, r in rules) + " ELSE 'ok' END"
 
 
-@query(f"WITH {_ASKED} SELECT conv_id, turn, {_reason_sql()} AS reason FROM m")
+@query(f"WITH {_ASKED} SELECT conv_id, turn, part, {_reason_sql()} AS reason FROM m")
 def template_reasons(spark: SparkSession, d: str) -> DataFrame:
-    return _asked(spark, d).select("conv_id", "turn", templates.template_reason(F.col("template"), F.col("question")).alias("reason"))
+    return _asked(spark, d).select("conv_id", "turn", "part", templates.template_reason(F.col("template"), F.col("question")).alias("reason"))
 
 
 _TOKS = "list_distinct(list_transform(regexp_extract_all({0}, '[A-Za-z0-9'']+'), lambda x: lower(x)))"
 _SHARED = f"len(list_intersect({_TOKS.format('question')}, {_TOKS.format('inside')}))"
 
 
-@query(f"""WITH {_ASKED}, i AS (SELECT *, CASE WHEN conv_id % 9 = 0 THEN '' ELSE right(text, 60) END AS inside FROM m), z AS (SELECT conv_id, turn, trim(CASE WHEN conv_id % 11 = 0 THEN ' ' WHEN conv_id % 13 = 0 THEN '(no question can be generated from the given narrations)?' ELSE question END) AS question, inside FROM i)
-SELECT conv_id, turn, CASE WHEN question = '' THEN 'empty_text' WHEN regexp_matches(question, '^\\s*\\(?no question can be generated from the given narrations\\)?\\s*\\?$', 'i') THEN 'llm_no_content' WHEN {_WORDS} < 3 OR {_WORDS} > 24 THEN 'bad_len' WHEN NOT ends_with(question, '?') THEN 'no_qmark'
+@query(f"""WITH {_ASKED}, i AS (SELECT *, CASE WHEN conv_id % 9 = 0 THEN '' ELSE text END AS inside FROM m), z AS (SELECT conv_id, turn, part, trim(CASE WHEN conv_id % 11 = 0 THEN ' ' WHEN conv_id % 13 = 0 THEN '(no question can be generated from the given narrations)?' ELSE question END) AS question, inside FROM i)
+SELECT conv_id, turn, part, CASE WHEN question = '' THEN 'empty_text' WHEN regexp_matches(question, '^\\s*\\(?no question can be generated from the given narrations\\)?\\s*\\?$', 'i') THEN 'llm_no_content' WHEN {_WORDS} < 3 OR {_WORDS} > 24 THEN 'bad_len' WHEN NOT ends_with(question, '?') THEN 'no_qmark'
 WHEN inside = '' THEN 'empty_inside' WHEN {_SHARED} < 1 THEN 'low_overlap_inside' ELSE 'ok' END AS reason FROM z""")
 def format_reasons(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("conv_id")
-    rows = _asked(spark, d).withColumn("inside", F.when(c % 9 == 0, F.array().cast("array<string>")).otherwise(F.array(F.right("text", F.lit(60)))))
+    rows = _asked(spark, d).withColumn("inside", F.when(c % 9 == 0, F.array().cast("array<string>")).otherwise(F.array("text")))
     q = F.when(c % 11 == 0, F.lit(" ")).when(c % 13 == 0, F.lit("(no question can be generated from the given narrations)?")).otherwise(F.col("question"))
-    return rows.select("conv_id", "turn", templates.format_reason(q, F.col("inside")).alias("reason"))
+    return rows.select("conv_id", "turn", "part", templates.format_reason(q, F.col("inside")).alias("reason"))
 
 
 _SCORE = f"""round(CASE WHEN {_reason_sql()} = 'ok' THEN 1.0::DOUBLE ELSE 0 END + 0.4::DOUBLE * least({_SHARED}, 2) + CASE WHEN {_WORDS} BETWEEN 5 AND 14 THEN 0.2::DOUBLE ELSE 0 END
@@ -163,15 +170,15 @@ _SCORE = f"""round(CASE WHEN {_reason_sql()} = 'ok' THEN 1.0::DOUBLE ELSE 0 END
 - CASE WHEN contains(lower(template), 'what did i put in x') AND NOT regexp_matches({_LOW}, '\\b(in|into|inside|onto)\\b') THEN 0.6::DOUBLE ELSE 0 END, 6)"""
 
 
-@query(f"WITH {_ASKED}, i AS (SELECT *, text AS inside FROM m) SELECT conv_id, turn, {_SCORE} AS score FROM i")
+@query(f"WITH {_ASKED}, i AS (SELECT *, text AS inside FROM m) SELECT conv_id, turn, part, {_SCORE} AS score FROM i")
 def score_candidate(spark: SparkSession, d: str) -> DataFrame:
-    return _asked(spark, d).select("conv_id", "turn", F.round(templates.candidate_score(F.col("template"), F.col("question"), F.array("text")), 6).alias("score"))
+    return _asked(spark, d).select("conv_id", "turn", "part", F.round(templates.candidate_score(F.col("template"), F.col("question"), F.array("text")), 6).alias("score"))
 
 
-@query(f"WITH {_ASKED}, i AS (SELECT *, text AS inside FROM m), s AS (SELECT conv_id, turn, {_SCORE} AS score FROM i) SELECT conv_id, turn, score FROM s QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn) = 1")
+@query(f"WITH {_ASKED}, i AS (SELECT *, text AS inside FROM m), s AS (SELECT conv_id, turn, part, {_SCORE} AS score FROM i) SELECT conv_id, turn, part, score FROM s QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn, part) = 1")
 def rerank_best(spark: SparkSession, d: str) -> DataFrame:
     scored = score_candidate(spark, d)
-    return sampling.best(scored, ["conv_id"], "score", "turn")
+    return sampling.best(scored, ["conv_id"], "score", "turn", "part")
 
 
 @query()
@@ -267,13 +274,13 @@ def next_target(spark: SparkSession, d: str) -> DataFrame:
     return planning.next_target(plan, cells.where("narration_uid % 20 = 0"), ["template", "bucket_lo"])
 
 
-_POOL = f"{_CELLS}, {_apportioned_sql(2500)}, o AS (SELECT uid, template, bucket_lo, md5('42|' || uid) AS h FROM b WHERE uid % 4 = 0 AND NOT (template = 'view' AND bucket_lo = 2))"
+_POOL = f"{_CELLS}, {_apportioned_sql(2500)}, o AS (SELECT uid, template, bucket_lo, md5('42|' || uid) AS h FROM b WHERE NOT (template = 'view' AND bucket_lo = 2))"
 
 
 def _pool(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     cells = _cells(spark, d)
     plan = planning.apportioned(planning.joint_counts(cells, "template"), ["template", "bucket_lo"], 2500).select("template", "bucket_lo", "target")
-    pool = cells.where("narration_uid % 4 = 0 AND NOT (template = 'view' AND bucket_lo = 2)").select(F.col("narration_uid").alias("uid"), "template", "bucket_lo")
+    pool = cells.where("NOT (template = 'view' AND bucket_lo = 2)").select(F.col("narration_uid").alias("uid"), "template", "bucket_lo")
     return pool, plan
 
 
@@ -467,3 +474,56 @@ def plot_labels(spark: SparkSession, d: str) -> DataFrame:
 
     cells = planning.joint_counts(_cells(spark, d), "template")
     return cells.select("template", bucket_label(F.col("bucket_lo"), F.col("bucket_hi")).alias("label"), texts.shortened(F.col("template"), 4).alias("short_name"), "n")
+
+
+_PROMPT = f"""l AS (SELECT DISTINCT conv_id, turn, text, {_list_sql(TEMPLATES)}[(conv_id * 7 + turn) % 14 + 1] AS template FROM conversations),
+s AS (SELECT *, list_transform(regexp_split_to_array(text, '\\. '), lambda x: trim(regexp_replace(x, '#[\\p{{L}}\\p{{N}}_]+', '', 'g'))) AS a FROM l),
+c AS (SELECT *, CASE WHEN len(a) <= 24 THEN a ELSE list_transform(range(0, 24), lambda k: a[round_even(k * (len(a) - 1) / 23.0::DOUBLE, 0)::BIGINT + 1]) END AS clean FROM s),
+w AS (SELECT *, list_slice(list_sort(list_distinct(list_transform(regexp_extract_all(array_to_string(clean, ' '), '[A-Za-z0-9'']+'), lambda x: lower(x)))), 1, 10) AS anchor FROM c)
+SELECT conv_id, turn, 'Write one short question in English, of 3 to 18 words, with a question mark at its end.' || chr(10) || 'Template: ' || template || chr(10) || CASE {_route_sql(templates.PROMPT_KINDS)}
+""" + " ".join(f"WHEN '{k}' THEN 'Begin with ''{v}''. {templates.ADVICE[k]}' || chr(10)" for k, v in templates.FIRST_WORDS.items()) + """ ELSE 'Keep to the template''s meaning.' || chr(10) END
+|| 'Use only what the narrations say; no answer, no preface, no refusal.' || chr(10) || CASE WHEN len(anchor) > 0 THEN 'Use one of these words at least: ' || array_to_string(anchor, ', ') || '.' || chr(10) ELSE '' END
+|| chr(10) || 'Time: 1.00 s to 2.50 s' || chr(10) || '- ' || array_to_string(clean, chr(10) || '- ') || chr(10) || 'Question:' || chr(10) AS prompt FROM w"""
+
+
+@query("WITH " + _PROMPT)
+def prompt_texts(spark: SparkSession, d: str) -> DataFrame:
+    c, t = F.col("conv_id"), F.col("turn")
+    name = F.element_at(F.array(*[F.lit(v) for v in TEMPLATES]), ((c * 7 + t) % 14 + 1).cast("int"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "text").distinct().withColumn("template", name)
+    return rows.select("conv_id", "turn", templates.prompt(F.col("template"), F.lit(1.0), F.lit(2.5), F.split("text", r"\. ")).alias("prompt"))
+
+
+@query("""WITH l AS (SELECT unnest(['a', 'b', 'c', 'd', 'e', 'f', 'g', 'h']) AS c, unnest(range(0, 8))::INT AS dim), x AS (SELECT conv_id, turn, text, dim, (length(lower(text)) - length(replace(lower(text), c, '')))::DOUBLE AS v FROM (SELECT DISTINCT conv_id, turn, coalesce(text, '') AS text FROM conversations), l)
+SELECT conv_id, turn, dim, round(v / (sqrt(sum(v * v) OVER (PARTITION BY conv_id, turn, text)) + 1e-12::DOUBLE), 6) AS value FROM x""")
+def encode_texts(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text")).distinct()
+    return encode(rows, "text").select("conv_id", "turn", F.posexplode("embedding").alias("dim", "value")).withColumn("value", F.round("value", 6))
+
+
+@query(f"WITH {N}, k AS (SELECT uid, ((uid % 13) - 2) / 10.0::DOUBLE AS a, ((uid % 17) - 2) / 10.0::DOUBLE AS b FROM n) SELECT uid, a >= 0 AND a <= 1 AND b >= 0 AND b <= 1 AND b > a AS ok FROM k")
+def relative_validity(spark: SparkSession, d: str) -> DataFrame:
+    from ..functions.intervals import valid_relative
+
+    uid = F.col("narration_uid")
+    return narrations(spark, d).select(uid.alias("uid"), valid_relative((uid % 13 - 2) / 10.0, (uid % 17 - 2) / 10.0).alias("ok"))
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY md5('42|' || event_id), event_id) AS place FROM events QUALIFY place <= 100")
+def shuffled_head(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    first = sampling.shuffled(table(spark, d, "events"), "event_id").limit(100)
+    return first.select("event_id", F.row_number().over(Window.orderBy(sampling.order_key("event_id"), "event_id")).alias("place"))
+
+
+@query("WITH c AS (SELECT event_type, least(floor(value / 3.0::DOUBLE), 19)::BIGINT AS bin, count(*) AS k FROM events WHERE value BETWEEN 0 AND 60 GROUP BY ALL) SELECT event_type, bin, round(100.0::DOUBLE * k / sum(k) OVER (PARTITION BY event_type), 9) AS n FROM c")
+def histogram_percent(spark: SparkSession, d: str) -> DataFrame:
+    return stats.histogram(table(spark, d, "events"), "value", 0.0, 60.0, 20, ["event_type"], percent=True).withColumn("n", F.round("n", 9))
+
+
+@query(f"""WITH {_CELLS}, c AS (SELECT d, count(*) FILTER (uid % 2 = 0) AS a, count(*) FILTER (uid % 2 = 1) AS z FROM b GROUP BY d), s AS (SELECT sum(a) OVER (ORDER BY d) AS ca, sum(z) OVER (ORDER BY d) AS cz, sum(a) OVER () AS na, sum(z) OVER () AS nz FROM c)
+SELECT na::BIGINT AS n_first, nz::BIGINT AS n_second, round(max(abs(ca / na - cz / nz)), 9) AS ks FROM s GROUP BY na, nz""")
+def ks_global(spark: SparkSession, d: str) -> DataFrame:
+    rows = _cells(spark, d).withColumn("even", F.col("narration_uid") % 2 == 0)
+    return stats.ks_statistic(rows, "d", "even", None, 2).withColumn("ks", F.round("ks", 9))

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..config import PlanConfig
 from ..functions import intervals as iv
 from ..operators import joins, windows
+from ..operators.generation import rows_around
 from ..sources.tables import narrations, table
 from .base import N, bucket_sql, high_sql, query
 
@@ -27,15 +28,13 @@ def unnest_counts(spark: SparkSession, d: str) -> DataFrame:
     return flat.groupBy("role").agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("n_convs"), F.sum(F.length("text")).alias("n_chars"))
 
 
-@query(f"""WITH {N}, q AS (SELECT * FROM n WHERE uid % 10 = 0)
+@query(f"""WITH {N}, q AS (SELECT * FROM n)
 SELECT q.uid, count(m.uid)::BIGINT AS n_inside, coalesce(min(m.uid), -1) AS first_uid FROM q LEFT JOIN n m ON m.video_uid = q.video_uid AND m.t BETWEEN q.t - 1.0 AND q.t + q.d / 10 + 1.0 GROUP BY q.uid""")
 def padded_window_filter(spark: SparkSession, d: str) -> DataFrame:
     n = narrations(spark, d)
-    lists = n.groupBy("video_uid").agg(F.collect_list(F.struct("timestamp_sec", "narration_uid")).alias("all"))
-    q = n.where("narration_uid % 10 = 0").join(lists, "video_uid")
-    inside = F.filter("all", lambda x: x["timestamp_sec"].between(F.col("timestamp_sec") - 1.0, F.col("timestamp_sec") + F.col("d") / 10 + 1.0))
-    q = q.withColumn("inside", inside)
-    return q.select(F.col("narration_uid").alias("uid"), F.size("inside").cast("long").alias("n_inside"), F.coalesce(F.array_min(F.transform("inside", lambda x: x["narration_uid"])), F.lit(-1)).alias("first_uid"))
+    q = n.select(F.col("narration_uid").alias("query_id"), "video_uid", F.col("timestamp_sec").alias("query_start_sec"), (F.col("timestamp_sec") + F.col("d") / 10).alias("query_end_sec"))
+    inside = rows_around(q, n).groupBy("query_id").agg(F.count("*").alias("n"), F.min("narration_uid").alias("first"))
+    return q.join(inside, "query_id", "left").select(F.col("query_id").alias("uid"), F.coalesce("n", F.lit(0)).alias("n_inside"), F.coalesce("first", F.lit(-1)).alias("first_uid"))
 
 
 _ENDS = f"""WITH {N}, e AS (SELECT uid, CASE WHEN uid % 3 <> 0 THEN t END AS clip_s, CASE WHEN uid % 5 <> 0 THEN t + d END AS clip_e, CASE WHEN uid % 7 <> 0 THEN t + 1 END AS video_s, t + d + 1 AS video_e, t AS base_video, t - 0.5 AS base_clip, t, d FROM n)"""
@@ -228,11 +227,11 @@ def max_ts(spark: SparkSession, d: str) -> DataFrame:
     return times.groupBy("video_uid").agg((F.coalesce(F.max("t"), F.lit(0.0)) + 5).alias("max_ts"))
 
 
-@query(f"""WITH {N}, q AS (SELECT uid AS query_id, video_uid, t - 6 AS s, t + 6 AS e FROM n WHERE uid % 4 = 0)
+@query(f"""WITH {N}, q AS (SELECT uid AS query_id, video_uid, t - 6 AS s, t + 6 AS e FROM n)
 SELECT q.query_id, coalesce(string_agg(n.txt, ' ' ORDER BY n.t, n.uid), '') AS text FROM q LEFT JOIN n ON n.video_uid = q.video_uid AND n.t BETWEEN q.s AND q.e GROUP BY q.query_id""")
 def range_join_text(spark: SparkSession, d: str) -> DataFrame:
     n = narrations(spark, d)
-    q = n.where("narration_uid % 4 = 0").select(F.col("narration_uid").alias("query_id"), "video_uid", (F.col("timestamp_sec") - 6).alias("s"), (F.col("timestamp_sec") + 6).alias("e"))
+    q = n.select(F.col("narration_uid").alias("query_id"), "video_uid", (F.col("timestamp_sec") - 6).alias("s"), (F.col("timestamp_sec") + 6).alias("e"))
     return joins.texts_in_range(q, n).select("query_id", "text")
 
 
@@ -242,24 +241,24 @@ def equi_join(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderpriority").agg(F.sum("n").alias("n"), F.round(F.sum("q"), 2).alias("qty"))
 
 
-@query(f"""WITH {N}, p AS (SELECT t - lag(t) OVER (PARTITION BY video_uid ORDER BY t, uid) AS g, uid, template FROM n), a AS (SELECT uid, g FROM p WHERE template = 'click' AND g IS NOT NULL AND uid % 5 = 0), b AS (SELECT uid, g FROM p WHERE template = 'purchase' AND g IS NOT NULL AND uid % 5 = 1)
-SELECT a.uid, count(*) AS n, min(b.uid) AS first_uid FROM a JOIN b ON abs(a.g - b.g) <= 2.0 GROUP BY a.uid""")
+@query(f"""WITH {N}, p AS (SELECT t - lag(t) OVER (PARTITION BY video_uid ORDER BY t, uid) AS g, uid, template FROM n), a AS (SELECT uid, g FROM p WHERE template = 'click' AND g IS NOT NULL), b AS (SELECT uid, g FROM p WHERE template = 'purchase' AND g IS NOT NULL)
+SELECT a.uid, count(*) AS n, min(b.uid) AS first_uid FROM a JOIN b ON abs(a.g - b.g) <= 0.25 GROUP BY a.uid""")
 def band_join(spark: SparkSession, d: str) -> DataFrame:
     n = narrations(spark, d)
     gaps = n.withColumn("g", F.col("timestamp_sec") - F.lag("timestamp_sec").over(windows.entity())).where("g IS NOT NULL")
-    a = gaps.where("template = 'click' AND narration_uid % 5 = 0").select(F.col("narration_uid").alias("uid"), "g")
-    b = gaps.where("template = 'purchase' AND narration_uid % 5 = 1").select(F.col("narration_uid").alias("other"), F.col("g").alias("h"))
-    return joins.band_join(a, b, "g", "h", 2.0).groupBy("uid").agg(F.count("*").alias("n"), F.min("other").alias("first_uid"))
+    a = gaps.where("template = 'click'").select(F.col("narration_uid").alias("uid"), "g")
+    b = gaps.where("template = 'purchase'").select(F.col("narration_uid").alias("other"), F.col("g").alias("h"))
+    return joins.band_join(a, b, "g", "h", 0.25).groupBy("uid").agg(F.count("*").alias("n"), F.min("other").alias("first_uid"))
 
 
-_EVENTS = f"e AS (SELECT uid AS id, video_uid, t, d AS len, template, {B('d')} AS bucket_lo, (uid * 7919) % 97 AS density FROM n WHERE uid % 2 = 0), u AS (SELECT id FROM e WHERE id % 6 = 0), q AS (SELECT uid AS request_id, video_uid, template, {B('d')} AS bucket_lo, d * 0.9 AS d FROM n WHERE uid % 2 = 1 AND uid % 5 = 0)"
+_EVENTS = f"e AS (SELECT uid AS id, video_uid, t, d AS len, template, {B('d')} AS bucket_lo, (uid * 7919) % 97 AS density FROM n WHERE uid % 2 = 0), u AS (SELECT id FROM e WHERE id % 6 = 0), q AS (SELECT uid AS request_id, video_uid, template, {B('d')} AS bucket_lo, d * 0.9 AS d FROM n WHERE uid % 2 = 1)"
 
 
 def _match_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     n = narrations(spark, d).withColumn("bucket_lo", iv.bucket_lo(F.col("d")))
     uid = F.col("narration_uid")
     events = n.where(uid % 2 == 0).select(uid.alias("id"), "video_uid", F.col("d").alias("len"), "template", "bucket_lo", (uid * 7919 % 97).alias("density"))
-    requests = n.where((uid % 2 == 1) & (uid % 5 == 0)).select(uid.alias("request_id"), "video_uid", "template", "bucket_lo", (F.col("d") * 0.9).alias("d"))
+    requests = n.where(uid % 2 == 1).select(uid.alias("request_id"), "video_uid", "template", "bucket_lo", (F.col("d") * 0.9).alias("d"))
     return requests, events, events.where("id % 6 = 0").select("id")
 
 
@@ -270,6 +269,13 @@ def anchor_match(spark: SparkSession, d: str) -> DataFrame:
     return joins.matching_events(requests.drop("video_uid"), events.drop("video_uid"), used, ["template", "bucket_lo"], 3).select("request_id", "id", "rank")
 
 
+@query(f"""WITH {N}, {_EVENTS}, m AS (SELECT q.request_id, e.id FROM q JOIN e ON e.template = q.template AND e.bucket_lo = q.bucket_lo AND e.len >= q.d WHERE e.id NOT IN (SELECT id FROM u) QUALIFY row_number() OVER (PARTITION BY q.request_id ORDER BY e.density DESC, e.id) <= 5)
+SELECT request_id, id FROM m QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY md5('42|' || request_id || '|' || id), id) = 1""")
+def anchor_pick(spark: SparkSession, d: str) -> DataFrame:
+    requests, events, used = _match_inputs(spark, d)
+    return joins.picked_events(requests.drop("video_uid"), events.drop("video_uid"), used, ["template", "bucket_lo"], 5).select("request_id", "id")
+
+
 @query(f"""WITH {N}, {_EVENTS}, m AS (SELECT q.request_id, e.id, row_number() OVER (PARTITION BY q.request_id ORDER BY e.density DESC, e.id) AS rank FROM q JOIN e ON e.video_uid = q.video_uid AND e.template = q.template AND e.bucket_lo = q.bucket_lo AND e.len >= q.d WHERE e.id NOT IN (SELECT id FROM u))
 SELECT request_id, id FROM m WHERE rank = 1""")
 def fill_match(spark: SparkSession, d: str) -> DataFrame:
@@ -290,11 +296,11 @@ FROM r JOIN s ON s.video_uid = r.video_uid AND s.k = r.k + 1),
 f AS (SELECT video_uid, seg, la, lb, row_number() OVER (PARTITION BY video_uid, seg ORDER BY k DESC) AS z FROM r)
 SELECT video_uid, (seg - 1)::INT AS seg, round(la, 6) AS s, round(lb, 6) AS e FROM f WHERE z = 1""")
 def dedup_segments(spark: SparkSession, d: str) -> DataFrame:
-    from ..operators.merge import merged_segments
+    from ..operators.merge import merge_segments
 
     t = F.col("timestamp_sec")
-    lists = narrations(spark, d).groupBy("video_uid").agg(F.collect_list(F.struct(t.alias("s"), (t + 2).alias("e"))).alias("all"))
-    return lists.select("video_uid", F.posexplode(merged_segments(F.col("all"), 1.5)).alias("seg", "x")).select("video_uid", "seg", F.round("x.s", 6).alias("s"), F.round("x.e", 6).alias("e"))
+    ends = narrations(spark, d).select("video_uid", t.alias("s"), (t + 2).alias("e"))
+    return merge_segments(ends, ["video_uid"], tol=1.5).select("video_uid", "seg", F.round("s", 6).alias("s"), F.round("e", 6).alias("e"))
 
 
 @query(f"WITH {N}, c AS (SELECT video_uid, uid, txt, t, row_number() OVER (PARTITION BY video_uid, txt ORDER BY t, uid) AS k FROM n) SELECT video_uid, string_agg(txt, ' ' ORDER BY t, uid) AS context_text, count(*) AS n FROM c WHERE k = 1 GROUP BY video_uid")
