@@ -79,6 +79,9 @@ def _reach_pair(p: int, q: int, x: str, y: str) -> Column:
     return _reach(p, q, f"least({x}.n, {y}.n)", f"greatest({x}.n, {y}.n)", f"({x}.n + {y}.n)", f"least({x}.n - {x}.i, {y}.n - {y}.i)")
 
 
+MAP = ("m0", "m1", "m2", "m3")
+
+
 def _bits(s: str) -> list[Column]:
     """A bitmap of the hashes in column ``s``, 256 bits in four words."""
     return [F.expr(f"aggregate({s}, 0L, (m, h) -> CASE WHEN (shiftright(h, 6) & 3) = {k} THEN m | shiftleft(1L, CAST(h & 63 AS INT)) ELSE m END)").alias(f"m{k}") for k in range(4)]
@@ -117,7 +120,8 @@ def repeated_lines(docs: DataFrame, p: int = 4, q: int = 5, shingle: int = SHING
     # the sets of all lines that met another, read once
     in_pairs = found.where("at IS NULL").select(F.explode(F.array("x", "y")).alias("h"))
     own = checkpoint(in_pairs.union(found.where("at IS NOT NULL").select("at.h")).distinct().join(heads.select("h", "first"), "h"))
-    held = stored(_first_lines(docs, small(own)).select("h", "first", _shingles(F.col("line"), shingle).alias("s")).dropDuplicates(["h"]))
+    sized = _first_lines(docs, small(own)).select("h", "first", F.explode(F.array(_shingles(F.col("line"), shingle))).alias("s"))
+    held = stored(sized.select("h", "first", F.size("s").alias("n"), *_bits("s"), "s"))
     place_of = own
 
     near, frequent = _meetings(found.where("at IS NOT NULL").select("at.*"), place_of, p, q)
@@ -140,8 +144,7 @@ def repeated_lines(docs: DataFrame, p: int = 4, q: int = 5, shingle: int = SHING
         # meet all earlier ones, and only pairs that the bitmaps admit become rows
         result = checkpoint(gone.union(more).distinct())
         crowd = checkpoint(crowd)
-        mapped = crowd.join(held.join(crowd.select("h").distinct(), "h", "left_semi").select("h", *_bits("s")), "h")
-        placed = stored(mapped.select("key", "h", "n", "i", "first", *[f"m{k}" for k in range(4)]))
+        placed = stored(crowd.join(held.select("h", *MAP), "h").select("key", "h", "n", "i", "first", *MAP))
         rest = placed.join(result, "h", "left_anti")
         pairs = rest.alias("x").join(placed.alias("y"), F.expr("x.key = y.key AND y.first < x.first") & _reach_pair(p, q, "x", "y") & _bound_pair(p, q, "x", "y")).select(F.col("x.h").alias("x"), F.col("y.h").alias("y")).distinct()
         result = result.union(_later_of_similar(held, pairs, p, q))
@@ -172,10 +175,15 @@ def _first_lines(docs: DataFrame, own: DataFrame) -> DataFrame:
 
 
 def _later_of_similar(held: DataFrame, pairs: DataFrame, p: int, q: int) -> DataFrame:
-    """(h) of the later line of every pair (x, y) that is similar; ``held`` has the lines' sets."""
-    pairs = checkpoint(pairs)
+    """(h) of the later line of every pair (x, y) that is similar; ``held`` has the lines' sets and bitmaps.
+
+    Bitmaps go to all pairs, sets only to those that they admit.
+    """
+    maps = small(held.select("h", "n", *MAP))
+    joined = pairs.alias("p").join(maps.alias("x"), F.expr("p.x = x.h")).join(maps.alias("y"), F.expr("p.y = y.h") & _bound_pair(p, q, "x", "y"))
+    fit = checkpoint(joined.select("p.x", "p.y"))
     a, b = held.select(F.col("h").alias("x"), F.col("first").alias("fx"), F.col("s").alias("sx")), held.select(F.col("h").alias("y"), F.col("first").alias("fy"), F.col("s").alias("sy"))
-    both = pairs.join(a, "x").join(b, "y").select("x", "y", "fx", "fy", F.size("sx").alias("n"), F.size("sy").alias("m"), F.size(F.array_intersect("sx", "sy")).alias("o"))
+    both = fit.join(a, "x").join(b, "y").select("x", "y", "fx", "fy", F.size("sx").alias("n"), F.size("sy").alias("m"), F.size(F.array_intersect("sx", "sy")).alias("o"))
     similar = both.where(F.lit(q) * F.col("o") >= F.lit(p) * (F.col("n") + F.col("m") - F.col("o")))
     return checkpoint(similar.select(F.when(F.expr("fx > fy"), F.col("x")).otherwise(F.col("y")).alias("h")).distinct())
 
