@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curation_queries, interval_queries  # noqa: F401  they register themselves
+from . import curation_queries, file_queries, interval_queries  # noqa: F401  they register themselves
 from .base import ORACLES, QUERIES
 
 

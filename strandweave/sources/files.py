@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .json_files import whole_document
+from .json_files import documents, whole_document
 
 
 def shards(spark: SparkSession, folder: str, pattern: str = "shard_*.jsonl") -> DataFrame:
@@ -39,29 +41,32 @@ def present_features(spark: SparkSession, folder: str, suffix: str = ".pt") -> D
 
 def converted_name(path: str) -> str:
     """Where a JSON lines file's array goes."""
-    stem = path.removesuffix(".gz").removesuffix(".jsonl")
+    stem = path.removesuffix(".gz").removesuffix(".jsonl").removesuffix(".txt")
     return f"{stem}_converted.json"
 
 
 def convert_lines(spark: SparkSession, path: str, out: str) -> DataFrame:
     """Write a JSON lines file as one array; (line_no, line) of the bad lines that were skipped.
 
-    One file is one document, so its lines are numbered and gathered together.
+    One file is one document, so its lines are numbered and gathered together;
+    its size is bounded.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("k", "line")).where(F.trim("line") != "")
+    raw = documents(spark, path).select(F.posexplode(F.split("value", r"\r?\n")).alias("k", "line")).where(F.trim("line") != "")
     lines = raw.select((F.col("k") + 1).alias("line_no"), "line", whole_document(F.col("line")).alias("v"))
     document = lines.where("v IS NOT NULL").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("all"))
     document.select(F.concat(F.lit("[\n"), F.array_join("all", ",\n"), F.lit("\n]")).alias("value")).coalesce(1).write.mode("ignore").text(out)
     return lines.where("v IS NULL").select("line_no", "line")
 
 
-def convert_folder(spark: SparkSession, folder: str, pattern: str = "*.jsonl", recursive: bool = False, out_folder: str | None = None) -> list[str]:
+def convert_folder(spark: SparkSession, folder: str, pattern: str = "*.jsonl", recursive: bool = False, out_folder: str | None = None, at_once: int = 8) -> list[str]:
     """Convert the files of a folder, but those converted already; the paths written."""
     listing = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(folder).select("path")
     done = []
     for row in listing.where(~F.col("path").contains("_converted")).orderBy("path").toLocalIterator():
         out = converted_name(row.path)
         out = f"{out_folder.rstrip('/')}/{out.rsplit('/', 1)[-1]}" if out_folder else out
-        convert_lines(spark, row.path, out)
-        done.append(out)
-    return done
+        done.append((row.path, out))
+    # each file's jobs are its own and small: several files at once
+    with ThreadPoolExecutor(at_once) as pool:
+        list(pool.map(lambda x: convert_lines(spark, *x), done))
+    return [out for _, out in done]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
@@ -14,9 +16,20 @@ WRAPPER_KEYS = ("clips", "data", "rows", "items", "candidates")
 UID_KEYS = ("video_uid", "videoId", "uid")
 
 
-def narration_file(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of an object keyed by video uid; a missing file raises."""
-    raw = spark.read.text(path, wholetext=True)
+#: Bytes up to which one file is read as one document; larger ones must come as lines.
+DOCUMENT_BYTES = 1 << 30
+
+
+def documents(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value): whole files, of which each is one row in one task, so their sizes are bounded."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), "value")
+    over = F.raise_error(F.concat(F.lit(f"more than {DOCUMENT_BYTES} bytes in one document, read it as lines: "), F.col("file")))
+    return files.select("file", F.when(F.col("size") > DOCUMENT_BYTES, over).otherwise(F.col("value")).alias("value"))
+
+
+def narration_file(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Rows of an object keyed by video uid, or with ``lines`` of one such object a line; a missing file raises."""
+    raw = spark.read.text(path) if lines else documents(spark, path)
     videos = raw.select(F.explode(F.from_json("value", NARRATION_FILE)).alias("video_uid", "v"))
     return videos.select("video_uid", F.inline("v.narration_pass_1.narrations"))
 
@@ -26,19 +39,20 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
-def annotation_file(spark: SparkSession, path: str) -> DataFrame:
-    """(video_uid, clip..., query...) of an annotation tree; empty lists give no rows."""
-    videos = spark.read.schema(ANNOTATION_FILE).json(path, multiLine=True).select(F.explode("videos").alias("v"))
+def annotation_file(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(video_uid, clip..., query...) of an annotation tree, or with ``lines`` of one a line; empty lists give no rows."""
+    videos = spark.read.schema(ANNOTATION_FILE).json(path, multiLine=not lines).select(F.explode("videos").alias("v"))
     clips = videos.select("v.video_uid", F.explode("v.clips").alias("c"))
     notes = clips.select("video_uid", F.col("c.clip_start_sec").alias("clip_lo"), F.col("c.clip_end_sec").alias("clip_hi"), F.col("c.video_start_sec").alias("clip_video_start"), F.explode("c.annotations").alias("a"))
     return notes.select("video_uid", "clip_lo", "clip_hi", "clip_video_start", F.inline("a.language_queries"))
 
 
-def split_uids(spark: SparkSession, path: str) -> DataFrame:
-    """(video_uid) of a split file; a missing file is an empty set."""
+def split_uids(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(video_uid) of a split file; a missing file is an empty set, with a warning."""
     if not _exists(spark, path):
+        warnings.warn(f"no split file at {path}: nothing is excluded", stacklevel=2)
         return spark.createDataFrame([], "video_uid string")
-    return spark.read.schema(ANNOTATION_FILE).json(path, multiLine=True).select(F.explode("videos").alias("v")).select("v.video_uid").where("video_uid IS NOT NULL").distinct()
+    return spark.read.schema(ANNOTATION_FILE).json(path, multiLine=not lines).select(F.explode("videos").alias("v")).select("v.video_uid").where("video_uid IS NOT NULL").distinct()
 
 
 def whole_document(text: Column) -> Column:
@@ -64,17 +78,22 @@ def robust_records(spark: SparkSession, path: str) -> DataFrame:
     gzip files are read by their suffix.  A whole file is parsed first; only
     files that don't parse as one document are cut into lines.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    raw = documents(spark, path)
     whole = raw.withColumn("v", F.when(F.ltrim("value").rlike(r"^\s*[\[{]"), parsed(F.col("value"))))
     good = whole.where("v IS NOT NULL").select("file", F.explode(_records(F.col("v"))).alias("record"))
     lines = whole.where("v IS NULL").select("file", F.explode(F.split("value", r"\r?\n")).alias("line")).where(F.trim("line") != "")
     return good.unionByName(lines.select("file", parsed(F.col("line")).alias("record")).where("record IS NOT NULL"))
 
 
+def robust_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, record VARIANT) of JSON lines, each repaired where it must be, read line by line whatever the file's size."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value").where(F.trim("value") != "")
+    return lines.select("file", parsed(F.col("value")).alias("record")).where("record IS NOT NULL")
+
+
 def array_or_lines(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Typed records of a JSON array, an object, or JSON lines without repair; bad lines go."""
-    raw = spark.read.text(path, wholetext=True)
-    whole = raw.withColumn("v", whole_document(F.col("value")))
+    whole = documents(spark, path).withColumn("v", whole_document(F.col("value")))
     good = whole.where("v IS NOT NULL").select(F.explode(F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))).alias("r"))
     lines = whole.where("v IS NULL").select(F.explode(F.split("value", r"\r?\n")).alias("l")).select(whole_document(F.col("l")).alias("r")).where("r IS NOT NULL")
     return good.unionByName(lines).select(F.from_json(F.to_json("r"), schema).alias("x")).select("x.*")
@@ -107,5 +126,5 @@ def uids(records: DataFrame, record: str = "record") -> DataFrame:
     return each.select(F.coalesce(*[F.try_variant_get("r", f"$.{k}", "string") for k in UID_KEYS]).alias("video_uid")).where("video_uid IS NOT NULL").distinct()
 
 
-def typed(records: DataFrame, schema: DataType, record: str = "record") -> DataFrame:
+def typed(records: DataFrame, schema: DataType | str, record: str = "record") -> DataFrame:
     return records.select(F.from_json(F.to_json(record), schema).alias("x")).select("x.*")

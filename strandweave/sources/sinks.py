@@ -43,8 +43,10 @@ def write_shards(sharded: DataFrame, path: str) -> None:
     sharded.repartition("shard").write.mode("overwrite").partitionBy("shard").json(path)
 
 
-def write_document(rows: DataFrame, path: str, key: str = "videos") -> None:
-    """One JSON object with all rows under ``key``: for results that one reader loads whole."""
+def write_document(rows: DataFrame, path: str, key: str = "videos", most: int = 1_000_000) -> None:
+    """One JSON object with all rows under ``key``: for results that one reader loads whole, so their number is bounded; write_json_lines() has no bound."""
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows in one document: write lines")
     rows.agg(F.collect_list(F.struct(*rows.columns)).alias(key)).coalesce(1).write.mode("overwrite").json(path)
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState
 
 
 def sessions(events: DataFrame, key: str, ts: str, gap: str = "8 hours", late: str = "1 hour") -> DataFrame:
@@ -41,5 +45,21 @@ def append_new(rows: DataFrame, path: str, checkpoint: str, keys: list[str], fil
     return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
 
 
+def usage_ledger(marks: DataFrame, key: str) -> DataFrame:
+    """(key, uses, fresh) of every key of a micro-batch: how often it was marked so far, and whether none had marked it before.
+
+    A state per key holds the count, so what earlier batches used stays used.
+    """
+    kind = marks.schema[key].dataType.simpleString()
+
+    def mark(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        before = state.get[0] if state.exists else 0
+        now = before + sum(len(f) for f in frames)
+        state.update((now,))
+        yield pd.DataFrame({key: [name[0]], "uses": [now], "fresh": [before == 0]})
+
+    return marks.groupBy(key).applyInPandasWithState(mark, f"`{key}` {kind}, uses bigint, fresh boolean", "uses bigint", "append", "NoTimeout")
+
+
 def file_stream(spark, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
