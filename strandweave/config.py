@@ -1,4 +1,7 @@
-"""Constants of the curation pipeline; every operator takes them as parameters too."""
+"""Constants of the curation pipeline; every operator takes them as parameters too.
+
+All values are fixed values of the curated data's definition.
+"""
 
 from __future__ import annotations
 

@@ -25,7 +25,8 @@ from .joins import band_join
 from .materialise import checkpoint as _checkpoint
 from .sampling import order_key
 
-CLIP = "clip_id string, rank long, video_uid long, clip_cs double, clip_ce double, event_id long, role string, template string, bucket_lo double, qs double, qe double"
+#: Columns of placed queries; ids have the events' types.
+CLIP = "clip_id string, rank {event}, video_uid {video}, clip_cs double, clip_ce double, event_id {event}, role string, template string, bucket_lo double, qs double, qe double"
 
 
 def _place(frame: pd.DataFrame, tol: float, most: int) -> pd.DataFrame:
@@ -60,12 +61,13 @@ def allocate(references: DataFrame, events: DataFrame, video_end: DataFrame, pla
     refs = _checkpoint(references.where((F.col("d") >= config.least_query) & (F.col("d_rel") > 0)))
     # an event is long enough for the first n_fit references of its cell, by length
     timed = events.join(video_end, "video_uid").withColumn("len", F.col("ce") - F.col("cs"))
-    steps = refs.groupBy(*cell, F.col("d").alias("len")).agg(F.count("*").alias("n")).select(*cell, "len", F.sum("n").over(Window.partitionBy(*cell).orderBy("len")).alias("n_fit"), F.lit(None).cast("long").alias("event_id"))
+    steps = refs.groupBy(*cell, F.col("d").alias("len")).agg(F.count("*").alias("n")).select(*cell, "len", F.sum("n").over(Window.partitionBy(*cell).orderBy("len")).alias("n_fit"), F.lit(None).cast(events.schema["event_id"].dataType).alias("event_id"))
     before = Window.partitionBy(*cell).orderBy("len", F.col("event_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     fit = steps.unionByName(timed.select(*cell, "len", F.lit(None).cast("long").alias("n_fit"), "event_id")).withColumn("n_fit", F.coalesce(F.max("n_fit").over(before), F.lit(0))).where("event_id IS NOT NULL").select("event_id", "n_fit")
     free = _checkpoint(timed.join(fit, "event_id"))
-    placed = spark.createDataFrame([], CLIP)
-    ledger = spark.createDataFrame([], "event_id long")
+    kinds = {k: events.schema[c].dataType.simpleString() for k, c in (("event", "event_id"), ("video", "video_uid"))}
+    placed = spark.createDataFrame([], CLIP.format(**kinds))
+    ledger = spark.createDataFrame([], f"event_id {kinds['event']}")
     ref_rank = F.row_number().over(Window.partitionBy(*cell).orderBy("d", order_key("ref_id", seed=seed), "ref_id"))
     ranked_refs = refs.withColumn("k", ref_rank - 1)
     everyone = False

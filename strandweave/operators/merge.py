@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..config import PlanConfig
 from ..functions.intervals import annotation_uid, clip_uid, milli, query_uid
 
 WINDOW = ("video_uid", "clip_start_sec", "clip_end_sec", "query_start_sec", "query_end_sec")
@@ -59,7 +60,7 @@ def merged_segments(segments: Column, tol: float = 0.05) -> Column:
     return F.aggregate(F.array_sort(segments), F.array().cast(kind), step)
 
 
-def merge_segments(rows: DataFrame, by: list[str], start: str = "s", end: str = "e", tol: float = 0.05) -> DataFrame:
+def merge_segments(rows: DataFrame, by: list[str], start: str = "s", end: str = "e", tol: float = PlanConfig().segment_tolerance) -> DataFrame:
     """(by, seg, s, e): merged_segments() of each group, numbered; linear in the group, one pass over its sorted ends."""
     fields = rows.select(*by).schema
 

@@ -120,11 +120,20 @@ def rule_routing(spark: SparkSession, d: str) -> DataFrame:
     return _asked(spark, d).select("conv_id", "turn", "part", templates.routed(t, templates.PROMPT_KINDS).alias("prompt_kind"), templates.routed(t, templates.GRAMMAR_KINDS).alias("grammar_kind"), templates.routed(t, templates.EXAMPLE_KINDS).alias("example_kind"))
 
 
-@query()
+_PROMPT = f"""{_ASKED}, s AS (SELECT *, list_transform(regexp_split_to_array(text, '\\. '), lambda x: trim(regexp_replace(x, '#[\\p{{L}}\\p{{N}}_]+', '', 'g'))) AS a FROM m),
+c AS (SELECT *, CASE WHEN len(a) <= 24 THEN a ELSE list_transform(range(0, 24), lambda k: a[round_even(k * (len(a) - 1) / 23.0::DOUBLE, 0)::BIGINT + 1]) END AS clean FROM s),
+x AS (SELECT *, list_slice(list_sort(list_distinct(list_transform(regexp_extract_all(array_to_string(clean, ' '), '[A-Za-z0-9'']+'), lambda x: lower(x)))), 1, 10) AS anchor FROM c)
+SELECT conv_id, turn, part, 'Write one short question in English, of 3 to 18 words, with a question mark at its end.' || chr(10) || 'Template: ' || template || chr(10) || CASE {_route_sql(templates.PROMPT_KINDS)}
+""" + " ".join(f"WHEN '{k}' THEN 'Begin with ''{v}''. {templates.ADVICE[k]}' || chr(10)" for k, v in templates.FIRST_WORDS.items()) + f""" ELSE 'Keep to the template''s meaning.' || chr(10) END
+|| 'Use only what the narrations say; no answer, no preface, no refusal.' || chr(10) || CASE WHEN len(anchor) > 0 THEN 'Use one of these words at least: ' || array_to_string(anchor, ', ') || '.' || chr(10) ELSE '' END
+|| chr(10) || 'Time: 1.00 s to 2.50 s' || chr(10) || '- ' || array_to_string(clean, chr(10) || '- ') || chr(10) || 'Question:' || chr(10) AS prompt,
+CASE {_route_sql(templates.GRAMMAR_KINDS)} """ + " ".join("WHEN '" + k + "' THEN '" + templates.grammar(k).replace("'", "''") + "'" for k in templates.GRAMMAR_KINDS) + " ELSE '' END AS grammar FROM x"
+
+
+@query("WITH " + _PROMPT)
 def prompt_build(spark: SparkSession, d: str) -> DataFrame:
-    rows = _asked(spark, d)
     lines = F.split("text", r"\. ")
-    return rows.select("conv_id", "turn", templates.prompt(F.col("template"), F.lit(1.0), F.lit(2.5), lines).alias("prompt"), templates.grammar_of(F.col("template")).alias("grammar"))
+    return _asked(spark, d).select("conv_id", "turn", "part", templates.prompt(F.col("template"), F.lit(1.0), F.lit(2.5), lines).alias("prompt"), templates.grammar_of(F.col("template")).alias("grammar"))
 
 
 _WORDS = r"len(regexp_extract_all(question, '[\p{L}\p{N}_]+'))"
@@ -476,24 +485,6 @@ def plot_labels(spark: SparkSession, d: str) -> DataFrame:
     return cells.select("template", bucket_label(F.col("bucket_lo"), F.col("bucket_hi")).alias("label"), texts.shortened(F.col("template"), 4).alias("short_name"), "n")
 
 
-_PROMPT = f"""l AS (SELECT DISTINCT conv_id, turn, text, {_list_sql(TEMPLATES)}[(conv_id * 7 + turn) % 14 + 1] AS template FROM conversations),
-s AS (SELECT *, list_transform(regexp_split_to_array(text, '\\. '), lambda x: trim(regexp_replace(x, '#[\\p{{L}}\\p{{N}}_]+', '', 'g'))) AS a FROM l),
-c AS (SELECT *, CASE WHEN len(a) <= 24 THEN a ELSE list_transform(range(0, 24), lambda k: a[round_even(k * (len(a) - 1) / 23.0::DOUBLE, 0)::BIGINT + 1]) END AS clean FROM s),
-w AS (SELECT *, list_slice(list_sort(list_distinct(list_transform(regexp_extract_all(array_to_string(clean, ' '), '[A-Za-z0-9'']+'), lambda x: lower(x)))), 1, 10) AS anchor FROM c)
-SELECT conv_id, turn, 'Write one short question in English, of 3 to 18 words, with a question mark at its end.' || chr(10) || 'Template: ' || template || chr(10) || CASE {_route_sql(templates.PROMPT_KINDS)}
-""" + " ".join(f"WHEN '{k}' THEN 'Begin with ''{v}''. {templates.ADVICE[k]}' || chr(10)" for k, v in templates.FIRST_WORDS.items()) + """ ELSE 'Keep to the template''s meaning.' || chr(10) END
-|| 'Use only what the narrations say; no answer, no preface, no refusal.' || chr(10) || CASE WHEN len(anchor) > 0 THEN 'Use one of these words at least: ' || array_to_string(anchor, ', ') || '.' || chr(10) ELSE '' END
-|| chr(10) || 'Time: 1.00 s to 2.50 s' || chr(10) || '- ' || array_to_string(clean, chr(10) || '- ') || chr(10) || 'Question:' || chr(10) AS prompt FROM w"""
-
-
-@query("WITH " + _PROMPT)
-def prompt_texts(spark: SparkSession, d: str) -> DataFrame:
-    c, t = F.col("conv_id"), F.col("turn")
-    name = F.element_at(F.array(*[F.lit(v) for v in TEMPLATES]), ((c * 7 + t) % 14 + 1).cast("int"))
-    rows = table(spark, d, "conversations").select("conv_id", "turn", "text").distinct().withColumn("template", name)
-    return rows.select("conv_id", "turn", templates.prompt(F.col("template"), F.lit(1.0), F.lit(2.5), F.split("text", r"\. ")).alias("prompt"))
-
-
 @query("""WITH l AS (SELECT unnest(['a', 'b', 'c', 'd', 'e', 'f', 'g', 'h']) AS c, unnest(range(0, 8))::INT AS dim), x AS (SELECT conv_id, turn, text, dim, (length(lower(text)) - length(replace(lower(text), c, '')))::DOUBLE AS v FROM (SELECT DISTINCT conv_id, turn, coalesce(text, '') AS text FROM conversations), l)
 SELECT conv_id, turn, dim, round(v / (sqrt(sum(v * v) OVER (PARTITION BY conv_id, turn, text)) + 1e-12::DOUBLE), 6) AS value FROM x""")
 def encode_texts(spark: SparkSession, d: str) -> DataFrame:

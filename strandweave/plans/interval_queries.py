@@ -224,7 +224,7 @@ def topk_entities(spark: SparkSession, d: str) -> DataFrame:
 def max_ts(spark: SparkSession, d: str) -> DataFrame:
     n = narrations(spark, d)
     times = n.withColumn("t", F.when(F.col("template") != "error", F.col("timestamp_sec")))
-    return times.groupBy("video_uid").agg((F.coalesce(F.max("t"), F.lit(0.0)) + 5).alias("max_ts"))
+    return times.groupBy("video_uid").agg((F.coalesce(F.max("t"), F.lit(0.0)) + PlanConfig().end_buffer).alias("max_ts"))
 
 
 @query(f"""WITH {N}, q AS (SELECT uid AS query_id, video_uid, t - 6 AS s, t + 6 AS e FROM n)
