@@ -120,14 +120,24 @@ def rule_routing(spark: SparkSession, d: str) -> DataFrame:
     return _asked(spark, d).select("conv_id", "turn", "part", templates.routed(t, templates.PROMPT_KINDS).alias("prompt_kind"), templates.routed(t, templates.GRAMMAR_KINDS).alias("grammar_kind"), templates.routed(t, templates.EXAMPLE_KINDS).alias("example_kind"))
 
 
-_PROMPT = f"""{_ASKED}, s AS (SELECT *, list_transform(regexp_split_to_array(text, '\\. '), lambda x: trim(regexp_replace(x, '#[\\p{{L}}\\p{{N}}_]+', '', 'g'))) AS a FROM m),
-c AS (SELECT *, CASE WHEN len(a) <= 24 THEN a ELSE list_transform(range(0, 24), lambda k: a[round_even(k * (len(a) - 1) / 23.0::DOUBLE, 0)::BIGINT + 1]) END AS clean FROM s),
-x AS (SELECT *, list_slice(list_sort(list_distinct(list_transform(regexp_extract_all(array_to_string(clean, ' '), '[A-Za-z0-9'']+'), lambda x: lower(x)))), 1, 10) AS anchor FROM c)
-SELECT conv_id, turn, part, 'Write one short question in English, of 3 to 18 words, with a question mark at its end.' || chr(10) || 'Template: ' || template || chr(10) || CASE {_route_sql(templates.PROMPT_KINDS)}
-""" + " ".join(f"WHEN '{k}' THEN 'Begin with ''{v}''. {templates.ADVICE[k]}' || chr(10)" for k, v in templates.FIRST_WORDS.items()) + f""" ELSE 'Keep to the template''s meaning.' || chr(10) END
+def _thin_sql(a: str) -> str:
+    return f"CASE WHEN len({a}) <= 24 THEN {a} ELSE list_transform(range(0, 24), lambda k: {a}[round_even(k * (len({a}) - 1) / 23.0::DOUBLE, 0)::BIGINT + 1]) END"
+
+
+_ANCHOR = "list_slice(list_sort(list_distinct(list_transform(regexp_extract_all(array_to_string(clean, ' '), '[A-Za-z0-9'']+'), lambda x: lower(x)))), 1, 10) AS anchor"
+_GRAMMAR = f"CASE {_route_sql(templates.GRAMMAR_KINDS)} " + " ".join("WHEN '" + k + "' THEN '" + templates.grammar(k).replace("'", "''") + "'" for k in templates.GRAMMAR_KINDS) + " ELSE '' END"
+
+
+def _prompt_sql(time: str) -> str:
+    """A prompt of the columns template, clean and anchor."""
+    first = " ".join(f"WHEN '{k}' THEN 'Begin with ''{v}''. {templates.ADVICE[k]}' || chr(10)" for k, v in templates.FIRST_WORDS.items())
+    return f"""'Write one short question in English, of 3 to 18 words, with a question mark at its end.' || chr(10) || 'Template: ' || template || chr(10) || CASE {_route_sql(templates.PROMPT_KINDS)} {first} ELSE 'Keep to the template''s meaning.' || chr(10) END
 || 'Use only what the narrations say; no answer, no preface, no refusal.' || chr(10) || CASE WHEN len(anchor) > 0 THEN 'Use one of these words at least: ' || array_to_string(anchor, ', ') || '.' || chr(10) ELSE '' END
-|| chr(10) || 'Time: 1.00 s to 2.50 s' || chr(10) || '- ' || array_to_string(clean, chr(10) || '- ') || chr(10) || 'Question:' || chr(10) AS prompt,
-CASE {_route_sql(templates.GRAMMAR_KINDS)} """ + " ".join("WHEN '" + k + "' THEN '" + templates.grammar(k).replace("'", "''") + "'" for k in templates.GRAMMAR_KINDS) + " ELSE '' END AS grammar FROM x"
+|| chr(10) || {time} || chr(10) || '- ' || array_to_string(clean, chr(10) || '- ') || chr(10) || 'Question:' || chr(10)"""
+
+
+_PROMPT = f"""{_ASKED}, s AS (SELECT *, list_transform(regexp_split_to_array(text, '\\. '), lambda x: trim(regexp_replace(x, '#[\\p{{L}}\\p{{N}}_]+', '', 'g'))) AS a FROM m), c AS (SELECT *, {_thin_sql('a')} AS clean FROM s), x AS (SELECT *, {_ANCHOR} FROM c)
+SELECT conv_id, turn, part, {_prompt_sql("'Time: 1.00 s to 2.50 s'")} AS prompt, {_GRAMMAR} AS grammar FROM x"""
 
 
 @query("WITH " + _PROMPT)
@@ -190,7 +200,17 @@ def rerank_best(spark: SparkSession, d: str) -> DataFrame:
     return sampling.best(scored, ["conv_id"], "score", "turn", "part")
 
 
-@query()
+_STUB = f"""{N}, v AS (SELECT video_uid, min(t) AS qs FROM n GROUP BY video_uid),
+f AS (SELECT n.video_uid, n.t, n.uid, trim(n.txt) AS s, v.qs, lag(trim(n.txt)) OVER (PARTITION BY n.video_uid ORDER BY n.t, n.uid) AS before FROM n JOIN v USING (video_uid) WHERE n.t BETWEEN v.qs - 1.0 AND v.qs + 24 + 1.0 AND length(trim(n.txt)) > 0),
+l AS (SELECT video_uid, qs, list(s ORDER BY t, uid) AS a FROM f WHERE before IS NULL OR before <> s GROUP BY ALL), c AS (SELECT *, {_list_sql(TEMPLATES)}[video_uid % 14 + 1] AS template, {_thin_sql('a')} AS clean FROM l),
+x AS (SELECT *, {_ANCHOR} FROM c), p AS (SELECT *, {_prompt_sql("printf('Time: %.2f s to %.2f s', qs, qs + 24)")} AS prompt, string_split(clean[len(clean)], ' ') AS ws, array_to_string(clean, ' ') AS inside FROM x),
+y AS (SELECT *, unnest(range(0, 5)) AS trial, unnest([42, 123, 777, 314, 271]) AS seed FROM p),
+z AS (SELECT *, CASE {_route_sql(templates.PROMPT_KINDS)} {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in templates.FIRST_WORDS.items())} ELSE 'What' END || ' is ' || array_to_string(ws[1:2 + (('0x' || substr(md5(seed || '|' || prompt), 1, 8))::BIGINT % 3)], ' ') || '?' AS question FROM y),
+r AS (SELECT *, CASE WHEN {_WORDS} < 3 OR {_WORDS} > 24 THEN 'bad_len' WHEN {_SHARED} < 1 THEN 'low_overlap_inside' ELSE 'ok' END AS format, {_reason_sql()} AS rule, {_SCORE} AS points FROM z),
+b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY video_uid ORDER BY CASE WHEN format = 'ok' THEN 10 + points ELSE trial / 100.0::DOUBLE END DESC, trial) = 1)"""
+
+
+@query(f"WITH {_STUB} SELECT video_uid, question AS query, format, CASE WHEN format <> 'ok' THEN format ELSE rule END AS reason FROM b")
 def generate_questions(spark: SparkSession, d: str) -> DataFrame:
     n = narrations(spark, d)
     rows = n.groupBy("video_uid").agg(F.array_sort(F.collect_list(F.struct("timestamp_sec", "narration_uid", "narration_text"))).alias("narrations"), F.min("timestamp_sec").alias("query_start_sec"))
