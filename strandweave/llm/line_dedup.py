@@ -135,18 +135,18 @@ def repeated_lines(docs: DataFrame, p: int = 4, q: int = 5, shingle: int = SHING
         # rare shingles first: the frequent ones of a line are found by a probe of its set, and moved to its end
         words = held.join(small(open_), "h", "left_semi").select("h", "s")
         often = words.select("h", F.explode("s").alias("key")).join(small(frequent.select("key").distinct()), "key").groupBy("h").agg(F.sort_array(F.collect_list("key")).alias("often"))
-        turned = words.join(often, "h").select("h", F.size("s").alias("n"), F.slice(F.concat(F.array_except("s", "often"), "often"), F.lit(1), prefix(F.size("s"), p, q)).alias("s"))
-        anew = stored(turned.select("h", "n", F.posexplode("s").alias("i", "key")).select("key", "h", "n", "i"))
+        turned = stored(words.join(often, "h").select("h", F.size("s").alias("n"), F.slice(F.concat(F.array_except("s", "often"), "often"), F.lit(1), prefix(F.size("s"), p, q)).alias("pre")))
+        anew = turned.select("h", "n", F.posexplode("pre").alias("i", "key")).select("key", "h", "n", "i")
         release(docs.sparkSession)
         near, crowd = _meetings(anew, place_of, p, q)
         more = _later_of_similar(held, near.distinct().join(gone.withColumnRenamed("h", "x"), "x", "left_anti"), p, q)
-        # what is still large is a family of lines, similar or nearly so: those that stay
-        # meet all earlier ones, and only pairs that the bitmaps admit become rows
+        # what is still large is a family of lines, similar or nearly so: those that stay meet all earlier
+        # ones; only pairs that the bitmaps admit become rows, each at the first shingle that it shares
         result = checkpoint(gone.union(more).distinct())
         crowd = checkpoint(crowd)
-        placed = stored(crowd.join(held.select("h", *MAP), "h").select("key", "h", "n", "i", "first", *MAP))
+        placed = stored(crowd.join(held.select("h", *MAP), "h").join(turned.select("h", "pre"), "h").select("key", "h", "n", "i", "first", "pre", *MAP))
         rest = placed.join(result, "h", "left_anti")
-        pairs = rest.alias("x").join(placed.alias("y"), F.expr("x.key = y.key AND y.first < x.first") & _reach_pair(p, q, "x", "y") & _bound_pair(p, q, "x", "y")).select(F.col("x.h").alias("x"), F.col("y.h").alias("y")).distinct()
+        pairs = rest.alias("x").join(placed.alias("y"), F.expr("x.key = y.key AND y.first < x.first") & _reach_pair(p, q, "x", "y") & _bound_pair(p, q, "x", "y") & F.expr("NOT arrays_overlap(slice(x.pre, 1, x.i), slice(y.pre, 1, y.i))")).select(F.col("x.h").alias("x"), F.col("y.h").alias("y")).distinct()
         result = result.union(_later_of_similar(held, pairs, p, q))
     return later.unionByName(result.distinct().join(place_of, "h").select("first.doc", "first.line_no"))
 
