@@ -116,6 +116,7 @@ def repeated_lines(docs: DataFrame, p: int = 4, q: int = 5, shingle: int = SHING
     two = two.select("x", "y", F.lit(None).cast("struct<key:bigint,h:bigint,n:int,i:int>").alias("at"))
     many = posted.join(meetings.where("met > 2 AND x <= y AND low <= high AND least_rest <= high").select("key").hint("shuffle_hash"), "key")
     found = stored(two.union(many.select(F.lit(None).cast("long").alias("x"), F.lit(None).cast("long").alias("y"), F.struct("key", "h", "n", "i").alias("at"))))
+    del sets, posted, meetings, two, many  # frames that are held keep their exchanges
     release(docs.sparkSession)
     # the sets of all lines that met another, read once
     in_pairs = found.where("at IS NULL").select(F.explode(F.array("x", "y")).alias("h"))
@@ -126,6 +127,7 @@ def repeated_lines(docs: DataFrame, p: int = 4, q: int = 5, shingle: int = SHING
 
     near, frequent = _meetings(found.where("at IS NOT NULL").select("at.*"), place_of, p, q)
     frequent = checkpoint(frequent)
+    release(docs.sparkSession)
     gone = _later_of_similar(held, found.where("at IS NULL").select("x", "y").union(near).distinct(), p, q)
     result = gone
     # the lines that a pair may still lack: of meetings in which a line stays that is not the first

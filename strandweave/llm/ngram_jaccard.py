@@ -448,6 +448,8 @@ def components(docs: DataFrame, n: int = 5, p: int = 4, q: int = 5, id_col: str
     own = own.join(small(wanted), ["node", "key"], "left_semi")
     repeated = wanted.join(all_rows, ["node", "key"]).groupBy("node").count().where("count > 1").limit(1).count()
     classes = stored((own.dropDuplicates(["node"]) if repeated else own).select("node", "n", "bitmap", "text"))
+    del own
+    release(spark)
 
     verifier = _Verifier(classes, bands, n, group_bytes)
     best = checkpoint(stars.groupBy("a").agg(F.max(F.struct("shared", F.col("b"))).alias("best")).select("a", F.col("best.b").alias("b")))

@@ -73,7 +73,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the driver notice frames that are gone, so that the files of their exchanges are deleted."""
+    """Let the driver notice frames that are gone, so that the files of their exchanges are deleted; a variable that holds one keeps them."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
