@@ -26,13 +26,13 @@ def _text_file(rows: DataFrame, value, name: str, gzip: bool = False) -> str:
 
 # ---- sources
 
-@query(f"WITH {N} SELECT video_uid::VARCHAR AS video_uid, count(*) AS n, min(uid::VARCHAR) AS first_uid, round(sum(t), 6) AS total, min(txt) AS first_text FROM n GROUP BY video_uid")
+@query(f"WITH {N} SELECT video_uid::VARCHAR AS video_uid, count(*) AS n, min(uid::VARCHAR) AS first_uid, round(max(t), 6) AS total, min(txt) AS first_text FROM n GROUP BY video_uid")
 def scan_narrations(spark: SparkSession, d: str) -> DataFrame:
     line = F.struct(F.col("timestamp_sec"), F.col("narration_text"), F.col("narration_uid").cast("string").alias("narration_uid"))
     entity = narrations(spark, d).groupBy(F.col("video_uid").cast("string").alias("video_uid")).agg(F.struct(F.struct(F.collect_list(line).alias("narrations")).alias("narration_pass_1")).alias("v"))
     path = _text_file(entity, F.to_json(F.create_map("video_uid", "v")), "narrations")
     found = json_files.narration_file(spark, f"{path}/*.txt", lines=True)
-    return found.groupBy("video_uid").agg(F.count("*").alias("n"), F.min("narration_uid").alias("first_uid"), F.round(F.sum("timestamp_sec"), 6).alias("total"), F.min("narration_text").alias("first_text"))
+    return found.groupBy("video_uid").agg(F.count("*").alias("n"), F.min("narration_uid").alias("first_uid"), F.round(F.max("timestamp_sec"), 6).alias("total"), F.min("narration_text").alias("first_text"))
 
 
 _TREE = "q AS (SELECT user_id::VARCHAR AS video_uid, event_type AS template, value AS s, value + 1 AS e FROM events WHERE value IS NOT NULL)"
