@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,32 +17,46 @@ def strip(s: Column) -> Column:
     return F.regexp_replace(s, rf"^{_BLANK}|{_BLANK}$", "")
 
 
+#: Repairs of JSON text, in order: line ends, bare NaN and infinities, control characters, trailing commas (fixed values).
+REPAIRS = (
+    (r"\r\n?", "\n"),
+    (r'(?<!["\w])-?(?:NaN|Infinity)\b', "null"),
+    (r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""),
+    (r",(\s*[\]}])", "$1"),
+)
+
+
 def repair_json(s: Column) -> Column:
-    """Line ends to \\n; bare NaN and infinities to null; control characters and trailing commas away."""
-    s = F.regexp_replace(s, r"\r\n?", "\n")
-    s = F.regexp_replace(s, r'(?<!["\w])-?(?:NaN|Infinity)\b', "null")
-    s = F.regexp_replace(s, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
-    return F.regexp_replace(s, r",(\s*[\]}])", "$1")
+    return functools.reduce(lambda text, step: F.regexp_replace(text, *step), REPAIRS, s)
 
 
 def remove_tags(s: Column) -> Column:
     return F.regexp_replace(s, rf"#{WORD}", "")
 
 
+#: What a question is freed of, in order: pattern, replacement (fixed values).
+PREFIXES = (
+    (r"(?i)^\s*(?:---\s*QUESTION\s*---|Question\s*:)\s*", ""),
+    (r"^\s*(?:-+\s*|\*+\s*)", ""),
+    (r"\s+", " "),
+    (rf"#{WORD}", ""),
+)
+#: Marks that don't end a question, and a generator's refusal (fixed values).
+OTHER_ENDS = r"[.!]+$"
+REFUSAL = r"(?i)^\s*\(?no question can be generated from the given narrations\)?\s*\?$"
+
+
 def without_prefixes(s: Column) -> Column:
-    s = F.trim(F.regexp_replace(s, r"(?i)^\s*(?:---\s*QUESTION\s*---|Question\s*:)\s*", ""))
-    s = F.trim(F.regexp_replace(s, r"^\s*(?:-+\s*|\*+\s*)", ""))
-    s = F.trim(F.regexp_replace(s, r"\s+", " "))
-    return F.trim(remove_tags(s))
+    return functools.reduce(lambda text, step: F.trim(F.regexp_replace(text, *step)), PREFIXES, s)
 
 
 def normalized_question(s: Column) -> Column:
-    q = F.trim(F.regexp_replace(without_prefixes(F.coalesce(s, F.lit(""))), r"[.!]+$", ""))
+    q = F.trim(F.regexp_replace(without_prefixes(F.coalesce(s, F.lit(""))), OTHER_ENDS, ""))
     return F.when((q == "") | q.endswith("?"), q).otherwise(F.concat(q, F.lit("?")))
 
 
 def refuses(s: Column) -> Column:
-    return s.rlike(r"(?i)^\s*\(?no question can be generated from the given narrations\)?\s*\?$")
+    return s.rlike(REFUSAL)
 
 
 def tokens(s: Column) -> Column:
