@@ -75,10 +75,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let the driver notice frames that are gone, so that the files of their exchanges are deleted; a variable that holds one keeps them."""
-    for _ in range(2):  # frames that Python lets go of reach the driver's JVM a little later
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+    gc.collect()
+    time.sleep(2.5)  # a thread of the Python client tells the JVM of objects that are gone, once a second
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
