@@ -76,9 +76,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Let the driver notice frames that are gone, so that the files of their exchanges are deleted; a variable that holds one keeps them."""
     gc.collect()
-    time.sleep(2.5)  # a thread of the Python client tells the JVM of objects that are gone, once a second
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.5)
+    time.sleep(2)  # a thread of the Python client tells the JVM of objects that are gone, once a second
+    for _ in range(2):  # what is reachable from an object with a finaliser goes by the next collection
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
