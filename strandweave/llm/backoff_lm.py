@@ -393,7 +393,7 @@ def score(docs: DataFrame, n_folds: int = 5, held_out_fold: int = 1, id_col: str
     sent = encoded.select("batch", *columns).mapInArrow(send_words, SENT)
     words = checkpoint(sent.groupBy("bucket").applyInArrow(_add_up, BACK))
     del sent  # a frame that is held keeps its exchanges
-    release(spark)
+    release(spark, 4 * n_all)
     stats = _statistics(words)
     n_distinct, n_train = int(stats[0]), int(stats[1])
     n_texts = _train_texts(encoded)
@@ -423,7 +423,7 @@ def score(docs: DataFrame, n_folds: int = 5, held_out_fold: int = 1, id_col: str
         sent = encoded.select("batch", *columns).groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(sender(length), SENT)
         grams = checkpoint(sent.groupBy("bucket").applyInArrow(_add_up, BACK))
         del sent
-        release(spark)
+        release(spark, 4 * n_all)
         stats = _statistics(grams)
         discount = stats[0] / (stats[0] + 2 * stats[1]) if stats[0] else 0.75
         part = np.clip(discount * stats[2:2 + N_CLASSES] / np.maximum(tokens, 1), 1e-4, 1)

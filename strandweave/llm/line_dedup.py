@@ -100,6 +100,7 @@ def repeated_lines(docs: DataFrame, p: int = 4, q: int = 5, shingle: int = SHING
     place = F.struct("doc", "line_no")
     hashed = _lines(docs).select("doc", "line_no", F.xxhash64("line").alias("h"))
     heads = stored(hashed.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")))
+    exchanged = 250 * heads.count()  # about so many bytes a line
     repeats = small(heads.where("n > 1").select("h", "first"))
     marked = _lines(docs).withColumn("h", F.xxhash64("line")).join(repeats, "h", "left")
     is_first = F.expr("first IS NULL OR (first.doc <=> doc AND first.line_no = line_no)")
@@ -117,7 +118,7 @@ def repeated_lines(docs: DataFrame, p: int = 4, q: int = 5, shingle: int = SHING
     many = posted.join(meetings.where("met > 2 AND x <= y AND low <= high AND least_rest <= high").select("key").hint("shuffle_hash"), "key")
     found = stored(two.union(many.select(F.lit(None).cast("long").alias("x"), F.lit(None).cast("long").alias("y"), F.struct("key", "h", "n", "i").alias("at"))))
     del sets, posted, meetings, two, many  # frames that are held keep their exchanges
-    release(docs.sparkSession)
+    release(docs.sparkSession, exchanged)
     # the sets of all lines that met another, read once
     in_pairs = found.where("at IS NULL").select(F.explode(F.array("x", "y")).alias("h"))
     own = checkpoint(in_pairs.union(found.where("at IS NOT NULL").select("at.h")).distinct().join(heads.select("h", "first"), "h"))
@@ -127,7 +128,7 @@ def repeated_lines(docs: DataFrame, p: int = 4, q: int = 5, shingle: int = SHING
 
     near, frequent = _meetings(found.where("at IS NOT NULL").select("at.*"), place_of, p, q)
     frequent = checkpoint(frequent)
-    release(docs.sparkSession)
+    release(docs.sparkSession, exchanged)
     gone = _later_of_similar(held, found.where("at IS NULL").select("x", "y").union(near).distinct(), p, q)
     result = gone
     # the lines that a pair may still lack: of meetings in which a line stays that is not the first
@@ -139,7 +140,7 @@ def repeated_lines(docs: DataFrame, p: int = 4, q: int = 5, shingle: int = SHING
         often = words.select("h", F.explode("s").alias("key")).join(small(frequent.select("key").distinct()), "key").groupBy("h").agg(F.sort_array(F.collect_list("key")).alias("often"))
         turned = stored(words.join(often, "h").select("h", F.size("s").alias("n"), F.slice(F.concat(F.array_except("s", "often"), "often"), F.lit(1), prefix(F.size("s"), p, q)).alias("pre")))
         anew = turned.select("h", "n", F.posexplode("pre").alias("i", "key")).select("key", "h", "n", "i")
-        release(docs.sparkSession)
+        release(docs.sparkSession, exchanged)
         near, crowd = _meetings(anew, place_of, p, q)
         more = _later_of_similar(held, near.distinct().join(gone.withColumnRenamed("h", "x"), "x", "left_anti"), p, q)
         # what is still large is a family of lines, similar or nearly so: those that stay meet all earlier

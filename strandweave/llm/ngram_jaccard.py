@@ -433,7 +433,7 @@ def components(docs: DataFrame, n: int = 5, p: int = 4, q: int = 5, id_col: str
     n_shingles = all_rows.agg(F.sum("n")).first()[0] or 0
 
     met = stored(_meetings(rows.select("text"), bands, n, n_shingles))
-    release(spark)
+    release(spark, 8 * n_shingles)
     stars = checkpoint(met.where("a IS NOT NULL").groupBy("a", "b").agg(F.sum("shared").alias("shared")))
     wanted = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
     wanted = checkpoint(named.where("n > 0 AND rep IS NOT NULL").join(wanted, "node").select("node", F.col("rep").alias("key")))
@@ -449,7 +449,7 @@ def components(docs: DataFrame, n: int = 5, p: int = 4, q: int = 5, id_col: str
     repeated = wanted.join(all_rows, ["node", "key"]).groupBy("node").count().where("count > 1").limit(1).count()
     classes = stored((own.dropDuplicates(["node"]) if repeated else own).select("node", "n", "bitmap", "text"))
     del own
-    release(spark)
+    release(spark, 8 * n_shingles)
 
     verifier = _Verifier(classes, bands, n, group_bytes)
     best = checkpoint(stars.groupBy("a").agg(F.max(F.struct("shared", F.col("b"))).alias("best")).select("a", F.col("best.b").alias("b")))
@@ -457,7 +457,7 @@ def components(docs: DataFrame, n: int = 5, p: int = 4, q: int = 5, id_col: str
     labels = _labels(links)
     links = checkpoint(links.union(verifier.links(_apart(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), labels))))
     labels = _labels(links)
-    release(spark)
+    release(spark, 8 * n_shingles)
     tiled = _tiles(met.where("lid IS NOT NULL"), labels, classes, bands, tile, group_bytes)
     if tiled is not None:
         tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

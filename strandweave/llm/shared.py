@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Rows of a join side that may be broadcast after they were counted, at 16 bytes or so each.
 BROADCAST_ROWS = 2_000_000
+RELEASE_BYTES = 64 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -73,8 +74,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return pairs.union(state.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def release(spark: SparkSession) -> None:
-    """Let the driver notice frames that are gone, so that the files of their exchanges are deleted; a variable that holds one keeps them."""
+def release(spark: SparkSession, exchanged: int) -> None:
+    """Let the driver notice frames that are gone, so that the files of their exchanges are deleted; a variable that holds one keeps them.
+
+    It takes seconds, so frames that have ``exchanged`` few bytes, about, are left to the JVM.
+    """
+    if exchanged < RELEASE_BYTES:
+        return
     gc.collect()
     time.sleep(2)  # a thread of the Python client tells the JVM of objects that are gone, once a second
     for _ in range(2):  # what is reachable from an object with a finaliser goes by the next collection
