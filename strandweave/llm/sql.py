@@ -68,4 +68,45 @@ k AS (SELECT e.doc_id, count(g.line_no) AS n_gone, string_agg(line, chr(10) ORDE
 SELECT d.doc_id, coalesce(n_gone, 0)::BIGINT AS n_lines_removed, CASE WHEN d.text IS NULL THEN NULL ELSE sha256(coalesce(kept, '')) END AS text_sha256 FROM documents d LEFT JOIN k USING (doc_id)
 """
 
-ORACLES = {"op6_line_dedup": OP6, "op9_warc_zip": OP9, "op1_ngram_jaccard": OP1, "op7_decontamination": OP7, "op8_quality_rules": OP8}
+def _cheapest(*options: str) -> str:
+    """The least of (cost, audit, text) structs."""
+    return f"list_sort([{', '.join(options)}])[1]"
+
+
+def _edit(initial: str, cost: str, line: str, then: str) -> str:
+    return f"{{'c': {then}.c + {cost}, 'a': '{initial}' || {then}.a, 'x': {line} || {then}.x}}"
+
+
+def _scanned(state: str, kept: dict[str, str], role: str, then: str) -> str:
+    """Delete, rerole or keep a row before what ``state`` awaits; kept: the state that follows each initial."""
+    more = 1_000_000_000
+    keep = " ".join(f"WHEN r.init = '{i}' THEN {_edit('K', 'r.more', 'r.line', t)}" for i, t in kept.items())
+    never = f"{{'c': {more}, 'a': '', 'x': ''}}"
+    return _cheapest(_edit("D", "4", "''", state), f"CASE WHEN r.gone THEN {never} {keep} ELSE {never} END", f"CASE WHEN r.gone THEN {never} ELSE {_edit('R', '3 + r.more', f"'{role}:' || r.text || chr(10)", then)} END")
+
+
+#: s, p, q, t: what a conversation may still be before its first row, after a system turn, after a user's and after an assistant's.
+OP13 = rf"""
+WITH RECURSIVE b AS (SELECT list_transform(range(256), lambda v: list_reduce([v, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+a AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+k AS (SELECT a.*, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda ch: ascii(ch)::BIGINT)), lambda c, z: xor(c >> 8, b.t[(xor(c, z) & 255) + 1])), 4294967295) % 20 AS code FROM a, b),
+g AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE code WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos, count(*) OVER (PARTITION BY conv_id) AS n FROM g),
+f AS (SELECT *, left(role, 1) AS init, trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS inner_, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) AS nth, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM o),
+h AS (SELECT *, CASE WHEN inner_ = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(inner_, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM f),
+r AS (SELECT conv_id, n - pos + 1 AS back, init, text, fault IN ('blank', 'duplicate') AS gone, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS more, role || ':' || text || chr(10) AS line FROM h),
+v AS (SELECT DISTINCT conv_id, 0::BIGINT AS back, {{'c': 0::BIGINT, 'a': '', 'x': ''}} AS s, {{'c': 6::BIGINT, 'a': 'II', 'x': 'user:' || chr(10) || 'assistant:' || chr(10)}} AS p, {{'c': 3::BIGINT, 'a': 'I', 'x': 'assistant:' || chr(10)}} AS q, {{'c': 0::BIGINT, 'a': '', 'x': ''}} AS t FROM r
+  UNION ALL
+  SELECT conv_id, back, {_cheapest('s', _edit('I', '3', "'user:' || chr(10)", 'qq'))}, {_cheapest('p', _edit('I', '3', "'user:' || chr(10)", 'qq'))}, qq, tt FROM (
+    SELECT *, {_cheapest('q', _edit('I', '3', "'assistant:' || chr(10)", 't'))} AS qq, {_cheapest('t', _edit('I', '3', "'user:' || chr(10)", 'q'))} AS tt FROM (
+      SELECT v.conv_id, r.back, {_scanned('v.s', {'s': 'v.p', 'u': 'v.q'}, 'user', 'v.q')} AS s, {_scanned('v.p', {'u': 'v.q'}, 'user', 'v.q')} AS p, {_scanned('v.q', {'a': 'v.t'}, 'assistant', 'v.t')} AS q, {_scanned('v.t', {'u': 'v.q'}, 'user', 'v.q')} AS t
+      FROM v JOIN r ON r.conv_id IS NOT DISTINCT FROM v.conv_id AND r.back = v.back + 1))),
+e AS (SELECT conv_id, arg_max(s, back) AS s FROM v GROUP BY conv_id),
+u AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (pos > 1 AND before || init NOT IN ('su', 'ua', 'au')) AS illegal FROM h GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(e.s.c, 0)::BIGINT AS cost, coalesce(e.s.a, '') AS audit, sha256(coalesce(left(e.s.x, greatest(length(e.s.x) - 1, 0)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN u ON u.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+ORACLES = {"op6_line_dedup": OP6, "op9_warc_zip": OP9, "op1_ngram_jaccard": OP1, "op7_decontamination": OP7, "op8_quality_rules": OP8, "op13_conversation_repair": OP13}
