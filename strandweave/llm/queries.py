@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, byte_bpe, conversation_repair, decontamination, line_dedup, ngram_jaccard, quality_fm, quality_rules, simhash, token_counts, toxicity, warc_zip
+from . import backoff_lm, byte_bpe, conversation_repair, decontamination, line_dedup, ngram_jaccard, quality_fm, quality_rules, simhash, token_alignment, token_counts, toxicity, warc_zip
 from .labelled import fold
 from .shared import shared_folder
 from .sql import ORACLES
@@ -85,12 +85,20 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(_table(spark, sf_dir, "documents"), n=4, most=4)
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    a = token_alignment.Tokenizer("byte_level", public_tokenizers.path("byte_bpe_50k.json"))
+    b = token_alignment.Tokenizer("pieces", public_tokenizers.path("piece_bpe_32k.model"))
+    return token_alignment.digests(token_alignment.align(_table(spark, sf_dir, "documents"), a, b))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = conversation_repair.damaged(_table(spark, sf_dir, "conversations"))
     return conversation_repair.report(conversation_repair.repair(rows, present=F.col("present")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_token_counts, op3_backoff_lm, op4_toxicity, op5_quality_fm, op6_line_dedup, op7_decontamination, op8_quality_rules, op9_warc_zip, op10_byte_bpe, op11_simhash, op13_conversation_repair)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard, op2_token_counts, op3_backoff_lm, op4_toxicity, op5_quality_fm, op6_line_dedup, op7_decontamination, op8_quality_rules, op9_warc_zip, op10_byte_bpe, op11_simhash, op12_token_alignment, op13_conversation_repair)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
