@@ -5,14 +5,18 @@
    both share, and ranks by popcount tell how many tokens of each end there.
    The tokens between two cuts are a group, and every token of one side is
    linked with every token of the other in its group.  A unit is one row: its
-   documents' ids and groups, the distinct id pairs that they link, each with
-   the number of its documents, and each document's pairs by their number.
+   rows, compressed, and the distinct id pairs that they link, each with the
+   number of its documents.
 2. *Counts.*  A unit's pairs are dealt out by hash, packed; a pair's rows are
    one for each unit at most, so no pair outweighs the rest.  A bucket adds up
    the documents and answers each unit in the order of its pairs.  The highest
    count of each id of the first tokenizer is a table as long as its vocabulary.
-3. *Answers.*  Units meet the answers of their buckets; nothing of the corpus'
-   pairs is broadcast or gathered.
+3. *Answers.*  Units meet the answers of their buckets and are aligned again,
+   which costs less than exchanging their tokens and links; nothing of the
+   corpus' pairs is broadcast or gathered.
+
+Where neither tokenizer has a token across the single space between two words,
+texts are encoded by such words, each distinct one once a task.
 
 Groups of many tokens on both sides are expanded by distinct ids with their
 multiplicities, so a long text without shared cuts costs its distinct pairs.
@@ -28,7 +32,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import os
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -40,7 +46,11 @@ from pyspark.sql import functions as F
 from . import text_kernels as tk
 from .shared import shared_folder, stored
 
-UNIT_BYTES, CALL_BYTES = 4 << 20, 1 << 18
+UNIT_BYTES = 1 << 20
+#: Characters of distinct words that a task remembers.
+KEPT_CHARS = 6 << 20
+#: New words that are encoded as one text.
+WORDS = 512
 #: Pairs of units that a bucket adds up, about.
 BUCKET_PAIRS = 1 << 20
 #: Groups with more links are expanded by distinct ids.
@@ -50,17 +60,21 @@ _A = np.uint64(32)
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """A tokenizer: texts to ids, and the bytes of each id's token, one after another."""
+    """A tokenizer: texts to ids of the space and the text, and the bytes of each id's token, one after another.
+
+    by_words: no token holds the last byte of a word and the single space after it.
+    """
 
     encode: Callable[[list[str]], list[list[int]]]
     data: np.ndarray
     starts: np.ndarray
     lengths: np.ndarray
+    by_words: bool
 
 
-def _vocabulary(encode: Callable[[list[str]], list[list[int]]], tokens: list[bytes]) -> Vocabulary:
+def _vocabulary(encode: Callable[[list[str]], list[list[int]]], tokens: list[bytes], by_words: bool) -> Vocabulary:
     lengths = np.array([len(t) for t in tokens], np.int64)
-    return Vocabulary(encode, np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(lengths) - lengths, lengths)
+    return Vocabulary(encode, np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(lengths) - lengths, lengths, by_words)
 
 
 def byte_level_letters() -> dict[str, int]:
@@ -83,7 +97,10 @@ def byte_level(path: str) -> Vocabulary:
     for token, k in own.get_vocab().items():
         tokens[k] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
     call = getattr(own, "encode_batch_fast", own.encode_batch)
-    return _vocabulary(lambda texts: [e.ids for e in call([f" {t}" for t in texts], add_special_tokens=False)], tokens)
+    rules = json.loads(own.to_str())
+    split = rules.get("pre_tokenizer") or {}
+    by_words = rules.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True)
+    return _vocabulary(lambda texts: [e.ids for e in call([f" {t}" for t in texts], add_special_tokens=False)], tokens, by_words)
 
 
 @functools.cache
@@ -96,7 +113,8 @@ def pieces(path: str) -> Vocabulary:
     for k in range(own.get_piece_size()):
         piece = own.id_to_piece(k)
         tokens.append(bytes([int(piece[3:5], 16)]) if own.is_byte(k) else piece.replace("▁", " ").encode())
-    return _vocabulary(lambda texts: own.encode(texts, num_threads=1), tokens)
+    by_words = not any(b" " in t.lstrip(b" ") for t in tokens)
+    return _vocabulary(lambda texts: own.encode(texts, num_threads=1), tokens, by_words)
 
 
 KINDS = {"byte_level": byte_level, "pieces": pieces}
@@ -113,16 +131,86 @@ class Tokenizer:
         return KINDS[self.kind](self.path)
 
 
-def _encoded(vocabulary: Vocabulary, column: pa.Array, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All ids, and the n + 1 offsets by text, a few texts a call."""
-    ids, counts, at = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
-    while at < len(column):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CALL_BYTES, "right")) - 1)
-        found = vocabulary.encode([t or "" for t in column.slice(at, to - at).to_pylist()])
-        counts.append(np.array([len(x) for x in found], np.int64))
-        ids.append(np.fromiter((i for x in found for i in x), np.int32, int(counts[-1].sum())))
-        at = to
-    return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+#: Single spaces between letters that are certainly no white space and no marks on a space, by any definition.
+CUT = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
+PLAIN = re.compile(r"[!-~\w](?:[^ ]*[!-~\w])?")
+
+
+def _one_by_one(side: Vocabulary, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, how many of each run)."""
+    found = side.encode(runs)
+    size = np.array([len(x) for x in found], np.int64)
+    return np.fromiter((i for x in found for i in x), np.int32, int(size.sum())), size
+
+
+def _at_once(side: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The same for words that may stand anywhere, from texts of many; those that aren't spelled byte by byte one by one."""
+    out = []
+    for k in range(0, len(words), WORDS):
+        some = words[k:k + WORDS]
+        ids = np.array(side.encode([" ".join(some)])[0], np.int32)
+        ends = np.cumsum(side.lengths[ids])
+        to = np.cumsum([len(w.encode()) + 1 for w in some])
+        at = np.searchsorted(ends, to)
+        fits = len(ends) and ends[-1] == to[-1] and (ends[at] == to).all()
+        out.append((ids, np.diff(at, prepend=-1)) if fits else _one_by_one(side, some))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+class Encoder:
+    """Both encodings of texts, by words whose ids are remembered, a word after the space before it."""
+
+    def __init__(self, one: Vocabulary, two: Vocabulary):
+        self.sides, self.by_words = (one, two), one.by_words and two.by_words
+        self._forget()
+
+    def _forget(self) -> None:
+        #: The numbers of words that may stand anywhere, and of all runs of text.
+        self.clean: dict[str, int] = {}
+        self.known: dict[str, int] = {}
+        self.chars = 0
+        self.ids = [np.zeros(0, np.int32) for _ in self.sides]
+        self.ends = [np.zeros(1, np.int64) for _ in self.sides]
+
+    def _learn(self, runs: set[str]) -> None:
+        plain = [r for r in runs if PLAIN.fullmatch(r)] if self.by_words else []
+        for new, together in ((plain, True), (list(runs.difference(plain)), False)):
+            if not new:
+                continue
+            for k, side in enumerate(self.sides):
+                ids, size = (_at_once if together else _one_by_one)(side, new)
+                self.ids[k] = np.concatenate([self.ids[k], ids])
+                self.ends[k] = np.concatenate([self.ends[k], self.ends[k][-1] + np.cumsum(size)])
+            found = dict(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            self.known.update(found)
+            if together:
+                self.clean.update(found)
+            self.chars += sum(map(len, new))
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids, n + 1 offsets by text) of each side; nulls and empty texts have none."""
+        if self.chars > KEPT_CHARS:
+            self._forget()
+        numbers: list[list[int]] = []
+        later: list[tuple[int, list[str]]] = []
+        for text in texts:
+            try:
+                numbers.append([self.clean[w] for w in text.split(" ")] if text else [])
+            except KeyError:
+                later.append((len(numbers), CUT.split(text) if self.by_words else [text]))
+                numbers.append([])
+        if later:
+            self._learn(set().union(*(runs for _, runs in later)).difference(self.known))
+        for i, runs in later:
+            numbers[i] = [self.known[r] for r in runs]
+        at = np.concatenate([[0], np.cumsum([len(x) for x in numbers])])
+        number = np.fromiter((i for x in numbers for i in x), np.int64, int(at[-1]))
+        out = []
+        for ids, ends in zip(self.ids, self.ends, strict=True):
+            size = ends[number + 1] - ends[number]
+            to = np.concatenate([[0], np.cumsum(size)])
+            out.append((ids[np.repeat(ends[number] - to[:-1], size) + np.arange(int(to[-1]))], to[at]))
+        return out
 
 
 def _chosen(values: np.ndarray, offsets: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,12 +274,27 @@ def _links(a: np.ndarray, b: np.ndarray, a_to: np.ndarray, b_to: np.ndarray) ->
     return np.concatenate(groups), np.concatenate(pairs), np.concatenate(times)
 
 
-def _unit(block: pa.RecordBatch, one: Vocabulary, two: Vocabulary) -> dict[str, object]:
-    """A block of (key, text) as the unit's row."""
-    texts = block.column(1)
+@dataclass(frozen=True)
+class Aligned:
+    """A block of texts: ids, groups by the number of tokens up to their ends, and the distinct (text, pair) with their links."""
+
+    a: np.ndarray
+    a_at: np.ndarray
+    b: np.ndarray
+    b_at: np.ndarray
+    g_at: np.ndarray
+    a_to: np.ndarray
+    b_to: np.ndarray
+    pairs: np.ndarray
+    doc: np.ndarray
+    number: np.ndarray
+    links: np.ndarray
+
+
+def aligned(texts: pa.Array, encoder: Encoder) -> Aligned:
+    one, two = encoder.sides
     data, offsets = tk.utf8(texts)
-    a, a_at = _encoded(one, texts, offsets)
-    b, b_at = _encoded(two, texts, offsets)
+    (a, a_at), (b, b_at) = encoder(texts.to_pylist())
     filled = np.diff(offsets) > 0
     size = np.where(filled, np.diff(offsets) + 1, 0)
     edges = np.concatenate([[0], np.cumsum(size)])
@@ -199,8 +302,6 @@ def _unit(block: pa.RecordBatch, one: Vocabulary, two: Vocabulary) -> dict[str,
     own = np.ones(len(spaced), bool)
     own[edges[:-1][filled]] = False
     spaced[own] = data
-    a, a_at = _chosen(a, a_at, filled)
-    b, b_at = _chosen(b, b_at, filled)
     use = filled & _spells(one, a, a_at, spaced, edges) & _spells(two, b, b_at, spaced, edges)
     a, a_at = _chosen(a, a_at, use)
     b, b_at = _chosen(b, b_at, use)
@@ -214,15 +315,14 @@ def _unit(block: pa.RecordBatch, one: Vocabulary, two: Vocabulary) -> dict[str,
     pairs, number = np.unique(pair, return_inverse=True)
     held, at = np.unique(doc * max(len(pairs), 1) + number, return_inverse=True)
     links = np.bincount(at, times, minlength=len(held)).astype(np.int64)
-    doc, number = held // max(len(pairs), 1), held % max(len(pairs), 1)
-    return {
-        "keys": block.column(0), "n_pairs": len(pairs), "pairs": tk.pack(pairs, True), "freq": tk.pack(np.bincount(number, minlength=len(pairs)).astype(np.uint32)),
-        "a": tk.pack(a.astype(np.uint32)), "b": tk.pack(b.astype(np.uint32)), "a_at": tk.pack(a_at, True), "b_at": tk.pack(b_at, True), "g_at": tk.pack(g_at, True), "a_to": tk.pack(a_to, True), "b_to": tk.pack(b_to, True),
-        "held_at": tk.pack(np.searchsorted(doc, np.arange(len(use) + 1)), True), "number": tk.pack(number.astype(np.int64), False), "links": tk.pack(links.astype(np.uint32)),
-    }
+    return Aligned(a, a_at, b, b_at, g_at, a_to, b_to, pairs, held // max(len(pairs), 1), held % max(len(pairs), 1), links)
 
 
-_PACKED = ("pairs", "freq", "a", "b", "a_at", "b_at", "g_at", "a_to", "b_to", "held_at", "number", "links")
+def _packed_rows(block: pa.RecordBatch) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, block.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(block)
+    return out.getvalue().to_pybytes()
 
 
 def _bucket_order(pairs: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -245,14 +345,13 @@ def align(docs: DataFrame, a: Tokenizer, b: Tokenizer, id_col: str = "doc_id", t
     shared_folder(docs.sparkSession)
 
     def units_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = a.load(), b.load()
+        encoder = _encoder(a, b)
         for block in tk.blocks(batches, size=UNIT_BYTES):
-            unit = _unit(block, one, two)
-            keys = pa.ListArray.from_arrays(pa.array([0, block.num_rows], pa.int32()), unit["keys"])
-            yield pa.RecordBatch.from_arrays([keys, pa.array([unit["n_pairs"]], pa.int64()), *[pa.array([unit[c]], pa.binary()) for c in _PACKED]], names=["keys", "n_pairs", *_PACKED])
+            own = aligned(block.column(1), encoder)
+            freq = np.bincount(own.number, minlength=len(own.pairs)).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array([_packed_rows(block)], pa.binary()), pa.array([len(own.pairs)], pa.int64()), pa.array([tk.pack(own.pairs, True)], pa.binary()), pa.array([tk.pack(freq)], pa.binary())], names=["rows", "n_pairs", "pairs", "freq"])
 
-    made = rows.mapInArrow(units_of, f"keys array<{kind}>, n_pairs bigint, {', '.join(f'{c} binary' for c in _PACKED)}")
-    units = stored(made.withColumn("unit", F.monotonically_increasing_id()))
+    units = stored(rows.mapInArrow(units_of, "rows binary, n_pairs bigint, pairs binary, freq binary").withColumn("unit", F.monotonically_increasing_id()))
     buckets = (units.agg(F.sum("n_pairs")).first()[0] or 0) // BUCKET_PAIRS + 1
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,29 +388,32 @@ def align(docs: DataFrame, a: Tokenizer, b: Tokenizer, id_col: str = "doc_id", t
     best_a, highest = best.column("a").to_numpy(), best.column("highest").to_numpy()
 
     def finish(unit: pa.Table, answered: pa.Table) -> pa.Table:
-        row = {c: unit.column(c)[0] for c in unit.column_names}
-        get = lambda c, kind_, up=False: tk.unpack(row[c].as_py(), kind_, up)
-        pairs, number, links = get("pairs", np.uint64, True), get("number", np.int64), get("links", np.uint32).astype(np.int64)
-        order, _ = _bucket_order(pairs, buckets)
-        count = np.zeros(len(pairs), np.int64)
+        block = pa.ipc.open_stream(unit.column("rows")[0].as_py()).read_all().combine_chunks().to_batches()[0]
+        own = aligned(block.column(1), _encoder(a, b))
+        order, _ = _bucket_order(own.pairs, buckets)
+        count = np.zeros(len(own.pairs), np.int64)
         if answered.num_rows:
             count[order] = np.concatenate([tk.unpack(x, np.int64) for x in answered.sort_by("bucket").column("counts").to_pylist()])
-        best_ = count == highest[np.searchsorted(best_a, (pairs >> _A).astype(np.int64))] if len(pairs) else np.zeros(0, bool)
-        held_at = get("held_at", np.int64, True)
+        best_ = count == highest[np.searchsorted(best_a, (own.pairs >> _A).astype(np.int64))] if len(own.pairs) else np.zeros(0, bool)
+        held_at = np.searchsorted(own.doc, np.arange(block.num_rows + 1))
         lists = lambda at, values: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, pa.int32()))
-        g_at, a_to, b_to = get("g_at", np.int64, True), get("a_to", np.int64, True), get("b_to", np.int64, True)
-        n, k = np.diff(a_to, prepend=0), np.diff(b_to, prepend=0)
+        n, k = np.diff(own.a_to, prepend=0), np.diff(own.b_to, prepend=0)
         tk.trim()
         return pa.table({
-            "key": row["keys"].values, "a": lists(get("a_at", np.int64, True), get("a", np.uint32)), "b": lists(get("b_at", np.int64, True), get("b", np.uint32)), "a_sizes": lists(g_at, n), "b_sizes": lists(g_at, k),
-            "n_links": tk.sums_by_value(n * k, g_at), "n_best": tk.sums_by_value(links * best_[number], held_at), "count_sum": tk.sums_by_value(links * count[number], held_at),
+            "key": block.column(0), "a": lists(own.a_at, own.a), "b": lists(own.b_at, own.b), "a_sizes": lists(own.g_at, n), "b_sizes": lists(own.g_at, k),
+            "n_links": tk.sums_by_value(n * k, own.g_at), "n_best": tk.sums_by_value(own.links * best_[own.number], held_at), "count_sum": tk.sums_by_value(own.links * count[own.number], held_at),
         })
 
-    lean = units.select("unit", "keys", *[c for c in _PACKED if c != "freq"])
-    done = lean.groupBy("unit").cogroup(answers.where("unit IS NOT NULL").select("unit", "bucket", "counts").groupBy("unit")).applyInArrow(finish, f"key {kind}, a array<int>, b array<int>, a_sizes array<int>, b_sizes array<int>, n_links bigint, n_best bigint, count_sum bigint")
+    asked = units.select("unit", "rows").groupBy("unit")
+    done = asked.cogroup(answers.where("unit IS NOT NULL").select("unit", "bucket", "counts").groupBy("unit")).applyInArrow(finish, f"key {kind}, a array<int>, b array<int>, a_sizes array<int>, b_sizes array<int>, n_links bigint, n_best bigint, count_sum bigint")
     return done.withColumnRenamed("key", id_col)
 
 
+@functools.lru_cache(1)
+def _encoder(a: Tokenizer, b: Tokenizer) -> Encoder:
+    return Encoder(a.load(), b.load())
+
+
 def spelled_groups(a: pa.ListArray, b: pa.ListArray, a_sizes: pa.ListArray, b_sizes: pa.ListArray) -> list[bytes]:
     """``a1,a2|b1;a3|b2,b3`` for each document: ids in order, groups apart by semicolons."""
     own = [(np.asarray(x.flatten()), np.concatenate([[0], np.cumsum(np.asarray(x.value_lengths()))])) for x in (a, b, a_sizes, b_sizes)]
