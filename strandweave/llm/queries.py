@@ -90,7 +90,8 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     a = token_alignment.Tokenizer("byte_level", public_tokenizers.path("byte_bpe_50k.json"))
     b = token_alignment.Tokenizer("pieces", public_tokenizers.path("piece_bpe_32k.model"))
-    return token_alignment.digests(token_alignment.align(_table(spark, sf_dir, "documents"), a, b))
+    found = token_alignment.align(_table(spark, sf_dir, "documents"), a, b)
+    return found.select(*[c for c in found.columns if c != "groups"], F.when(F.col("n_groups") > 0, F.sha2(F.encode("groups", "UTF-8"), 256)).otherwise("").alias("groups_sha256"))
 
 
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,37 +1,34 @@
 """Cross-tokenizer alignment: groups between shared byte cuts, links inside them, and how often ids are linked in the corpus.
 
-1. *Units.*  A task encodes blocks of whole texts by both tokenizers.  Packed
-   bitsets mark the byte at which each token ends; their AND has the cuts that
-   both share, and ranks by popcount tell how many tokens of each end there.
-   The tokens between two cuts are a group, and every token of one side is
-   linked with every token of the other in its group.  A unit is one row: its
-   rows, compressed, and the distinct id pairs that they link, each with the
-   number of its documents.
-2. *Counts.*  A unit's pairs are dealt out by hash, packed; a pair's rows are
+1. *Runs.*  Where neither tokenizer has a token across the single space between
+   two words, texts are cut there, else a run is a whole text.  Each distinct
+   run is encoded and aligned once a task: packed bitsets mark the byte at which
+   each token ends, their AND has the cuts that both share, and ranks by
+   popcount tell how many tokens of each end there.  The tokens between two cuts
+   are a group, and every token of one side is linked with every token of the
+   other in its group.
+2. *Units.*  A block of whole texts is one row: its distinct runs with their
+   tokens and groups, its documents as sequences of runs, and the distinct id
+   pairs that they link, each with the number of its documents.
+3. *Counts.*  A unit's pairs are dealt out by hash, packed; a pair's rows are
    one for each unit at most, so no pair outweighs the rest.  A bucket adds up
    the documents and answers each unit in the order of its pairs.  The highest
    count of each id of the first tokenizer is a table as long as its vocabulary.
-3. *Answers.*  Units meet the answers of their buckets and are aligned again,
-   which costs less than exchanging their tokens and links; nothing of the
-   corpus' pairs is broadcast or gathered.
-
-Where neither tokenizer has a token across the single space between two words,
-texts are encoded by such words, each distinct one once a task.
+4. *Answers.*  Units meet the answers of their buckets; counts add up by runs
+   and then by documents.  Nothing of the corpus' pairs is broadcast or gathered.
 
 Groups of many tokens on both sides are expanded by distinct ids with their
-multiplicities, so a long text without shared cuts costs its distinct pairs.
+multiplicities, so a long run without shared cuts costs its distinct pairs.
 
 Defined results: null and empty texts have no tokens, nor have texts that one
 of the tokenizers does not spell byte by byte (after the space before them);
-they are rows with empty arrays and zeros.  Repeated rows are documents of
+they are rows with empty groups and zeros.  Repeated rows are documents of
 their own, ids may be null; extra columns are ignored; an empty table gives an
 empty result; texts are encoded whole.
 """
 
 from __future__ import annotations
 
-import functools
-import hashlib
 import json
 import os
 import re
@@ -48,9 +45,11 @@ from .shared import shared_folder, stored
 
 UNIT_BYTES = 1 << 20
 #: Characters of distinct words that a task remembers.
-KEPT_CHARS = 6 << 20
+KEPT_CHARS = 4 << 20
 #: New words that are encoded as one text.
 WORDS = 512
+#: New runs that are aligned at once.
+LEARNT = 1 << 15
 #: Pairs of units that a bucket adds up, about.
 BUCKET_PAIRS = 1 << 20
 #: Groups with more links are expanded by distinct ids.
@@ -84,7 +83,6 @@ def byte_level_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
-@functools.cache
 def byte_level(path: str) -> Vocabulary:
     """A byte-level vocabulary file of the tokenizers library; special tokens' strings are plain text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -103,7 +101,6 @@ def byte_level(path: str) -> Vocabulary:
     return _vocabulary(lambda texts: [e.ids for e in call([f" {t}" for t in texts], add_special_tokens=False)], tokens, by_words)
 
 
-@functools.cache
 def pieces(path: str) -> Vocabulary:
     """A model of the sentencepiece library, which puts a space before a text itself."""
     import sentencepiece
@@ -157,76 +154,11 @@ def _at_once(side: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarray
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-class Encoder:
-    """Both encodings of texts, by words whose ids are remembered, a word after the space before it."""
-
-    def __init__(self, one: Vocabulary, two: Vocabulary):
-        self.sides, self.by_words = (one, two), one.by_words and two.by_words
-        self._forget()
-
-    def _forget(self) -> None:
-        #: The numbers of words that may stand anywhere, and of all runs of text.
-        self.clean: dict[str, int] = {}
-        self.known: dict[str, int] = {}
-        self.chars = 0
-        self.ids = [np.zeros(0, np.int32) for _ in self.sides]
-        self.ends = [np.zeros(1, np.int64) for _ in self.sides]
-
-    def _learn(self, runs: set[str]) -> None:
-        plain = [r for r in runs if PLAIN.fullmatch(r)] if self.by_words else []
-        for new, together in ((plain, True), (list(runs.difference(plain)), False)):
-            if not new:
-                continue
-            for k, side in enumerate(self.sides):
-                ids, size = (_at_once if together else _one_by_one)(side, new)
-                self.ids[k] = np.concatenate([self.ids[k], ids])
-                self.ends[k] = np.concatenate([self.ends[k], self.ends[k][-1] + np.cumsum(size)])
-            found = dict(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.known.update(found)
-            if together:
-                self.clean.update(found)
-            self.chars += sum(map(len, new))
-
-    def __call__(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(ids, n + 1 offsets by text) of each side; nulls and empty texts have none."""
-        if self.chars > KEPT_CHARS:
-            self._forget()
-        numbers: list[list[int]] = []
-        later: list[tuple[int, list[str]]] = []
-        for text in texts:
-            try:
-                numbers.append([self.clean[w] for w in text.split(" ")] if text else [])
-            except KeyError:
-                later.append((len(numbers), CUT.split(text) if self.by_words else [text]))
-                numbers.append([])
-        if later:
-            self._learn(set().union(*(runs for _, runs in later)).difference(self.known))
-        for i, runs in later:
-            numbers[i] = [self.known[r] for r in runs]
-        at = np.concatenate([[0], np.cumsum([len(x) for x in numbers])])
-        number = np.fromiter((i for x in numbers for i in x), np.int64, int(at[-1]))
-        out = []
-        for ids, ends in zip(self.ids, self.ends, strict=True):
-            size = ends[number + 1] - ends[number]
-            to = np.concatenate([[0], np.cumsum(size)])
-            out.append((ids[np.repeat(ends[number] - to[:-1], size) + np.arange(int(to[-1]))], to[at]))
-        return out
-
-
-def _chosen(values: np.ndarray, offsets: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The values of the texts in ``use``, and their offsets, the others' empty."""
-    size = np.where(use, np.diff(offsets), 0)
-    return values[np.repeat(use, np.diff(offsets))], np.concatenate([[0], np.cumsum(size)])
-
-
-def _spells(vocabulary: Vocabulary, ids: np.ndarray, offsets: np.ndarray, data: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Whether each text's tokens, joined, are its bytes."""
-    same = tk.sums_by_value(vocabulary.lengths[ids], offsets) == np.diff(edges)
-    own, _ = _chosen(ids, offsets, same)
-    size = vocabulary.lengths[own]
-    spelled = vocabulary.data[np.repeat(vocabulary.starts[own] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
-    want, bounds = _chosen(data, edges, same)
-    return same & (tk.sums_by_value(spelled != want, bounds) == 0)
+def _slices(values: np.ndarray, ends: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of the chosen ones, and their n + 1 offsets; ``ends`` are the offsets of all."""
+    size = ends[which + 1] - ends[which]
+    to = np.concatenate([[0], np.cumsum(size)])
+    return values[np.repeat(ends[which] - to[:-1], size) + np.arange(int(to[-1]))], to
 
 
 def _bitset(ends: np.ndarray, n_bytes: int) -> np.ndarray:
@@ -274,55 +206,118 @@ def _links(a: np.ndarray, b: np.ndarray, a_to: np.ndarray, b_to: np.ndarray) ->
     return np.concatenate(groups), np.concatenate(pairs), np.concatenate(times)
 
 
-@dataclass(frozen=True)
-class Aligned:
-    """A block of texts: ids, groups by the number of tokens up to their ends, and the distinct (text, pair) with their links."""
+@dataclass
+class Runs:
+    """Distinct runs: ids of both sides, how many of them each group has, and whether both sides spell the run; offsets by run."""
 
     a: np.ndarray
     a_at: np.ndarray
     b: np.ndarray
     b_at: np.ndarray
+    n: np.ndarray
+    k: np.ndarray
     g_at: np.ndarray
-    a_to: np.ndarray
-    b_to: np.ndarray
-    pairs: np.ndarray
-    doc: np.ndarray
-    number: np.ndarray
-    links: np.ndarray
-
-
-def aligned(texts: pa.Array, encoder: Encoder) -> Aligned:
-    one, two = encoder.sides
-    data, offsets = tk.utf8(texts)
-    (a, a_at), (b, b_at) = encoder(texts.to_pylist())
-    filled = np.diff(offsets) > 0
-    size = np.where(filled, np.diff(offsets) + 1, 0)
-    edges = np.concatenate([[0], np.cumsum(size)])
-    spaced = np.full(edges[-1], 32, np.uint8)
-    own = np.ones(len(spaced), bool)
-    own[edges[:-1][filled]] = False
-    spaced[own] = data
-    use = filled & _spells(one, a, a_at, spaced, edges) & _spells(two, b, b_at, spaced, edges)
+    spelled: np.ndarray
+
+    @staticmethod
+    def none() -> Runs:
+        return Runs(*[np.zeros(x, np.int64) for x in (0, 1, 0, 1, 0, 0, 1)], np.zeros(0, bool))
+
+    def plus(self, more: Runs) -> Runs:
+        join = lambda x, y: np.concatenate([x, y])
+        to = lambda x, y: np.concatenate([x, x[-1] + y[1:]])
+        return Runs(join(self.a, more.a), to(self.a_at, more.a_at), join(self.b, more.b), to(self.b_at, more.b_at), join(self.n, more.n), join(self.k, more.k), to(self.g_at, more.g_at), join(self.spelled, more.spelled))
+
+    def take(self, which: np.ndarray) -> Runs:
+        a, a_at = _slices(self.a, self.a_at, which)
+        b, b_at = _slices(self.b, self.b_at, which)
+        n, g_at = _slices(self.n, self.g_at, which)
+        k, _ = _slices(self.k, self.g_at, which)
+        return Runs(a, a_at, b, b_at, n, k, g_at, self.spelled[which])
+
+    def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(run, id pair, links)."""
+        group, pair, times = _links(self.a, self.b, np.cumsum(self.n), np.cumsum(self.k))
+        return np.repeat(np.arange(len(self.spelled)), np.diff(self.g_at))[group], pair, times
+
+
+def _aligned(runs: list[str], a: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_size: np.ndarray, one: Vocabulary, two: Vocabulary) -> Runs:
+    """Runs from their ids; those that a side doesn't spell byte by byte have none."""
+    text = [b" " + r.encode() for r in runs]
+    data, edges = np.frombuffer(b"".join(text), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in text])])
+    a_at, b_at = (np.concatenate([[0], np.cumsum(x)]) for x in (a_size, b_size))
+    use = _spells(one, a, a_at, data, edges) & _spells(two, b, b_at, data, edges)
     a, a_at = _chosen(a, a_at, use)
     b, b_at = _chosen(b, b_at, use)
-    edges = np.concatenate([[0], np.cumsum(np.where(use, size, 0))])
     if (one.lengths[a] == 0).any() or (two.lengths[b] == 0).any():
         raise ValueError("a token without bytes has no place in an alignment")
+    edges = np.concatenate([[0], np.cumsum(np.where(use, np.diff(edges), 0))])
     after, a_to, b_to = shared_groups(np.cumsum(one.lengths[a]), np.cumsum(two.lengths[b]), int(edges[-1]))
-    g_at = np.searchsorted(after, edges, "right")  # a text's end is a cut
-    group, pair, times = _links(a, b, a_to, b_to)
-    doc = np.repeat(np.arange(len(use)), np.diff(g_at))[group]
-    pairs, number = np.unique(pair, return_inverse=True)
-    held, at = np.unique(doc * max(len(pairs), 1) + number, return_inverse=True)
-    links = np.bincount(at, times, minlength=len(held)).astype(np.int64)
-    return Aligned(a, a_at, b, b_at, g_at, a_to, b_to, pairs, held // max(len(pairs), 1), held % max(len(pairs), 1), links)
+    # a run's end is a cut
+    return Runs(a.astype(np.int64), a_at, b.astype(np.int64), b_at, np.diff(a_to, prepend=0), np.diff(b_to, prepend=0), np.searchsorted(after, edges, "right"), use)
 
 
-def _packed_rows(block: pa.RecordBatch) -> bytes:
-    out = pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, block.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
-        stream.write_batch(block)
-    return out.getvalue().to_pybytes()
+class Encoder:
+    """Texts as numbers of runs, which are encoded and aligned when they are new."""
+
+    def __init__(self, one: Vocabulary, two: Vocabulary):
+        self.sides, self.by_words = (one, two), one.by_words and two.by_words
+        self._forget()
+
+    def _forget(self) -> None:
+        #: The numbers of words that may stand anywhere, and of all runs of text.
+        self.clean: dict[str, int] = {}
+        self.known: dict[str, int] = {}
+        self.chars, self.runs = 0, Runs.none()
+
+    def _learn(self, runs: set[str]) -> None:
+        plain = [r for r in runs if PLAIN.fullmatch(r)] if self.by_words else []
+        for new, together in ((plain, True), (list(runs.difference(plain)), False)):
+            for k in range(0, len(new), LEARNT):
+                some = new[k:k + LEARNT]
+                found = [(_at_once if together else _one_by_one)(side, some) for side in self.sides]
+                self.runs = self.runs.plus(_aligned(some, *found[0], *found[1], *self.sides))
+                numbers = dict(zip(some, range(len(self.known), len(self.known) + len(some)), strict=True))
+                self.known.update(numbers)
+                if together:
+                    self.clean.update(numbers)
+                self.chars += sum(map(len, some))
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the texts' runs, and their n + 1 offsets; nulls, empty texts and those that are not spelled have none."""
+        if self.chars > KEPT_CHARS:
+            self._forget()
+        numbers: list[list[int]] = []
+        later: list[tuple[int, list[str]]] = []
+        for text in texts:
+            try:
+                numbers.append([self.clean[w] for w in text.split(" ")] if text else [])
+            except KeyError:
+                later.append((len(numbers), CUT.split(text) if self.by_words else [text]))
+                numbers.append([])
+        if later:
+            self._learn(set().union(*(runs for _, runs in later)).difference(self.known))
+        for i, runs in later:
+            numbers[i] = [self.known[r] for r in runs]
+        at = np.concatenate([[0], np.cumsum([len(x) for x in numbers])])
+        number = np.fromiter((i for x in numbers for i in x), np.int64, int(at[-1]))
+        return _chosen(number, at, tk.sums_by_value(~self.runs.spelled[number], at) == 0)
+
+
+def _chosen(values: np.ndarray, offsets: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of the texts in ``use``, and their offsets, the others' empty."""
+    size = np.where(use, np.diff(offsets), 0)
+    return values[np.repeat(use, np.diff(offsets))], np.concatenate([[0], np.cumsum(size)])
+
+
+def _spells(vocabulary: Vocabulary, ids: np.ndarray, offsets: np.ndarray, data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Whether each text's tokens, joined, are its bytes."""
+    same = tk.sums_by_value(vocabulary.lengths[ids], offsets) == np.diff(edges)
+    own, _ = _chosen(ids, offsets, same)
+    size = vocabulary.lengths[own]
+    spelled = vocabulary.data[np.repeat(vocabulary.starts[own] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+    want, bounds = _chosen(data, edges, same)
+    return same & (tk.sums_by_value(spelled != want, bounds) == 0)
 
 
 def _bucket_order(pairs: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -332,26 +327,42 @@ def _bucket_order(pairs: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarr
     return order, bucket[order]
 
 
+#: What a unit's row holds, packed: per run, per group, per document.
+_KINDS = {"a": np.uint32, "b": np.uint32, "n": np.uint32, "k": np.uint32, "a_size": np.uint32, "b_size": np.uint32, "g_size": np.uint32, "number": np.uint32, "size": np.uint32}
+
+
 def align(docs: DataFrame, a: Tokenizer, b: Tokenizer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, a, b, a_sizes, b_sizes, n_links, n_best, count_sum) per row.
+    """(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) per row.
 
-    a and b: ids of both tokenizers; a_sizes and b_sizes: how many of them each
-    group has.  A pair's count is the number of documents that hold it linked;
-    n_best are the links whose count is the highest of their A id, count_sum
-    the sum of all links' counts.
+    groups: ``a1,a2|b1;a3|b2,b3``, the ids of both sides in order, groups apart
+    by semicolons.  A pair's count is the number of documents that hold it
+    linked; n_best are the links whose count is the highest of their A id,
+    count_sum the sum of all links' counts.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
     shared_folder(docs.sparkSession)
 
     def units_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(a, b)
+        encoder = Encoder(a.load(), b.load())
         for block in tk.blocks(batches, size=UNIT_BYTES):
-            own = aligned(block.column(1), encoder)
-            freq = np.bincount(own.number, minlength=len(own.pairs)).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array([_packed_rows(block)], pa.binary()), pa.array([len(own.pairs)], pa.int64()), pa.array([tk.pack(own.pairs, True)], pa.binary()), pa.array([tk.pack(freq)], pa.binary())], names=["rows", "n_pairs", "pairs", "freq"])
+            number, at = encoder(block.column(1).to_pylist())
+            known, number = np.unique(number, return_inverse=True)
+            own = encoder.runs.take(known)
+            run, pair, _ = own.links()
+            pairs, place = np.unique(pair, return_inverse=True)
+            # a document has a pair once, whatever runs hold it
+            doc = np.repeat(np.arange(block.num_rows), np.diff(at))
+            held = np.unique(doc * max(len(known), 1) + number)
+            links, link_at = _slices(place, np.searchsorted(run, np.arange(len(known) + 1)), held % max(len(known), 1))
+            once = np.unique(np.repeat(held // max(len(known), 1), np.diff(link_at)) * max(len(pairs), 1) + links)
+            freq = np.bincount(once % max(len(pairs), 1), minlength=len(pairs)).astype(np.uint32)
+            values = {"a": own.a, "b": own.b, "n": own.n, "k": own.k, "a_size": np.diff(own.a_at), "b_size": np.diff(own.b_at), "g_size": np.diff(own.g_at), "number": number, "size": np.diff(at)}
+            keys = pa.ListArray.from_arrays(pa.array([0, block.num_rows], pa.int32()), block.column(0))
+            yield pa.RecordBatch.from_arrays([keys, pa.array([len(pairs)], pa.int64()), pa.array([tk.pack(pairs, True)], pa.binary()), pa.array([tk.pack(freq)], pa.binary()), *[pa.array([tk.pack(values[c].astype(t))], pa.binary()) for c, t in _KINDS.items()]], names=["keys", "n_pairs", "pairs", "freq", *_KINDS])
+        tk.trim()
 
-    units = stored(rows.mapInArrow(units_of, "rows binary, n_pairs bigint, pairs binary, freq binary").withColumn("unit", F.monotonically_increasing_id()))
+    units = stored(rows.mapInArrow(units_of, f"keys array<{kind}>, n_pairs bigint, pairs binary, freq binary, {', '.join(f'{c} binary' for c in _KINDS)}").withColumn("unit", F.monotonically_increasing_id()))
     buckets = (units.agg(F.sum("n_pairs")).first()[0] or 0) // BUCKET_PAIRS + 1
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,47 +399,47 @@ def align(docs: DataFrame, a: Tokenizer, b: Tokenizer, id_col: str = "doc_id", t
     best_a, highest = best.column("a").to_numpy(), best.column("highest").to_numpy()
 
     def finish(unit: pa.Table, answered: pa.Table) -> pa.Table:
-        block = pa.ipc.open_stream(unit.column("rows")[0].as_py()).read_all().combine_chunks().to_batches()[0]
-        own = aligned(block.column(1), _encoder(a, b))
-        order, _ = _bucket_order(own.pairs, buckets)
-        count = np.zeros(len(own.pairs), np.int64)
+        got = {c: tk.unpack(unit.column(c)[0].as_py(), t).astype(np.int64) for c, t in _KINDS.items()}
+        to = lambda c: np.concatenate([[0], np.cumsum(got[c])])
+        runs = Runs(got["a"], to("a_size"), got["b"], to("b_size"), got["n"], got["k"], to("g_size"), np.ones(len(got["a_size"]), bool))
+        run, pair, times = runs.links()
+        pairs, place = np.unique(pair, return_inverse=True)
+        order, _ = _bucket_order(pairs, buckets)
+        count = np.zeros(len(pairs), np.int64)
         if answered.num_rows:
             count[order] = np.concatenate([tk.unpack(x, np.int64) for x in answered.sort_by("bucket").column("counts").to_pylist()])
-        best_ = count == highest[np.searchsorted(best_a, (own.pairs >> _A).astype(np.int64))] if len(own.pairs) else np.zeros(0, bool)
-        held_at = np.searchsorted(own.doc, np.arange(block.num_rows + 1))
-        lists = lambda at, values: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, pa.int32()))
-        n, k = np.diff(own.a_to, prepend=0), np.diff(own.b_to, prepend=0)
+        best_ = count == highest[np.searchsorted(best_a, (pairs >> _A).astype(np.int64))] if len(pairs) else np.zeros(0, bool)
+        at, number = to("size"), got["number"]
+        link_at = np.searchsorted(run, np.arange(len(runs.spelled) + 1))
+        summed = lambda values: tk.sums_by_value(values[number], at)
+        by_run = lambda values: tk.sums_by_value(values, link_at)
+        spelled = spelled_groups(runs)
+        edges, numbers = at.tolist(), number.tolist()
+        groups = [b";".join([spelled[i] for i in numbers[x:y]]) for x, y in zip(edges, edges[1:])]
         tk.trim()
         return pa.table({
-            "key": block.column(0), "a": lists(own.a_at, own.a), "b": lists(own.b_at, own.b), "a_sizes": lists(own.g_at, n), "b_sizes": lists(own.g_at, k),
-            "n_links": tk.sums_by_value(n * k, own.g_at), "n_best": tk.sums_by_value(own.links * best_[own.number], held_at), "count_sum": tk.sums_by_value(own.links * count[own.number], held_at),
+            "key": unit.column("keys").chunk(0).flatten(), "n_a": summed(got["a_size"]), "n_b": summed(got["b_size"]), "n_groups": summed(got["g_size"]),
+            "n_links": summed(by_run(times)), "n_best": summed(by_run(times * best_[place])), "count_sum": summed(by_run(times * count[place])), "groups": pa.array(groups, pa.binary()).cast(pa.string()),
         })
 
-    asked = units.select("unit", "rows").groupBy("unit")
-    done = asked.cogroup(answers.where("unit IS NOT NULL").select("unit", "bucket", "counts").groupBy("unit")).applyInArrow(finish, f"key {kind}, a array<int>, b array<int>, a_sizes array<int>, b_sizes array<int>, n_links bigint, n_best bigint, count_sum bigint")
+    asked = units.select("unit", "keys", *_KINDS).groupBy("unit")
+    counted = answers.where("unit IS NOT NULL").select("unit", "bucket", "counts").groupBy("unit")
+    done = asked.cogroup(counted).applyInArrow(finish, f"key {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups string")
     return done.withColumnRenamed("key", id_col)
 
 
-@functools.lru_cache(1)
-def _encoder(a: Tokenizer, b: Tokenizer) -> Encoder:
-    return Encoder(a.load(), b.load())
-
-
-def spelled_groups(a: pa.ListArray, b: pa.ListArray, a_sizes: pa.ListArray, b_sizes: pa.ListArray) -> list[bytes]:
-    """``a1,a2|b1;a3|b2,b3`` for each document: ids in order, groups apart by semicolons."""
-    own = [(np.asarray(x.flatten()), np.concatenate([[0], np.cumsum(np.asarray(x.value_lengths()))])) for x in (a, b, a_sizes, b_sizes)]
-    (x, x_at), (y, y_at), (n, _), (k, _) = own
-    n, k = n.astype(np.int64), k.astype(np.int64)
-    n_to, k_to = np.cumsum(n), np.cumsum(k)
-    code = np.zeros(len(x) + len(y), np.int64)
-    last = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+def spelled_groups(runs: Runs) -> list[bytes]:
+    """``a1,a2|b1;a3|b2,b3`` for each run."""
+    n_to, k_to = np.cumsum(runs.n), np.cumsum(runs.k)
+    code = np.zeros(len(runs.a) + len(runs.b), np.int64)
+    last = np.zeros(len(runs.a), np.int64), np.zeros(len(runs.b), np.int64)
     last[0][n_to - 1], last[1][k_to - 1] = 1, 1
     # a group's B tokens come after its A tokens
-    code[np.arange(len(x)) + np.repeat(k_to - k, n)] = 4 * x.astype(np.int64) + last[0]
-    code[np.arange(len(y)) + np.repeat(n_to, k)] = 4 * y.astype(np.int64) + 2 + last[1]
-    names = _names(int(max(x.max(initial=0), y.max(initial=0))))
-    at = (x_at + y_at).tolist()
-    return [b"".join([names[c] for c in code[i:j].tolist()])[:-1] for i, j in zip(at, at[1:])]
+    code[np.arange(len(runs.a)) + np.repeat(k_to - runs.k, runs.n)] = 4 * runs.a + last[0]
+    code[np.arange(len(runs.b)) + np.repeat(n_to, runs.k)] = 4 * runs.b + 2 + last[1]
+    names = _names(int(max(runs.a.max(initial=0), runs.b.max(initial=0))))
+    at, codes = (runs.a_at + runs.b_at).tolist(), code.tolist()
+    return [b"".join([names[c] for c in codes[i:j]])[:-1] for i, j in zip(at, at[1:])]
 
 
 _known: list[bytes] = []
@@ -439,18 +450,3 @@ def _names(most: int) -> list[bytes]:
     for i in range(len(_known) // 4, most + 1):
         _known.extend(b"%d%s" % (i, end) for end in (b",", b"|", b",", b";"))
     return _known
-
-
-def digests(aligned: DataFrame) -> DataFrame:
-    """(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of align()'s rows."""
-    id_col = aligned.columns[0]
-    kind = aligned.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                batch = whole.slice(i, 512)
-                sha = [hashlib.sha256(x).hexdigest() if x else "" for x in spelled_groups(*(batch.column(c) for c in range(1, 5)))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *[batch.column(c).value_lengths().cast(pa.int64()) for c in (1, 2, 3)], *[batch.column(c) for c in (5, 6, 7)], pa.array(sha, pa.string())], names=["key", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
-
-    return aligned.mapInArrow(run, f"key {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string").withColumnRenamed("key", id_col)

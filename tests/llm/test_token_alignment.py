@@ -4,7 +4,6 @@ import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
-import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -67,7 +66,7 @@ def plain():
         for key, g in found:
             links = [(a, b) for x, y in g for a in x for b in y]
             spelled = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in g)
-            out.append((key, sum(len(x) for x, _ in g), sum(len(y) for _, y in g), len(g), len(links), sum(count[p] == best[p[0]] for p in links), sum(count[p] for p in links), hashlib.sha256(spelled.encode()).hexdigest() if g else ""))
+            out.append((key, sum(len(x) for x, _ in g), sum(len(y) for _, y in g), len(g), len(links), sum(count[p] == best[p[0]] for p in links), sum(count[p] for p in links), spelled))
         return sorted(out, key=repr)
 
     return report
@@ -77,13 +76,15 @@ def test_op12_equals_brute_force(spark, plain):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     rows = [(k, t) for k, t in rows if t is None or len(t) < 20_000]
     frame = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").where("text IS NULL OR length(text) < 20000")
-    got = ta.digests(ta.align(frame, ta.Tokenizer("byte_level", A), ta.Tokenizer("pieces", B)))
+    got = ta.align(frame, ta.Tokenizer("byte_level", A), ta.Tokenizer("pieces", B))
     assert sorted((tuple(r) for r in got.collect()), key=repr) == plain(rows)
 
 
 def test_whole_table(spark):
     got = queries.queries()["op12_token_alignment"](spark, f"{DATA}/sf0.001").collect()
     docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    found = {r["doc_id"]: r["groups"] for r in ta.align(docs, ta.Tokenizer("byte_level", A), ta.Tokenizer("pieces", B)).collect()}
+    assert {r["doc_id"]: r["groups_sha256"] for r in got} == {k: hashlib.sha256(g.encode()).hexdigest() if g else "" for k, g in found.items()}
     assert sorted(r["doc_id"] for r in got) == sorted(r["doc_id"] for r in docs.select("doc_id").collect())
     assert all(0 <= r["n_best"] <= r["n_links"] <= r["count_sum"] or not r["n_links"] for r in got) and any(r["n_best"] < r["n_links"] for r in got)
 
@@ -99,16 +100,25 @@ def test_odd_texts(spark, plain, monkeypatch):
     monkeypatch.setattr(ta, "BUCKET_PAIRS", 50)
     monkeypatch.setattr(ta, "UNIT_BYTES", 2000)
     frame = spark.createDataFrame(ODD, "doc_id bigint, text string").repartition(3).withColumn("key", F.lit(1)).withColumn("unit", F.lit("x")).withColumn("a", F.lit(None).cast("string"))
-    got = ta.digests(ta.align(frame, ta.Tokenizer("byte_level", A), ta.Tokenizer("pieces", B)))
+    got = ta.align(frame, ta.Tokenizer("byte_level", A), ta.Tokenizer("pieces", B))
     assert sorted((tuple(r) for r in got.collect()), key=repr) == plain(ODD)
     assert ta.align(spark.createDataFrame([], "doc_id bigint, text string"), ta.Tokenizer("byte_level", A), ta.Tokenizer("pieces", B)).count() == 0
 
 
-def test_groups_of_rows_are_their_tokens(spark):
-    frame = spark.createDataFrame(ODD, "doc_id bigint, text string").where("doc_id = 6")
-    row = ta.align(frame, ta.Tokenizer("byte_level", A), ta.Tokenizer("pieces", B)).first()
-    assert sum(row["a_sizes"]) == len(row["a"]) > 0 and sum(row["b_sizes"]) == len(row["b"]) > 0
-    assert row["n_links"] == sum(n * k for n, k in zip(row["a_sizes"], row["b_sizes"], strict=True))
+def test_words_in_texts_are_encoded_as_whole_texts_are(spark, plain):
+    """The cut at single spaces changes nothing: the same with runs of whole texts."""
+    vocabularies = ta.byte_level(A), ta.pieces(B)
+    assert all(v.by_words for v in vocabularies)
+    words, whole = ta.Encoder(*vocabularies), ta.Encoder(*vocabularies)
+    whole.by_words = False
+    texts = [t for _, t in ODD if t] + ["a  b", " a b", "a b ", "a\u0301 \u0301b c", "it 's don 't", "1 2 34", "x\u00a0y z", "the the the", "_ _ a_ _b"]
+    for text in texts:
+        got = []
+        for encoder in (words, whole):
+            number, _ = encoder([text])
+            own = encoder.runs.take(number)
+            got.append((own.a.tolist(), own.b.tolist(), own.n.tolist(), own.k.tolist()))
+        assert got[0] == got[1], text
 
 
 @pytest.mark.parametrize("seed", range(5))
@@ -122,5 +132,5 @@ def test_ranks_and_cuts(seed):
 
 
 def test_spelling_of_groups():
-    lists = lambda *x: pa.array(x, pa.list_(pa.int32()))
-    assert ta.spelled_groups(lists([1, 2, 3], [], [7]), lists([4, 5, 6], [], [8]), lists([2, 1], [], [1]), lists([1, 2], [], [1])) == [b"1,2|4;3|5,6", b"", b"7|8"]
+    runs = ta.Runs(*[np.array(x) for x in ([1, 2, 3, 7], [0, 3, 3, 4], [4, 5, 6, 8], [0, 3, 3, 4], [2, 1, 1], [1, 2, 1], [0, 2, 2, 3])], np.ones(3, bool))
+    assert ta.spelled_groups(runs) == [b"1,2|4;3|5,6", b"", b"7|8"]
