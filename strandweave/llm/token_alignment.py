@@ -34,6 +34,7 @@ import os
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +46,11 @@ from .shared import shared_folder, stored
 
 UNIT_BYTES = 1 << 20
 #: Characters of distinct words that a task remembers.
-KEPT_CHARS = 4 << 20
+KEPT_CHARS = 2 << 20
 #: New words that are encoded as one text.
 WORDS = 512
+#: Letters before this one are classified alike by all versions of Unicode.
+LATIN = "\u0250"
 #: New runs that are aligned at once.
 LEARNT = 1 << 15
 #: Pairs of units that a bucket adds up, about.
@@ -62,18 +65,20 @@ class Vocabulary:
     """A tokenizer: texts to ids of the space and the text, and the bytes of each id's token, one after another.
 
     by_words: no token holds the last byte of a word and the single space after it.
+    quick: ids of the space and a text of Latin letters, by a faster way to the same.
     """
 
     encode: Callable[[list[str]], list[list[int]]]
+    quick: Callable[[str], list[int]]
     data: np.ndarray
     starts: np.ndarray
     lengths: np.ndarray
     by_words: bool
 
 
-def _vocabulary(encode: Callable[[list[str]], list[list[int]]], tokens: list[bytes], by_words: bool) -> Vocabulary:
+def _vocabulary(encode: Callable[[list[str]], list[list[int]]], tokens: list[bytes], by_words: bool, quick: Callable[[str], list[int]] | None = None) -> Vocabulary:
     lengths = np.array([len(t) for t in tokens], np.int64)
-    return Vocabulary(encode, np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(lengths) - lengths, lengths, by_words)
+    return Vocabulary(encode, quick or (lambda text: encode([text])[0]), np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(lengths) - lengths, lengths, by_words)
 
 
 def byte_level_letters() -> dict[str, int]:
@@ -98,7 +103,22 @@ def byte_level(path: str) -> Vocabulary:
     rules = json.loads(own.to_str())
     split = rules.get("pre_tokenizer") or {}
     by_words = rules.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True)
-    return _vocabulary(lambda texts: [e.ids for e in call([f" {t}" for t in texts], add_special_tokens=False)], tokens, by_words)
+    return _vocabulary(lambda texts: [e.ids for e in call([f" {t}" for t in texts], add_special_tokens=False)], tokens, by_words, _by_ranks(rules, own.get_vocab(), letters) if by_words else None)
+
+
+def _by_ranks(rules: dict, vocabulary: dict[str, int], letters: dict[str, int]) -> Callable[[str], list[int]] | None:
+    """Pair merging by ids as ranks, where the vocabulary's merges are in order of their results' ids."""
+    import tiktoken
+
+    merged = [vocabulary.get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in rules["model"]["merges"]]
+    ranks = {bytes(letters[c] for c in token): k for token, k in vocabulary.items() if all(c in letters for c in token)}
+    single = {bytes([b]) for b in range(256)}
+    if merged != sorted(set(merged)) or not single <= set(ranks) or sorted(ranks.values()) != sorted({ranks[x] for x in single} | set(merged)) or max(ranks[x] for x in single) > min(merged, default=0):
+        return None
+    from public_tokenizers import PATTERN
+
+    own = tiktoken.Encoding("merges", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return lambda text: own.encode_ordinary(f" {text}")
 
 
 def pieces(path: str) -> Vocabulary:
@@ -137,7 +157,7 @@ def _one_by_one(side: Vocabulary, runs: list[str]) -> tuple[np.ndarray, np.ndarr
     """(ids, how many of each run)."""
     found = side.encode(runs)
     size = np.array([len(x) for x in found], np.int64)
-    return np.fromiter((i for x in found for i in x), np.int32, int(size.sum())), size
+    return np.fromiter(chain.from_iterable(found), np.int32, int(size.sum())), size
 
 
 def _at_once(side: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +165,8 @@ def _at_once(side: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarray
     out = []
     for k in range(0, len(words), WORDS):
         some = words[k:k + WORDS]
-        ids = np.array(side.encode([" ".join(some)])[0], np.int32)
+        text = " ".join(some)
+        ids = np.array(side.quick(text) if max(text) < LATIN else side.encode([text])[0], np.int32)
         ends = np.cumsum(side.lengths[ids])
         to = np.cumsum([len(w.encode()) + 1 for w in some])
         at = np.searchsorted(ends, to)
@@ -221,7 +242,7 @@ class Runs:
 
     @staticmethod
     def none() -> Runs:
-        return Runs(*[np.zeros(x, np.int64) for x in (0, 1, 0, 1, 0, 0, 1)], np.zeros(0, bool))
+        return Runs(*[np.zeros(n, kind) for n, kind in zip((0, 1, 0, 1, 0, 0, 1), (np.int32, np.int64, np.int32, np.int64, np.int32, np.int32, np.int64), strict=True)], np.zeros(0, bool))
 
     def plus(self, more: Runs) -> Runs:
         join = lambda x, y: np.concatenate([x, y])
@@ -237,7 +258,7 @@ class Runs:
 
     def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(run, id pair, links)."""
-        group, pair, times = _links(self.a, self.b, np.cumsum(self.n), np.cumsum(self.k))
+        group, pair, times = _links(self.a, self.b, np.cumsum(self.n, dtype=np.int64), np.cumsum(self.k, dtype=np.int64))
         return np.repeat(np.arange(len(self.spelled)), np.diff(self.g_at))[group], pair, times
 
 
@@ -254,7 +275,7 @@ def _aligned(runs: list[str], a: np.ndarray, a_size: np.ndarray, b: np.ndarray,
     edges = np.concatenate([[0], np.cumsum(np.where(use, np.diff(edges), 0))])
     after, a_to, b_to = shared_groups(np.cumsum(one.lengths[a]), np.cumsum(two.lengths[b]), int(edges[-1]))
     # a run's end is a cut
-    return Runs(a.astype(np.int64), a_at, b.astype(np.int64), b_at, np.diff(a_to, prepend=0), np.diff(b_to, prepend=0), np.searchsorted(after, edges, "right"), use)
+    return Runs(a, a_at, b, b_at, np.diff(a_to, prepend=0).astype(np.int32), np.diff(b_to, prepend=0).astype(np.int32), np.searchsorted(after, edges, "right"), use)
 
 
 class Encoder:
@@ -265,24 +286,26 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        #: The numbers of words that may stand anywhere, and of all runs of text.
-        self.clean: dict[str, int] = {}
+        #: The numbers of words that may stand anywhere, and of other runs after a space.
         self.known: dict[str, int] = {}
         self.chars, self.runs = 0, Runs.none()
 
-    def _learn(self, runs: set[str]) -> None:
-        plain = [r for r in runs if PLAIN.fullmatch(r)] if self.by_words else []
-        for new, together in ((plain, True), (list(runs.difference(plain)), False)):
+    def _learn(self, names: list[str]) -> None:
+        plain = [x for x in names if x[0] != " "]
+        for new, together in ((plain, True), ([x for x in names if x[0] == " "], False)):
             for k in range(0, len(new), LEARNT):
                 some = new[k:k + LEARNT]
-                found = [(_at_once if together else _one_by_one)(side, some) for side in self.sides]
-                self.runs = self.runs.plus(_aligned(some, *found[0], *found[1], *self.sides))
-                numbers = dict(zip(some, range(len(self.known), len(self.known) + len(some)), strict=True))
-                self.known.update(numbers)
-                if together:
-                    self.clean.update(numbers)
+                runs = some if together else [x[1:] for x in some]
+                found = [(_at_once if together else _one_by_one)(side, runs) for side in self.sides]
+                self.runs = self.runs.plus(_aligned(runs, *found[0], *found[1], *self.sides))
+                self.known.update(zip(some, range(len(self.known), len(self.known) + len(some)), strict=True))
                 self.chars += sum(map(len, some))
 
+    def _names(self, text: str) -> list[str]:
+        if not self.by_words:
+            return [f" {text}"]
+        return [r if r in self.known or PLAIN.fullmatch(r) else f" {r}" for r in CUT.split(text)]
+
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the texts' runs, and their n + 1 offsets; nulls, empty texts and those that are not spelled have none."""
         if self.chars > KEPT_CHARS:
@@ -291,16 +314,15 @@ class Encoder:
         later: list[tuple[int, list[str]]] = []
         for text in texts:
             try:
-                numbers.append([self.clean[w] for w in text.split(" ")] if text else [])
+                numbers.append([self.known[w] for w in text.split(" ")] if text else [])
             except KeyError:
-                later.append((len(numbers), CUT.split(text) if self.by_words else [text]))
+                later.append((len(numbers), self._names(text)))
                 numbers.append([])
-        if later:
-            self._learn(set().union(*(runs for _, runs in later)).difference(self.known))
-        for i, runs in later:
-            numbers[i] = [self.known[r] for r in runs]
+        self._learn([x for x in dict.fromkeys(chain.from_iterable(names for _, names in later)) if x not in self.known])
+        for i, names in later:
+            numbers[i] = [self.known[x] for x in names]
         at = np.concatenate([[0], np.cumsum([len(x) for x in numbers])])
-        number = np.fromiter((i for x in numbers for i in x), np.int64, int(at[-1]))
+        number = np.fromiter(chain.from_iterable(numbers), np.int64, int(at[-1]))
         return _chosen(number, at, tk.sums_by_value(~self.runs.spelled[number], at) == 0)
 
 
