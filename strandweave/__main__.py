@@ -12,6 +12,7 @@
 from __future__ import annotations
 
 import argparse
+import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,8 +122,11 @@ def main(arguments: list[str] | None = None) -> None:
     if chosen.command == "catalog":
         build_catalog(spark, chosen.narrations, chosen.split, chosen.out, chosen.geom_only)
     elif chosen.command == "convert":
-        for path in files.convert_folder(spark, chosen.dir, chosen.pattern, chosen.recursive, chosen.output_dir):
-            print(path)
+        written, bad = files.convert_folder(spark, chosen.dir, chosen.pattern, chosen.recursive, chosen.output_dir)
+        for row in written.orderBy("out").toLocalIterator():
+            print(row.out)
+        for row in bad.orderBy("file", "line_no").toLocalIterator():
+            print(f"not JSON: {row.file}, line {row.line_no}", file=sys.stderr)
     elif chosen.command == "allocate":
         build_allocation(spark, chosen.catalog, chosen.narrations, chosen.annotations, chosen.out, chosen.templates, chosen.total, chosen.geom_only)
     elif chosen.command == "clean":

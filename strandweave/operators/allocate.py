@@ -1,13 +1,24 @@
 """Allocation of anchors and fills to clips, in rounds instead of one by one.
 
-Each round: (a) in every cell with quota left as many hashed unused events try
-references that they are long enough for, some in turn; (b) clips are solved
+Each turn: (a) in every cell with quota left as many hashed unused events try
+references that they may be long enough for, some in turn; (b) clips are solved
 and checked as columns, the first that fits makes the event an anchor, and one
-that overruns its video before uses the event up; (c) fills from the same band
-of clip lengths are placed clip by clip, without overlaps; (d) an event that two
-clips want goes to the clip of the smaller rank; (e) placed and overrunning
-events join the ledger, all others stay open.  After a round without either, every open
-event tries, whatever its quota; rounds end when that changes nothing too.
+that overruns its video before uses the event up; (c) the new clips are filled
+to exhaustion.  After a turn without anchors, every open event tries, whatever
+its quota; turns end when that changes nothing too.
+
+*Fills* are a deferred acceptance in rounds.  A clip walks its siblings, the
+references of a like length of clip, in an order of its own, block by block, so
+clips never meet all references at once.  Of a block it proposes those that fit
+between what it holds and for which its video still has a long enough unused
+event of their cell.  In each (video, cell) the longest proposals meet the
+longest events, rank by rank; what is refused is proposed again in the next
+round.  A block without proposals is left behind for good, as events only get
+used and clips only get fuller.  A clip is done with ten queries or without
+siblings, so no clip under ten has a sibling that still fits.
+
+Ranks by length come from counts by small steps of it and ranks within a step,
+never from one task that sorts a cell.
 """
 
 from __future__ import annotations
@@ -15,102 +26,166 @@ from __future__ import annotations
 import itertools
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import PlanConfig
 from ..functions.intervals import anchor_slice, solved_clip
-from .joins import band_join
 from .materialise import checkpoint as _checkpoint
-from .sampling import order_key
+from .sampling import first_hashed, order_key
+
+#: Seconds of a step of lengths: of events and references, and of clips.
+STEP, CLIP_STEP = 0.05, 1.0
+#: Siblings of a clip's first block and of its largest.
+FIRST_BLOCK, LARGEST_BLOCK = 256, 4096
+#: Strides of a clip's walk through its siblings: primes beyond any number of them.
+STRIDES = (2147483647, 2147483629, 2147483587, 2147483579)
 
 #: Columns of placed queries; ids have the events' types.
 CLIP = "clip_id string, rank {event}, video_uid {video}, clip_cs double, clip_ce double, event_id {event}, role string, template string, bucket_lo double, qs double, qe double"
 
 
-def _place(frame: pd.DataFrame, tol: float, most: int) -> pd.DataFrame:
-    """Fills of one clip, in rank order, that overlap nothing placed before; the anchor comes first."""
-    taken: list[tuple[float, float]] = []
-    events: set[int] = set()
-    keep = []
-    for row in frame.sort_values(["role", "order"]).itertuples():
-        if len(taken) >= most or row.event_id in events or any(not (row.qe <= s + tol or row.qs >= e - tol) for s, e in taken):
-            continue
-        taken.append((row.qs, row.qe))
-        events.add(row.event_id)
-        keep.append(row.Index)
+def _step(length: Column, width: float) -> Column:
+    return F.floor(length / F.lit(width)).cast("long")
+
+
+def _up_to(counts: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
+    """(by, step, upto): rows of ``counts`` (by, step, n) up to each wanted (by, step); steps are few, whatever the rows."""
+    both = counts.select(*by, "step", "n", F.lit(0).alias("w")).unionByName(wanted.select(*by, "step").distinct().select(*by, "step", F.lit(0).cast("long").alias("n"), F.lit(1).alias("w")))
+    order = Window.partitionBy(*(by or [F.lit(0)])).orderBy("step", "w").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("upto", F.sum("n").over(order)).where("w = 1").select(*by, "step", "upto")
+
+
+def _numbered(rows: DataFrame, by: list[str], length: str, width: float, name: str, *ties: Column | str) -> tuple[DataFrame, DataFrame]:
+    """The rows with their number by length within ``by``, from 0 on, and their counts by step."""
+    stepped = rows.withColumn("step", _step(F.col(length), width))
+    counts = _checkpoint(stepped.groupBy(*by, "step").agg(F.count("*").alias("n")))
+    before = _up_to(counts, counts, by).join(counts, [*by, "step"]).select(*by, "step", (F.col("upto") - F.col("n")).alias("before"))
+    nth = F.row_number().over(Window.partitionBy(*by, "step").orderBy(length, *ties))
+    return stepped.join(before, [*by, "step"]).withColumn(name, F.col("before") + nth - 1).drop("step", "before"), counts
+
+
+def _proposed(frame: pd.DataFrame, tol: float, most: int) -> pd.DataFrame:
+    """Of one clip's block, in its order, what overlaps neither the queries that it holds nor what it proposes before."""
+    held = frame[frame.held]
+    taken, keep = list(zip(held.qs, held.qe, strict=True)), []
+    for row in frame[~frame.held].sort_values("i").itertuples():
+        if len(taken) >= most:
+            break
+        if all(row.qe <= s + tol or row.qs >= e - tol for s, e in taken):
+            taken.append((row.qs, row.qe))
+            keep.append(row.Index)
     return frame.loc[keep]
 
 
-def allocate(references: DataFrame, events: DataFrame, video_end: DataFrame, plan: DataFrame, config: PlanConfig = PlanConfig(), most_rounds: int | None = None, fills_per_clip: int = 20, seed: int = 42, tries: int = 16, geom_only: bool = False) -> DataFrame:
+def _filled(anchors: DataFrame, siblings: DataFrame, lengths: DataFrame, free: DataFrame, ledger: DataFrame, config: PlanConfig, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(placed fills, ledger): clips filled until no sibling fits.
+
+    anchors: placed anchors with length and ref_id; siblings: references numbered by clen as p;
+    lengths: their counts by step; free: events; ledger: used event_id.
+    """
+    cell = ["template", "bucket_lo"]
+    low, high = (_step(F.col("length") + sign * config.clip_tolerance, CLIP_STEP) + off for sign, off in ((-1, -1), (1, 0)))
+    clips = anchors.withColumn("low", low).withColumn("high", high)
+    ends = _up_to(lengths, clips.select(F.explode(F.array("low", "high")).alias("step")), [])
+    clips = clips.join(ends.select(F.col("step").alias("low"), F.col("upto").alias("first")), "low").join(ends.select(F.col("step").alias("high"), F.col("upto").alias("last")), "high")
+    clips = _checkpoint(clips.select("clip_id", "rank", "video_uid", "clip_cs", "clip_ce", "length", F.col("ref_id").alias("own_ref"), "first", (F.col("last") - F.col("first")).alias("n"), F.lit(0).cast("long").alias("start"), F.lit(FIRST_BLOCK).cast("long").alias("width"), F.lit(1).cast("long").alias("queries")))
+    held = anchors.select("clip_id", "qs", "qe")
+    fills = None
+    while True:
+        open_ = clips.where((F.col("queries") < config.most_queries) & (F.col("start") < F.col("n")))
+        if not open_.limit(1).count():
+            return fills, ledger
+        walk = open_.withColumn("i", F.explode(F.expr("sequence(start, least(start + width, n) - 1)")))
+        stride = F.element_at(F.array(*[F.lit(x).cast("long") for x in STRIDES]), (F.pmod(F.xxhash64("clip_id", F.lit(seed)), F.lit(len(STRIDES))) + 1).cast("int"))
+        walk = walk.withColumn("p", F.col("first") + F.pmod(F.col("i") * stride + F.pmod(F.xxhash64(F.lit(seed), "clip_id"), F.col("n")), F.col("n")))
+        near = walk.join(siblings, "p").where((F.col("fill_ref") != F.col("own_ref")) & (F.abs(F.col("clen") - F.col("length")) <= config.clip_tolerance))
+        near = near.withColumn("qs", F.col("clip_cs") + F.col("f_rel") * F.col("length")).withColumn("qe", F.col("qs") + F.col("f_d") * F.col("length")).withColumn("need", F.col("qe") - F.col("qs"))
+        near = near.where((F.col("need") >= config.least_query) & (F.abs(F.col("need") - F.col("d")) <= config.fill_tolerance * F.col("d")) & (F.col("qs") >= F.col("clip_cs")) & (F.col("qe") <= F.col("clip_ce")))
+        spare = free.join(open_.select("video_uid").distinct(), "video_uid", "left_semi").join(ledger, "event_id", "left_anti").select("video_uid", *cell, "event_id", "len")
+        longest = spare.groupBy("video_uid", *cell).agg(F.max("len").alias("longest"))
+        near = near.join(longest, ["video_uid", *cell]).where("longest >= need")
+        columns = ["clip_id", "rank", "video_uid", "clip_cs", "clip_ce", *cell, "i", "qs", "qe", "need"]
+        block = near.select(*columns, F.lit(False).alias("held"))
+        kept = held.join(open_.select("clip_id"), "clip_id").select(*[F.col(c) if c in ("clip_id", "qs", "qe") else F.lit(None).cast(block.schema[c].dataType).alias(c) for c in columns], F.lit(True).alias("held"))
+        proposed = _checkpoint(block.unionByName(kept).groupBy("clip_id").applyInPandas(lambda f: _proposed(f, config.eps, config.most_queries), block.schema))
+        some = proposed.groupBy("clip_id").agg(F.count("*").alias("proposals"))
+        # the k-th longest proposal meets the k-th longest event; the first always fits
+        by = Window.partitionBy("video_uid", *cell)
+        asked = proposed.withColumn("k", F.row_number().over(by.orderBy(F.desc("need"), "rank", "i")))
+        offered = spare.join(asked.groupBy("video_uid", *cell).agg(F.max("k").alias("most_k")), ["video_uid", *cell])
+        offered = offered.withColumn("k", F.row_number().over(by.orderBy(F.desc("len"), order_key("event_id", seed=seed), "event_id"))).where("k <= most_k")
+        matched = asked.join(offered.select("video_uid", *cell, "k", "event_id", "len"), ["video_uid", *cell, "k"]).where("len >= need")
+        # an event of several cells goes to the smallest rank
+        owner = F.row_number().over(Window.partitionBy("event_id").orderBy("rank", "i", "clip_id"))
+        won = _checkpoint(matched.withColumn("o", owner).where("o = 1").select("clip_id", "rank", "video_uid", "clip_cs", "clip_ce", "event_id", F.lit("f").alias("role"), *cell, "qs", "qe"))
+        ledger = _checkpoint(ledger.union(won.select("event_id")))
+        fills = won if fills is None else _checkpoint(fills.union(won))
+        held = held.union(won.select("clip_id", "qs", "qe"))
+        got = won.groupBy("clip_id").agg(F.count("*").alias("got"))
+        clips = clips.join(some, "clip_id", "left").join(got, "clip_id", "left").withColumn("queries", F.col("queries") + F.coalesce("got", F.lit(0)))
+        left_behind = F.col("proposals").isNull()
+        clips = _checkpoint(clips.select(*[c for c in clips.columns if c not in ("start", "width", "proposals", "got")], F.when(left_behind, F.col("start") + F.col("width")).otherwise(F.col("start")).alias("start"), F.when(left_behind, F.least(2 * F.col("width"), F.lit(LARGEST_BLOCK))).otherwise(F.col("width")).alias("width")))
+
+
+def allocate(references: DataFrame, events: DataFrame, video_end: DataFrame, plan: DataFrame, config: PlanConfig = PlanConfig(), most_rounds: int | None = None, seed: int = 42, tries: int = 16, geom_only: bool = False) -> DataFrame:
     """Rows of CLIP: placed queries.
 
     references: (ref_id, template, bucket_lo, d, qs_rel, d_rel, clen); events:
-    (event_id, video_uid, cs, ce, template, bucket_lo); video_end: (video_uid,
-    max_ts); plan: (template, bucket_lo, target).  An event tries ``tries``
-    references a round; there is no bound of rounds unless ``most_rounds`` is given.
-    With ``geom_only`` templates don't matter: cells are buckets, and placed
-    queries have an empty template.
+    (event_id, video_uid, cs, ce, template, bucket_lo), an event once for each
+    of its templates; video_end: (video_uid, max_ts); plan: (template,
+    bucket_lo, target).  An event tries ``tries`` references a turn; there is no
+    bound of turns unless ``most_rounds`` is given.  With ``geom_only`` templates
+    don't matter: cells are buckets, and placed queries have an empty template.
     """
     spark = events.sparkSession
     if geom_only:
         references, events = (t.withColumn("template", F.lit("")) for t in (references, events))
+        events = events.dropDuplicates(["event_id"])
         plan = plan.groupBy("bucket_lo").agg(F.sum("target").alias("target")).select(F.lit("").alias("template"), "bucket_lo", "target")
     cell = ["template", "bucket_lo"]
     refs = _checkpoint(references.where((F.col("d") >= config.least_query) & (F.col("d_rel") > 0)))
-    # an event is long enough for the first n_fit references of its cell, by length
-    timed = events.join(video_end, "video_uid").withColumn("len", F.col("ce") - F.col("cs"))
-    steps = refs.groupBy(*cell, F.col("d").alias("len")).agg(F.count("*").alias("n")).select(*cell, "len", F.sum("n").over(Window.partitionBy(*cell).orderBy("len")).alias("n_fit"), F.lit(None).cast(events.schema["event_id"].dataType).alias("event_id"))
-    before = Window.partitionBy(*cell).orderBy("len", F.col("event_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    fit = steps.unionByName(timed.select(*cell, "len", F.lit(None).cast("long").alias("n_fit"), "event_id")).withColumn("n_fit", F.coalesce(F.max("n_fit").over(before), F.lit(0))).where("event_id IS NOT NULL").select("event_id", "n_fit")
-    free = _checkpoint(timed.join(fit, "event_id"))
+    by_length, counts = _numbered(refs, cell, "d", STEP, "k", order_key("ref_id", seed=seed), "ref_id")
+    by_length = _checkpoint(by_length)
+    siblings, lengths = _numbered(refs.select(F.col("ref_id").alias("fill_ref"), *cell, "d", F.col("qs_rel").alias("f_rel"), F.col("d_rel").alias("f_d"), "clen"), [], "clen", CLIP_STEP, "p", "fill_ref")
+    siblings = _checkpoint(siblings)
+    # an event may be long enough for the first n_fit references of its cell; in its last step lengths decide
+    timed = events.join(video_end, "video_uid").withColumn("len", F.col("ce") - F.col("cs")).withColumn("step", _step(F.col("len"), STEP))
+    free = _checkpoint(timed.join(_up_to(counts, timed, cell).select(*cell, "step", F.col("upto").alias("n_fit")), [*cell, "step"]).drop("step"))
     kinds = {k: events.schema[c].dataType.simpleString() for k, c in (("event", "event_id"), ("video", "video_uid"))}
     placed = spark.createDataFrame([], CLIP.format(**kinds))
     ledger = spark.createDataFrame([], f"event_id {kinds['event']}")
-    ref_rank = F.row_number().over(Window.partitionBy(*cell).orderBy("d", order_key("ref_id", seed=seed), "ref_id"))
-    ranked_refs = refs.withColumn("k", ref_rank - 1)
     everyone = False
     for turn in itertools.count() if most_rounds is None else range(most_rounds):
         done = placed.groupBy(*cell).agg(F.count("*").alias("placed"))
-        left = plan.join(done, cell, "left").withColumn("left", F.col("target") - F.coalesce("placed", F.lit(0))).where("left > 0").select(*cell, "left")
-        open_events = free.where("n_fit > 0").join(ledger.distinct(), "event_id", "left_anti")
-        rank = F.row_number().over(Window.partitionBy(*cell).orderBy(order_key("event_id", seed=seed + turn), "event_id"))
-        chosen = open_events.withColumn("r", rank).join(left, cell).where(F.lit(everyone) | (F.col("r") <= F.col("left")))
+        left = _checkpoint(plan.join(done, cell, "left").withColumn("left", F.col("target") - F.coalesce("placed", F.lit(0))).where("left > 0").select(*cell, "left"))
+        if not left.limit(1).count():
+            break
+        limits = left.select(*cell, F.col("left").alias("limit_"))
+        open_events = free.where("n_fit > 0").join(ledger, "event_id", "left_anti").join(left.select(*cell), cell, "left_semi").withColumn("h_", order_key("event_id", seed=seed + turn))
+        chosen = open_events if everyone else first_hashed(open_events, cell, limits, "event_id")
         chosen = chosen.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).withColumn("k", F.pmod(F.xxhash64("event_id", "try", F.lit(seed + turn)), F.col("n_fit")))
-        pairs = chosen.join(ranked_refs.select(*cell, "k", "ref_id", "d", "qs_rel", "d_rel", "clen"), [*cell, "k"])
+        pairs = chosen.join(by_length.select(*cell, "k", "ref_id", "d", "qs_rel", "d_rel", "clen"), [*cell, "k"]).where("d <= len")
         part = pairs.withColumn("q", anchor_slice(F.col("cs"), F.col("ce"), F.col("d"))).withColumn("c", solved_clip(F.col("q.s"), F.col("q.e") - F.col("q.s"), F.col("qs_rel"), F.col("d_rel")))
         inside = (F.col("q.s") >= F.col("c.cs") - config.eps) & (F.col("q.e") <= F.col("c.ce") + config.eps) & (F.col("q.e") - F.col("q.s") >= config.least_query)
         over = F.col("c.ce") > F.col("max_ts") + config.eps
-        first = F.row_number().over(Window.partitionBy("event_id").orderBy("try"))
-        tried = _checkpoint(part.where(inside & (over | (F.col("c.cs") >= 0))).withColumn("over", over).withColumn("nth", first).where("nth = 1").withColumn("nth", F.row_number().over(Window.partitionBy(*cell).orderBy("r"))).where(F.col("nth") <= F.col("left")))
-        if not tried.limit(1).count():
+        first = F.row_number().over(Window.partitionBy("event_id").orderBy("try", *cell))
+        fit = _checkpoint(part.where(inside & (over | (F.col("c.cs") >= 0))).withColumn("over", over).withColumn("nth", first).where("nth = 1"))
+        if not fit.limit(1).count():
             if everyone:
                 break
             everyone = True
             continue
         everyone = False
+        tried = _checkpoint(first_hashed(fit, cell, limits, "event_id"))
         anchors = _checkpoint(tried.where("NOT over").select(
             F.concat(F.lit(f"{turn}-"), F.col("event_id").cast("string")).alias("clip_id"), F.col("event_id").alias("rank"), "video_uid", F.col("c.cs").alias("clip_cs"), F.col("c.ce").alias("clip_ce"), F.col("c.length").alias("length"),
             "event_id", F.lit("a").alias("role"), *cell, F.col("q.s").alias("qs"), F.col("q.e").alias("qe"), "ref_id",
         ))
         # every anchor is placed; an event whose clip overruns is not tried again
-        ledger_now = ledger.union(tried.select("event_id"))
-        # fills: references of the same length of clip, at their own relative place
-        near = band_join(anchors.select("clip_id", "rank", "video_uid", "clip_cs", "clip_ce", "length", "ref_id"), refs.select(F.col("ref_id").alias("fill_ref"), *cell, "d", F.col("qs_rel").alias("f_rel"), F.col("d_rel").alias("f_d"), "clen"), "length", "clen", config.clip_tolerance).where("ref_id <> fill_ref")
-        near = near.withColumn("qs", F.col("clip_cs") + F.col("f_rel") * F.col("length")).withColumn("qe", F.col("qs") + F.col("f_d") * F.col("length"))
-        near = near.where((F.col("qe") - F.col("qs") >= config.least_query) & (F.abs((F.col("qe") - F.col("qs")) - F.col("d")) <= config.fill_tolerance * F.col("d")) & (F.col("qs") >= F.col("clip_cs")) & (F.col("qe") <= F.col("clip_ce")))
-        few = F.row_number().over(Window.partitionBy("clip_id").orderBy(order_key("clip_id", "fill_ref", seed=seed), "fill_ref"))
-        near = near.withColumn("order", few).where(F.col("order") <= fills_per_clip)
-        spare = free.join(ledger_now.distinct(), "event_id", "left_anti").select("video_uid", *cell, "event_id", "len")
-        matched = near.join(spare, ["video_uid", *cell]).where(F.col("len") >= F.col("qe") - F.col("qs"))
-        pick = F.row_number().over(Window.partitionBy("clip_id", "fill_ref").orderBy(order_key("clip_id", "event_id", seed=seed), "event_id"))
-        fills = matched.withColumn("p", pick).where("p = 1")
-        owner = F.row_number().over(Window.partitionBy("event_id").orderBy("rank", "order"))
-        fills = fills.withColumn("o", owner).where("o = 1").select("clip_id", "rank", "video_uid", "clip_cs", "clip_ce", "event_id", F.lit("f").alias("role"), *cell, "qs", "qe", "order")
-        every = anchors.withColumn("order", F.lit(0)).select(*fills.columns).unionByName(fills)
-        schema = every.schema
-        done_now = _checkpoint(every.groupBy("clip_id").applyInPandas(lambda f: _place(f, config.eps, config.most_queries), schema).drop("order"))
-        placed = _checkpoint(placed.unionByName(done_now.select(*placed.columns)))
-        ledger = _checkpoint(ledger_now.union(done_now.select("event_id")).distinct())
+        ledger = _checkpoint(ledger.union(tried.select("event_id")))
+        fills, ledger = _filled(anchors, siblings, lengths, free, ledger, config, seed)
+        new = anchors.select(*placed.columns)
+        placed = _checkpoint(placed.unionByName(new if fills is None else new.unionByName(fills.select(*placed.columns))))
     return placed

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, FloatType, StringType, StructType
-from pyspark.sql.window import Window
 
 from ..config import CleanConfig
 from ..functions.intervals import finite
 from ..functions.templates import first_reason
 from ..functions.texts import strip
+from .windows import numbered
 
 REQUIRED = ("video_uid", "clip_start_sec", "clip_end_sec", "query_start_sec", "query_end_sec", "matched_template", "context_text")
 
@@ -75,11 +75,6 @@ def null_profile(rows: DataFrame, columns: list[str]) -> DataFrame:
 def sharded(rows: DataFrame, order: list[str], config: CleanConfig = CleanConfig()) -> DataFrame:
     """Adds ``shard``: consecutive runs of the order, of a fixed number of rows.
 
-    Numbers come from range partitions and their sizes, not from one sorted task.
+    Numbers come from range partitions and what the ranges before hold, not from one sorted task.
     """
-    spread = rows.repartitionByRange(*order).withColumn("part_", F.spark_partition_id())
-    local = spread.withColumn("at_", F.row_number().over(Window.partitionBy("part_").orderBy(*order)))
-    sizes = rows.sparkSession.createDataFrame([], "part_ int, before_ long")
-    counts = local.groupBy("part_").agg(F.count("*").alias("n_"))
-    before = counts.select("part_", (F.sum("n_").over(Window.orderBy("part_")) - F.col("n_")).alias("before_"))  # one row per partition
-    return sizes.unionByName(before).join(local, "part_").withColumn("shard", F.floor((F.col("before_") + F.col("at_") - 1) / config.shard_rows).cast("long")).drop("part_", "before_", "at_")
+    return numbered(rows, order, "shard").withColumn("shard", F.floor(F.col("shard") / config.shard_rows).cast("long"))

@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .materialise import checkpoint
+
+#: Items that are multiplied with the prototypes at once.
+ITEMS = 512
 #: Rows up to which a counted side may be broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -35,20 +42,83 @@ def null_safe_anti(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFra
     return rows.join(seen, match, "left_anti")
 
 
+#: Members of one (entity, cell) that a task ranks beside each other, and rows of a task.
+CELL_ROWS, PACK_ROWS = 1 << 18, 1 << 19
+
+
+def ranks_below(ranks: np.ndarray, low: np.ndarray, high: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many of ``ranks[low:high]`` are under ``most``, for many ranges at once: sorted runs of doubling lengths, of which a range takes two of each at most."""
+    out = np.zeros(len(low), np.int64)
+    low, high = low.copy(), np.maximum(high, low)
+    at, size = np.arange(len(ranks)), 1
+    while (low < high).any():
+        key = np.sort((at // size) * (len(ranks) + 1) + ranks)
+
+        def under(run: np.ndarray, use: np.ndarray) -> None:
+            found = np.searchsorted(key, run[use] * (len(ranks) + 1) + most[use]) - run[use] * size
+            out[use] += found
+
+        left = (low < high) & (low // size % 2 == 1)
+        under(low // size, left)
+        low = np.where(left, low + size, low)
+        right = (low < high) & (high // size % 2 == 1)
+        under(high // size - 1, right)
+        high = np.where(right, high - size, high)
+        size *= 2
+    return out
+
+
+def _members(table: pa.Table) -> pa.Table:
+    """(id, n): for each container of a pack, its members among those of its part."""
+    part, a, b = (table.column(c).to_numpy() for c in ("part", "a", "b"))
+    id_ = table.column("id")
+    asks = np.array(id_.is_valid())
+    order = np.lexsort((a[~asks], part[~asks]))
+    own, start, end = part[~asks][order], a[~asks][order], b[~asks][order]
+    ends, rank = np.unique(end, return_inverse=True)
+    # the first member of the container's part that begins with it or later
+    at = np.lexsort((np.append(np.ones(len(own), np.int8), np.zeros(int(asks.sum()), np.int8)), np.append(start, a[asks]), np.append(own, part[asks])))
+    before = np.cumsum(at < len(own))
+    low = np.empty(len(at), np.int64)
+    low[at] = before
+    low = low[len(own):]
+    high = np.searchsorted(own, part[asks], "right")
+    n = ranks_below(rank, low, high, np.searchsorted(ends, b[asks], "right"))
+    return pa.table({"id": id_.filter(pa.array(asks)), "n": pa.array(n)})
+
+
 def containment_counts(intervals: DataFrame, split: float = 10.0, cell: float | None = None) -> DataFrame:
     """Adds ``density``: shorter intervals (under ``split``) of the entity inside each longer one; 0 for shorter ones.
 
-    intervals: (id, video_uid, cs, ce, ...).  A short interval is in the cell
-    of its start and a long one in all its cells, so each pair meets once.
+    intervals: (id, video_uid, cs, ce, ...); a cell of time is at least
+    ``split``.  Cells that a long interval covers with a cell to spare are
+    counted by running sums of their short ones; of the up to three others it
+    counts the members by ranks.  No pair of a container and a member is a row:
+    a long interval is one for each of its open cells, times the parts into
+    which crowded ones are dealt, whose counts add up.
     """
-    cell = cell or split
+    cell = max(cell or split, split)
     length = F.col("ce") - F.col("cs")
-    long_ = intervals.where(length >= split).select("id", "video_uid", F.col("cs").alias("a"), F.col("ce").alias("b"))
-    long_ = long_.withColumn("cell", F.explode(F.sequence(F.floor(F.col("a") / cell), F.floor(F.col("b") / cell))))
-    short = intervals.where(length < split).select("video_uid", "cs", "ce", F.floor(F.col("cs") / cell).alias("cell"))
-    found = long_.join(short, ["video_uid", "cell"]).where((F.col("cs") >= F.col("a")) & (F.col("ce") <= F.col("b")))
-    counts = found.groupBy("id").agg(F.count("*").alias("n_"))
-    return intervals.join(counts, "id", "left").withColumn("density", F.coalesce("n_", F.lit(0)).cast("long")).drop("n_")
+    short = intervals.where(length < split).select("video_uid", F.floor(F.col("cs") / cell).alias("cell"), F.col("cs").cast("double").alias("a"), F.col("ce").cast("double").alias("b"))
+    long_ = intervals.where(length >= split).select("id", "video_uid", F.col("cs").cast("double").alias("a"), F.col("ce").cast("double").alias("b"), F.floor(F.col("cs") / cell).alias("first"), F.floor(F.col("ce") / cell).alias("last"))
+    counts = checkpoint(short.groupBy("video_uid", "cell").agg(F.count("*").alias("n")))
+    # members in cells after the first and two or more before the last lie inside
+    wanted = long_.where("last - 2 > first").select("video_uid", F.explode(F.array("first", F.col("last") - 2)).alias("cell")).distinct()
+    both = counts.select("video_uid", "cell", "n", F.lit(0).alias("w")).unionByName(wanted.select("video_uid", "cell", F.lit(0).cast("long").alias("n"), F.lit(1).alias("w")))
+    upto = checkpoint(both.withColumn("upto", F.sum("n").over(Window.partitionBy("video_uid").orderBy("cell", "w").rowsBetween(Window.unboundedPreceding, 0))).where("w = 1").select("video_uid", "cell", "upto"))
+    ends = lambda c, name: upto.select("video_uid", F.col("cell").alias(c), F.col("upto").alias(name))
+    inner = long_.where("last - 2 > first").withColumn("end", F.col("last") - 2).join(ends("first", "low"), ["video_uid", "first"]).join(ends("end", "high"), ["video_uid", "end"]).select("id", (F.col("high") - F.col("low")).alias("n"))
+    open_ = long_.withColumn("cell", F.explode(F.array_distinct(F.array("first", F.greatest("first", F.col("last") - 1), "last"))))
+    parts = counts.select("video_uid", "cell", F.ceil(F.col("n") / F.lit(CELL_ROWS)).cast("int").alias("parts"))
+    asked = open_.join(parts, ["video_uid", "cell"]).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    held = short.join(parts, ["video_uid", "cell"]).withColumn("k", F.pmod(F.xxhash64("a", "b"), F.col("parts")).cast("int"))
+    packs = (counts.agg(F.sum("n")).first()[0] or 0) // PACK_ROWS * 3 + intervals.sparkSession.sparkContext.defaultParallelism
+    part = F.xxhash64("video_uid", "cell", "k").alias("part")
+    rows = asked.select("id", part, "a", "b").unionByName(held.select(F.lit(None).cast(intervals.schema["id"].dataType).alias("id"), part, "a", "b"))
+    kind = intervals.schema["id"].dataType.simpleString()
+    found = rows.withColumn("pack", F.pmod("part", F.lit(packs))).groupBy("pack").applyInArrow(_members, f"id {kind}, n bigint")
+    total = found.unionByName(inner).groupBy("id").agg(F.sum("n").alias("n_"))
+    return intervals.join(total, "id", "left").withColumn("density", F.coalesce("n_", F.lit(0)).cast("long")).drop("n_")
 
 
 def rows_in_range(queries: DataFrame, narrations: DataFrame, cell: float = 64.0) -> DataFrame:
@@ -143,11 +213,15 @@ def prototypes(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 def nearest_prototypes(items: DataFrame, item_id: str, vector: str, protos: DataFrame, name: str, k: int = 5, most: int = 10_000) -> DataFrame:
     """(item_id, name, similarity, rank) of the ``k`` most similar prototypes, by cosine.
 
-    Prototypes are few by nature: up to ``most`` are broadcast as one array and
-    scanned beside each item.  More are scanned in blocks, and the blocks' best
-    are ranked together.  All must have one dimension.
+    Prototypes are few by nature: up to ``most`` are one matrix, which travels
+    with the tasks and is multiplied with blocks of items.  More are scanned in
+    several such matrices, and their best are ranked together.  All vectors must
+    have one dimension; items without a vector are left out; similarities count
+    as equal up to 12 decimals, and then the smaller name is first.
     """
     n, low, high = protos.agg(F.count("*"), F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    if not n:
+        return items.select(item_id).join(protos.select(name), F.lit(False)).select(item_id, name, F.lit(0.0).alias("similarity"), F.lit(0).alias("rank"))
     if low != high:
         raise ValueError(f"prototypes of {low} to {high} dimensions")
     if n > most:
@@ -156,8 +230,31 @@ def nearest_prototypes(items: DataFrame, item_id: str, vector: str, protos: Data
         each = functools.reduce(DataFrame.unionByName, [nearest_prototypes(items, item_id, vector, protos.where(part == b), name, k, n) for b in range(blocks)])
         rank = F.row_number().over(Window.partitionBy(item_id).orderBy(F.col("similarity").desc(), name))
         return each.withColumn("rank", rank).where(F.col("rank") <= k)
-    table = protos.agg(F.collect_list(F.struct(F.col(name).alias("name"), F.col("embedding"))).alias("protos"))
-    scored = items.select(item_id, unit(F.col(vector)).alias("v")).join(F.broadcast(table)).select(
-        item_id, F.transform("protos", lambda p: F.struct((-dot(F.col("v"), p["embedding"])).alias("minus"), p["name"].alias("name"))).alias("all"))
-    best = scored.select(item_id, F.posexplode(F.slice(F.array_sort("all"), 1, k)).alias("rank", "best"))
-    return best.select(item_id, F.col("best.name").alias(name), (-F.col("best.minus")).alias("similarity"), (F.col("rank") + 1).alias("rank"))
+    table = protos.select(F.col(name).alias("name"), F.transform("embedding", lambda x: x.cast("double")).alias("e")).toArrow().sort_by("name")
+    names, width = table.column("name").combine_chunks(), low or 0
+    matrix = np.ascontiguousarray(table.column("e").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(names), width).T)
+    wide = items.select(F.col(item_id).alias("id"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ITEMS):
+                batch = whole.slice(at, ITEMS)
+                batch = batch.filter(batch.column(1).is_valid())
+                sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+                if (sizes != width).any():
+                    raise ValueError(f"items of {int(sizes.min())} to {int(sizes.max())} dimensions beside prototypes of {width}")
+                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+                # equal prototypes stay equal, whatever order they are added up in
+                scores = np.round(v / (np.sqrt((v * v).sum(axis=1, keepdims=True)) + 1e-12) @ matrix, 12)
+                kept = min(k, len(names))
+                least = -np.partition(-scores, kept - 1, axis=1)[:, kept - 1:kept] if kept else scores
+                row, col = np.nonzero(scores >= least) if kept else (np.zeros(0, np.int64),) * 2
+                order = np.lexsort((col, -scores[row, col], row))
+                row, col = row[order], col[order]
+                rank = np.arange(len(row)) - np.searchsorted(row, row)
+                use = rank < k
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[use])), names.take(pa.array(col[use])), pa.array(scores[row, col][use]), pa.array(rank[use] + 1, pa.int32())], names=["id", "name", "similarity", "rank"])
+
+    id_kind, name_kind = (t.schema[c].dataType.simpleString() for t, c in ((items, item_id), (protos, name)))
+    best = wide.mapInArrow(run, f"id {id_kind}, name {name_kind}, similarity double, rank int")
+    return best.select(F.col("id").alias(item_id), F.col("name").alias(name), "similarity", "rank")

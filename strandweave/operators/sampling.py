@@ -40,6 +40,12 @@ def _smallest(rows: DataFrame, by: list[str], limits: DataFrame, digits: int = 4
     return rows.join(cut, _same(by, keys), "left").where(F.col("cut_").isNull() | (first <= F.col("cut_"))).select(*rows.columns)
 
 
+def first_hashed(rows: DataFrame, by: list[str], limits: DataFrame, *ties: str) -> DataFrame:
+    """The first ``limit_`` rows of each group by their hash ``h_``; groups without a limit have none."""
+    few = _smallest(rows, by, limits).join(limits, by)
+    return few.withColumn("rank_", F.row_number().over(Window.partitionBy(*by).orderBy("h_", *ties))).where("rank_ <= limit_").drop("rank_", "limit_")
+
+
 def at_most(rows: DataFrame, n: int, by: list[str], key: list[str], seed: int = MergeConfig().seed) -> DataFrame:
     """At most ``n`` rows of each group, without replacement."""
     hashed = rows.withColumn("h_", order_key(*key, seed=seed))

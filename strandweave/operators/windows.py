@@ -171,6 +171,12 @@ def running_sums(rows: DataFrame, columns: list[str], order: list[str], by: list
     return met.select(*rows.columns, *[(F.col(f"before_{c}") + F.sum(c).over(inside)).alias(f"run_{c}") for c in columns], *[f"all_{c}" for c in columns])
 
 
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds ``name``: the rows' numbers in order, from 0 on and without gaps."""
+    placed = running_sums(rows.withColumn("one_", F.lit(1)), ["one_"], order, [])
+    return placed.withColumn(name, F.col("run_one_") - 1).drop("one_", "run_one_", "all_one_")
+
+
 def ecdf(rows: DataFrame, value: str, partition: list[str] | None = None) -> DataFrame:
     """Adds ``ecdf``: place in order over the number of rows, ties apart."""
     by = partition or []

@@ -5,15 +5,17 @@ Files go to new paths in the folder that driver and executors share.
 
 from __future__ import annotations
 
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.intervals import bucket_lo
 from ..operators.materialise import scratch
 from ..schemas import QUESTION
-from ..sources import files, json_files, sinks
+from ..sources import files, json_files, json_scan, matrices, sinks
+from ..sources.batches import Batches, append_catalog
 from ..sources.tables import hours, narrations, table
-from ..streaming import streams
+from ..streaming import appends, streams
 from .base import N, bucket_sql, query
 
 
@@ -109,6 +111,112 @@ def shard_files(spark: SparkSession, d: str) -> DataFrame:
     return lines.groupBy(F.regexp_extract("_metadata.file_path", r"shard=(\d+)", 1).cast("long").alias("shard")).agg(F.count("*").alias("n"))
 
 
+def _records(spark: SparkSession, d: str, name: str):
+    """A folder with the events as one array a file, as a wrapped array, and as lines with broken ones."""
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", "props")
+    path = scratch(spark, name)
+    record = F.to_json(F.struct("event_id", "user_id", "event_type", "props"))
+    whole = e.where("event_id % 3 < 2").groupBy((F.col("event_id") % 3).alias("k"), F.pmod(F.xxhash64("event_id"), F.lit(4)).alias("p")).agg(F.array_join(F.collect_list(record), " ,\n ").alias("all"))
+    text = F.when(F.col("k") == 0, F.concat(F.lit("[\n"), "all", F.lit("\n]\n"))).otherwise(F.concat(F.lit('{"meta": {"a": [1, "]"]}, "items": ['), "all", F.lit("]}")))
+    whole.repartition(8, "k", "p").select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    broken = F.when(F.col("event_id") % 2 == 0, record).otherwise(F.concat(F.lit("{"), record))
+    e.where("event_id % 3 = 2").select(broken.alias("value")).write.mode("append").text(path)
+    return path
+
+
+_KEPT_RECORDS = "SELECT event_id, user_id, event_type, props FROM events WHERE event_id % 3 < 2 OR event_id % 2 = 0"
+
+
+@query(_KEPT_RECORDS)
+def read_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Arrays, wrapped arrays and broken lines, each file as it is."""
+    return json_files.typed(json_files.robust_records(spark, _records(spark, d, "robust")), "event_id BIGINT, user_id BIGINT, event_type STRING, props STRING")
+
+
+@query("SELECT event_id, user_id, event_type, props FROM events WHERE event_id % 3 = 0 OR (event_id % 3 = 2 AND event_id % 2 = 0)")
+def read_array_or_lines(spark: SparkSession, d: str) -> DataFrame:
+    schema = "event_id BIGINT, user_id BIGINT, event_type STRING, props STRING"
+    rows = json_files.array_or_lines(spark, _records(spark, d, "arrays"), spark.createDataFrame([], schema).schema)
+    return rows.where("event_id IS NOT NULL")  # a wrapped array is one record of another shape
+
+
+@query(f"WITH {N} SELECT video_uid::VARCHAR AS video_uid, count(*) AS n, min(uid::VARCHAR) AS first_uid, round(max(t), 6) AS last FROM n GROUP BY video_uid")
+def scan_narration_document(spark: SparkSession, d: str) -> DataFrame:
+    """The narrations as few objects keyed by video, each a document."""
+    line = F.struct(F.col("timestamp_sec"), F.col("narration_text"), F.col("narration_uid").cast("string").alias("narration_uid"))
+    entity = narrations(spark, d).groupBy(F.col("video_uid").cast("string").alias("video_uid")).agg(F.to_json(F.struct(F.struct(F.collect_list(line).alias("narrations")).alias("narration_pass_1"))).alias("v"))
+    member = F.concat(F.to_json(F.array("video_uid")).substr(F.lit(2), F.length(F.to_json(F.array("video_uid"))) - 2), F.lit(": "), "v")
+    whole = entity.groupBy(F.pmod(F.xxhash64("video_uid"), F.lit(3)).alias("k")).agg(F.array_join(F.collect_list(member), ",\n").alias("all"))
+    path = scratch(spark, "narration_document")
+    whole.repartition(3, "k").select(F.concat(F.lit("{"), "all", F.lit("}")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    found = json_files.narration_file(spark, path)
+    return found.groupBy("video_uid").agg(F.count("*").alias("n"), F.min("narration_uid").alias("first_uid"), F.round(F.max("timestamp_sec"), 6).alias("last"))
+
+
+@query(f"WITH {_TREE} SELECT 'tree' AS shape, video_uid, template, s AS clip_start_sec FROM q UNION ALL SELECT 'list', user_id::VARCHAR, event_type, value FROM events")
+def flattened_files(spark: SparkSession, d: str) -> DataFrame:
+    """The form of each file is found by its shape: an export tree or a flat list."""
+    q = table(spark, d, "events")
+    # one array of all questions in one row would not scale: an array file a few hundred of them
+    record = F.to_json(F.struct(F.col("user_id").cast("string").alias("video_uid"), F.col("event_type").alias("template"), F.col("value").alias("clip_start_sec")))
+    lists = q.groupBy(F.floor(F.col("event_id") / 500)).agg(F.array_join(F.collect_list(record), ",").alias("all"))
+    flat = scratch(spark, "flat")
+    lists.repartition(4).select(F.concat(F.lit("["), "all", F.lit("]")).alias("value")).write.option("maxRecordsPerFile", 1).text(flat)
+    columns = ["video_uid", "template", "clip_start_sec"]
+    out = []
+    for shape, path in (("tree", _tree_documents(spark, d)), ("list", flat)):
+        out.append(json_files.flattened_questions(spark, path).select(F.lit(shape).alias("shape"), *columns))
+    return out[0].unionByName(out[1])
+
+
+def _tree_documents(spark: SparkSession, d: str) -> str:
+    """The lines of _tree() as documents, a file each of some of them."""
+    videos = spark.read.text(_tree(spark, d)).select(F.regexp_extract("value", r'^\{"videos":\[(.*)\]\}$', 1).alias("v"))
+    some = videos.groupBy(F.pmod(F.xxhash64("v"), F.lit(3)).alias("k")).agg(F.array_join(F.collect_list("v"), ", ").alias("all"))
+    path = scratch(spark, "trees")
+    some.repartition(3, "k").select(F.concat(F.lit('{"version": "1", "videos": ['), "all", F.lit("]}")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+@query("""WITH s AS (SELECT event_id, ((row_number() OVER (ORDER BY event_id) - 1) // 250)::INT AS shard FROM events), c AS (SELECT shard, count(*) AS n FROM s WHERE shard % 5 <> 2 GROUP BY shard)
+SELECT shard, n, false AS missing FROM c UNION ALL SELECT DISTINCT shard, 0, true FROM s WHERE shard % 5 = 2""")
+def shard_listing(spark: SparkSession, d: str) -> DataFrame:
+    """Shard files of which some are gone: which there are with how many rows, and which are missing."""
+    from ..operators.cleaning import sharded
+    from ..config import CleanConfig
+
+    path = scratch(spark, "listing")
+    rows = sharded(table(spark, d, "events").select("event_id"), ["event_id"], CleanConfig(shard_rows=250))
+    last = rows.agg(F.max("shard")).first()[0]
+    name = F.concat(F.lit(path), F.format_string("/shard_%04d.jsonl", "shard"))
+    kept = rows.where("shard % 5 <> 2").select(name.alias("out"), F.to_json(F.struct("event_id")).alias("line"))
+    sinks.write_named_lines(kept, path)
+    found = files.shards(spark, path)
+    counts = files.shard_counts(spark, path).select(F.regexp_extract("file", r"(\d+)", 1).cast("int").alias("shard"), "n")
+    there = found.join(counts, "shard").select("shard", "n", F.lit(False).alias("missing"))
+    return there.unionByName(files.missing_shards(found, 0, last).select("shard", F.lit(0).cast("long").alias("n"), F.lit(True).alias("missing")))
+
+
+@query("SELECT vec_id::VARCHAR AS video_uid FROM embeddings WHERE label IN (1, 4)")
+def feature_probe(spark: SparkSession, d: str) -> DataFrame:
+    """Feature files of some entities, found by their names."""
+    path = scratch(spark, "features")
+    rows = table(spark, d, "embeddings").where("label IN (1, 4)")
+    sinks.write_named_lines(rows.select(F.concat(F.lit(f"{path}/"), F.col("vec_id").cast("string"), F.lit(".pt")).alias("out"), F.lit("x").alias("line")), path)
+    return files.present_features(spark, path)
+
+
+@query("SELECT vec_id AS key, round(list_sum(embedding)::DOUBLE, 4) AS total, len(embedding)::INT AS width FROM embeddings")
+def matrix_files(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as one .npy file with the list of their keys, and read by row blocks."""
+    path = f"{scratch(spark, 'matrix')}/vectors.npy"
+    rows = table(spark, d, "embeddings")
+    matrices.write_matrix(rows, path, "vec_id", "embedding")
+    found = matrices.read_keyed(spark, path, 64)
+    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return found.select("key", F.round(total, 4).alias("total"), F.size("vector").alias("width"))
+
+
 @query("SELECT event_id FROM events WHERE event_id % 7 <> 0")
 def convert_files(spark: SparkSession, d: str) -> DataFrame:
     """JSON lines with broken ones, converted to arrays and read back."""
@@ -116,7 +224,8 @@ def convert_files(spark: SparkSession, d: str) -> DataFrame:
     folder = _text_file(e, F.when(F.col("event_id") % 7 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct("event_id"))), "convert")
     out = scratch(spark, "converted")
     files.convert_folder(spark, folder, "*.txt", out_folder=out)
-    return spark.read.json(f"{out}/*", multiLine=True, schema="event_id BIGINT")
+    parts = json_scan.parts(spark, out)[0]
+    return parts.select(F.from_json("text", "event_id BIGINT").alias("x")).select("x.*")
 
 
 # ---- sinks
@@ -129,6 +238,26 @@ def write_catalogue(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+@query("""WITH e AS (SELECT *, event_id % 4 AS part FROM events WHERE event_id % 4 <> 2), i AS (SELECT *, row_number() OVER (ORDER BY part, event_id) AS id FROM e)
+SELECT id, event_id, event_type AS template_name FROM i UNION ALL SELECT id, event_id, 'all' FROM i WHERE value IS NOT NULL""")
+def catalogue_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates and their templates in four batches, of which the third fails halfway and the fourth comes twice."""
+    batches = Batches(spark, scratch(spark, "batches"))
+    e = table(spark, d, "events")
+    names = F.when(F.col("value").isNotNull(), F.array("event_type", F.lit("all"))).otherwise(F.array("event_type"))
+    for part in (0, 1, 2, 3, 3):
+        fails = F.raise_error("the batch breaks off").cast("string")
+        own = names if part != 2 else F.transform(names, lambda x: F.when(x == "all", fails).otherwise(x))
+        rows = e.where(F.col("event_id") % 4 == part).select("event_id", "user_id", own.alias("templates"))
+        try:
+            append_catalog(batches, rows, ["event_id"], writer="catalogue", batch=part)
+        except SparkRuntimeException:
+            if part != 2:
+                raise
+    links = batches.read("templates").withColumnRenamed("candidate_id", "id")
+    return batches.read("candidates").select("id", "event_id").join(links, "id")
+
+
 @query("SELECT event_id AS id FROM events WHERE event_id % 3 <> 0 AND event_id % 5 <> 0")
 def usage_ledger(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark, "ledger")
@@ -173,9 +302,10 @@ FAR = "TIMESTAMP '2100-01-01 00:00:00'"
 
 
 def _events_stream(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch(spark, "events")
-    rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "user_id", "event_type", "ts", "value")
-    rows.coalesce(1).write.parquet(path)
+    path, order = scratch(spark, "events"), ["event_id", "user_id", "event_type", "ts", "value"]
+    rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).select(*order)
+    rows.repartition(4).write.parquet(path)
+    # a file of its own, read last: the watermark then passes all others
     rows.limit(1).withColumn("user_id", F.lit(-1).cast("long")).withColumn("ts", F.expr(FAR)).coalesce(1).write.mode("append").parquet(path)
     return streams.file_stream(spark, path, rows.schema)
 
@@ -215,15 +345,16 @@ def stream_append(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select("event_id", "event_type")
     rows.repartition(3).write.parquet(path)
     for _ in range(2):
-        streams.append_new(streams.file_stream(spark, path, rows.schema), out, scratch(spark, "marks"), ["event_id"]).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out)
+        appends.append_new(streams.file_stream(spark, path, rows.schema), out, scratch(spark, "marks"), ["event_id"]).trigger(availableNow=True).start().awaitTermination()
+    return appends.Appends(spark, out, ["event_id"]).table()
 
 
-@query("SELECT user_id AS id, count(*) AS uses FROM events GROUP BY user_id")
+@query("SELECT user_id AS id, count(*) + CASE WHEN user_id % 2 = 0 THEN 10 ELSE 0 END AS uses, user_id % 2 = 1 AS new FROM events GROUP BY user_id")
 def stream_ledger(spark: SparkSession, d: str) -> DataFrame:
-    """Marks of entities in several micro-batches; the last count of each is its number of events, and one mark was fresh."""
+    """Marks of entities in several micro-batches over a ledger that has half of them; the last count of each, and whether one of its marks was fresh."""
     path = scratch(spark, "marks_in")
     rows = table(spark, d, "events").select(F.col("user_id").alias("id"))
     rows.repartition(3).write.parquet(path)
-    found = _finished(streams.usage_ledger(streams.file_stream(spark, path, rows.schema), "id"), spark)
-    return found.groupBy("id").agg(F.max("uses").alias("uses"), F.sum(F.col("fresh").cast("int")).alias("n")).where("n = 1").select("id", "uses")
+    ledger = rows.where("id % 2 = 0").distinct().withColumn("uses", F.lit(10).cast("long"))
+    found = _finished(streams.usage_ledger(streams.file_stream(spark, path, rows.schema), "id", ledger), spark)
+    return found.groupBy("id").agg(F.max("uses").alias("uses"), F.max("fresh").alias("new"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .json_files import documents, whole_document
+from ..operators.materialise import checkpoint
+from . import arrays
+from .json_files import whole_document
 
 
 def shards(spark: SparkSession, folder: str, pattern: str = "shard_*.jsonl") -> DataFrame:
@@ -26,47 +26,58 @@ def shard_counts(spark: SparkSession, folder: str, pattern: str = "shard_*.jsonl
     return lines.where(F.trim("value") != "").groupBy("file").agg(F.count("*").alias("n"))
 
 
-def capped_shards(rows: DataFrame, shard: str, key: list[str], most: int) -> DataFrame:
-    """At most ``most`` rows of each shard, by hash order."""
-    from ..operators.sampling import at_most
-
-    return at_most(rows, most, [shard], key)
-
-
 def present_features(spark: SparkSession, folder: str, suffix: str = ".pt") -> DataFrame:
     """(video_uid) of the files uid + suffix; only the listing is read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder).select("path")
     return files.select(F.regexp_extract("path", rf"([^/]+)\{suffix}$", 1).alias("video_uid")).distinct()
 
 
-def converted_name(path: str) -> str:
+def _listing(spark: SparkSession, folder: str, pattern: str, recursive: bool) -> DataFrame:
+    """(file) by the listing alone."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(folder)
+    return files.select(F.col("_metadata.file_path").alias("file"))
+
+
+def numbered_lines(spark: SparkSession, folder: str, pattern: str = "*.jsonl", recursive: bool = False) -> DataFrame:
+    """(file, line_no, line) of the lines that aren't blank.
+
+    Numbers count blank lines, too, and come from the counts of the byte ranges
+    before a line's own, so a file's lines are numbered by many tasks.
+    """
+    lines = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).text(folder)
+    at = checkpoint(lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("k"), F.col("value").alias("line")))
+    counts = at.groupBy("file", "block").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("file").orderBy("block")
+    before = counts.select("file", "block", (F.sum("n").over(order) - F.col("n")).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("file", "block").orderBy("k"))
+    return at.withColumn("nth", nth).join(before, ["file", "block"]).select("file", (F.col("before") + F.col("nth")).alias("line_no"), "line").where(F.trim("line") != "")
+
+
+def converted_name(path: Column) -> Column:
     """Where a JSON lines file's array goes."""
-    stem = path.removesuffix(".gz").removesuffix(".jsonl").removesuffix(".txt")
-    return f"{stem}_converted.json"
+    return F.concat(F.regexp_replace(path, r"(\.txt)?(\.jsonl)?(\.gz)?$", ""), F.lit("_converted.json"))
 
 
-def convert_lines(spark: SparkSession, path: str, out: str) -> DataFrame:
-    """Write a JSON lines file as one array; (line_no, line) of the bad lines that were skipped.
+def convert_folder(spark: SparkSession, folder: str, pattern: str = "*.jsonl", recursive: bool = False, out_folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Write each file of a folder, but those converted already, as one JSON array.
 
-    One file is one document, so its lines are numbered and gathered together;
-    its size is bounded.
+    (files, bad): (file, out) and (file, line_no, line) of the lines that are
+    not JSON and are skipped.  One job writes all files: lines are dealt out by
+    file and sorted, and a task streams its files out, whatever their number
+    and sizes; results appear when all are written.  Files without a byte have none.
     """
-    raw = documents(spark, path).select(F.posexplode(F.split("value", r"\r?\n")).alias("k", "line")).where(F.trim("line") != "")
-    lines = raw.select((F.col("k") + 1).alias("line_no"), "line", whole_document(F.col("line")).alias("v"))
-    document = lines.where("v IS NOT NULL").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("all"))
-    document.select(F.concat(F.lit("[\n"), F.array_join("all", ",\n"), F.lit("\n]")).alias("value")).coalesce(1).write.mode("ignore").text(out)
-    return lines.where("v IS NULL").select("line_no", "line")
-
-
-def convert_folder(spark: SparkSession, folder: str, pattern: str = "*.jsonl", recursive: bool = False, out_folder: str | None = None, at_once: int = 8) -> list[str]:
-    """Convert the files of a folder, but those converted already; the paths written."""
-    listing = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(folder).select("path")
-    done = []
-    for row in listing.where(~F.col("path").contains("_converted")).orderBy("path").toLocalIterator():
-        out = converted_name(row.path)
-        out = f"{out_folder.rstrip('/')}/{out.rsplit('/', 1)[-1]}" if out_folder else out
-        done.append((row.path, out))
-    # each file's jobs are its own and small: several files at once
-    with ThreadPoolExecutor(at_once) as pool:
-        list(pool.map(lambda x: convert_lines(spark, *x), done))
-    return [out for _, out in done]
+    out = converted_name(F.col("file"))
+    if out_folder:
+        name = F.element_at(F.split(out, "/"), -1)
+        # names of listed files are those of URIs
+        plain = name if ":/" in out_folder else F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+        out = F.concat(F.lit(out_folder.rstrip("/") + "/"), plain)
+    found = checkpoint(_listing(spark, folder, pattern, recursive).where(~F.element_at(F.split("file", "/"), -1).contains("_converted")).select("file", out.alias("out")))
+    if not found.limit(1).count():
+        return found, spark.createDataFrame([], "file string, line_no bigint, line string")
+    lines = checkpoint(numbered_lines(spark, folder, pattern, recursive).join(found, "file").withColumn("good", whole_document(F.col("line")).isNotNull()))
+    # a row for each file opens its array, even if no line of it is JSON
+    every = lines.where("good").select("out", "line_no", "line").unionByName(found.select("out", F.lit(0).cast("long").alias("line_no"), F.lit(None).cast("string").alias("line")))
+    arrays.register(spark)
+    every.repartition("out").sortWithinPartitions("out", "line_no").select("out", "line").write.format("json_arrays").mode("append").save(out_folder or folder)
+    return found, lines.where("NOT good").select("file", "line_no", "line")

@@ -1,64 +1,74 @@
-"""JSON sources: known trees with schemas, and text of unknown shape through VARIANT."""
+"""JSON sources: known trees with schemas, and text of unknown shape through VARIANT.
+
+Documents of any size are cut into their parts by a structural scan, in
+parallel; a record must fit into a row, a document need not.
+"""
 
 from __future__ import annotations
 
 import warnings
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
 from ..functions.texts import repair_json
+from ..operators.materialise import checkpoint
 from ..schemas import ANNOTATION_FILE, LANGUAGE_QUERY, NARRATION_FILE
+from .json_scan import parts
 
 #: Keys under which a wrapper object keeps its records, in order (fixed values).
 WRAPPER_KEYS = ("clips", "data", "rows", "items", "candidates")
 UID_KEYS = ("video_uid", "videoId", "uid")
 
 
-#: Bytes up to which one file is read as one document; larger ones must come as lines.
-DOCUMENT_BYTES = 1 << 30
-
-
-def documents(spark: SparkSession, path: str) -> DataFrame:
-    """(file, value): whole files, of which each is one row in one task, so their sizes are bounded."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), "value")
-    over = F.raise_error(F.concat(F.lit(f"more than {DOCUMENT_BYTES} bytes in one document, read it as lines: "), F.col("file")))
-    return files.select("file", F.when(F.col("size") > DOCUMENT_BYTES, over).otherwise(F.col("value")).alias("value"))
-
-
 def narration_file(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Rows of an object keyed by video uid, or with ``lines`` of one such object a line; a missing file raises."""
-    raw = spark.read.text(path) if lines else documents(spark, path)
+    if lines:
+        raw = spark.read.text(path)
+    else:
+        raw = parts(spark, path)[0].where("top = '{'").select(F.concat(F.lit("{"), "text", F.lit("}")).alias("value"))
     videos = raw.select(F.explode(F.from_json("value", NARRATION_FILE)).alias("video_uid", "v"))
     return videos.select("video_uid", F.inline("v.narration_pass_1.narrations"))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+def _videos(spark: SparkSession, path: str, lines: bool) -> DataFrame:
+    """(v) the videos of annotation trees, or with ``lines`` of one tree a line."""
+    if lines:
+        return spark.read.schema(ANNOTATION_FILE).json(path).select(F.explode("videos").alias("v"))
+    video = ANNOTATION_FILE["videos"].dataType.elementType
+    return parts(spark, path, ("videos",))[0].where("key = 'videos'").select(F.from_json("text", video).alias("v"))
 
 
 def annotation_file(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """(video_uid, clip..., query...) of an annotation tree, or with ``lines`` of one a line; empty lists give no rows."""
-    videos = spark.read.schema(ANNOTATION_FILE).json(path, multiLine=not lines).select(F.explode("videos").alias("v"))
-    clips = videos.select("v.video_uid", F.explode("v.clips").alias("c"))
+    clips = _videos(spark, path, lines).select("v.video_uid", F.explode("v.clips").alias("c"))
     notes = clips.select("video_uid", F.col("c.clip_start_sec").alias("clip_lo"), F.col("c.clip_end_sec").alias("clip_hi"), F.col("c.video_start_sec").alias("clip_video_start"), F.explode("c.annotations").alias("a"))
     return notes.select("video_uid", "clip_lo", "clip_hi", "clip_video_start", F.inline("a.language_queries"))
 
 
 def split_uids(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """(video_uid) of a split file; a missing file is an empty set, with a warning."""
-    if not _exists(spark, path):
+    try:
+        spark.read.text(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         warnings.warn(f"no split file at {path}: nothing is excluded", stacklevel=2)
         return spark.createDataFrame([], "video_uid string")
-    return spark.read.schema(ANNOTATION_FILE).json(path, multiLine=not lines).select(F.explode("videos").alias("v")).select("v.video_uid").where("video_uid IS NOT NULL").distinct()
+    return _videos(spark, path, lines).select("v.video_uid").where("video_uid IS NOT NULL").distinct()
+
+
+#: Stands after a text that is tried as one value, so that no bracket of the text's own can end the list around it unseen.
+_END = "strandweave: end of the text"
 
 
 def whole_document(text: Column) -> Column:
     """VARIANT of a text that is one JSON value to its end, else null: a bare parse would ignore what follows the first value."""
-    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    return F.when(F.try_variant_get(listed, "$[1]", "variant").isNull(), F.try_variant_get(listed, "$[0]", "variant"))
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
+    ended = F.try_variant_get(listed, "$[1]", "string").eqNullSafe(F.lit(_END)) & F.try_variant_get(listed, "$[2]", "variant").isNull()
+    return F.when(ended, F.try_variant_get(listed, "$[0]", "variant"))
 
 
 def parsed(text: Column) -> Column:
@@ -66,23 +76,45 @@ def parsed(text: Column) -> Column:
     return F.coalesce(whole_document(text), whole_document(repair_json(text)))
 
 
-def _records(v: Column) -> Column:
-    """The records of a parsed document as an array of VARIANT: a list, a wrapper's list, or the object itself."""
-    kinds = [F.try_variant_get(v, "$", "array<variant>"), *[F.try_variant_get(v, f"$.{k}", "array<variant>") for k in WRAPPER_KEYS]]
-    return F.when(v.isNotNull(), F.coalesce(*kinds, F.array(v)))
+def _documents(spark: SparkSession, path: str, keys: tuple[str, ...], repair: bool) -> tuple[DataFrame, DataFrame]:
+    """(records, files): (file, record VARIANT) of the files that are one JSON document, repaired if they must be, and those files' names.
+
+    A list gives its elements; an object those of its first key in ``keys`` that
+    holds a list, else itself, which is then one record in one row.
+    """
+    found, files = parts(spark, path, keys)
+    member = F.col("top").eqNullSafe("{") & (F.col("key") == "")
+    text = F.when(member, F.concat(F.lit("{"), "text", F.lit("}"))).otherwise(F.col("text"))
+    blank = ~F.col("text").rlike(r"[^ \t\r\n\x00-\x1F]")
+    tried = found.withColumn("raw", whole_document(text)).withColumn("fixed", whole_document(repair_json(text)) if repair else F.lit(None).cast("variant"))
+    good = (F.col("raw").isNotNull() & ~blank) | (blank & F.col("opened") & F.col("closed"))
+    mended = (F.col("fixed").isNotNull() & ~blank) | (blank & F.col("closed")) if repair else F.lit(False)
+    # "[,]" is mended to an empty list
+    each = tried.groupBy("file", "key").agg(F.min(good).alias("good"), (F.min(mended) | (F.lit(repair) & (F.count("*") == 2) & F.min(blank))).alias("mended"))
+    of_key = [F.max(F.col("key") == k).alias(f"has_{i}") for i, k in enumerate(keys)]
+    judged = each.groupBy("file").agg(F.min("good").alias("good"), F.min("mended").alias("mended"), *of_key)
+    first = F.coalesce(*[F.when(F.col(f"has_{i}"), F.lit(k)) for i, k in enumerate(keys)], F.lit("")) if keys else F.lit("")
+    whole = judged.join(files.where("sound"), "file").where("good OR mended").select("file", "good", first.alias("chosen"))
+    whole = checkpoint(whole)
+    held = found.join(whole, "file").where(~blank)
+    value = F.when(F.col("good"), whole_document(text)).otherwise(whole_document(repair_json(text)) if repair else F.lit(None).cast("variant"))
+    listed = held.where("top = '[' OR (chosen <> '' AND key = chosen)").select("file", value.alias("record"))
+    # an object without such a list is one record
+    alone = whole.where("chosen = ''").join(files.where("top = '{'").select("file"), "file").join(found, "file", "left")
+    order = F.sort_array(F.collect_list(F.struct("block", "nth", "text")))
+    object_ = F.concat(F.lit("{"), F.array_join(F.filter(F.transform(order, lambda x: x["text"]), lambda x: x.rlike(r"[^ \t\r\n\x00-\x1F]")), ","), F.lit("}"))
+    single = alone.groupBy("file").agg(object_.alias("text"), F.first("good").alias("good")).select("file", F.when(F.col("good"), whole_document(F.col("text"))).otherwise(whole_document(repair_json(F.col("text")))).alias("record"))
+    return listed.unionByName(single), whole.select("file")
 
 
 def robust_records(spark: SparkSession, path: str) -> DataFrame:
     """(file, record VARIANT) of files of JSON, broken JSON, or JSON lines; hopeless lines are skipped.
 
-    gzip files are read by their suffix.  A whole file is parsed first; only
-    files that don't parse as one document are cut into lines.
+    gzip files are read by their suffix.  Files that are no one document, even
+    repaired, are read by lines.
     """
-    raw = documents(spark, path)
-    whole = raw.withColumn("v", F.when(F.ltrim("value").rlike(r"^\s*[\[{]"), parsed(F.col("value"))))
-    good = whole.where("v IS NOT NULL").select("file", F.explode(_records(F.col("v"))).alias("record"))
-    lines = whole.where("v IS NULL").select("file", F.explode(F.split("value", r"\r?\n")).alias("line")).where(F.trim("line") != "")
-    return good.unionByName(lines.select("file", parsed(F.col("line")).alias("record")).where("record IS NOT NULL"))
+    good, files = _documents(spark, path, WRAPPER_KEYS, repair=True)
+    return good.unionByName(robust_lines(spark, path).join(files, "file", "left_anti").select("file", "record"))
 
 
 def robust_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -93,10 +125,9 @@ def robust_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def array_or_lines(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Typed records of a JSON array, an object, or JSON lines without repair; bad lines go."""
-    whole = documents(spark, path).withColumn("v", whole_document(F.col("value")))
-    good = whole.where("v IS NOT NULL").select(F.explode(F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))).alias("r"))
-    lines = whole.where("v IS NULL").select(F.explode(F.split("value", r"\r?\n")).alias("l")).select(whole_document(F.col("l")).alias("r")).where("r IS NOT NULL")
-    return good.unionByName(lines).select(F.from_json(F.to_json("r"), schema).alias("x")).select("x.*")
+    good, files = _documents(spark, path, (), repair=False)
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), whole_document(F.col("value")).alias("record")).where("record IS NOT NULL")
+    return typed(good.select("record").unionByName(lines.join(files, "file", "left_anti").select("record")), schema)
 
 
 def json_lines(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
@@ -109,14 +140,14 @@ def json_lines(spark: SparkSession, path: str, schema: StructType) -> tuple[Data
 
 def flattened_questions(spark: SparkSession, path: str) -> DataFrame:
     """Flat rows of either an export tree or a flat list; anything else raises."""
-    raw = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
-    shape = raw.select(F.max(F.try_variant_get("v", "$.videos", "array<variant>").isNotNull()), F.max(F.try_variant_get("v", "$", "array<variant>").isNotNull())).first()
-    if shape[0]:
-        return annotation_file(spark, path)
-    if not shape[1]:
+    found, files = parts(spark, path, ("videos",))
+    shape = files.agg(F.max(F.col("sound") & (F.col("top") == "[")), F.min(F.col("sound"))).first()
+    if not shape[1] or (not shape[0] and not found.where("key = 'videos'").limit(1).count()):
         raise ValueError("neither a tree with videos nor a list")
+    if not shape[0]:
+        return annotation_file(spark, path)
     fields = StructType([*LANGUAGE_QUERY.fields]).add("video_uid", "string")
-    return raw.select(F.explode(F.try_variant_get("v", "$", "array<variant>")).alias("r")).select(F.from_json(F.to_json("r"), fields).alias("x")).select("x.*")
+    return found.where("top = '['").where(F.trim("text") != "").select(F.from_json("text", fields).alias("x")).select("x.*")
 
 
 def uids(records: DataFrame, record: str = "record") -> DataFrame:

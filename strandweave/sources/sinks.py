@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import arrays as named
+
 
 def write_catalog(candidates: DataFrame, path: str, files: int | None = None) -> None:
     """Candidates clustered by entity and sorted inside files, so that their statistics prune; an atomic replacement."""
@@ -17,10 +19,6 @@ def write_bucketed(candidates: DataFrame, table: str, buckets: int) -> None:
     candidates.write.mode("overwrite").bucketBy(buckets, "video_uid").sortBy("video_uid", "cs").saveAsTable(table)
 
 
-def write_templates(links: DataFrame, path: str) -> None:
-    links.write.mode("overwrite").parquet(path)
-
-
 def append_ledger(used: DataFrame, path: str) -> None:
     """Usage marks are appended, never updated; a reset is an empty ledger."""
     used.select("id").write.mode("append").parquet(path)
@@ -43,6 +41,12 @@ def write_shards(sharded: DataFrame, path: str) -> None:
     sharded.repartition("shard").write.mode("overwrite").partitionBy("shard").json(path)
 
 
+def write_named_lines(rows: DataFrame, folder: str) -> None:
+    """Rows (out, line) as lines of the files that ``out`` names."""
+    named.register(rows.sparkSession)
+    rows.repartition("out").sortWithinPartitions("out", "line").select("out", "line").write.format("named_lines").mode("append").save(folder)
+
+
 def write_document(rows: DataFrame, path: str, key: str = "videos", most: int = 1_000_000) -> None:
     """One JSON object with all rows under ``key``: for results that one reader loads whole, so their number is bounded; write_json_lines() has no bound."""
     if rows.limit(most + 1).count() > most:

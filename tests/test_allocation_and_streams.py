@@ -1,6 +1,5 @@
 """Invariants of the allocator, and streams against their batch forms."""
 
-import shutil
 from itertools import combinations
 
 import pytest
@@ -77,6 +76,59 @@ def test_overrunning_events_do_not_end_the_rounds(spark):
     assert [r.event_id for r in got] == [12]
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_a_clip_finds_the_one_sibling_that_fits(spark, seed):
+    """199 siblings of a cell without events, and one with an event."""
+    rows = lambda table: spark.createDataFrame(table, "template string, bucket_lo double, ref_id bigint, d double, qs_rel double, d_rel double, clen double")
+    refs = rows([("a", 0.0, 0, 2.0, 0.0, 0.2, 10.0)] + [("none", 0.0, k, 2.0, 0.4, 0.2, 10.0) for k in range(1, 200)] + [("b", 0.0, 200, 2.0, 0.4, 0.2, 10.0)])
+    events = spark.createDataFrame([("a", 0.0, 1, 7, 50.0, 52.0), ("b", 0.0, 2, 7, 90.0, 93.0)], "template string, bucket_lo double, event_id bigint, video_uid bigint, cs double, ce double")
+    plan = spark.createDataFrame([("a", 0.0, 1)], "template string, bucket_lo double, target bigint")
+    got = allocate(refs, events, spark.createDataFrame([(7, 1000.0)], "video_uid bigint, max_ts double"), plan, seed=seed).collect()
+    assert sorted((r.event_id, r.role) for r in got) == [(1, "a"), (2, "f")]
+
+
+@pytest.mark.parametrize("block", [3, 256])
+def test_no_clip_under_ten_has_a_sibling_that_still_fits(spark, monkeypatch, block):
+    """Few events for many siblings, some of several templates; all claims are held against plain loops."""
+    import random
+    from strandweave.operators import allocate as module
+
+    monkeypatch.setattr(module, "FIRST_BLOCK", block)
+    rnd = random.Random(block)
+    refs = [(rnd.choice("abc"), 0.0, k, round(rnd.uniform(0.5, 3), 2), round(rnd.uniform(0, 0.8), 2), 0.0) for k in range(60)]
+    refs = [(t, b, k, d, s, d_rel := round(rnd.uniform(0.05, 0.2), 2), round(d / d_rel, 3)) for t, b, k, d, s, _ in refs]
+    events = [(t, 0.0, k, rnd.choice([7, 8, 9]), float(10 * k + 30), 10 * k + 30 + round(rnd.uniform(0.5, 4), 2)) for k in range(45) for t in rnd.sample("abc", rnd.choice([1, 1, 2]))]
+    got = allocate(
+        spark.createDataFrame(refs, "template string, bucket_lo double, ref_id bigint, d double, qs_rel double, d_rel double, clen double"), spark.createDataFrame(events, "template string, bucket_lo double, event_id bigint, video_uid bigint, cs double, ce double"),
+        spark.createDataFrame([(v, 2000.0) for v in (7, 8, 9)], "video_uid bigint, max_ts double"), spark.createDataFrame([(t, 0.0, 4) for t in "abc"], "template string, bucket_lo double, target bigint"),
+    ).toPandas()
+    assert len(got[got.role == "a"]) > 3 and len(got[got.role == "f"]) > 3 and got.event_id.is_unique
+    used = set(got.event_id)
+    for _, clip in got.groupby("clip_id"):
+        for a, b in combinations(clip.itertuples(), 2):
+            assert a.qe <= b.qs + 1e-3 or a.qs >= b.qe - 1e-3
+        if len(clip) >= 10:
+            continue
+        lo, hi, video = clip.clip_cs.iloc[0], clip.clip_ce.iloc[0], clip.video_uid.iloc[0]
+        for t, _, _, d, s, d_rel, clen in refs:
+            if abs(clen - (hi - lo)) > 10 - 1e-6:
+                continue
+            qs, qe = lo + s * (hi - lo), lo + (s + d_rel) * (hi - lo)
+            if qe - qs < 0.4 + 1e-6 or abs(qe - qs - d) > 0.15 * d - 1e-6 or qe > hi - 1e-6 or any(not (qe <= c.qs + 1e-3 or qs >= c.qe - 1e-3) for c in clip.itertuples()):
+                continue
+            own = clip[(abs(clip.qs - qs) < 1e-9) & (clip.role == "a")]
+            assert len(own) or not [e for e in events if e[0] == t and e[3] == video and e[2] not in used and e[5] - e[4] >= qe - qs], "a sibling still fits"
+
+
+def test_allocation_by_duration_alone(spark):
+    """geom_only: templates don't matter, and an event of several is one."""
+    refs = spark.createDataFrame([("x", 0.0, 1, 2.0, 0.1, 0.2, 10.0), ("y", 0.0, 2, 2.0, 0.6, 0.2, 10.0)], "template string, bucket_lo double, ref_id bigint, d double, qs_rel double, d_rel double, clen double")
+    events = spark.createDataFrame([("p", 0.0, 1, 7, 50.0, 53.0), ("q", 0.0, 1, 7, 50.0, 53.0), ("q", 0.0, 2, 7, 90.0, 93.0)], "template string, bucket_lo double, event_id bigint, video_uid bigint, cs double, ce double")
+    plan = spark.createDataFrame([("x", 0.0, 1), ("z", 0.0, 1)], "template string, bucket_lo double, target bigint")
+    got = allocate(refs, events, spark.createDataFrame([(7, 1000.0)], "video_uid bigint, max_ts double"), plan, geom_only=True).collect()
+    assert sorted(r.event_id for r in got) == [1, 2] and {r.template for r in got} == {""} and sorted(r.role for r in got) == ["a", "f"]
+
+
 def test_the_registered_allocation_has_the_full_target(spark, monkeypatch):
     monkeypatch.setattr(interval_queries, "allocation", lambda s, d, total=None: total)
     assert interval_queries.allocate(spark, FOLDER) == PlanConfig().final_target
@@ -109,16 +161,6 @@ def test_dedup_within_watermark(spark, tmp_path):
     assert _run(streams.first_of_key(_stream(spark, tmp_path, rows), ["v"], "ts"), "found_firsts").count() == 2
 
 
-def test_append_new_is_resumable(spark, tmp_path):
-    rows = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "k int, v string")
-    out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
-    for _ in range(2):
-        q = streams.append_new(_stream(spark, tmp_path, rows) if not (tmp_path / "in").exists() else streams.file_stream(spark, str(tmp_path / "in"), rows.schema), out, mark, ["k", "v"]).trigger(availableNow=True).start()
-        q.awaitTermination(120)
-        shutil.rmtree(mark)  # even a lost checkpoint adds nothing twice
-    assert spark.read.parquet(out).count() == 2
-
-
 def test_rolling_counts(spark, tmp_path):
     events = spark.read.parquet(f"{DATA}/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     got = _run(streams.rolling_counts(_stream(spark, tmp_path, events), "user_id", "ts"), "found_rolling")

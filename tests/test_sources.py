@@ -72,10 +72,10 @@ def test_shards_and_features(spark, tmp_path):
 
 def test_conversion(spark, tmp_path):
     put(tmp_path / "x.jsonl", '{"a":1}\nbad\n\n{"a":2}\n')
-    out = files.convert_folder(spark, str(tmp_path), out_folder=str(tmp_path / "out"))
-    written = "\n".join(r.value for r in spark.read.text(out[0]).collect())
-    assert json.loads(written) == [{"a": 1}, {"a": 2}]
-    assert [tuple(r) for r in files.convert_lines(spark, str(tmp_path / "x.jsonl"), out[0]).collect()] == [(2, "bad")]
+    written, bad = files.convert_folder(spark, str(tmp_path), out_folder=str(tmp_path / "out"))
+    assert [r.out for r in written.collect()] == [f"{tmp_path}/out/x_converted.json"]
+    assert json.loads((tmp_path / "out" / "x_converted.json").read_text()) == [{"a": 1}, {"a": 2}]
+    assert [(r.line_no, r.line) for r in bad.collect()] == [(2, "bad")]
 
 
 def test_sinks(spark, tmp_path):
