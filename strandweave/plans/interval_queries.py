@@ -10,6 +10,7 @@ from ..config import PlanConfig
 from ..functions import intervals as iv
 from ..operators import joins, windows
 from ..operators.generation import rows_around
+from ..operators.materialise import checkpoint
 from ..sources.tables import narrations, table
 from .base import N, bucket_sql, high_sql, query
 
@@ -343,6 +344,21 @@ def allocate(spark: SparkSession, d: str) -> DataFrame:
     return allocation(spark, d, PlanConfig().final_target)
 
 
+@query("SELECT DISTINCT user_id AS video_uid, 0::BIGINT AS n_overlaps, 0::BIGINT AS n_outside, 0::BIGINT AS n_repeated, 0::BIGINT AS n_too_short, 0::BIGINT AS n_full_beyond_ten FROM events")
+def allocate_faults(spark: SparkSession, d: str) -> DataFrame:
+    """What an allocation must not have, counted by video: overlaps in a clip, queries outside of it, events used twice or shorter than their query, more than ten queries."""
+    placed = checkpoint(allocation(spark, d))
+    n = narrations(spark, d)
+    own = placed.join(n.select(F.col("narration_uid").alias("event_id"), "d"), "event_id")
+    in_clip = Window.partitionBy("clip_id").orderBy("qs", "qe", "event_id")
+    own = own.withColumn("before", F.max("qe").over(in_clip.rowsBetween(Window.unboundedPreceding, -1))).withColumn("nth", F.row_number().over(in_clip)).withColumn("use", F.row_number().over(Window.partitionBy("event_id").orderBy("clip_id")))
+    count = lambda fault, name: F.count(F.when(fault, 1)).alias(name)
+    outside = (F.col("qs") < F.col("clip_cs") - 1e-3) | (F.col("qe") > F.col("clip_ce") + 1e-3) | (F.col("clip_cs") < 0)
+    found = own.groupBy("video_uid").agg(count(F.col("before") > F.col("qs") + 1e-3, "n_overlaps"), count(outside, "n_outside"), count(F.col("use") > 1, "n_repeated"), count(F.col("qe") - F.col("qs") > F.col("d") + 1e-6, "n_too_short"), count(F.col("nth") > 10, "n_full_beyond_ten"))
+    every = n.select("video_uid").distinct().join(found, "video_uid", "left")
+    return every.select("video_uid", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in found.columns[1:]])
+
+
 @query("""SELECT e.user_id AS video_uid, count(*) AS n FROM events e WHERE NOT EXISTS (SELECT 1 FROM events k WHERE k.event_id % 3 = 0 AND k.user_id = e.user_id AND k.event_type = e.event_type AND k.value IS NOT DISTINCT FROM e.value AND k.ts = e.ts) GROUP BY e.user_id""")
 def resume_anti(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events")
