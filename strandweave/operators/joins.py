@@ -99,8 +99,10 @@ def containment_counts(intervals: DataFrame, split: float = 10.0, cell: float |
     """
     cell = max(cell or split, split)
     length = F.col("ce") - F.col("cs")
-    short = intervals.where(length < split).select("video_uid", F.floor(F.col("cs") / cell).alias("cell"), F.col("cs").cast("double").alias("a"), F.col("ce").cast("double").alias("b"))
-    long_ = intervals.where(length >= split).select("id", "video_uid", F.col("cs").cast("double").alias("a"), F.col("ce").cast("double").alias("b"), F.floor(F.col("cs") / cell).alias("first"), F.floor(F.col("ce") / cell).alias("last"))
+    intervals = checkpoint(intervals)  # what made them is not run again for each use
+    own = intervals.select("id", "video_uid", "cs", "ce")
+    short = own.where(length < split).select("video_uid", F.floor(F.col("cs") / cell).alias("cell"), F.col("cs").cast("double").alias("a"), F.col("ce").cast("double").alias("b"))
+    long_ = own.where(length >= split).select("id", "video_uid", F.col("cs").cast("double").alias("a"), F.col("ce").cast("double").alias("b"), F.floor(F.col("cs") / cell).alias("first"), F.floor(F.col("ce") / cell).alias("last"))
     counts = checkpoint(short.groupBy("video_uid", "cell").agg(F.count("*").alias("n")))
     # members in cells after the first and two or more before the last lie inside
     wanted = long_.where("last - 2 > first").select("video_uid", F.explode(F.array("first", F.col("last") - 2)).alias("cell")).distinct()
