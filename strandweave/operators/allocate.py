@@ -185,6 +185,8 @@ def allocate(references: DataFrame, events: DataFrame, video_end: DataFrame, pla
         ))
         # every anchor is placed; an event whose clip overruns is not tried again
         ledger = _checkpoint(ledger.union(tried.select("event_id")))
+        if not anchors.limit(1).count():
+            continue
         fills, ledger = _filled(anchors, siblings, lengths, free, ledger, config, seed)
         new = anchors.select(*placed.columns)
         placed = _checkpoint(placed.unionByName(new if fills is None else new.unionByName(fills.select(*placed.columns))))
