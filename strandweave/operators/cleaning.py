@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import math
+import sys
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, FloatType, StringType, StructType
@@ -34,6 +39,48 @@ def sanitized_rows(rows: DataFrame) -> DataFrame:
     return rows.select(*[sanitized(F.col(f.name), f.dataType).alias(f.name) for f in rows.schema.fields])
 
 
+#: Calls that a worker may nest: JSON is parsed to a depth of 1,000.
+DEPTH = 5000
+
+
+def _sanitized_value(value: object) -> object:
+    if isinstance(value, bool):
+        return None
+    if isinstance(value, str):
+        return value.strip() or None
+    if isinstance(value, float):
+        return value if math.isfinite(value) else None
+    if isinstance(value, list):
+        return [x for x in map(_sanitized_value, value) if x is not None]
+    if isinstance(value, dict):
+        return {k: x for k, v in value.items() if (x := _sanitized_value(v)) is not None}
+    return value
+
+
+@F.pandas_udf(StringType())
+def _sanitized_texts(texts: pd.Series) -> pd.Series:
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), DEPTH))
+    cleaned_ = (None if t is None else _sanitized_value(json.loads(t)) for t in texts)
+    return pd.Series([None if x is None else json.dumps(x, ensure_ascii=False) for x in cleaned_], dtype=object)
+
+
+def sanitized_records(records: DataFrame, record: str = "record") -> DataFrame:
+    """sanitized() for VARIANT records of any shape and depth, without a schema or an exchange.
+
+    Nulls leave lists and objects, whose emptied forms stay; a record that is
+    null, blank or a truth value becomes null.  Whole numbers stay exact, others
+    are doubles.  Other columns are kept.
+    """
+    text = _sanitized_texts(F.to_json(record))
+    return records.withColumn(record, F.parse_json(text))
+
+
+def record_profile(records: DataFrame, record: str = "record") -> DataFrame:
+    """(field, n, n_null): how many VARIANT records have a top-level field, and have it null; records that are no objects have no fields."""
+    fields = records.select(record).lateralJoin(records.sparkSession.tvf.variant_explode(F.col(record).outer())).where("key IS NOT NULL")
+    return fields.groupBy(F.col("key").alias("field")).agg(F.count("*").alias("n"), F.sum(F.is_variant_null("value").cast("long")).alias("n_null"))
+
+
 def record_reason(rows: DataFrame, config: CleanConfig = CleanConfig()) -> Column:
     """The first failure of a flat record, in a fixed order, else ``ok``.  A null field is a missing one, as sanitising drops nulls."""
     there = set(rows.columns)

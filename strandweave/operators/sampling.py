@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import MergeConfig
+from ..functions.intervals import bucket_lo
 
 
 def order_key(*parts: Column | str, seed: int = MergeConfig().seed) -> Column:
@@ -54,6 +55,17 @@ def at_most(rows: DataFrame, n: int, by: list[str], key: list[str], seed: int =
     return few.withColumn("rank_", rank).where(F.col("rank_") <= n).drop("rank_", "h_")
 
 
+#: What a candidate of a pool is longer than.
+LEAST_LENGTH = 1e-9
+
+
+def candidate_pool(rows: DataFrame, start: str, end: str, template: str = "template") -> DataFrame:
+    """Adds d and bucket_lo to the rows that a cell can draw from: those with numbers as ends, some length, and a template."""
+    ends = [F.col(c).try_cast("double") for c in (start, end)]
+    timed = rows.withColumn("d", ends[1] - ends[0]).where((F.col("d") > LEAST_LENGTH) & ~F.isnan("d") & (F.col(template) != ""))
+    return timed.withColumn("bucket_lo", bucket_lo(F.col("d")))
+
+
 def quota_sample(pool: DataFrame, plan: DataFrame, cell: list[str], key: list[str], seed: int = MergeConfig().seed) -> DataFrame:
     """Exactly ``target`` rows of every cell that has any.
 

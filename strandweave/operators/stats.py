@@ -29,20 +29,42 @@ def bucket_histogram(rows: DataFrame, template: str | None = None) -> DataFrame:
     return every.join(counts, [*by, "bucket_lo"], "left").select(*by, "bucket_lo", "bucket_hi", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def ks_statistic(rows: DataFrame, value: str, is_first: str, by: list[str] | None = None, least: int = 1) -> DataFrame:
-    """(by, ks, n_first, n_second): the largest gap of the two samples' distribution functions.
+def distribution_pairs(rows: DataFrame, value: str, is_first: str, by: list[str] | None = None) -> DataFrame:
+    """(by, value, cdf_first, cdf_second, n_first, n_second): both samples' distribution functions at every value of either.
 
-    Values are counted first, so the running sums go over distinct values.
+    Values are counted first, so the running sums go over distinct values.  An
+    empty sample has no function.
     """
     by = by or []
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.sum(F.col(is_first).cast("long")).alias("a"), F.sum((~F.col(is_first)).cast("long")).alias("b"))
     run = running_sums(counts, ["a", "b"], [value], by)
-    steps = run.select(*by, F.col("run_a").alias("ca"), F.col("run_b").alias("cb"), F.col("all_a").alias("na"), F.col("all_b").alias("nb"))
-    gap = F.abs(F.col("ca") / F.nullif("na", F.lit(0)) - F.col("cb") / F.nullif("nb", F.lit(0)))
-    found = steps.groupBy(*by, F.col("na").alias("n_first"), F.col("nb").alias("n_second")).agg(F.max(gap).alias("ks"))
+    return run.select(*by, value, (F.col("run_a") / F.nullif("all_a", F.lit(0))).alias("cdf_first"), (F.col("run_b") / F.nullif("all_b", F.lit(0))).alias("cdf_second"), F.col("all_a").alias("n_first"), F.col("all_b").alias("n_second"))
+
+
+def ks_statistic(rows: DataFrame, value: str, is_first: str, by: list[str] | None = None, least: int = 1) -> DataFrame:
+    """(by, ks, n_first, n_second): the largest gap of the two samples' distribution functions."""
+    gap = F.abs(F.col("cdf_first") - F.col("cdf_second"))
+    found = distribution_pairs(rows, value, is_first, by).groupBy(*(by or []), "n_first", "n_second").agg(F.max(gap).alias("ks"))
     return found.withColumn("ks", F.when((F.col("n_first") >= least) & (F.col("n_second") >= least), F.col("ks")))
 
 
+def share_pairs(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, share_first, share_second): counts n of two samples as shares of each, over the keys of either; an empty sample's are 0."""
+    both = aligned(first.withColumnRenamed("n", "a"), second.withColumnRenamed("n", "b"), keys, "a", "b")
+    total = both.agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"))
+    return both.join(F.broadcast(total)).select(*keys, *[F.coalesce(F.col(n) / F.nullif(s, F.lit(0)), F.lit(0.0)).alias(f"share_{c}") for n, s, c in (("a", "sa", "first"), ("b", "sb", "second"))])
+
+
+def heatmaps(first: DataFrame, second: DataFrame, template: str) -> DataFrame:
+    """(template, bucket_lo, bucket_hi, share_first, share_second): two joint distributions on one grid, every bucket of every template of either."""
+    return share_pairs(bucket_histogram(first, template), bucket_histogram(second, template), [template, "bucket_lo", "bucket_hi"])
+
+
+def rebuilt_chi_square(first: DataFrame, second: DataFrame, keys: list[str], n_first: int, n_second: int) -> DataFrame:
+    """chi_square() of counts that are rebuilt, rounded, from two samples' (keys, share) and sizes."""
+    return chi_square(rebuilt_counts(first, keys, "share", n_first), rebuilt_counts(second, keys, "share", n_second), keys)
+
+
 def chi_square(observed: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
     """(chi2, dof, n_empty): expected counts scaled to the observed mass; cells that expect nothing are counted, not divided by."""
     both = aligned(observed.withColumnRenamed("n", "o"), expected.withColumnRenamed("n", "e"), keys, "o", "e")

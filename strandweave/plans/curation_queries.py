@@ -265,6 +265,33 @@ def shard_assign(spark: SparkSession, d: str) -> DataFrame:
     return cleaning.sharded(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]).select("l_orderkey", "l_linenumber", "shard")
 
 
+_SHAPES = """s AS (SELECT event_id AS id, user_id AS u, event_type AS t FROM events)"""
+
+
+def _shapes(spark: SparkSession, d: str) -> DataFrame:
+    """(id, record VARIANT) of four shapes: a nested object, a list, an object with empty fields, a bare text."""
+    from ..sources.json_files import parsed
+
+    name, number, user = F.to_json(F.struct(F.concat(F.lit("\t "), "event_type", F.lit("  ")).alias("a"))), F.col("event_id"), F.col("user_id")
+    name = F.regexp_extract(name, r":(.*)\}", 1)
+    text = (
+        F.when(number % 4 == 0, F.format_string('{"a": %s, "b": [1, null, " ", "x ", true, [false, {"n": null}]], "c": {"d": null, "e": {"f": "", "g": %d, "h": NaN}}, "k": %d}', name, user, number))
+        .when(number % 4 == 1, F.format_string('[%d, %s, null, {"z": "  "}, []]', number, name)).when(number % 4 == 2, F.format_string('{"a": "   ", "flag": true, "k": %d, "n": null}', number)).otherwise(name)
+    )
+    return table(spark, d, "events").select(number.alias("id"), parsed(text).alias("record"))
+
+
+@query(f"""WITH {_SHAPES} SELECT id, CASE id % 4 WHEN 0 THEN '{{"a":"' || t || '","b":[1,"x",[{{}}]],"c":{{"e":{{"g":' || u || '}}}},"k":' || id || '}}' WHEN 1 THEN '[' || id || ',"' || t || '",{{}},[]]' WHEN 2 THEN '{{"k":' || id || '}}' ELSE '"' || t || '"' END AS record FROM s""")
+def sanitize_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records of unknown shape, sanitised at every depth."""
+    return cleaning.sanitized_records(_shapes(spark, d)).select("id", F.to_json("record").alias("record"))
+
+
+@query(f"""WITH {_SHAPES}, f AS (SELECT unnest(CASE id % 4 WHEN 0 THEN ['a', 'b', 'c', 'k'] WHEN 2 THEN ['a', 'flag', 'k', 'n'] ELSE [] END) AS field FROM s) SELECT field, count(*) AS n, count(*) FILTER (field = 'n') AS n_null FROM f GROUP BY field""")
+def record_profile(spark: SparkSession, d: str) -> DataFrame:
+    return cleaning.record_profile(_shapes(spark, d))
+
+
 # ---- plans and samples
 
 _CELLS = f"{N}, b AS (SELECT uid, template, d, {B('d')} AS bucket_lo FROM n WHERE d IS NOT NULL), j AS (SELECT template, bucket_lo, count(*) AS n FROM b GROUP BY template, bucket_lo)"
@@ -313,6 +340,14 @@ def _pool(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return pool, plan
 
 
+@query(f"WITH {N}, c AS (SELECT template, t + CASE WHEN uid % 5 = 0 THEN 0 ELSE d END - t AS len FROM n WHERE template <> 'click') SELECT template, {B('len')} AS bucket_lo, count(*) AS n FROM c WHERE len > 1e-9 GROUP BY ALL")
+def candidate_pool(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates by cell; a fifth has no length, and one event type no template."""
+    end = F.col("timestamp_sec") + F.when(F.col("narration_uid") % 5 == 0, F.lit(0.0)).otherwise(F.col("d"))
+    rows = narrations(spark, d).withColumn("end", end).withColumn("template", F.when(F.col("template") != "click", F.col("template")).otherwise(F.lit("")))
+    return sampling.candidate_pool(rows, "timestamp_sec", "end").groupBy("template", "bucket_lo").agg(F.count("*").alias("n"))
+
+
 @query(f"""WITH {_POOL}, r AS (SELECT *, row_number() OVER (PARTITION BY template, bucket_lo ORDER BY h, uid) AS rk, count(*) OVER (PARTITION BY template, bucket_lo) AS size FROM o),
 g AS (SELECT DISTINCT template, bucket_lo, size, target, unnest(range(1, greatest(target - size, 0) + 1)) AS draw FROM r JOIN t USING (template, bucket_lo)),
 k AS (SELECT *, ('0x' || substr(md5('42|' || template || '|' || bucket_lo || '|' || draw), 1, 8))::BIGINT % size + 1 AS rk FROM g)
@@ -442,6 +477,41 @@ def ks_stat(spark: SparkSession, d: str) -> DataFrame:
     return stats.ks_statistic(rows, "d", "even", ["bucket_lo"], 5).withColumn("ks", F.round("ks", 9))
 
 
+_CDF = "c AS (SELECT bucket_lo, d, count(*) FILTER (uid % 2 = 0) AS a, count(*) FILTER (uid % 2 = 1) AS z FROM b GROUP BY bucket_lo, d)"
+
+
+@query(f"""WITH {_CELLS}, {_CDF} SELECT bucket_lo, d, round(sum(a) OVER w / nullif(sum(a) OVER (PARTITION BY bucket_lo), 0), 9) AS cdf_first, round(sum(z) OVER w / nullif(sum(z) OVER (PARTITION BY bucket_lo), 0), 9) AS cdf_second,
+(sum(a) OVER (PARTITION BY bucket_lo))::BIGINT AS n_first, (sum(z) OVER (PARTITION BY bucket_lo))::BIGINT AS n_second FROM c WINDOW w AS (PARTITION BY bucket_lo ORDER BY d)""")
+def cdf_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The curves behind ks_stat, value by value."""
+    found = stats.distribution_pairs(_cells(spark, d).withColumn("even", F.col("narration_uid") % 2 == 0), "d", "even", ["bucket_lo"])
+    return found.withColumns({c: F.round(c, 9) for c in ("cdf_first", "cdf_second")})
+
+
+@query(f"""WITH {_CELLS}, x AS (SELECT * FROM b WHERE uid % 2 = 0 AND d < 20), y AS (SELECT * FROM b WHERE uid % 3 = 1 AND d > 3 AND template <> 'click'), e AS (SELECT DISTINCT template FROM x UNION SELECT template FROM y),
+g AS (SELECT template, unnest([0, 2, 4, 8, 16, 32])::DOUBLE AS bucket_lo FROM e)
+SELECT g.template, g.bucket_lo, {high_sql('g.bucket_lo')} AS bucket_hi, round((SELECT count(*) FROM x WHERE x.template = g.template AND x.bucket_lo = g.bucket_lo) / (SELECT count(*) FROM x), 9) AS share_first, round((SELECT count(*) FROM y WHERE y.template = g.template AND y.bucket_lo = g.bucket_lo) / (SELECT count(*) FROM y), 9) AS share_second FROM g""")
+def heatmaps(spark: SparkSession, d: str) -> DataFrame:
+    cells = _cells(spark, d)
+    found = stats.heatmaps(cells.where("narration_uid % 2 = 0 AND d < 20"), cells.where("narration_uid % 3 = 1 AND d > 3 AND template <> 'click'"), "template")
+    return found.withColumns({c: F.round(c, 9) for c in ("share_first", "share_second")})
+
+
+@query(f"WITH {_TWO} SELECT bucket_lo, template, round(a / sum(a) OVER (), 9) AS share_first, round(z / sum(z) OVER (), 9) AS share_second FROM f")
+def share_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Two samples' shares of every cell, as bars side by side show them."""
+    found = stats.share_pairs(*_two(spark, d), ["bucket_lo", "template"])
+    return found.withColumns({c: F.round(c, 9) for c in ("share_first", "share_second")})
+
+
+@query(f"""WITH {_TWO}, r AS (SELECT bucket_lo, template, round_even(a / sum(a) OVER () * 777, 0) AS a, round_even(z / sum(z) OVER () * 555, 0) AS z FROM f),
+s AS (SELECT *, z * (sum(a) OVER ())::DOUBLE / (sum(z) OVER ())::DOUBLE AS e FROM r) SELECT round(sum(CASE WHEN e > 0 THEN (a - e) ** 2 / e END), 6) AS chi2, count(*) - 1 AS dof, count(*) FILTER (e = 0) AS n_empty FROM s""")
+def rebuilt_chi2(spark: SparkSession, d: str) -> DataFrame:
+    both = stats.share_pairs(*_two(spark, d), ["bucket_lo", "template"])
+    first, second = (both.withColumn("share", F.col(c)) for c in ("share_first", "share_second"))
+    return stats.rebuilt_chi_square(first, second, ["bucket_lo", "template"], 777, 555).withColumn("chi2", F.round("chi2", 6))
+
+
 @query("""WITH s AS (SELECT count(*) AS n, quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.75) AS q75, min(value) AS lo, max(value) AS hi FROM events WHERE value IS NOT NULL), w AS (SELECT *, 2 * (q75 - q25) / cbrt(n) AS width FROM s)
 SELECT n, round(q25, 9) AS q25, round(q75, 9) AS q75, round(width, 9) AS width, least(greatest(CASE WHEN width > 0 THEN ceil((hi - lo) / width) ELSE 10 END, 10), 200)::BIGINT AS bins FROM w""")
 def fd_bins(spark: SparkSession, d: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.intervals import bucket_lo
 from ..operators.materialise import scratch
 from ..schemas import QUESTION
-from ..sources import files, json_files, json_scan, matrices, sinks
+from ..sources import exports, files, json_files, json_scan, matrices, sinks
 from ..sources.batches import Batches, append_catalog
 from ..sources.tables import hours, narrations, table
 from ..streaming import appends, streams
@@ -275,6 +275,22 @@ def write_documents(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("videos ARRAY<STRUCT<k BIGINT, p STRING>>").json(path).select(F.inline("videos"))
 
 
+_ASKED = "m AS (SELECT user_id::VARCHAR AS video_uid, floor(value / 50) AS lo, value AS s, event_type AS template, CASE WHEN event_id % 7 = 0 THEN '  ' ELSE ' what ' || event_type || '? ' END AS query FROM events WHERE value IS NOT NULL)"
+
+
+@query(f"WITH {_ASKED} SELECT video_uid, lo AS clip_lo, lo + 8 AS clip_hi, template, trim(query) AS query, s, s + 1 AS e FROM m WHERE trim(query) <> ''")
+def write_nested(spark: SparkSession, d: str) -> DataFrame:
+    """The nested document written in parts, joined to one file and read back; a seventh of the questions is blank."""
+    e, low = table(spark, d, "events").where("value IS NOT NULL"), F.floor(F.col("value") / 50).cast("double")
+    text = F.when(F.col("event_id") % 7 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" what "), "event_type", F.lit("? ")))
+    rows = e.select(F.col("event_id").alias("arrival"), F.col("user_id").cast("string").alias("video_uid"), low.alias("clip_start_sec"), (low + 8).alias("clip_end_sec"), F.col("value").alias("video_start_sec"), (F.col("value") + 1).alias("video_end_sec"), F.col("event_type").alias("template"), text.alias("query"))
+    folder, out = scratch(spark, "nested"), f"{scratch(spark, 'joined')}/nested.json"
+    exports.write_tree(rows, folder, "arrival")
+    exports.join_parts(spark, folder, out)
+    found = json_files.annotation_file(spark, out)
+    return found.select("video_uid", "clip_lo", "clip_hi", "template", "query", F.col("video_start_sec").alias("s"), F.col("video_end_sec").alias("e"))
+
+
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer")
 def write_audit(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark, "audit")
