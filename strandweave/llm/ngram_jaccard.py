@@ -12,8 +12,10 @@ classes.
    parts are equal: a set emits a hash for every two parts of a bundle that are
    not both empty.  A set in which more than ``spare`` bundles have two empty
    parts emits the hashes of another cut as well, and so on; where two sets
-   link, the first cut that suits one of them gives both an equal hash.  Hashes
-   travel as packed arrays, one row per task, flush and hash range.
+   link, the first cut that suits one of them gives both an equal hash.  Spare
+   bundles are raised where too few cuts would suit a level's smallest sets.
+   Where no number does (thresholds below 0.73 or so), each shingle of the
+   level's sets is a hash; a set that no cut suits is an error.  Hashes travel as packed arrays, one row per task, flush and hash range.
 3. *Meetings.*  Classes with an equal hash meet in a list; equal lists are one.
    Every member meets the list's pivot, the member that shares most.  First each
    class is held against the pivot with which it shares most hashes, then
@@ -39,6 +41,7 @@ are taken whole.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,7 +59,10 @@ TILE = 2048
 BUCKET_HASHES = 1 << 20
 FLUSH_HASHES = 1 << 19
 LARGEST_SET = 1 << 40
-CUTS = 24
+#: Cuts that a set tries; the share of cuts that must suit a level's smallest sets, and that which further spare bundles are to give.
+CUTS, LEAST_FIT, FIT = 400, 0.1, 0.5
+#: Throws that estimate the share, for sets of up to so many shingles; beyond, parts fill as a normal law has it.
+THROWS, THROWN = 200, 512
 MOST_BITS = 1 << 16
 _PART = np.uint64(0x9FB21C651E98DF25)
 _LEVEL = np.uint64(0xC13FA9A902A6328F)
@@ -96,6 +102,21 @@ def set_hash(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return tk.mix(total[offsets[1:]] - total[offsets[:-1]] + np.diff(offsets).astype(np.uint64) * _COUNT)
 
 
+def fitting(n: int, bundles: int, spare: int) -> float:
+    """The share of cuts into so many bundles that leave a set of ``n`` at most ``spare`` bundles with two empty parts."""
+    if n < 2 * (bundles - spare):
+        return 0.0
+    if n > THROWN:
+        empty = (1 - 1 / (3 * bundles)) ** n
+        bad = 3 * empty**2 * (1 - empty) + empty**3
+        width = math.sqrt(2 * bundles * bad * (1 - bad))
+        return 0.5 * (1 + math.erf((spare + 0.5 - bundles * bad) / max(width, 1e-9)))
+    filled = np.zeros((THROWS, 3 * bundles), bool)
+    filled[np.arange(THROWS)[:, None], np.random.default_rng(n).integers(0, 3 * bundles, (THROWS, n))] = True
+    bad = (filled.reshape(THROWS, bundles, 3).sum(-1) < 2).sum(-1)
+    return float((bad <= spare).mean())
+
+
 class Bands:
     """Size bands for the threshold p / q, and the bundles of each level."""
 
@@ -107,6 +128,14 @@ class Bands:
         self.lows = np.array(lows, np.int64)
         self.differences = (self.lows[1:] - 1) * (q - p) // p
         self.spare = np.where(self.differences > 1, 1 + self.differences // 24, 0)
+        self.plain = np.zeros(len(self.differences), bool)
+        for level in np.flatnonzero(self.differences):
+            low, d, spare = lows[level], int(self.differences[level]), int(self.spare[level])
+            least = LEAST_FIT
+            while fitting(low, d // 2 + 1 + spare, spare) < least and not self.plain[level]:
+                spare, least = spare + 1 + spare // 8, FIT
+                self.plain[level] = spare > 2 * d
+            self.spare[level] = spare
         self.bundles = self.differences // 2 + 1 + self.spare
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
@@ -120,7 +149,11 @@ class Bands:
             level = self.of(np.maximum(sizes, 1)) - down
             use = (sizes > 0) & (level >= 0)
             use &= self.differences[np.maximum(level, 0)] > 0  # else only equal sets can link
-            mine = np.flatnonzero(use)
+            plain = use & self.plain[np.maximum(level, 0)]
+            for number in np.flatnonzero(plain).tolist():
+                hashes.append(tk.mix(sets[offsets[number]:offsets[number + 1]] ^ tk.mix(level[number:number + 1].astype(np.uint64) + _LEVEL)))
+                owners.append(np.full(int(sizes[number]), number))
+            mine = np.flatnonzero(use & ~plain)
             for cut in range(CUTS):
                 if not len(mine):
                     break
@@ -128,6 +161,8 @@ class Bands:
                 hashes.append(found)
                 owners.append(own)
                 mine = unfit
+            if len(mine):
+                raise RuntimeError(f"{len(mine)} sets suit none of {CUTS} cuts")
         return np.concatenate(hashes), np.concatenate(owners)
 
     def _cut(self, sets: np.ndarray, offsets: np.ndarray, mine: np.ndarray, level: np.ndarray, cut: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -68,18 +68,19 @@ def test_components_of_odd_tables(spark):
     assert {tuple(r) for r in ngram_jaccard.components(named, id_col="id", text_col="body").collect()} == {("a", 3, "a"), ("b", 3, "a")}
 
 
-def test_part_hashes_lose_no_link():
+@pytest.mark.parametrize("p, q, least, most", [(85, 100, 4, 120), (4, 5, 1, 60), (3, 4, 2, 120), (3, 4, 300, 500), (7, 10, 1, 120), (1, 2, 1, 60), (3, 10, 1, 30)])
+def test_part_hashes_lose_no_link(p, q, least, most):
     import numpy as np
 
     rng = random.Random(1)
-    bands = ngram_jaccard.Bands(85, 100)
-    for _ in range(600):
-        pool = [rng.randrange(1 << 62) for _ in range(150)]
-        a = set(pool[:rng.randrange(4, 120)])
+    bands = ngram_jaccard.Bands(p, q)
+    for _ in range(600 if most < 300 else 60):
+        pool = [rng.randrange(1 << 64) for _ in range(most + 30)]
+        a = set(pool[:rng.randrange(least, most)])
         b = set(a)
-        for _ in range(rng.randrange(20)):
+        for _ in range(rng.randrange(20 if most < 300 else 130)):
             last = b - {rng.choice(sorted(b))} if rng.random() < 0.5 else b | {rng.choice(pool)}
-            if 100 * len(a & last) < 85 * len(a | last):
+            if q * len(a & last) < p * len(a | last):
                 break
             b = last
         hashes = [set(bands.part_hashes(np.array(sorted(s), np.uint64), np.array([0, len(s)]))[0].tolist()) for s in (a, b)]
@@ -110,6 +111,26 @@ def test_components_of_boilerplate_and_near_misses(spark):
         assert sorted(map(tuple, ngram_jaccard.components(rows, n, p, q, tile=5).collect())) == groups(docs, n, p, q)
 
 
+@pytest.mark.parametrize("p, q", [(3, 4), (1, 2)])
+def test_components_at_low_thresholds(spark, corpus, p, q):
+    """Where cuts need more spare bundles, and where shingles meet one by one; tiny sets too."""
+    rng = random.Random(4)
+    docs = corpus[:60] + [(1000 + k, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 6)))) for k in range(60)]
+    base = [f"b{k}" for k in range(260)]
+    docs += [(2000 + k, " ".join(w if rng.random() > 0.05 + k / 150 else f"x{rng.randrange(99)}" for w in base)) for k in range(12)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, ngram_jaccard.components(rows, 1, p, q).collect())) == groups(docs, 1, p, q)
+
+
+def test_a_set_that_no_cut_suits_is_an_error():
+    import numpy as np
+
+    bands = ngram_jaccard.Bands(4, 5)
+    bands.spare = bands.spare - 100
+    with pytest.raises(RuntimeError, match="suit none"):
+        bands.part_hashes(np.arange(1, 31, dtype=np.uint64) << np.uint64(50), np.array([0, 30]))
+
+
 def test_connected_components(spark):
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, 200), (200, 300), (5, 5)]
     got = shared.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
