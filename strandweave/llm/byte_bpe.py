@@ -41,7 +41,9 @@ N_CLASSES = 8
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHER, IN_SPACE, AFTER_BLANK, ONE_MORE, TWO_MORE = range(8)
 N_STATES = 8
 #: Bytes of slices and their ids that a worker keeps, with an entry's overhead.
-CACHE_BYTES, ENTRY_BYTES = 80 << 20, 180
+CACHE_BYTES, ENTRY_BYTES = 32 << 20, 180
+#: Text bytes that are encoded at once: the slices of a block are Python objects, many times its size.
+BLOCK_BYTES = 1 << 19
 LONG_PIECE = 200
 NO_RANK = np.int32(2**31 - 1)
 
@@ -336,7 +338,7 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path)
-        for block in tk.blocks(batches):
+        for block in tk.blocks(batches, size=BLOCK_BYTES):
             ids, at, tokens, offsets = own.encode_block(block.column(1))
             inside = at - offsets[tk.value_index(tokens)]
             bounds = pa.array(tokens, pa.int32())
@@ -369,7 +371,7 @@ def round_trip(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path)
-        for block in tk.blocks(batches):
+        for block in tk.blocks(batches, size=BLOCK_BYTES):
             ids, _, tokens, _ = own.encode_block(block.column(1))
             packed, edges = ids.astype("<u4").tobytes(), tokens.tolist()
             decoded = own.decode_block(ids)

@@ -57,7 +57,9 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BL
 
 
 def trim() -> None:
-    """Give freed memory back: workers live on beside the next stage's."""
+    """Give freed memory and the tables of powers back: workers live on beside the next stage's."""
+    for k, have in enumerate(_powers):
+        _powers[k] = have[:1].copy()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import tracemalloc
 
 import pyarrow as pa
 import pytest
@@ -39,6 +40,31 @@ def test_words_and_hashes_do_not_depend_on_the_block():
         assert (text_kernels.hash_spans(own_data, a, b) == hashes[words[i]:words[i + 1]]).all()
 
 
+def test_trim_gives_tables_back_and_hashes_stay():
+    data, starts, ends, _ = text_kernels.words_of(pa.array(["some words of a text " * 5000]))
+    before = text_kernels.hash_spans(data, starts, ends)
+    assert sum(p.nbytes for p in text_kernels._powers) > len(data)
+    text_kernels.trim()
+    assert sum(p.nbytes for p in text_kernels._powers) <= 16
+    assert (text_kernels.hash_spans(data, starts, ends) == before).all()
+
+
+def test_memory_of_encoding_does_not_follow_the_batch(encoding):
+    rnd = random.Random(3)
+    texts = [" ".join(f"w{rnd.randrange(3000)}" for _ in range(400)) for _ in range(1500)]
+    batch = pa.RecordBatch.from_pydict({"key": list(range(len(texts))), "text": texts})
+    own = byte_bpe.Codec(ranks_path())
+    got = []
+    tracemalloc.start()
+    for block in text_kernels.blocks(iter([batch]), size=byte_bpe.BLOCK_BYTES):
+        ids, _, tokens, _ = own.encode_block(block.column(1))
+        got += [ids[a:b].astype("<u2") for a, b in zip(tokens, tokens[1:])]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [x.tolist() for x in got[:20]] == [encoding.encode_ordinary(t) for t in texts[:20]]
+    assert batch.nbytes > 3 << 20 and peak < 100 << 20
+
+
 def plain_rules(t):
     t = t or ""
     words = re.findall(SPACE, t)
