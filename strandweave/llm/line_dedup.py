@@ -48,15 +48,19 @@ CHUNK = 500
 BLANKS = "\t\u000b\f\r"
 
 
-def _shingles(line: Column, k: int) -> Column:
-    """Hashes of the k-word shingles of a line, distinct, in order."""
-    text = F.lower(line)
+def _sets(lines: DataFrame, k: int) -> DataFrame:
+    """``lines`` with s for line: the hashes of its k-word shingles, distinct, in order.
+
+    Each step is a column that an exploded entry holds: a plain one would be
+    computed anew for each use, and inside the generator nothing is compiled.
+    """
+    others = [c for c in lines.columns if c != "line"]
+    text = F.lower("line")
     for blank in BLANKS:
         text = F.replace(text, F.lit(blank), F.lit(" "))
-    words = F.transform(F.array_remove(F.split(text, " "), ""), lambda w: F.xxhash64(w))
-    # the words are held by a lambda: a plain expression would be computed anew for each shingle
-    windows = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]))
-    return F.sort_array(F.array_distinct(F.get(F.transform(F.array(words), windows), F.lit(0))))
+    words = lines.select(*others, F.transform(F.array_remove(F.split(text, " "), ""), lambda w: F.xxhash64(w)).alias("w")).select(*others, F.explode(F.array("w")).alias("w"))
+    windows = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - k, F.lit(0))), lambda i: F.xxhash64(*[F.get("w", i + j) for j in range(k)]))
+    return words.select(*others, F.sort_array(F.array_distinct(windows)).alias("s")).select(*others, F.explode(F.array("s")).alias("s"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -106,8 +110,7 @@ def repeated_lines(docs: DataFrame, p: int = 4, q: int = 5, shingle: int = SHING
     is_first = F.expr("first IS NULL OR (first.doc <=> doc AND first.line_no = line_no)")
     later = marked.where(~is_first).select("doc", "line_no")
 
-    # exploding one entry holds the set: a plain column would be computed anew for each use
-    sets = marked.where(is_first).select("h", F.explode(F.array(_shingles(F.col("line"), shingle))).alias("s"))
+    sets = _sets(marked.where(is_first).select("h", "line"), shingle)
     n = F.size("s")
     posted = sets.select("h", n.alias("n"), F.posexplode(F.slice("s", F.lit(1), prefix(n, p, q))).alias("i", "key")).repartition("key")
     meetings = posted.groupBy("key").agg(F.count("*").alias("met"), F.min("h").alias("x"), F.max("h").alias("y"), F.min("n").alias("low"), F.max("n").alias("high"), F.min(F.expr("n - i")).alias("least_rest")).where("met > 1")
@@ -122,7 +125,7 @@ def repeated_lines(docs: DataFrame, p: int = 4, q: int = 5, shingle: int = SHING
     # the sets of all lines that met another, read once
     in_pairs = found.where("at IS NULL").select(F.explode(F.array("x", "y")).alias("h"))
     own = checkpoint(in_pairs.union(found.where("at IS NOT NULL").select("at.h")).distinct().join(heads.select("h", "first"), "h"))
-    sized = _first_lines(docs, small(own)).select("h", "first", F.explode(F.array(_shingles(F.col("line"), shingle))).alias("s"))
+    sized = _sets(_first_lines(docs, small(own)).select("h", "first", "line"), shingle)
     held = stored(sized.select("h", "first", F.size("s").alias("n"), *_bits("s"), "s"))
     place_of = own
 
@@ -177,15 +180,22 @@ def _first_lines(docs: DataFrame, own: DataFrame) -> DataFrame:
     return _lines(docs).withColumn("h", F.xxhash64("line")).join(own, "h").where("first.doc <=> doc AND first.line_no = line_no")
 
 
+def _sets_of(held: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(h, first, s) of the lines in pairs (x, y)."""
+    lines = small(pairs.select(F.explode(F.array("x", "y")).alias("h")).distinct())
+    return held.select("h", "first", "s").join(lines, "h", "left_semi")
+
+
 def _later_of_similar(held: DataFrame, pairs: DataFrame, p: int, q: int) -> DataFrame:
     """(h) of the later line of every pair (x, y) that is similar; ``held`` has the lines' sets and bitmaps.
 
-    Bitmaps go to all pairs, sets only to those that they admit.
+    Bitmaps go to all pairs; sets only to those that they admit, and no others are exchanged.
     """
     maps = small(held.select("h", "n", *MAP))
     joined = pairs.alias("p").join(maps.alias("x"), F.expr("p.x = x.h")).join(maps.alias("y"), F.expr("p.y = y.h") & _bound_pair(p, q, "x", "y"))
     fit = checkpoint(joined.select("p.x", "p.y"))
-    a, b = held.select(F.col("h").alias("x"), F.col("first").alias("fx"), F.col("s").alias("sx")), held.select(F.col("h").alias("y"), F.col("first").alias("fy"), F.col("s").alias("sy"))
+    own = _sets_of(held, fit)
+    a, b = own.select(F.col("h").alias("x"), F.col("first").alias("fx"), F.col("s").alias("sx")), own.select(F.col("h").alias("y"), F.col("first").alias("fy"), F.col("s").alias("sy"))
     both = fit.join(a, "x").join(b, "y").select("x", "y", "fx", "fy", F.size("sx").alias("n"), F.size("sy").alias("m"), F.size(F.array_intersect("sx", "sy")).alias("o"))
     similar = both.where(F.lit(q) * F.col("o") >= F.lit(p) * (F.col("n") + F.col("m") - F.col("o")))
     return checkpoint(similar.select(F.when(F.expr("fx > fy"), F.col("x")).otherwise(F.col("y")).alias("h")).distinct())

@@ -199,6 +199,12 @@ def test_line_dedup_judges_each_row_of_null_and_repeated_ids(spark):
     assert sorted(line for r in got if r.text for line in r.text.split("\n")) == sorted(before)
 
 
+def test_line_dedup_exchanges_only_sets_of_pairs(spark):
+    held = spark.createDataFrame([(k, (k, 0), [k, k + 1]) for k in range(20)], "h long, first struct<doc:long,line_no:int>, s array<long>")
+    pairs = spark.createDataFrame([(1, 2), (2, 5)], "x long, y long")
+    assert sorted((r.h, r.s) for r in line_dedup._sets_of(held, pairs).collect()) == [(1, [1, 2]), (2, [2, 3]), (5, [5, 6])]
+
+
 @pytest.mark.parametrize("look_back", [6, 1])
 def test_line_dedup_on_word_sets(spark, monkeypatch, look_back):
     monkeypatch.setattr(line_dedup, "LOOK_BACK", look_back)
