@@ -34,6 +34,7 @@ import os
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -111,9 +112,11 @@ def _by_ranks(rules: dict, vocabulary: dict[str, int], letters: dict[str, int])
     import tiktoken
 
     merged = [vocabulary.get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in rules["model"]["merges"]]
-    ranks = {bytes(letters[c] for c in token): k for token, k in vocabulary.items() if all(c in letters for c in token)}
-    single = {bytes([b]) for b in range(256)}
-    if merged != sorted(set(merged)) or not single <= set(ranks) or sorted(ranks.values()) != sorted({ranks[x] for x in single} | set(merged)) or max(ranks[x] for x in single) > min(merged, default=0):
+    made, single = set(merged), {bytes([b]) for b in range(256)}
+    spelled = {bytes(letters[c] for c in token): k for token, k in vocabulary.items() if all(c in letters for c in token)}
+    # what no merge makes, as special tokens, is in no plain text
+    ranks = {token: k for token, k in spelled.items() if token in single or k in made}
+    if rules["model"].get("ignore_merges") or merged != sorted(made) or not single <= set(ranks) or len(ranks) != len(single) + len(made) or max(ranks[x] for x in single) > min(merged, default=0):
         return None
     from public_tokenizers import PATTERN
 
@@ -145,7 +148,13 @@ class Tokenizer:
     path: str
 
     def load(self) -> Vocabulary:
-        return KINDS[self.kind](self.path)
+        return _loaded(self)
+
+
+@lru_cache(maxsize=2)
+def _loaded(tokenizer: Tokenizer) -> Vocabulary:
+    """Once in a worker, whose tasks follow each other."""
+    return KINDS[tokenizer.kind](tokenizer.path)
 
 
 #: Single spaces between letters that are certainly no white space and no marks on a space, by any definition.
@@ -291,8 +300,11 @@ class Encoder:
         self.chars, self.runs = 0, Runs.none()
 
     def _learn(self, names: list[str]) -> None:
-        plain = [x for x in names if x[0] != " "]
-        for new, together in ((plain, True), ([x for x in names if x[0] == " "], False)):
+        # apart by letters: one other letter takes all words of its text the slower way
+        latin, other, spaced = [], [], []
+        for x in names:
+            (spaced if x[0] == " " else latin if x.isascii() or max(x) < LATIN else other).append(x)
+        for new, together in ((latin, True), (other, True), (spaced, False)):
             for k in range(0, len(new), LEARNT):
                 some = new[k:k + LEARNT]
                 runs = some if together else [x[1:] for x in some]

@@ -2,6 +2,7 @@
 
 import hashlib
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -121,6 +122,22 @@ def test_words_in_texts_are_encoded_as_whole_texts_are(spark, plain):
         assert got[0] == got[1], text
 
 
+def test_one_other_letter_does_not_slow_the_words_beside_it(monkeypatch):
+    """Words of Latin letters go the quick way whatever stands among them, and come out the same."""
+    one, two = ta.Tokenizer("byte_level", A).load(), ta.Tokenizer("pieces", B).load()
+    assert ta.Tokenizer("byte_level", A).load() is one  # once in a worker
+    texts = ["plain words", "it's naïve  don't\t 12 ab12'll", "<|endoftext|> of", "\u00a0a \u0085b \x1c c"]
+    assert "_by_ranks" in one.quick.__qualname__  # special tokens in the vocabulary don't rule it out
+    assert [one.quick(t) for t in texts] == one.encode(texts)
+    quick = []
+    encoder = ta.Encoder(replace(one, quick=lambda text: quick.append(text) or one.quick(text)), two)
+    text = " ".join(f"w{k} \u65e5{k}" for k in range(50))
+    number, _ = encoder([text])
+    assert sorted(" ".join(quick).split()) == sorted(f"w{k}" for k in range(50))
+    own = encoder.runs.take(number)
+    assert own.a.tolist() == one.encode([text])[0] and own.b.tolist() == two.encode([text])[0]
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_ranks_and_cuts(seed):
     rnd = np.random.default_rng(seed)
