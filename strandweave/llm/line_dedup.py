@@ -10,14 +10,15 @@ that line goes itself does not matter.
 2. *Prefix.*  Of two similar lines, ordered alike, the first n - o + 1 shingles
    of each (o: the least overlap) share one.  Lines meet by the shingles of
    their prefixes, in order of hash.  In meetings of a few lines all are
-   compared, in larger ones each with the first and with the one before.
-3. *Rarity.*  Shingles of larger meetings are the frequent ones.  Where that
-   left a line of a larger meeting that is not its first, the meeting's lines
-   are ordered anew, rare shingles first and those last, and meet again by the
-   prefixes of this order: lines that only share a frequent passage part.  A pair
-   that the first order misses consists of two such lines, as a shingle that a
-   line without them shares is rare.  What is large still is a family of lines,
-   similar or nearly so: of it those that stay meet all earlier ones.
+   compared.  A shingle that stands too far behind in all its lines to be the
+   first that two similar ones share is dropped.
+3. *Rarity.*  Shingles of larger meetings are the frequent ones.  The lines of
+   these meetings are ordered anew, rare shingles first and those last, and meet
+   again by the prefixes of this order: lines that only share a frequent passage
+   part.  A pair that the first order misses consists of two such lines, as a
+   shingle that a line without them shares is rare.  What is large still is a
+   family of lines, similar or nearly so: each is compared with the meeting's
+   first and with the one before, and those that stay meet all earlier ones.
 4. *Length and position.*  Pairs of lines are dropped whose sizes, or whose
    shingles left from the shared one's places on, can't reach the overlap; a
    similar pair passes at the first shingle that it shares.  In families, bit
@@ -55,11 +56,10 @@ def _sets(lines: DataFrame, k: int) -> DataFrame:
     computed anew for each use, and inside the generator nothing is compiled.
     """
     others = [c for c in lines.columns if c != "line"]
-    text = F.lower("line")
-    for blank in BLANKS:
-        text = F.replace(text, F.lit(blank), F.lit(" "))
-    words = lines.select(*others, F.transform(F.array_remove(F.split(text, " "), ""), lambda w: F.xxhash64(w)).alias("w")).select(*others, F.explode(F.array("w")).alias("w"))
-    windows = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - k, F.lit(0))), lambda i: F.xxhash64(*[F.get("w", i + j) for j in range(k)]))
+    parts = F.array_remove(F.split(F.lower("line"), f"[ {BLANKS}]+"), "")
+    words = lines.select(*others, F.transform(parts, lambda w: F.xxhash64(w)).alias("w")).select(*others, F.explode(F.array("w")).alias("w"))
+    starts = F.slice("w", F.lit(1), F.greatest(F.size("w") - (k - 1), F.lit(1)))
+    windows = F.transform(starts, lambda w, i: F.xxhash64(w, *[F.get("w", i + j) for j in range(1, k)]))
     return words.select(*others, F.sort_array(F.array_distinct(windows)).alias("s")).select(*others, F.explode(F.array("s")).alias("s"))
 
 
@@ -86,9 +86,12 @@ def _reach_pair(p: int, q: int, x: str, y: str) -> Column:
 MAP = ("m0", "m1", "m2", "m3")
 
 
-def _bits(s: str) -> list[Column]:
-    """A bitmap of the hashes in column ``s``, 256 bits in four words."""
-    return [F.expr(f"aggregate({s}, 0L, (m, h) -> CASE WHEN (shiftright(h, 6) & 3) = {k} THEN m | shiftleft(1L, CAST(h & 63 AS INT)) ELSE m END)").alias(f"m{k}") for k in range(4)]
+def _bits(sets: DataFrame) -> DataFrame:
+    """``sets`` with a bitmap of the hashes in s, 256 bits in four words; s is in order, so each word is of one stretch of it."""
+    below = lambda least: F.size(F.filter("s", lambda h: h < F.lit(least)))
+    cut = sets.select("*", F.explode(F.array(F.struct(F.lit(0).alias("c0"), below(-(1 << 62)).alias("c1"), below(0).alias("c2"), below(1 << 62).alias("c3"), F.size("s").alias("c4")))).alias("at"))
+    words = [F.expr(f"aggregate(slice(s, at.c{k} + 1, at.c{k + 1} - at.c{k}), 0L, (m, h) -> m | shiftleft(1L, CAST(h & 63 AS INT)))").alias(f"m{k}") for k in range(4)]
+    return cut.select(*sets.columns, *words)
 
 
 def _bound_pair(p: int, q: int, x: str, y: str) -> Column:
@@ -105,51 +108,41 @@ def repeated_lines(docs: DataFrame, p: int = 4, q: int = 5, shingle: int = SHING
     hashed = _lines(docs).select("doc", "line_no", F.xxhash64("line").alias("h"))
     heads = stored(hashed.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")))
     exchanged = 250 * heads.count()  # about so many bytes a line
-    repeats = small(heads.where("n > 1").select("h", "first"))
-    marked = _lines(docs).withColumn("h", F.xxhash64("line")).join(repeats, "h", "left")
     is_first = F.expr("first IS NULL OR (first.doc <=> doc AND first.line_no = line_no)")
-    later = marked.where(~is_first).select("doc", "line_no")
-
+    marked = _lines(docs).withColumn("h", F.xxhash64("line")).join(small(heads.where("n > 1").select("h", "first")), "h", "left")
     sets = _sets(marked.where(is_first).select("h", "line"), shingle)
     n = F.size("s")
-    posted = sets.select("h", n.alias("n"), F.posexplode(F.slice("s", F.lit(1), prefix(n, p, q))).alias("i", "key")).repartition("key")
-    meetings = posted.groupBy("key").agg(F.count("*").alias("met"), F.min("h").alias("x"), F.max("h").alias("y"), F.min("n").alias("low"), F.max("n").alias("high"), F.min(F.expr("n - i")).alias("least_rest")).where("met > 1")
-    # two lines: a pair.  More: their rows, by a second read of the same exchange
-    # (the further conditions always hold; with them both sides need the same columns, so the exchange is the same)
-    two = meetings.where("met = 2 AND x <> y").where(_reach(p, q, "low", "high", "(low + high)", "least_rest")).select("x", "y").distinct()
-    two = two.select("x", "y", F.lit(None).cast("struct<key:bigint,h:bigint,n:int,i:int>").alias("at"))
-    many = posted.join(meetings.where("met > 2 AND x <= y AND low <= high AND least_rest <= high").select("key").hint("shuffle_hash"), "key")
-    found = stored(two.union(many.select(F.lit(None).cast("long").alias("x"), F.lit(None).cast("long").alias("y"), F.struct("key", "h", "n", "i").alias("at"))))
-    del sets, posted, meetings, two, many  # frames that are held keep their exchanges
-    release(docs.sparkSession, exchanged)
-    # the sets of all lines that met another, read once
-    in_pairs = found.where("at IS NULL").select(F.explode(F.array("x", "y")).alias("h"))
-    own = checkpoint(in_pairs.union(found.where("at IS NOT NULL").select("at.h")).distinct().join(heads.select("h", "first"), "h"))
-    sized = _sets(_first_lines(docs, small(own)).select("h", "first", "line"), shingle)
-    held = stored(sized.select("h", "first", F.size("s").alias("n"), *_bits("s"), "s"))
-    place_of = own
-
-    near, frequent = _meetings(found.where("at IS NOT NULL").select("at.*"), place_of, p, q)
-    frequent = checkpoint(frequent)
+    met = stored(_met(sets.select("h", n.alias("n"), F.posexplode(F.slice("s", F.lit(1), prefix(n, p, q))).alias("i", "key")), p, q))
+    del sets, marked  # frames that are held keep their exchanges
     release(docs.sparkSession, exchanged)
-    gone = _later_of_similar(held, found.where("at IS NULL").select("x", "y").union(near).distinct(), p, q)
-    result = gone
-    # the lines that a pair may still lack: of meetings in which a line stays that is not the first
-    staying = frequent.join(gone, "h", "left_anti").where("h <> lead").select("key").distinct()
-    open_ = checkpoint(frequent.join(staying, "key").select("h").distinct())
+    pairs = stored(_pairs_of_small(met, p, q))
+    frequent = met.where(F.col("met") > LOOK_BACK + 1)
+    open_ = checkpoint(frequent.select("h").distinct())
+    # one more reading of the lines: the sets of all that are in a pair or met many others, and the places of repeats
+    own = checkpoint(pairs.select(F.explode(F.array("x", "y")).alias("h")).union(open_).distinct().select("h", F.lit(True).alias("own")))
+    tags = heads.join(small(own), "h", "left").where("n > 1 OR own").select("h", "first", "own")
+    tagged = _lines(docs).withColumn("h", F.xxhash64("line")).join(small(checkpoint(tags)), "h").withColumn("head", is_first)
+    wanted = F.expr("CASE WHEN head AND own THEN line ELSE '' END").alias("line")
+    marks = stored(_bits(_sets(tagged.select("h", "first", "own", "head", "doc", "line_no", wanted), shingle)).withColumn("n", F.size("s")))
+    later = marks.where("NOT head").select("doc", "line_no")
+    held = marks.where("head AND own").select("h", "first", "n", *MAP, "s")
+    place_of = held.select("h", "first")
+
+    gone = result = _later_of_similar(held, pairs, p, q)
     if open_.limit(1).count():
         # rare shingles first: the frequent ones of a line are found by a probe of its set, and moved to its end
         words = held.join(small(open_), "h", "left_semi").select("h", "s")
-        often = words.select("h", F.explode("s").alias("key")).join(small(frequent.select("key").distinct()), "key").groupBy("h").agg(F.sort_array(F.collect_list("key")).alias("often"))
-        turned = stored(words.join(often, "h").select("h", F.size("s").alias("n"), F.slice(F.concat(F.array_except("s", "often"), "often"), F.lit(1), prefix(F.size("s"), p, q)).alias("pre")))
-        anew = turned.select("h", "n", F.posexplode("pre").alias("i", "key")).select("key", "h", "n", "i")
+        often = words.select("h", F.explode("s").alias("key")).join(small(checkpoint(frequent.select("key").distinct())), "key").groupBy("h").agg(F.sort_array(F.collect_list("key")).alias("often"))
+        turned = stored(words.join(small(checkpoint(often)), "h").select("h", F.size("s").alias("n"), F.slice(F.concat(F.array_except("s", "often"), "often"), F.lit(1), prefix(F.size("s"), p, q)).alias("pre")))
+        del words, often
+        anew = stored(_met(turned.select("h", "n", F.posexplode("pre").alias("i", "key")), p, q))
         release(docs.sparkSession, exchanged)
-        near, crowd = _meetings(anew, place_of, p, q)
+        crowd = stored(anew.where(F.col("met") > LOOK_BACK + 1).join(place_of, "h"))
+        near = _pairs_of_small(anew, p, q).union(_neighbours(crowd, p, q))
         more = _later_of_similar(held, near.distinct().join(gone.withColumnRenamed("h", "x"), "x", "left_anti"), p, q)
         # what is still large is a family of lines, similar or nearly so: those that stay meet all earlier
         # ones; only pairs that the bitmaps admit become rows, each at the first shingle that it shares
         result = checkpoint(gone.union(more).distinct())
-        crowd = checkpoint(crowd)
         placed = stored(crowd.join(held.select("h", *MAP), "h").join(turned.select("h", "pre"), "h").select("key", "h", "n", "i", "first", "pre", *MAP))
         rest = placed.join(result, "h", "left_anti")
         pairs = rest.alias("x").join(placed.alias("y"), F.expr("x.key = y.key AND y.first < x.first") & _reach_pair(p, q, "x", "y") & _bound_pair(p, q, "x", "y") & F.expr("NOT arrays_overlap(slice(x.pre, 1, x.i), slice(y.pre, 1, y.i))")).select(F.col("x.h").alias("x"), F.col("y.h").alias("y")).distinct()
@@ -157,27 +150,36 @@ def repeated_lines(docs: DataFrame, p: int = 4, q: int = 5, shingle: int = SHING
     return later.unionByName(result.distinct().join(place_of, "h").select("first.doc", "first.line_no"))
 
 
-def _meetings(rows: DataFrame, places: DataFrame, p: int, q: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (x later, y earlier) of the lines of each key, and the rows of large keys with their places and first line.
+def _met(rows: DataFrame, p: int, q: int) -> DataFrame:
+    """``rows`` (key, h, n, i) of the keys at which two lines can be similar, with met, the number of their lines.
 
-    All lines of a small meeting are paired; in a large one each is paired with
-    the meeting's first line and with the one before it in a chunk of bounded size.
+    The shorter line of a similar pair has its least overlap, 2 n p / (p + q) or
+    more, left from the first shared shingle on; a key that no line has so far
+    in front is dropped.  Rows are exchanged once, n and i in one word, and read
+    twice: for the counts, and for the rows of what met.  x is never null; with
+    it both readings need the same columns, so the exchange is the same.
     """
-    line = F.struct("h", "n", "i")
-    placed = rows.join(places.select("h", "first"), "h").select("key", "h", "n", "i", "first", line.alias("x"))
-    sums = placed.groupBy("key").agg(F.count("*").alias("met"), F.min(F.struct("first", "x")).alias("lead")).where("met > 1").select("key", "met", F.col("lead.x").alias("lead"))
-    sized = placed.join(sums, "key").withColumn("chunk", F.pmod(F.xxhash64("h"), F.ceil(F.col("met") / CHUNK).cast("long")))
-    by_place = Window.partitionBy("key", "chunk").orderBy("first")
-    counted = sized.select("*", F.array(*[F.lag("x", k).over(by_place) for k in range(1, LOOK_BACK + 1)]).alias("ys"))
-    others = F.when(F.col("met") <= LOOK_BACK + 1, F.col("ys")).otherwise(F.array(F.get("ys", F.lit(0)), F.col("lead")))
-    before = counted.select("x", F.explode(others).alias("y")).where("y.h <> x.h")
-    near = before.where(F.col("y").isNotNull() & _reach_pair(p, q, "x", "y")).select(F.col("x.h").alias("x"), F.col("y.h").alias("y"))
-    return near, sized.where(F.col("met") > LOOK_BACK + 1).select("key", "h", "n", "i", "first", F.col("lead.h").alias("lead"))
+    dealt = rows.select("key", "h", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias("at")).repartition("key")
+    sums = dealt.groupBy("key").agg(F.count("*").alias("met"), F.max("h").alias("x"), F.max(F.expr(f"{p + q} * (shiftright(at, 32) - (at & 4294967295)) >= {2 * p} * shiftright(at, 32)")).alias("front")).where("met > 1 AND x IS NOT NULL AND front")
+    both = dealt.join(sums.select("key", "met").hint("shuffle_hash"), "key")
+    return both.select("key", "h", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("i"), "met")
 
 
-def _first_lines(docs: DataFrame, own: DataFrame) -> DataFrame:
-    """The first lines with the hashes in ``own`` (h, first), once each per row of their document."""
-    return _lines(docs).withColumn("h", F.xxhash64("line")).join(own, "h").where("first.doc <=> doc AND first.line_no = line_no")
+def _pairs_of_small(met: DataFrame, p: int, q: int) -> DataFrame:
+    """Pairs (x, y) of the lines of each meeting of a few, each pair once."""
+    groups = met.where(F.col("met") <= LOOK_BACK + 1).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("h", "n", "i"))).alias("g"))
+    others = groups.select("g", F.posexplode("g").alias("k", "x")).select("x", F.explode(F.slice("g", F.col("k") + 2, F.size("g"))).alias("y"))
+    return others.where(_reach_pair(p, q, "x", "y")).select(F.col("x.h").alias("x"), F.col("y.h").alias("y")).distinct()
+
+
+def _neighbours(crowd: DataFrame, p: int, q: int) -> DataFrame:
+    """Pairs (x later, y earlier) of each line of a large meeting with the meeting's first line and with the one before it in a chunk of bounded size."""
+    line = F.struct("h", "n", "i")
+    leads = crowd.groupBy("key").agg(F.min(F.struct("first", line.alias("x"))).alias("lead")).select("key", F.col("lead.x").alias("lead"))
+    by_place = Window.partitionBy("key", "chunk").orderBy("first")
+    sized = crowd.join(leads, "key").select("key", "lead", "first", line.alias("x"), F.pmod(F.xxhash64("h"), F.ceil(F.col("met") / CHUNK).cast("long")).alias("chunk"))
+    before = sized.select("x", F.array(F.lag("x").over(by_place), F.col("lead")).alias("ys")).select("x", F.explode("ys").alias("y")).where("y.h <> x.h")
+    return before.where(_reach_pair(p, q, "x", "y")).select(F.col("x.h").alias("x"), F.col("y.h").alias("y"))
 
 
 def _sets_of(held: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -205,6 +205,23 @@ def test_line_dedup_exchanges_only_sets_of_pairs(spark):
     assert sorted((r.h, r.s) for r in line_dedup._sets_of(held, pairs).collect()) == [(1, [1, 2]), (2, [2, 3]), (5, [5, 6])]
 
 
+def test_line_dedup_drops_keys_that_no_similar_pair_meets_at(spark):
+    rows = [(1, h, 50, i) for h, i in ((10, 8), (11, 9))] + [(2, 10, 50, 8), (2, 12, 50, 5)] + [(3, 13, 50, 0)]
+    met = line_dedup._met(spark.createDataFrame(rows, "key long, h long, n int, i int"), 4, 5)
+    assert sorted(map(tuple, met.select("key", "h", "n", "i", "met").collect())) == [(2, 10, 50, 8, 2), (2, 12, 50, 5, 2)]
+
+
+def test_line_bitmaps(spark):
+    rng = random.Random(5)
+    sets = [sorted({rng.randrange(-(1 << 63), 1 << 63) for _ in range(n)}) for n in (0, 1, 3, 40)] + [[-(1 << 63), -(1 << 62), 0, 1 << 62]]
+    got = line_dedup._bits(spark.createDataFrame([(k, s) for k, s in enumerate(sets)], "h long, s array<long>")).collect()
+    for r in got:
+        words = [0] * 4
+        for x in sets[r.h]:
+            words[(x >> 62) + 2] |= 1 << (x & 63)
+        assert [w % (1 << 64) for w in (r.m0, r.m1, r.m2, r.m3)] == words
+
+
 @pytest.mark.parametrize("look_back", [6, 1])
 def test_line_dedup_on_word_sets(spark, monkeypatch, look_back):
     monkeypatch.setattr(line_dedup, "LOOK_BACK", look_back)
