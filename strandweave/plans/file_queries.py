@@ -272,7 +272,8 @@ def usage_ledger(spark: SparkSession, d: str) -> DataFrame:
 def write_documents(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark, "document")
     sinks.write_document(table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("p")), path)
-    return spark.read.schema("videos ARRAY<STRUCT<k BIGINT, p STRING>>").json(path).select(F.inline("videos"))
+    found = json_scan.parts(spark, path, ("videos",))[0].where("key = 'videos' AND trim(text) <> ''")
+    return found.select(F.from_json("text", "k BIGINT, p STRING").alias("x")).select("x.*")
 
 
 _ASKED = "m AS (SELECT user_id::VARCHAR AS video_uid, floor(value / 50) AS lo, value AS s, event_type AS template, CASE WHEN event_id % 7 = 0 THEN '  ' ELSE ' what ' || event_type || '? ' END AS query FROM events WHERE value IS NOT NULL)"

@@ -69,20 +69,27 @@ def write_tree(rows: DataFrame, path: str, arrival: str, parts: int | None = Non
     placed.sortWithinPartitions(*order).select("line").write.mode("overwrite").text(path)
 
 
-def join_parts(spark: SparkSession, folder: str, out: str) -> None:
-    """One file of a folder's parts, for readers that need one: a task streams them piece by piece, and the file takes its name when it is whole."""
+def join_parts(spark: SparkSession, folder: str, out: str, head: str = "", tail: str = "", separator: str = "") -> None:
+    """One file of a folder's parts, for readers that need one: a task streams them piece by piece, and the file takes its name when it is whole.
+
+    head and tail go around the parts, without the ``separator`` that ends the last of them.
+    """
     def copied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _ in batches:
             system, own = located(folder)
-            names = [f.path for f in system.get_file_info(fs.FileSelector(own)) if f.base_name.startswith("part-")]
+            parts = [f for f in system.get_file_info(fs.FileSelector(own)) if f.base_name.startswith("part-")]
+            left = sum(f.size for f in parts) - len(separator.encode())
             into, there = located(new_name(posixpath.dirname(out)))
             into.create_dir(posixpath.dirname(there))
             try:
                 with into.open_output_stream(there) as sink:
-                    for name in sorted(names, key=lambda n: int(re.search(r"part-(\d+)", posixpath.basename(n))[1])):
-                        with system.open_input_stream(name) as source:
-                            while piece := source.read(PIECE):
+                    sink.write(head.encode())
+                    for part in sorted(parts, key=lambda f: int(re.search(r"part-(\d+)", f.base_name)[1])):
+                        with system.open_input_stream(part.path) as source:
+                            while left > 0 and (piece := source.read(min(PIECE, left))):
                                 sink.write(piece)
+                                left -= len(piece)
+                    sink.write(tail.encode())
             except Exception:
                 into.delete_file(there)
                 raise

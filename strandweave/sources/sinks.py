@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.materialise import scratch
 from . import arrays as named
+from . import exports
+from .staged import located
 
 
 def write_catalog(candidates: DataFrame, path: str, files: int | None = None) -> None:
@@ -47,11 +52,13 @@ def write_named_lines(rows: DataFrame, folder: str) -> None:
     rows.repartition("out").sortWithinPartitions("out", "line").select("out", "line").write.format("named_lines").mode("append").save(folder)
 
 
-def write_document(rows: DataFrame, path: str, key: str = "videos", most: int = 1_000_000) -> None:
-    """One JSON object with all rows under ``key``: for results that one reader loads whole, so their number is bounded; write_json_lines() has no bound."""
-    if rows.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} rows in one document: write lines")
-    rows.agg(F.collect_list(F.struct(*rows.columns)).alias(key)).coalesce(1).write.mode("overwrite").json(path)
+def write_document(rows: DataFrame, path: str, key: str = "videos") -> None:
+    """One JSON object with all rows under ``key``, of any number, as the one file of a folder: tasks write the rows' objects in parts, and one streams the parts together."""
+    spark, parts = rows.sparkSession, scratch(rows.sparkSession, "parts")
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.option("lineSep", ",").option("compression", "none").text(parts)
+    system, own = located(path)
+    system.delete_dir_contents(own, missing_dir_ok=True)
+    exports.join_parts(spark, parts, f"{path.rstrip('/')}/part-00000.json", head=f"{{{json.dumps(key)}:[", tail="]}", separator=",")
 
 
 def write_audit(rows: DataFrame, columns: list[str], path: str) -> None:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandweave.operators import cleaning, merge, sampling, stats
-from strandweave.sources import exports
+from strandweave.sources import exports, json_scan, sinks
 
 ROWS = "arrival bigint, video_uid string, clip_start_sec double, clip_end_sec double, video_start_sec double, video_end_sec double, template string, query string"
 
@@ -93,3 +93,18 @@ def test_chi_square_of_rebuilt_counts(spark):
 def test_pools_leave_out_what_has_no_length_or_template(spark):
     rows = spark.createDataFrame([(1, "0", "3", "t"), (2, "1", "1", "t"), (3, "x", "3", "t"), (4, "0", "3", ""), (5, "0", "3", None), (6, "2", "1", "t"), (7, None, "3", "t"), (8, "NaN", "3", "t"), (9, "0", "1e-10", "t")], "k int, s string, e string, template string")
     assert [(r.k, r.d, r.bucket_lo) for r in sampling.candidate_pool(rows, "s", "e").collect()] == [(1, 3.0, 2.0)]
+
+
+def test_a_document_of_more_than_a_million_rows(spark, tmp_path):
+    path = str(tmp_path / "d")
+    sinks.write_document(spark.range(1_000_001).repartition(3), path)
+    found = json_scan.parts(spark, path, ("videos",))[0].where("key = 'videos'").select(F.from_json("text", "id bigint").alias("x"))
+    assert found.agg(F.count("x.id"), F.min("x.id"), F.max("x.id")).first()[:] == (1_000_001, 0, 1_000_000)
+
+
+def test_a_document_replaces_the_one_before(spark, tmp_path):
+    for rows in ([(1, 'a "quoted",\nline', None)], [], [(k, ",", 0.5) for k in range(9)]):
+        sinks.write_document(spark.createDataFrame(rows, "k long, p string, x double").repartition(4), str(tmp_path / "d"), key='the "key"')
+        (text,) = (r.value for r in spark.read.option("wholetext", True).text(str(tmp_path / "d")).collect())
+        got = json.loads(text)['the "key"']
+        assert sorted((r["k"], r["p"], r.get("x")) for r in got) == rows
