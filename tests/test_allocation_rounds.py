@@ -27,3 +27,24 @@ def test_more_siblings_take_no_more_rounds(spark, monkeypatch):
     few, many = _work(spark, monkeypatch, 20), _work(spark, monkeypatch, 3000)
     assert few[1] == many[1] == [(1, "a"), (2, "f")]
     assert many[0] == few[0]
+
+
+def test_plans_do_not_grow_with_rounds(spark, monkeypatch):
+    """Clips that want one video's events at the same place are refused again and again."""
+    leaves, checkpoint = [], module._checkpoint
+
+    def measured(df):
+        leaves.append(df._jdf.queryExecution().analyzed().collectLeaves().size())
+        return checkpoint(df)
+
+    monkeypatch.setattr(module, "_checkpoint", measured)
+    n = 24
+    refs = [("a", 0.0, 0, 20.0, 0.0, 0.2, 100.0)] + [("b", 0.0, k, 5 + k - 0.5, 0.5, (5 + k - 0.5) / 100, 100.0) for k in range(1, n)]
+    events = [("a", 0.0, 1000 + k, 7, 200.0 * k, 200.0 * k + 20.0) for k in range(n)] + [("b", 0.0, k, 7, 20.0, 25.0 + k) for k in range(1, n)]
+    got = module.allocate(
+        spark.createDataFrame(refs, "template string, bucket_lo double, ref_id bigint, d double, qs_rel double, d_rel double, clen double"),
+        spark.createDataFrame(events, "template string, bucket_lo double, event_id bigint, video_uid bigint, cs double, ce double"),
+        spark.createDataFrame([(7, 10000.0)], "video_uid bigint, max_ts double"), spark.createDataFrame([("a", 0.0, n)], "template string, bucket_lo double, target bigint"), most_rounds=1,
+    ).toPandas()
+    assert (got.role == "a").sum() == n and (got.role == "f").sum() > n // 2
+    assert max(leaves) <= 10
