@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -148,6 +149,78 @@ def band_join(left: DataFrame, right: DataFrame, left_value: str, right_value: s
     return spread.join(right.withColumn("cell_", F.floor(F.col(right_value) / width)), "cell_").where(F.abs(F.col(left_value) - F.col(right_value)) <= width).drop("cell_")
 
 
+#: Rows of either side that a task of band_counts() holds at once.
+LEFT_ROWS, RIGHT_ROWS = 1 << 18, 1 << 20
+
+
+def least_in_ranges(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The least of ``values[low:high]`` for many ranges with a value at once: minima of runs of doubling lengths, of which a range takes two of one length."""
+    out = np.empty(len(low), values.dtype)
+    level = np.frexp(high - low)[1] - 1
+    runs = values
+    for k in range(int(level.max(initial=-1)) + 1):
+        use = np.flatnonzero(level == k)
+        out[use] = np.minimum(runs[low[use]], runs[high[use] - (1 << k)])
+        runs = np.minimum(runs[:-(1 << k)], runs[1 << k:]) if len(runs) > 1 << k else runs
+    return out
+
+
+def _band(width: float):
+    """(key, n, first) of the left rows that meet right ones."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        g, key = left.column("v").to_numpy(), left.column("key")
+        h, at = np.unique(right.column("v").to_numpy(), return_inverse=True)
+        upto = np.append(0, np.cumsum(np.bincount(at, minlength=len(h))))
+        other = right.column("other").combine_chunks()
+        # the least key of each value by its rank; nulls have none
+        rank = np.empty(len(other), np.int64)
+        order = pc.sort_indices(other, null_placement="at_end")
+        rank[order.to_numpy()] = np.arange(len(other))
+        rank[other.is_null().to_numpy(zero_copy_only=False)] = len(other)
+        first = np.full(len(h), len(other))
+        np.minimum.at(first, at, rank)
+        low, high = np.searchsorted(h, g - width), np.searchsorted(h, g + width, "right")
+        # the difference as rounded decides, one value more or less at either end
+        inside = lambda i: (i >= 0) & (i < len(h)) & (np.abs(g - h[np.clip(i, 0, len(h) - 1)]) <= width) if len(h) else np.zeros(len(g), bool)
+        while (more := inside(low - 1)).any():
+            low = low - more
+        while (less := (low < high) & ~inside(low)).any():
+            low = low + less
+        while (more := inside(high)).any():
+            high = high + more
+        while (less := (low < high) & ~inside(high - 1)).any():
+            high = high - less
+        met = np.flatnonzero(low < high)
+        low, high = low[met], high[met]
+        least = least_in_ranges(first, low, high)
+        known = pa.array(least, mask=least == len(other))
+        return pa.table({"key": key.take(pa.array(met)), "n": pa.array(upto[high] - upto[low]), "first": other.take(order.take(known))})
+
+    return run
+
+
+def band_counts(left: DataFrame, right: DataFrame, left_value: str, right_value: str, width: float, key: str, other: str) -> DataFrame:
+    """(key, n, first): how many pairs of band_join() a key has, and the least ``other`` among them, without a row for a pair.
+
+    A task sorts the right rows of a cell and its neighbours, or a part of
+    them, and looks up the range of each of its left rows.
+    """
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
+    cell = lambda c: F.floor(F.col(c) / (2 * width))  # noqa: E731  a difference that is rounded to the width is of neighbours
+    asks = checkpoint(left.where(finite(left_value)).select(F.col(key).alias("key"), F.col(left_value).cast("double").alias("v"), cell(left_value).alias("cell")))
+    held = checkpoint(right.where(finite(right_value)).select(F.col(other).alias("other"), F.col(right_value).cast("double").alias("v"), F.explode(F.array(*[cell(right_value) + k for k in (-1, 0, 1)])).alias("cell")))
+    counts = lambda rows, most, name: rows.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias(name))
+    dealt = checkpoint(counts(asks, LEFT_ROWS, "salts").join(counts(held, RIGHT_ROWS, "parts"), "cell"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt_to = lambda n, own: F.pmod(F.xxhash64("v", own), F.col(n)).cast("int")
+    asks = asks.join(dealt, "cell").withColumn("salt", dealt_to("salts", "key")).withColumn("part", spread("parts"))
+    held = held.join(dealt, "cell").withColumn("part", dealt_to("parts", "other")).withColumn("salt", spread("salts"))
+    group = ["cell", "part", "salt"]
+    kinds = [t.schema[c].dataType.simpleString() for t, c in ((left, key), (right, other))]
+    met = asks.select(*group, "key", "v").groupBy(*group).cogroup(held.select(*group, "other", "v").groupBy(*group)).applyInArrow(_band(width), f"key {kinds[0]}, n bigint, first {kinds[1]}")
+    return met.groupBy("key").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+
+
 def _layers(events: DataFrame, by: list[str], n: int) -> DataFrame:
     """The first ``n`` layers of events that no denser one of the group reaches in length; all in one order."""
     before = Window.partitionBy(*by).orderBy(F.col("density").desc(), "id").rowsBetween(Window.unboundedPreceding, -1)
